@@ -8,7 +8,7 @@ documents each, which fly again in later rounds, until a source has at most two;
 leaves the words nearest to their expectation while keeping their probabilities.
 
 Defined results: a null or wordless text has size 0 and is taken 0 words' worth; a null source is a source of its own
-and comes last; documents are ordered by hashes of id and size, so reruns agree and repeated rows are exchangeable; an
+and comes last; documents fly from long to short, in hash order among equals, so that small ones are left to land and reruns agree and repeated rows are exchangeable; an
 empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
@@ -180,7 +180,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST,
         blocks = F.greatest(F.lit(1), F.ceil(F.col("docs") / BLOCK)).cast("long")
         block = F.pmod(F.xxhash64(F.lit(turn), "id", "size"), F.col("blocks"))
         dealt = flying.withColumn("blocks", blocks).withColumn("block", block).withColumn("place", F.xxhash64(F.lit(f"place{turn}"), "id", "size"))
-        dealt = dealt.repartition("source", "block").sortWithinPartitions("source", "block", "place", "id", "size")
+        dealt = dealt.repartition("source", "block").sortWithinPartitions("source", "block", F.desc("size"), "place", "id")
         flown = stored(dealt.select("source", "block", "blocks", "id", "size", "whole", "p").mapInPandas(
             lambda parts, t=turn: fly_blocks(parts, t), "id long, source string, size long, whole long, p double, last boolean"))
         decided.append(flown.where("last").select("id", "source", "size", F.col("whole").alias("copies")))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .exact_dedup import exact_groups
+from .jaccard_join import jaccard_components
 from .line_dedup import line_dedup
 from .mixing import mix
 from .packing import pack
@@ -20,6 +21,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -42,6 +47,6 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_mix_sources, op5_quality_rules, op6_sampled_splitters, op7_line_dedup, op9_exact_dedup, op10_pack)}
+    op1_mix_sources, op3_jaccard_join, op5_quality_rules, op6_sampled_splitters, op7_line_dedup, op9_exact_dedup, op10_pack)}
 
 ORACLE_SQL: dict[str, str] = {}
