@@ -8,23 +8,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .cotraining import score_quality
 from .exact_dedup import exact_groups
+from .html_extract import extract_main_text
 from .jaccard_join import jaccard_components
 from .line_dedup import line_dedup
 from .mixing import mix
 from .packing import pack
 from .quality_rules import quality_rules
 from .sharding import shard_by_size
+from .surrogates import surrogate_pii
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), width=4, percent=85)
 
 
+def op4_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), carry_text=False)
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -38,6 +49,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogate_pii(table(spark, sf_dir, "documents"), key="lorefield")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
@@ -47,6 +62,7 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_mix_sources, op3_jaccard_join, op5_quality_rules, op6_sampled_splitters, op7_line_dedup, op9_exact_dedup, op10_pack)}
+    op1_mix_sources, op2_html_extraction, op3_jaccard_join, op4_cotraining, op5_quality_rules, op6_sampled_splitters, op7_line_dedup,
+    op8_surrogates, op9_exact_dedup, op10_pack)}
 
 ORACLE_SQL: dict[str, str] = {}
