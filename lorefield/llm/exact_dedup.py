@@ -108,14 +108,14 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that exact_groups drops; all columns stay."""
     sha = F.sha2(F.regexp_replace(text_or_empty(text_col), SPACE, " "), 256)
-    rows = exact_groups(docs, id_col, text_col).select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha"), "kept")
-    gone = stored(rows.groupBy("_id", "_sha").agg(F.max("kept").alias("_any"), F.count("*").alias("_n"))
-                  .where(~F.col("_any") | (F.col("_n") > 1)))
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (sha == F.col("_sha"))
+    rows = exact_groups(docs, id_col, text_col).select(F.col(id_col).alias("lf__id"), F.col("text_sha256").alias("lf__sha"), "kept")
+    gone = stored(rows.groupBy("lf__id", "lf__sha").agg(F.max("kept").alias("lf__any"), F.count("*").alias("lf__n"))
+                  .where(~F.col("lf__any") | (F.col("lf__n") > 1)))
+    same = F.col(id_col).eqNullSafe(F.col("lf__id")) & (sha == F.col("lf__sha"))
     n = gone.count()
-    if not gone.where("_any").head(1):
+    if not gone.where("lf__any").head(1):
         return docs.join(checked(gone, n), same, "left_anti")
     marked = docs.join(checked(gone, n), same, "left")
-    once = marked.where("_n is null").select(docs.columns)
-    again = marked.where("_any").dropDuplicates(["_id", "_sha"]).select(docs.columns)
+    once = marked.where("lf__n is null").select(docs.columns)
+    again = marked.where("lf__any").dropDuplicates(["lf__id", "lf__sha"]).select(docs.columns)
     return once.unionByName(again)

@@ -17,6 +17,7 @@ an empty table gives an empty result; only the columns named in the result are r
 
 from __future__ import annotations
 
+import functools
 import html as entities
 import random
 import re
@@ -33,6 +34,12 @@ from .boosting import Boosted, boost
 TRAIN_PAGES = 120
 COPIES = 6
 TRAIN_NODES = 80
+#: Log odds that dropping something inside kept text has to overcome, and nodes that are scored at once.
+CARVED = 0.5
+#: Elements whose tag states that they aren't main text, and the log odds that this takes from them.
+BOILERPLATE = frozenset(("nav", "footer", "aside", "form", "menu", "dialog"))
+STATED = 6.0
+SCORED = 4096
 
 # Fixed values of HTML: elements inside a line, elements without content, elements never shown as text, and elements that a start tag ends.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -155,62 +162,66 @@ class Page:
                 return
 
 
-def _tokens(tag: str, attrs: str) -> np.ndarray:
-    out = np.zeros(len(FAMILIES), np.float32)
-    if attrs:
-        for m in _ATTR.finditer(attrs):
-            for t in _TOKEN.findall(m[1]):
-                if (k := _FAMILY.get(t.lower())) is not None:
-                    out[k] = 1
+@functools.lru_cache(4096)
+def _tokens(attrs: str) -> int:
+    """Families that occur among the attribute tokens, as bits."""
+    out = 0
+    for m in _ATTR.finditer(attrs):
+        for t in _TOKEN.findall(m[1]):
+            if (k := _FAMILY.get(t.lower())) is not None:
+                out |= 1 << k
     return out
 
 
-def node_features(page: Page) -> np.ndarray:
-    n = len(page.tag)
-    parent = page.parent
-    length, linked, commas, stops, paras, nodes, leaves = (np.zeros(n, np.float32) for _ in range(7))
-    depth, index, brothers, same = (np.zeros(n, np.float32) for _ in range(4))
-    tokens = np.zeros((n, len(FAMILIES)), np.float32)
-    above = np.zeros((n, len(FAMILIES)), np.float32)
-    kind = np.zeros((n, len(TAGS)), np.float32)
-    up_kind = np.zeros((n, len(TAGS)), np.float32)
-    children: dict[int, int] = {}
+_KIND = {t: 1 << i for i, t in enumerate(TAGS)} | {f"h{i}": 1 << TAGS.index("h") for i in range(1, 7)}
+
+
+def node_rows(page: Page) -> list[tuple]:
+    """For each node: sums over its subtree, its place among its siblings, its parent's sums, and tag and token bits of itself and of its ancestors."""
+    n, parent, tags = len(page.tag), page.parent, page.tag
+    length, linked = [len(x) for x in page.text], page.linked[:]
+    commas = [x.count(",") for x in page.text]
+    stops = [x.count(".") + x.count("!") + x.count("?") for x in page.text]
+    leaves, paras, nodes = [1 if x else 0 for x in page.text], [1 if t == "p" else 0 for t in tags], [1] * n
+    depth, index, children = [0] * n, [0] * n, [0] * n
+    own, above = [0] * n, [0] * n
     alike: dict[tuple[int, str], int] = {}
     for i in range(n):
-        text, tag = page.text[i], page.tag[i]
-        length[i], linked[i] = len(text), page.linked[i]
-        if text:
-            commas[i], stops[i], leaves[i] = text.count(","), text.count(".") + text.count("!") + text.count("?"), 1
-        nodes[i], paras[i] = 1, tag == "p"
-        tokens[i] = _tokens(tag, page.attrs[i])
-        tag = "h" if len(tag) == 2 and tag[0] == "h" and tag[1].isdigit() else tag
-        if tag in TAGS:
-            kind[i, TAGS.index(tag)] = 1
+        attrs = page.attrs[i]
+        own[i] = _KIND.get(tags[i], 0) << len(FAMILIES) | (_tokens(attrs) if attrs else 0)
         if i:
             p = parent[i]
-            depth[i] = depth[p] + 1
-            above[i] = np.maximum(above[p], tokens[p])
-            up_kind[i] = np.maximum(up_kind[p], kind[p])
-            index[i] = children[p] = children.get(p, -1) + 1
-            alike[p, page.tag[i]] = alike.get((p, page.tag[i]), 0) + 1
+            depth[i], above[i], index[i] = depth[p] + 1, above[p] | own[p], children[p]
+            children[p] += 1
+            alike[p, tags[i]] = alike.get((p, tags[i]), 0) + 1
     for i in range(n - 1, 0, -1):
         p = parent[i]
-        for a in (length, linked, commas, stops, paras, nodes, leaves):
-            a[p] += a[i]
-    for i in range(1, n):
-        brothers[i] = children[parent[i]]
-        same[i] = alike[parent[i], page.tag[i]] / (brothers[i] + 1)
-    up = np.maximum(np.array(parent), 0)
+        length[p] += length[i]
+        linked[p] += linked[i]
+        commas[p] += commas[i]
+        stops[p] += stops[i]
+        leaves[p] += leaves[i]
+        paras[p] += paras[i]
+        nodes[p] += nodes[i]
+    return [(length[i], linked[i], commas[i], stops[i], leaves[i], paras[i], nodes[i], depth[i], index[i], children[p], alike.get((p, tags[i]), 1),
+             length[p], linked[p], paras[p], length[0], own[i], above[i]) for i, p in enumerate([0, *parent[1:]])]
+
+
+def node_features(rows: list[tuple]) -> np.ndarray:
+    """The features of nodes, from their rows: subtree density, siblings, depth, and indicators of the bits."""
+    length, linked, commas, stops, leaves, paras, nodes, depth, index, brothers, same, up_length, up_linked, up_paras, page, own, above = np.array(rows, np.int64).reshape(-1, 17).T
     per = lambda a, b: a / np.maximum(b, 1)
+    bits = np.arange(len(FAMILIES) + len(TAGS))
     return np.c_[
         np.log1p(length), per(linked, length), per(length, nodes), per(length, leaves), per(commas, length) * 100, per(stops, length) * 100, np.log1p(paras),
-        np.log1p(nodes), per(length, length[:1]), per(length, length[up]), np.minimum(depth, 30), per(index, brothers + 1), np.log1p(brothers), same, np.log1p(length[up]),
-        per(linked[up], length[up]), np.log1p(paras[up]), tokens, above, kind, up_kind].astype(np.float32)
+        np.log1p(nodes), per(length, page), per(length, up_length), np.minimum(depth, 30), per(index, brothers), np.log1p(brothers), per(same, brothers), np.log1p(up_length),
+        per(up_linked, up_length), np.log1p(up_paras), own[:, None] >> bits & 1, above[:, None] >> bits & 1].astype(np.float32)
 
 
 def decode(page: Page, logit: np.ndarray) -> list[bool]:
     """Which nodes are kept: the best consistent states. Mixed costs as much as an undecided node."""
     n = len(page.tag)
+    logit = logit - np.array([STATED if t in BOILERPLATE else 0.0 for t in page.tag])
     yes, no = -np.logaddexp(0, -logit), -np.logaddexp(0, logit)
     drop, keep, mixed = no.copy(), yes.copy(), np.full(n, np.log(0.5))
     for i in range(n - 1, 0, -1):
@@ -218,7 +229,7 @@ def decode(page: Page, logit: np.ndarray) -> list[bool]:
             mixed[i] = -np.inf
         p = page.parent[i]
         drop[p] += drop[i]
-        keep[p] += max(keep[i], drop[i])
+        keep[p] += max(keep[i], drop[i] - CARVED)
         mixed[p] += max(keep[i], drop[i], mixed[i])
     kept = [False] * n
     state = ["m"] + [""] * (n - 1)  # the page itself is a wrapper
@@ -227,21 +238,38 @@ def decode(page: Page, logit: np.ndarray) -> list[bool]:
         if above == "d":
             state[i] = "d"
         elif above == "k":
-            state[i] = "k" if keep[i] >= drop[i] else "d"
+            state[i] = "k" if keep[i] >= drop[i] - CARVED else "d"
         else:
             state[i] = max((("k", keep[i]), ("d", drop[i]), ("m", mixed[i])), key=lambda x: x[1])[0]
         kept[i] = state[i] == "k"
     return kept
 
 
-def main_text(source: str | None, model: Boosted) -> str:
-    if not source:
-        return ""
-    page = Page(source)
-    if len(page.tag) < 2:
-        return ""
-    kept = decode(page, model.logit(node_features(page)))
-    return " ".join(t for t, k in zip(page.text, kept) if t and k)
+def main_texts(sources: Iterator[str | None], model: Boosted) -> list[str]:
+    """The main text of each page; nodes of several pages are scored at once."""
+    out: list[str] = []
+    held: list[tuple[Page, list[tuple]]] = []
+    size = 0
+
+    def flush() -> None:
+        nonlocal size
+        logit = model.logit(node_features([r for _, x in held for r in x])) if held else np.empty(0)
+        at = 0
+        for page, x in held:
+            kept = decode(page, logit[at : at + len(x)])
+            out.append(" ".join(t for t, k in zip(page.text, kept) if t and k))
+            at += len(x)
+        held.clear()
+        size = 0
+
+    for source in sources:
+        page = Page(source or "")
+        held.append((page, node_rows(page)))
+        size += len(page.tag)
+        if size >= SCORED:
+            flush()
+    flush()
+    return out
 
 
 # ---- training ----
@@ -257,9 +285,9 @@ def _blocks(source: str) -> tuple[list[str], list[str]]:
     main, rest = [], []
     state = [0] * len(page.tag)
     for i in range(1, len(page.tag)):
-        tag, tokens = page.tag[i], _tokens(page.tag[i], page.attrs[i])
-        bad = tag in _BOILER or tokens[3:].any()
-        state[i] = -1 if bad or state[page.parent[i]] == -1 else 1 if tag in ("article", "main") or tokens[0] else state[page.parent[i]]
+        tag, tokens = page.tag[i], _tokens(page.attrs[i])
+        bad = tag in _BOILER or tokens >> 3
+        state[i] = -1 if bad or state[page.parent[i]] == -1 else 1 if tag in ("article", "main") or tokens & 1 else state[page.parent[i]]
         if page.text[i] and state[i]:
             (main if state[i] == 1 else rest).append(page.text[i])
     return main, rest
@@ -332,7 +360,7 @@ def _labelled(source: str) -> tuple[np.ndarray, np.ndarray]:
         holds[page.parent[i]] |= holds[i]
     use = ~(holds & ~main)
     use[0] = False
-    return node_features(page)[use], label[use]
+    return node_features(node_rows(page))[use], label[use]
 
 
 def trained(pages: DataFrame, html_col: str = "html", max_pages: int = TRAIN_PAGES) -> Boosted:
@@ -361,7 +389,7 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
 
     def extracted(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            yield pd.DataFrame({"id": part["id"], "url": part["url"], "text": [main_text(x, held.value) for x in part["html"]]})
+            yield pd.DataFrame({"id": part["id"], "url": part["url"], "text": main_texts(part["html"], held.value)})
 
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     found = rows.mapInPandas(extracted, f"id {id_type}, url string, text string")

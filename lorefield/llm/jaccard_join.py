@@ -138,7 +138,7 @@ def _signed(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iter
                     sigs.append(signatures(items, bands))
             offsets = np.r_[0, np.cumsum([len(x) for x in sigs])].astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sigs).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(np.array(nodes, _U).view(np.int64)), lists], ["id", "n", "node", "sigs"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(sizes, pa.int64()), pa.array(np.array(nodes, _U).view(np.int64)), lists], ["id", "print", "n", "node", "sigs"])
 
 
 def _lined_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,13 +190,15 @@ def _verified(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> It
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_shingles, component_id: the smallest id that links of at least percent / 100 reach."""
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = stored(texts.mapInArrow(lambda x: _signed(x, width, percent), "id long, n long, node long, sigs array<long>"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("print"))
+    rows = stored(texts.mapInArrow(lambda x: _signed(x, width, percent), "id long, print long, n long, node long, sigs array<long>"))
     dealt = rows.where(F.size("sigs") > 0).select(F.explode("sigs").alias("sig"), "node").repartition("sig").sortWithinPartitions("sig", "node")
     lined = stored(dealt.mapInArrow(_lined_up, "sig long, first long, node long"))
-    chosen = rows.join(lined.select("node").distinct(), "node", "left_semi").where("n > 0").groupBy("node").agg(F.min(F.struct(F.col("id").isNull(), "id")).getField("id").alias("id"))
-    chosen = stored(chosen.where("id is not null"))
-    of_nodes = stored(texts.join(checked(chosen), "id").dropDuplicates(["node"]).select("node", "text"))
+    # one row of docs for each node that has candidates; its whole text is read again
+    one = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("of_id"), F.col("print").alias("of_print"))).alias("one")
+    chosen = stored(rows.join(lined.select("node").distinct(), "node", "left_semi").groupBy("node").agg(one).select("node", "one.of_id", "one.of_print"))
+    mine = F.col("id").eqNullSafe(F.col("of_id")) & (F.col("print") == F.col("of_print"))
+    of_nodes = stored(texts.join(checked(chosen), mine).select("node", "text").dropDuplicates(["node"]))
 
     def verify(pairs: DataFrame) -> DataFrame:
         with_b = pairs.join(of_nodes.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
@@ -245,5 +247,5 @@ def _with_components(rows: DataFrame, roots: DataFrame, id_col: str) -> DataFram
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows whose component has a smaller id; all columns stay."""
     found = jaccard_components(docs, width, percent, id_col, text_col)
-    gone = stored(found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_id")).distinct())
-    return docs.join(checked(gone), F.col(id_col) == F.col("_id"), "left_anti")
+    gone = stored(found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("lf__id")).distinct())
+    return docs.join(checked(gone), F.col(id_col) == F.col("lf__id"), "left_anti")

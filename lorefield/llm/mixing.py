@@ -202,16 +202,16 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """docs with each row repeated as often as mix takes it, 0 included. Rows that agree in id, source and size share their
     copies as evenly as whole numbers allow."""
     id_col, text_col, source_col = (options.get(k, v) for k, v in (("id_col", "doc_id"), ("text_col", "text"), ("source_col", "source")))
-    plan = mix(docs, **options).groupBy(F.col(id_col).alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size")).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
+    plan = mix(docs, **options).groupBy(F.col(id_col).alias("lf__id"), F.col("source").alias("lf__source"), F.col("size").alias("lf__size")).agg(F.sum("copies").alias("lf__copies"), F.count("*").alias("lf__rows"))
     plan = stored(plan)
     size = word_count(F.col(text_col))
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & F.col(source_col).eqNullSafe(F.col("_source")) & (size == F.col("_size"))
+    same = F.col(id_col).eqNullSafe(F.col("lf__id")) & F.col(source_col).eqNullSafe(F.col("lf__source")) & (size == F.col("lf__size"))
     joined = docs.join(checked(plan), same)
     times = lambda n: F.explode(F.sequence(F.lit(1).cast("long"), n))
-    one = joined.where("_rows = 1 and _copies > 0").withColumn("_n", times(F.col("_copies"))).select(docs.columns)
-    if not plan.where("_rows > 1").head(1):
+    one = joined.where("lf__rows = 1 and lf__copies > 0").withColumn("lf__n", times(F.col("lf__copies"))).select(docs.columns)
+    if not plan.where("lf__rows > 1").head(1):
         return one
-    window = Window.partitionBy("_id", "_source", "_size").orderBy(F.xxhash64(text_col))
-    several = joined.where("_rows > 1 and _copies > 0").withColumn("_place", F.row_number().over(window) - 1)
-    share = F.floor(F.col("_copies") / F.col("_rows")) + (F.col("_place") < F.col("_copies") % F.col("_rows")).cast("long")
-    return one.unionByName(several.withColumn("_share", share).where("_share > 0").withColumn("_n", times(F.col("_share"))).select(docs.columns))
+    window = Window.partitionBy("lf__id", "lf__source", "lf__size").orderBy(F.xxhash64(text_col))
+    several = joined.where("lf__rows > 1 and lf__copies > 0").withColumn("lf__place", F.row_number().over(window) - 1)
+    share = F.floor(F.col("lf__copies") / F.col("lf__rows")) + (F.col("lf__place") < F.col("lf__copies") % F.col("lf__rows")).cast("long")
+    return one.unionByName(several.withColumn("lf__share", share).where("lf__share > 0").withColumn("lf__n", times(F.col("lf__share"))).select(docs.columns))
