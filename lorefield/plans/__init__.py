@@ -1,6 +1,6 @@
 """The registered queries: one module for each family of operators."""
 
-from . import retrieval
+from . import chats, governance, retrieval
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "retrieval"]
+__all__ = ["ORACLE_SQL", "QUERIES", "chats", "governance", "retrieval"]

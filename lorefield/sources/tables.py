@@ -70,10 +70,10 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("event"), F.col("props").alias("metadata"), "user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"), "value")
+    return table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("event"), F.col("props").alias("metadata"), "user_id", F.expr("unix_micros(cast(ts as timestamp)) div 1000").alias("at_ms"), "value")
 
 
-EVENTS_SQL = "(select event_id, event_type as event, props as metadata, user_id, epoch_ms(ts) as at_ms, value from events)"
+EVENTS_SQL = "(select event_id, event_type as event, props as metadata, user_id, epoch_us(ts) // 1000 as at_ms, value from events)"
 
 
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
