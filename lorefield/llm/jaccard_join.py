@@ -8,9 +8,10 @@ only multiply them). Partitions that are empty in a set give no signature while
 empty; a set with more empty partitions adds the signatures of another division of the domain. A pair is missed by neither: in
 the first division where either set has few enough, both have all signatures and a filled partition agrees.
 
-Texts with equal sets are one node. Under each signature nodes line up with its smallest; pairs are verified exactly
-on the shingles of whole texts, the most promising first, and components follow from the links found. Pairs that are already
-connected are not verified again; in the end every candidate pair is verified or lies inside one component.
+Texts with equal sets are one node. Nodes that signatures connect form clusters; each has a pivot, against which the exact
+set differences of its nodes are taken from whole texts. Whether two nodes link follows from their differences, and most links and
+most non-links from their sizes alone; the rest is found by the differences that two nodes share. So a group of thousands of
+near copies takes work in proportion to its size. Nodes far from their pivot go on to further rounds with pivots of their own.
 
 Defined results: a null text or one without words has an empty set and links with nothing; with fewer words than a
 shingle the whole sequence is the only shingle; a null id gets the smallest id of its component, null if there is none;
@@ -172,20 +173,50 @@ def _lined_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(s[rows]), pa.array(f[rows]), pa.array(nodes)], ["sig", "first", "node"])
 
 
-def _verified(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """a, b, linked for pairs with both whole texts."""
+def _differences(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """cluster, node, size, pivot_size, d: the symmetric difference of a node's set and its pivot's, in one order for all nodes of
+    a cluster: first what the pivot lacks, then what it has, each by hash. Rows carry both whole texts."""
     words, held, own = _Words(), None, np.empty(0, _U)
     for batch in batches:
-        a, b = batch.column(0), batch.column(1)
-        left, right = (batch.column(i).cast(pa.binary()) for i in (2, 3))
-        linked = []
-        for i, node in enumerate(a.to_pylist()):
-            if node != held:
-                held, own = node, shingles(left[i].as_py(), width, words)
-            other = shingles(right[i].as_py(), width, words)
-            both = len(np.intersect1d(own, other, assume_unique=True))
-            linked.append(100 * both >= percent * (len(own) + len(other) - both))
-        yield pa.RecordBatch.from_arrays([a, b, pa.array(linked, pa.bool_())], ["a", "b", "linked"])
+        pivots, left, right = batch.column(1).to_pylist(), *(batch.column(i).cast(pa.binary()) for i in (3, 4))
+        sizes, pivot_sizes, lists = [], [], []
+        for i, pivot in enumerate(pivots):
+            if pivot != held:
+                held, own = pivot, shingles(left[i].as_py(), width, words)
+            items = shingles(right[i].as_py(), width, words)
+            lists.append(np.r_[np.setdiff1d(items, own, True), np.setdiff1d(own, items, True)])
+            sizes.append(len(items))
+            pivot_sizes.append(len(own))
+        offsets = np.r_[0, np.cumsum([len(x) for x in lists])].astype(np.int32)
+        d = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lists).astype(_U).view(np.int64)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(pivot_sizes, pa.int64()), d, batch.column(1)], ["cluster", "node", "size", "pivot_size", "d", "pivot"])
+
+
+def _links_near_pivots(nodes: DataFrame, percent: int) -> DataFrame:
+    """Links among nodes (cluster, node, size, d) that span all components of the clusters' links.
+
+    Nodes b and c differ in |d_b| + |d_c| - 2 |d_b & d_c| elements, so with g = (100 + percent) |d| - (100 - percent) size they link
+    if and only if g_b + g_c <= 2 (100 + percent) |d_b & d_c|. Pairs with g_b + g_c <= 0 link whatever they share, and the node with the
+    smallest g links with each of them. Other pairs need a shared difference: those are found by their prefixes, as in prefix
+    filtering with the overlap that the pair needs at least, where rare elements come first.
+    """
+    k, q = 100 + percent, 100 - percent
+    nodes = nodes.withColumn("g", k * F.size("d") - q * F.col("size"))
+    best = nodes.groupBy("cluster").agg(F.min(F.struct("g", "node")).alias("best"))
+    placed = stored(nodes.join(best, "cluster").withColumn("out", (F.col("g") + F.col("best.g") > 0) & (F.col("node") != F.col("best.node"))))
+    star = placed.where(~F.col("out") & (F.col("node") != F.col("best.node"))).select(F.col("best.node").alias("a"), F.col("node").alias("b"))
+    outside = placed.where("out").groupBy("cluster").agg(F.min("g").alias("least_out"))
+    open_ = placed.join(outside, "cluster")
+    partner = F.when(F.col("out"), F.col("best.g")).otherwise(F.col("least_out"))
+    need = F.greatest(F.ceil((F.col("g") + partner) / (2 * k)), F.ceil((F.col("g") - q * F.col("size") * 100 / percent) / k), F.lit(1)).cast("int")
+    prefixed = open_.select("cluster", "node", "out", F.explode(F.slice("d", F.lit(1), F.greatest(F.size("d") - need + 1, F.lit(0)))).alias("e"))
+    x = prefixed.where("out").select("cluster", "e", F.col("node").alias("a"))
+    y = prefixed.select("cluster", "e", F.col("node").alias("b"), F.col("out").alias("b_out"))
+    pairs = x.join(y, ["cluster", "e"]).where("a <> b and (not b_out or a < b)").select("a", "b").distinct()
+    of = lambda n: placed.select(F.col("node").alias(n), F.col("g").alias(f"g_{n}"), F.col("d").alias(f"d_{n}"))
+    near = pairs.join(of("a"), "a").join(of("b"), "b")
+    linked = F.col("g_a") + F.col("g_b") <= 2 * k * F.size(F.array_intersect("d_a", "d_b"))
+    return star.unionByName(near.where(linked).select("a", "b"))
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -196,45 +227,43 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     lined = stored(dealt.mapInArrow(_lined_up, "sig long, first long, node long"))
     # one row of docs for each node that has candidates; its whole text is read again
     one = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("of_id"), F.col("print").alias("of_print"))).alias("one")
-    chosen = stored(rows.join(lined.select("node").distinct(), "node", "left_semi").groupBy("node").agg(one).select("node", "one.of_id", "one.of_print"))
+    counts = stored(lined.groupBy("node").agg(F.count("*").alias("shared")))
+    chosen = stored(rows.join(counts, "node").groupBy("node").agg(one).select("node", "one.of_id", "one.of_print"))
     mine = F.col("id").eqNullSafe(F.col("of_id")) & (F.col("print") == F.col("of_print"))
     of_nodes = stored(texts.join(checked(chosen), mine).select("node", "text").dropDuplicates(["node"]))
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        with_b = pairs.join(of_nodes.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-        both = with_b.join(of_nodes.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-        return stored(both.select("a", "b", "text_a", "text_b").mapInArrow(lambda x: _verified(x, width, percent), "a long, b long, linked boolean"))
-
-    # first the partner with which a node shares most signatures, then what is left between components
-    shared = lined.where("first <> node").groupBy(F.col("first").alias("a"), F.col("node").alias("b")).count()
-    best = shared.groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a")).select("a", "b")
-    tested = verify(best)
-    whole = False
+    links: list[DataFrame] = []
+    text_of = lambda n: of_nodes.select(F.col("node").alias(n), F.col("text").alias(f"{n}_text"))
+    schema = "cluster long, node long, size long, pivot_size long, d array<long>, pivot long"
+    bound = lined.count()
     while True:
-        roots = stored(components(tested.where("linked")))
-        placed = lined.select("sig", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        if not whole:
-            ends = placed.groupBy("sig").agg(F.min(F.struct("root", "node")).alias("lo"), F.max(F.struct("root", "node")).alias("hi")).where("lo.root <> hi.root")
-            apart = stored(placed.join(ends, "sig"))
-            other = F.when(F.col("root") != F.col("lo.root"), F.col("lo.node")).otherwise(F.col("hi.node"))
-            pairs = apart.select(F.least("node", other).alias("a"), F.greatest("node", other).alias("b"))
-        else:
-            x, y = (apart_rows.select("sig", F.col("node").alias(n), F.col("root").alias(f"root_{n}")) for apart_rows, n in ((apart, "a"), (apart, "b")))
-            pairs = x.join(y, "sig").where("a < b and root_a <> root_b").select("a", "b")
-        known = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        fresh = stored(pairs.distinct().join(known, ["a", "b"], "left_anti"))
-        if not fresh.head(1):
-            if whole:
-                break
-            whole = True
-            continue
-        more = verify(fresh)
-        tested = tested.unionByName(more)
-        if not more.where("linked").head(1):
-            if whole:
-                break
-            whole = True
-    return _with_components(rows, roots, id_col)
+        # pairs of nodes under one signature: where all of them are no more than the rows that there were, they are compared as they are
+        size = lined.groupBy("sig").agg(F.count("*").alias("m")).agg(F.sum(F.expr("m * (m - 1) / 2"))).first()[0] or 0
+        if size <= bound:
+            x, y = (lined.select("sig", F.col("node").alias(n)) for n in ("a", "b"))
+            pairs = x.join(y, "sig").where("a < b").select("a", "b").distinct()
+            both = pairs.join(text_of("b"), "b").join(text_of("a"), "a").select(F.col("b").alias("cluster"), "a", "b", "a_text", "b_text")
+            compared = both.mapInArrow(lambda x: _differences(x, width), schema).selectExpr("*", "size(d) as apart")
+            links.append(stored(compared.where((100 + percent) * F.col("apart") <= (100 - percent) * (F.col("size") + F.col("pivot_size"))).select(F.col("pivot").alias("a"), F.col("node").alias("b"))))
+            break
+        # nodes that candidates connect, and the pivot among them: the node that shares most signatures
+        clusters = components(lined.where("first <> node").select(F.col("first").alias("a"), F.col("node").alias("b")))
+        clusters = stored(clusters.select("node", F.col("root").alias("cluster")).join(counts, "node"))
+        pivots = clusters.groupBy("cluster").agg(F.max_by("node", F.struct("shared", "node")).alias("pivot"))
+        paired = clusters.select("cluster", "node").join(text_of("node"), "node").join(pivots, "cluster").join(text_of("pivot"), "pivot")
+        apart = stored(paired.select("cluster", "pivot", "node", "pivot_text", "node_text").mapInArrow(lambda x: _differences(x, width), schema))
+        # nodes within half the pivot's size of it are done after this round: those beyond the reach of a link can't link with them
+        within, reach = 0.5, (100 - percent) / (100 + percent) * 1.5 * (1 + 100 / percent)
+        links.append(stored(_links_near_pivots(apart.where(F.size("d") <= (within + reach) * F.col("pivot_size") + 1), percent)))
+        left = stored(apart.where(F.size("d") > within * F.col("pivot_size")).select("node"))
+        rest = lined.select("sig", "node").join(left, "node", "left_semi")
+        firsts = rest.groupBy("sig").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last")
+        lined = stored(rest.join(firsts, "sig").select("sig", "first", "node"))
+        if not lined.head(1):
+            break
+    found = links[0]
+    for more in links[1:]:
+        found = found.unionByName(more)
+    return _with_components(rows, stored(components(found)), id_col)
 
 
 def _with_components(rows: DataFrame, roots: DataFrame, id_col: str) -> DataFrame:
