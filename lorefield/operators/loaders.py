@@ -126,10 +126,12 @@ def _visible(page: str | None) -> str:
     return "\n".join(x for x in lines if x)
 
 
-@F.pandas_udf("string")
-def html_to_text(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for batch in pages:
-        yield batch.map(_visible)
+def html_to_text(page: Column) -> Column:
+    @F.pandas_udf("string")
+    def visible(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in pages:
+            yield batch.map(_visible)
+    return visible(page)
 
 
 def selected_html(page: Column, selector: str) -> Column:
@@ -146,7 +148,7 @@ def page_documents(pages: DataFrame) -> DataFrame:
     """Web pages as documents: visible text, title from the URL, and the link; empty ones are left out."""
     from ..functions.text import slug, url_file_name
 
-    made = pages.select("page_id", F.concat(slug(url_file_name(F.col("url"))), F.lit(".html")).alias("title"), F.concat(F.lit("link://"), "url").alias("chunk_source"), html_to_text("html").alias("text"))
+    made = pages.select("page_id", F.concat(slug(url_file_name(F.col("url"))), F.lit(".html")).alias("title"), F.concat(F.lit("link://"), "url").alias("chunk_source"), html_to_text(F.col("html")).alias("text"))
     return made.where(F.length("text") > 0)
 
 
