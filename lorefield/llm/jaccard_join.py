@@ -11,7 +11,8 @@ the first division where either set has few enough, both have all signatures and
 Texts with equal sets are one node. Nodes that signatures connect form clusters; each has a pivot, against which the exact
 set differences of its nodes are taken from whole texts. Whether two nodes link follows from their differences, and most links and
 most non-links from their sizes alone; the rest is found by the differences that two nodes share. So a group of thousands of
-near copies takes work in proportion to its size. Nodes far from their pivot go on to further rounds with pivots of their own.
+near copies takes work in proportion to its size. Nodes far from their pivot go on to further rounds with pivots of their own; when rounds settle few, what is
+left goes through prefix filtering on its rarest shingles instead.
 
 Defined results: a null text or one without words has an empty set and links with nothing; with fewer words than a
 shingle the whole sequence is the only shingle; a null id gets the smallest id of its component, null if there is none;
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checked, stored
@@ -34,7 +35,11 @@ from .components import components
 
 #: Divisions of the domain tried for sets with many empty partitions; set hashes that a task remembers.
 DIVISIONS = 6
-REMEMBERED = 200_000
+REMEMBERED = 100_000
+#: Rounds with pivots go on while they leave at most this share of their nodes.
+SETTLED = 0.8
+#: Candidate pairs for each row of signatures up to which all are compared as they are.
+DIRECT = 1.0
 _U = np.uint64
 _A, _B, _C, _D = (_U(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
 
@@ -47,7 +52,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -198,25 +203,51 @@ def _links_near_pivots(nodes: DataFrame, percent: int) -> DataFrame:
     Nodes b and c differ in |d_b| + |d_c| - 2 |d_b & d_c| elements, so with g = (100 + percent) |d| - (100 - percent) size they link
     if and only if g_b + g_c <= 2 (100 + percent) |d_b & d_c|. Pairs with g_b + g_c <= 0 link whatever they share, and the node with the
     smallest g links with each of them. Other pairs need a shared difference: those are found by their prefixes, as in prefix
-    filtering with the overlap that the pair needs at least, where rare elements come first.
+    filtering with the overlap that the pair needs at least, where elements that the pivot lacks come first; a pair is met only
+    where enough elements follow in both.
     """
     k, q = 100 + percent, 100 - percent
-    nodes = nodes.withColumn("g", k * F.size("d") - q * F.col("size"))
-    best = nodes.groupBy("cluster").agg(F.min(F.struct("g", "node")).alias("best"))
-    placed = stored(nodes.join(best, "cluster").withColumn("out", (F.col("g") + F.col("best.g") > 0) & (F.col("node") != F.col("best.node"))))
+    nodes = nodes.withColumn("n_d", F.size("d")).withColumn("g", k * F.col("n_d") - q * F.col("size"))
+    best = stored(nodes.groupBy("cluster").agg(F.min(F.struct("g", "node")).alias("best")))
+    placed = nodes.join(checked(best), "cluster").withColumn("out", (F.col("g") + F.col("best.g") > 0) & (F.col("node") != F.col("best.node")))
     star = placed.where(~F.col("out") & (F.col("node") != F.col("best.node"))).select(F.col("best.node").alias("a"), F.col("node").alias("b"))
-    outside = placed.where("out").groupBy("cluster").agg(F.min("g").alias("least_out"))
-    open_ = placed.join(outside, "cluster")
+    outside = stored(placed.where("out").groupBy("cluster").agg(F.min("g").alias("least_out")))
+    open_ = placed.join(checked(outside), "cluster")
     partner = F.when(F.col("out"), F.col("best.g")).otherwise(F.col("least_out"))
     need = F.greatest(F.ceil((F.col("g") + partner) / (2 * k)), F.ceil((F.col("g") - q * F.col("size") * 100 / percent) / k), F.lit(1)).cast("int")
-    prefixed = open_.select("cluster", "node", "out", F.explode(F.slice("d", F.lit(1), F.greatest(F.size("d") - need + 1, F.lit(0)))).alias("e"))
-    x = prefixed.where("out").select("cluster", "e", F.col("node").alias("a"))
-    y = prefixed.select("cluster", "e", F.col("node").alias("b"), F.col("out").alias("b_out"))
-    pairs = x.join(y, ["cluster", "e"]).where("a <> b and (not b_out or a < b)").select("a", "b").distinct()
-    of = lambda n: placed.select(F.col("node").alias(n), F.col("g").alias(f"g_{n}"), F.col("d").alias(f"d_{n}"))
-    near = pairs.join(of("a"), "a").join(of("b"), "b")
+    prefix = F.slice("d", F.lit(1), F.greatest(F.col("n_d") - need + 1, F.lit(0)))
+    prefixed = open_.select("cluster", "node", "out", "g", "n_d", F.posexplode(prefix).alias("pos", "e"))
+    side = lambda n: prefixed.select("cluster", "e", *[F.col(c).alias(n if c == "node" else f"{n}_{c}") for c in ("node", "out", "g", "n_d", "pos")])
+    fits = F.expr(f"a_g + b_g <= {2 * k} * least(a_n_d - a_pos, b_n_d - b_pos)")
+    pairs = side("a").where("a_out").join(side("b"), ["cluster", "e"]).where((F.col("a") != F.col("b")) & (~F.col("b_out") | (F.col("a") < F.col("b"))) & fits).select("a", "b").distinct()
+    of = lambda n: nodes.select(F.col("node").alias(n), F.col("g").alias(f"g_{n}"), F.col("d").alias(f"d_{n}"))
     linked = F.col("g_a") + F.col("g_b") <= 2 * k * F.size(F.array_intersect("d_a", "d_b"))
-    return star.unionByName(near.where(linked).select("a", "b"))
+    return star.unionByName(pairs.join(of("a"), "a").join(of("b"), "b").where(linked).select("a", "b"))
+
+
+def _items(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """node, items: the shingles of each text."""
+    words = _Words()
+    for batch in batches:
+        lists = [shingles(x.as_py(), width, words) for x in batch.column(1).cast(pa.binary())]
+        offsets = np.r_[0, np.cumsum([len(x) for x in lists])].astype(np.int32)
+        items = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lists or [np.empty(0, _U)]).astype(_U).view(np.int64)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), items], ["node", "items"])
+
+
+def _prefix_pairs(texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs a, b of nodes (node, text) that may link, by prefix filtering: each node's rarest shingles, as many as a linking partner
+    can't miss all of. What thousands of texts share is no shingle of a prefix, so texts around one common passage don't meet."""
+    sets = stored(texts.mapInArrow(lambda x: _items(x, width), "node long, items array<long>"))
+    each = sets.select("node", F.size("items").alias("size"), F.explode("items").alias("e"))
+    common = each.groupBy("e").agg(F.count("*").alias("df")).where("df > 1")
+    met = each.join(common, "e").withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy("df", "e")))
+    alone = met.groupBy("node").agg(F.count("*").alias("met"))
+    length = F.expr(f"size - ceil(size * {percent} / 100) + 1 - (size - met)")
+    prefix = stored(met.join(alone, "node").where(F.col("place") <= length).select("e", "node", "size", F.expr("met - place + 1").alias("after")))
+    x, y = (prefix.select("e", F.col("node").alias(n), F.col("size").alias(f"size_{n}"), F.col("after").alias(f"after_{n}")) for n in ("a", "b"))
+    alike = F.expr(f"{100 + percent} * least(after_a, after_b) >= {percent} * (size_a + size_b)")  # so many shingles are left to share
+    return x.join(y, "e").where((F.col("a") < F.col("b")) & alike).select("a", "b").distinct()
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -230,20 +261,27 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     counts = stored(lined.groupBy("node").agg(F.count("*").alias("shared")))
     chosen = stored(rows.join(counts, "node").groupBy("node").agg(one).select("node", "one.of_id", "one.of_print"))
     mine = F.col("id").eqNullSafe(F.col("of_id")) & (F.col("print") == F.col("of_print"))
-    of_nodes = stored(texts.join(checked(chosen), mine).select("node", "text").dropDuplicates(["node"]))
+    n_nodes = chosen.count()
+    of_nodes = stored(texts.join(checked(chosen, n_nodes), mine).select("node", "text"))
+    if of_nodes.count() > n_nodes:  # repeated rows
+        of_nodes = stored(of_nodes.dropDuplicates(["node"]))
     links: list[DataFrame] = []
     text_of = lambda n: of_nodes.select(F.col("node").alias(n), F.col("text").alias(f"{n}_text"))
     schema = "cluster long, node long, size long, pivot_size long, d array<long>, pivot long"
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(text_of("b"), "b").join(text_of("a"), "a").select(F.col("b").alias("cluster"), "a", "b", "a_text", "b_text")
+        differing = both.mapInArrow(lambda x: _differences(x, width), schema).selectExpr("*", "size(d) as apart")
+        alike = (100 + percent) * F.col("apart") <= (100 - percent) * (F.col("size") + F.col("pivot_size"))
+        return stored(differing.where(alike).select(F.col("pivot").alias("a"), F.col("node").alias("b")))
+
     bound = lined.count()
     while True:
-        # pairs of nodes under one signature: where all of them are no more than the rows that there were, they are compared as they are
+        # where nodes make no more pairs under their signatures than there were rows, the pairs are compared as they are
         size = lined.groupBy("sig").agg(F.count("*").alias("m")).agg(F.sum(F.expr("m * (m - 1) / 2"))).first()[0] or 0
-        if size <= bound:
+        if size <= DIRECT * bound:
             x, y = (lined.select("sig", F.col("node").alias(n)) for n in ("a", "b"))
-            pairs = x.join(y, "sig").where("a < b").select("a", "b").distinct()
-            both = pairs.join(text_of("b"), "b").join(text_of("a"), "a").select(F.col("b").alias("cluster"), "a", "b", "a_text", "b_text")
-            compared = both.mapInArrow(lambda x: _differences(x, width), schema).selectExpr("*", "size(d) as apart")
-            links.append(stored(compared.where((100 + percent) * F.col("apart") <= (100 - percent) * (F.col("size") + F.col("pivot_size"))).select(F.col("pivot").alias("a"), F.col("node").alias("b"))))
+            links.append(compared(x.join(y, "sig").where("a < b").select("a", "b").distinct()))
             break
         # nodes that candidates connect, and the pivot among them: the node that shares most signatures
         clusters = components(lined.where("first <> node").select(F.col("first").alias("a"), F.col("node").alias("b")))
@@ -255,11 +293,13 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
         within, reach = 0.5, (100 - percent) / (100 + percent) * 1.5 * (1 + 100 / percent)
         links.append(stored(_links_near_pivots(apart.where(F.size("d") <= (within + reach) * F.col("pivot_size") + 1), percent)))
         left = stored(apart.where(F.size("d") > within * F.col("pivot_size")).select("node"))
+        n_left = left.count()
+        if n_left > SETTLED * clusters.count():  # no large groups of near copies are left
+            links.append(compared(_prefix_pairs(of_nodes.join(left, "node", "left_semi"), width, percent)))
+            break
         rest = lined.select("sig", "node").join(left, "node", "left_semi")
         firsts = rest.groupBy("sig").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last")
         lined = stored(rest.join(firsts, "sig").select("sig", "first", "node"))
-        if not lined.head(1):
-            break
     found = links[0]
     for more in links[1:]:
         found = found.unionByName(more)

@@ -243,7 +243,10 @@ def test_jaccard_components(docs, rows, width, percent):
     assert Counter(map(tuple, jaccard_join.jaccard_components(docs, width, percent).collect())) == expected
 
 
-def test_jaccard_many_variants(spark, empty):
+@pytest.mark.parametrize("direct, settled", [(1.0, 0.8), (0.0, 0.8), (0.0, 0.0)])  # compared as they are, by pivots, by prefixes
+def test_jaccard_many_variants(spark, empty, direct, settled, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "DIRECT", direct)
+    monkeypatch.setattr(jaccard_join, "SETTLED", settled)
     rng = random.Random(8)
     bases = [[f"b{k}x{i}" for i in range(n)] for k, n in enumerate((8, 12, 40, 200))]
     texts = []
@@ -253,6 +256,13 @@ def test_jaccard_many_variants(spark, empty):
             now = now[:]
             now[rng.randrange(len(now))] = f"n{rng.randrange(10**6)}"
             texts.append(" ".join(now))
+        for k in range(30):  # copies of one text, with few or many changes
+            copy = base[:]
+            for _ in range(rng.randrange(1 + len(base) // 12)):
+                copy[rng.randrange(len(copy))] = f"n{rng.randrange(60)}"
+            texts.append(" ".join(copy))
+    shared = " ".join(f"p{i}" for i in range(60))
+    texts += [shared + " " + " ".join(f"o{k}x{i}" for i in range(5 + k % 9)) for k in range(40)]  # a passage in many texts
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
     sets = sets_of(texts, 4)
     got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(frame, 4, 85).collect()}
