@@ -66,3 +66,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     op8_surrogates, op9_exact_dedup, op10_pack)}
 
 ORACLE_SQL: dict[str, str] = {}
+
+ORACLE_SQL["op7_line_dedup"] = rf"""
+with lines as (select rowid as r, doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as n from (select row_number() over () as rowid, doc_id, text from documents)),
+keyed as (select *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from lines),
+common as (select key from keyed where length(key) >= 1 group by key having count(distinct r) >= 10)
+select doc_id, count(*) as n_lines, count(*) filter (key in (select key from common)) as n_dropped,
+ sha256(coalesce(string_agg(case when key not in (select key from common) then line end, chr(10) order by n), '')) as kept_sha256 from keyed group by r, doc_id"""
+ORACLE_SQL["op9_exact_dedup"] = r"""
+with d as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as t from documents),
+g as (select *, min(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size from d)
+select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(t) as text_sha256 from g"""
