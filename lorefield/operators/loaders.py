@@ -77,9 +77,9 @@ def combined_sheets(sheets: DataFrame, book: str) -> DataFrame:
 
 
 def mail_messages(spark: SparkSession, path: str) -> DataFrame:
-    """file, n, title, author, text: one document for each message with a body in mail archives."""
+    """file, n, title, author, text: one document for each message with a body in mail archives; quoted From lines are unquoted."""
     parts = spark.read.text(path, lineSep="\nFrom ").select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"), F.col("value"))
-    head, body = F.split_part("value", F.lit("\n\n"), F.lit(1)), F.regexp_replace("value", r"(?s)^.*?\n\n", "")
+    head, body = F.split_part("value", F.lit("\n\n"), F.lit(1)), F.regexp_replace(F.regexp_replace("value", r"(?s)^.*?\n\n", ""), "(?m)^>From ", "From ")
     rows = parts.select("file", "at", head.alias("head"), F.trim(F.regexp_replace(body, r"\s+$", "")).alias("text")).where(F.col("value").contains("\n\n") & (F.col("text") != ""))
     from .membership import running_place
 

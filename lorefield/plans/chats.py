@@ -77,7 +77,7 @@ def chat_export_alpaca(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""select workspace_id, 1 + 2 * count(*) as messages, 'system:' || string_agg(',user:' || md5(prompt) || ',assistant:' || md5(answer), '' order by id) as line from {t.CHATS_SQL} where answer is not null group by workspace_id""")
 def chat_export_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SNK9 AGG11: one conversation for each workspace, led by one system message."""
+    """SNK9 AGG11 UDF5: one conversation for each workspace, led by one system message."""
     lines = ops.message_list(t.response_json(t.chats(spark, sf_dir)), "workspace_id", system="")
     return lines.select("workspace_id", F.size("messages").cast("long").alias("messages"), F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), F.when(m["role"] != "system", F.md5(m["content"])).otherwise(""))), ",").alias("line"))
 

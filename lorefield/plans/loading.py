@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import embedding, loaders
 from ..sources import tables as t
+from ..sources.shared import with_checkpoints
 from .registry import query
 
 
@@ -73,8 +76,6 @@ def html_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
  w as (select 0::bigint as node, 0 as depth union select e.dst, w.depth + 1 from w join e on e.src = w.node where w.depth < 5) select node, min(depth) as depth from w group by node order by depth, node limit 40""")
 def discover_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC10: breadth-first discovery over page links to a depth and a number of links."""
-    from ..sources.shared import with_checkpoints
-
     with_checkpoints(spark)
     pages = t.table(spark, sf_dir, "pages").select("page_id")
     n = pages.count()
@@ -175,3 +176,21 @@ def sql_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 def namespace_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC27: one namespace of the chunk table."""
     return t.chunks(spark, sf_dir).where("namespace = 3").select("id")
+
+
+@query("select 's' || conv_id || '-' || turn as title, 'u' || conv_id as author, md5(trim(regexp_replace(text, '\\s+$', ''))) as body from conversations where trim(regexp_replace(text, '\\s+$', '')) <> ''")
+def mail_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC14 WIN12: messages of mail archives as documents; the archives are written from conversations first."""
+    path = f"{with_checkpoints(spark)}/mail-{uuid.uuid4().hex}"
+    c, turn = F.col("conv_id").cast("string"), F.col("turn").cast("string")
+    message = F.concat(F.lit("From u"), c, F.lit("\nFrom: u"), c, F.lit("\nSubject: s"), c, F.lit("-"), turn, F.lit("\n\n"), F.regexp_replace("text", "(?m)^From ", ">From "), F.lit("\n"))
+    t.table(spark, sf_dir, "conversations").select(message.alias("value")).write.text(path)
+    return loaders.mail_messages(spark, path).select("title", F.regexp_extract("author", r"^(u\d+)", 1).alias("author"), F.md5("text").alias("body"))
+
+
+@query("select doc_id, 'doc-' || doc_id as title, source as folder, length(text) as chars from documents")
+def document_write(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK5 SRC1: documents written as JSON by folder and read again."""
+    path = f"{with_checkpoints(spark)}/documents-{uuid.uuid4().hex}"
+    t.documents(spark, sf_dir).select("doc_id", "title", "text", F.col("source").alias("folder")).write.partitionBy("folder").json(path)
+    return spark.read.schema("doc_id long, title string, text string, folder string").json(path).select("doc_id", "title", "folder", F.length("text").cast("long").alias("chars"))
