@@ -22,6 +22,7 @@ Shingles and sets are compared by 64-bit hashes.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -92,6 +93,18 @@ class Bands:
             self.starts.append(self.ends[-1] + 1)
         return self.ends[band]
 
+    def spare(self, band: int) -> int:
+        """Partitions beyond k + 1: about as many as the smallest set of the band leaves empty, so that few sets need a second division."""
+        k = self.differ(band)
+        if k < 8:
+            return 0
+        least, spare = self.percent * self.starts[band] / 100, 0
+        for _ in range(3):
+            parts = k + 1 + spare
+            empty = parts * math.exp(-least / parts)
+            spare = math.ceil(empty + 2 * math.sqrt(empty))
+        return spare
+
     def differ(self, band: int) -> int:
         return 2 * self.end(band) * (100 - self.percent) // (100 + self.percent)
 
@@ -106,7 +119,7 @@ def signatures(items: np.ndarray, bands: Bands) -> np.ndarray:
         k = bands.differ(band)
         if k == 0:
             continue  # only equal sets link, and those are one node
-        spare = 0 if k < 4 else 1 + k // 30
+        spare = bands.spare(band)
         parts = k + 1 + spare
         for division in range(DIVISIONS):
             x = items if division == 0 else np.sort(_mixed(items + _U(division)))

@@ -272,17 +272,18 @@ def test_jaccard_many_variants(spark, empty, direct, settled, monkeypatch):
     assert jaccard_join.jaccard_components(empty).count() == 0 and jaccard_join.one_of_each(empty).count() == 0
 
 
-def test_signatures_meet():
+@pytest.mark.parametrize("percent", [85, 80])
+def test_signatures_meet(percent):
     rng = np.random.default_rng(2)
-    bands = jaccard_join.Bands(85)
+    bands = jaccard_join.Bands(percent)
     for n in (7, 8, 13, 30, 77, 300, 1500):
         for _ in range(60):
             items = np.unique(rng.integers(0, 2**64, n, np.uint64))
-            drop = rng.integers(0, max(1, len(items) * 15 // 100) + 1)
-            add = int((len(items) - drop) / 0.85 - len(items))
+            drop = rng.integers(0, max(1, len(items) * (100 - percent) // 100) + 1)
+            add = int(100 * (len(items) - drop) / percent - len(items))
             other = np.unique(np.r_[rng.permutation(items)[drop:], rng.integers(0, 2**64, rng.integers(0, max(0, add) + 1), np.uint64)])
             both = len(np.intersect1d(items, other))
-            if 100 * both >= 85 * (len(items) + len(other) - both) and len(items) + len(other) > 2 * both:
+            if 100 * both >= percent * (len(items) + len(other) - both) and len(items) + len(other) > 2 * both:
                 assert len(np.intersect1d(jaccard_join.signatures(items, bands), jaccard_join.signatures(other, bands)))
 
 
