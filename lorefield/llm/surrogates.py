@@ -20,6 +20,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,6 +29,8 @@ from .common import stored
 
 #: Entities that had to draw again are broadcast up to this number; beyond it they are joined by text hash.
 BROADCAST_ENTITIES = 100_000
+#: Rows rewritten at once.
+SLICE = 512
 
 # Forms of address with the gender they state, and name endings by gender and script.
 FORMS = {
@@ -209,12 +212,12 @@ def surrogate_pii(docs: DataFrame, key: str, text_col: str = "text") -> DataFram
     texts = docs.select(F.col(text_col).alias("text")).where(F.col("text").isNotNull())
     sha = F.sha2(F.col(text_col), 256)
 
-    def listed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            rows = {(s, k, f) for s, text in zip(part["sha"], part["text"]) for k, f, _, _ in entities(text)}
-            yield pd.DataFrame(sorted(rows), columns=["sha", "kind", "form"], dtype=object)
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = sorted({(s, k, f) for s, text in zip(*(batch.column(i).to_pylist() for i in (0, 1))) for k, f, _, _ in entities(text)})
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], ["sha", "kind", "form"])
 
-    mentions = stored(texts.select(F.sha2("text", 256).alias("sha"), "text").mapInPandas(listed, "sha string, kind string, form string"))
+    mentions = stored(texts.select(F.sha2("text", 256).alias("sha"), "text").mapInArrow(listed, "sha string, kind string, form string"))
     again = stored(redrawn(stored(mentions.select("kind", "form").distinct()), secret))
     schema = T.StructType([docs.schema[c] for c in names]
                           + [T.StructField("entities", T.ArrayType(T.StructType.fromDDL("kind string, start int, end int, surrogate string"))), T.StructField("n_entities", T.LongType())])
@@ -224,10 +227,17 @@ def surrogate_pii(docs: DataFrame, key: str, text_col: str = "text") -> DataFram
         own = mentions.join(again, ["kind", "form"]).groupBy("sha").agg(F.collect_list(F.struct("kind", "form", "attempt")).alias("_again"))  # those of one text
         docs = docs.withColumn("_sha", sha).join(own.withColumnRenamed("sha", "_sha"), "_sha", "left").drop("_sha")
 
-    def rewritten(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            own = [{(x["kind"], x["form"]): x["attempt"] for x in a} if a is not None else {} for a in part["_again"]] if "_again" in part else [held.value] * len(part)
-            done = [replaced(text, secret, a) for text, a in zip(part[text_col], own)]
-            yield part[names].assign(**{text_col: [x[0] for x in done], "entities": [x[1] for x in done], "n_entities": [len(x[1]) for x in done]})
+    at = {c: i for i, c in enumerate(docs.columns)}
+    spans = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("surrogate", pa.string())]))
+
+    def rewritten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(k, SLICE)
+                texts = batch.column(at[text_col]).to_pylist()
+                own = [{(x["kind"], x["form"]): x["attempt"] for x in a or ()} for a in batch.column(at["_again"]).to_pylist()] if "_again" in at else [held.value] * len(texts)
+                done = [replaced(text, secret, a) for text, a in zip(texts, own)]
+                columns = [pa.array([x[0] for x in done], batch.column(at[c]).type) if c == text_col else batch.column(at[c]) for c in names]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([x[1] for x in done], spans), pa.array([len(x[1]) for x in done], pa.int64())], [*names, "entities", "n_entities"])
 
-    return docs.mapInPandas(rewritten, schema)
+    return docs.mapInArrow(rewritten, schema)
