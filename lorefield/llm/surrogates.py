@@ -5,7 +5,10 @@ names after a form of address. An entity's canonical form (case, separators and
 decide its surrogate, so every mention of an entity gets the same one, in the mention's own format: letters stay letters of
 their script and case, digits stay digits, check digits stay valid, names keep the gender of their form of address.
 All distinct entities of the corpus are then checked: where two of a kind would get one surrogate, or a surrogate is another
-entity's original, the later ones draw again with the next attempt number, until none are left.
+entity's original, the later ones draw again with the next attempt number, until none are left. After OWN_LENGTH attempts each
+further one draws from more values (names get another syllable, secrets, keys, mailboxes and short phone numbers another
+digit, private addresses a wider network), so that this ends whatever the number of entities. Masks such as ******** and
+keys without letters or digits aren't entities.
 
 Defined results: a null text stays null, a text without entities stays as it is; whole texts are read; repeated rows get
 equal results; an empty table gives an empty result; other columns pass through, except those named entities or n_entities, which are replaced.
@@ -13,6 +16,7 @@ equal results; an empty table gives an empty result; other columns pass through,
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import ipaddress
 import random
@@ -31,6 +35,10 @@ from .common import stored
 BROADCAST_ENTITIES = 100_000
 #: Rows rewritten at once.
 SLICE = 512
+#: Attempts at an entity's own length; the later ones are longer by one unit each.
+OWN_LENGTH = 3
+#: What secrets without letters and digits are drawn from.
+SYMBOLS = "!#$%&*+-./:<=>?@^_|~"
 
 # Forms of address with the gender they state, and name endings by gender and script.
 FORMS = {
@@ -60,6 +68,7 @@ PATTERNS = {
     "name": r"\b(?P<form>" + "|".join(sorted(FORMS, key=len, reverse=True)) + r")\.? (?P<who>[^\W\d_a-zß-öø-ÿа-яά-ώ][^\W\d_]+(?: [^\W\d_a-zß-öø-ÿа-яά-ώ][^\W\d_]+)?)",
 }
 _ANY = re.compile("|".join(f"(?P<{k}>{v})" for k, v in PATTERNS.items()))
+_KEY_HEAD = re.compile(r"AKIA|ASIA|gh[pousr]_|sk-|xox[abprs]-|AIza|eyJ")
 _HINT = re.compile(r"[0-9@=:]|\b(?:" + "|".join(FORMS) + r")\b")
 
 
@@ -84,7 +93,11 @@ def _line_entities(text: str) -> Iterator[tuple[str, str, int, int]]:
         start, end = m.span(kind)
         if kind == "secret":
             start, end = m.span("value")
-            yield kind, text[start:end], start, end
+            if not _masked(m["value"]):
+                yield kind, text[start:end], start, end
+        elif kind == "key":
+            if _variable(_KEY_HEAD.sub("", m[kind], count=1)):
+                yield kind, m[kind], start, end
         elif kind == "name":
             at = m.start("who")
             gender = FORMS[m["form"]]
@@ -111,29 +124,50 @@ def _luhn(digits: str) -> int:
     return -sum(x - 9 if x > 9 else x for x in twice) % 10
 
 
+def _variable(form: str) -> bool:
+    """Whether a form has letters or digits."""
+    return any(c.isalpha() or c.isdigit() for c in form)
+
+
+def _masked(value: str) -> bool:
+    """Whether a value is one symbol repeated, with brackets or a stop at its ends."""
+    return not _variable(value) and len(set(value.strip("()[]{}<>.:!?`|") or value)) == 1
+
+
+@functools.lru_cache(1024)
+def _uncased(block: int) -> str:
+    """Letters without case among 128 code points."""
+    return "".join(c for c in map(chr, range(block * 128, block * 128 + 128)) if c.isalpha() and not c.islower() and not c.isupper())
+
+
 def _like(form: str, rng: random.Random) -> str:
-    """Random characters of the same classes; all-hexadecimal forms stay so."""
+    """Random characters of the same classes, of the same script where it has no case; all-hexadecimal forms stay so."""
     lower = "abcdef" if re.fullmatch(r"[0-9a-f]+", form) else "abcdefghijklmnopqrstuvwxyz"
     upper = "ABCDEF" if re.fullmatch(r"[0-9A-F]+", form) else "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    return "".join(rng.choice("0123456789") if c.isdigit() else rng.choice(lower) if c.islower() else rng.choice(upper) if c.isupper() else c for c in form)
+    return "".join(rng.choice("0123456789") if c.isdigit() else rng.choice(lower) if c.islower() else rng.choice(upper) if c.isupper() else rng.choice(_uncased(ord(c) // 128)) if c.isalpha() else c
+                   for c in form)
 
 
 def surrogate(kind: str, form: str, key: bytes, attempt: int = 0) -> str:
     """The canonical form of the entity's replacement."""
     rng = random.Random(hashlib.blake2b(f"{kind}\0{form}\0{attempt}".encode("utf-8", "surrogatepass"), key=key, digest_size=16).digest())
+    longer = max(0, attempt - OWN_LENGTH + 1)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
     if kind == "email":
         local, _, domain = form.rpartition("@")
         own = random.Random(hashlib.blake2b(b"domain\0" + domain.encode(), key=key, digest_size=16).digest())  # one domain, one surrogate
         top = domain.rpartition(".")[2]
-        return f"{_like(local, rng)}@{''.join(own.choice('bcdfghklmnprstvz') for _ in range(7))}.example.{top if top in ('com', 'org', 'net') else 'com'}"
+        return f"{_like(local, rng)}{digits(longer)}@{''.join(own.choice('bcdfghklmnprstvz') for _ in range(7))}.example.{top if top in ('com', 'org', 'net') else 'com'}"
     if kind == "secret":
-        return _like(form, rng)
+        return _like(form, rng) + digits(longer) if _variable(form) else "".join(rng.choice(SYMBOLS) for _ in range(len(form) + longer))
     if kind == "key":
-        head = re.match(r"AKIA|ASIA|gh[pousr]_|sk-|xox[abprs]-|AIza|eyJ", form)[0]
-        return head + _like(form[len(head):], rng)
+        head = _KEY_HEAD.match(form)[0]
+        return head + _like(form[len(head):], rng) + digits(longer)
     if kind == "ip":
         old = ipaddress.ip_address(form) if not re.search(r"\b0[0-9]", form) else None
         keep = next((n for net, n in (("10.0.0.0/8", 1), ("192.168.0.0/16", 2), ("172.16.0.0/12", 2), ("127.0.0.0/8", 1)) if old and old in ipaddress.ip_network(net)), 0)
+        if keep and longer:  # a private network can be full: 10.0.0.0/8 first, any network then
+            form, keep = "10", int(longer <= OWN_LENGTH)
         parts = form.split(".")[:keep] + [str(rng.randrange(1, 255)) for _ in range(4 - keep)]
         if not keep:
             parts[0] = str(rng.choice([x for x in range(11, 224) if x not in (127, 172, 192, 198, 203, 169, 100)]))
@@ -148,12 +182,12 @@ def surrogate(kind: str, form: str, key: bytes, attempt: int = 0) -> str:
         return f"{form[:2]}{check:02d}{body}"
     if kind == "phone":
         keep = max(0, len(form) - 10)  # a country prefix stays
-        return form[:keep] + "".join(rng.choice("23456789" if i in (0, 3) else "0123456789") for i in range(len(form) - keep))
+        return form[:keep] + "".join(rng.choice("23456789" if i in (0, 3) else "0123456789") for i in range(len(form) - keep)) + digits(longer if len(form) < 10 else 0)
     if kind == "ssn":
-        return f"9{rng.randrange(100):02d}{rng.randrange(1, 100):02d}{rng.randrange(1, 10000):04d}"
+        return f"{rng.randrange(10) if longer else 9}{rng.randrange(100):02d}{rng.randrange(1, 100):02d}{rng.randrange(1, 10000):04d}"
     script = form.partition(":")[0]
     ending = rng.choice(ENDINGS[script][kind[-1] if kind.startswith("given_") else "n"])
-    return f"{script}:{''.join(rng.choice(SYLLABLES[script]) for _ in range(3))}{ending}"
+    return f"{script}:{''.join(rng.choice(SYLLABLES[script]) for _ in range(3 + longer))}{ending}"
 
 
 def in_format(kind: str, mention: str, new: str) -> str:
@@ -161,9 +195,10 @@ def in_format(kind: str, mention: str, new: str) -> str:
     if kind in ("phone", "card", "ssn", "iban"):
         slots = [i for i, c in enumerate(mention) if c.isalnum()]
         out = list(mention)
-        for i, c in zip(slots[len(slots) - len(new):], new):
+        own, more = new[:len(slots)], new[len(slots):]
+        for i, c in zip(slots[len(slots) - len(own):], own):
             out[i] = c
-        return "".join(out)
+        return "".join(out) + more
     if kind == "email":
         return new.upper() if mention.isupper() else new.capitalize() if mention[:1].isupper() else new
     if kind == "surname" or kind.startswith("given_"):

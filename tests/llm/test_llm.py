@@ -505,6 +505,36 @@ def test_redrawn_surrogates_reach_the_text_by_join(spark, monkeypatch):
     assert found[0] == found[1]
 
 
+@pytest.fixture
+def few_rounds(monkeypatch):
+    """Drawing again fails instead of going on without end."""
+    calls = []
+
+    def stored(frame):
+        calls.append(1)
+        assert len(calls) < 40, "surrogates are drawn without end"
+        return frame.localCheckpoint()
+
+    monkeypatch.setattr(surrogates, "stored", stored)
+
+
+def test_unchangeable_secrets_end(spark, few_rounds):
+    texts = ["password: ******** and more", "Password: ______", "token: 密码安全口令词", "secret = !#%&/=?+", "key sk-------------------- end", "password=******1", "pwd: ½½½½½½⅓", "mail _@corp.org"]
+    got = [r.text for r in surrogates.surrogate_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "key").orderBy("doc_id").collect()]
+    assert [got[i] for i in (0, 1, 4)] == [texts[i] for i in (0, 1, 4)]  # masks hide nothing
+    assert all(got[i] != texts[i] for i in (2, 3, 5, 6, 7)) and re.fullmatch("token: [\u4e00-\u9fff]{7}", got[2]) and "!#%&/=?+" not in got[3]
+
+
+def test_more_entities_than_surrogates_of_own_length(spark, few_rounds):
+    key = b"k" * 32
+    forms = [("ip", f"192.168.{i // 256}.{i % 256}") for i in range(65536)] + [("surname", f"greek:ν{i}") for i in range(20000)] + [("surname", f"latin:n{i}") for i in range(70000)]
+    forms += [("phone", f"{i:05d}") for i in range(70000)] + [("secret", f"*****{i}") for i in range(10)] + [("email", f"{i}@a.org") for i in range(10)] + [("key", f"sk-{'-' * 15}{i}") for i in range(10)]
+    again = {(r.kind, r.form): r.attempt for r in surrogates.redrawn(spark.createDataFrame(forms, "kind string, form string"), key).collect()}
+    new = {(kind, surrogates.surrogate(kind, form, key, again.get((kind, form), 0))) for kind, form in forms}
+    assert len(new) == len(forms) and not new & set(forms)
+    assert surrogates.in_format("phone", "+123-45", "2345678") == "+234-5678"
+
+
 # ---- pipeline ----
 
 def test_pipeline_stages(spark, docs, rows, labels, tmp_path):
