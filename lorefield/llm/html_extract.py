@@ -70,6 +70,7 @@ class Page:
         self.parent, self.tag, self.attrs, self.text, self.linked = [-1], ["body"], [""], [""], [0]
         self.stack, self.runs, self.hidden = [0], [], 0
         self.link = False
+        self.ends: dict[str, tuple[int, int]] = {}
         at, n = 0, len(source)
         hidden: list[str] = []
         while at < n:
@@ -86,20 +87,22 @@ class Page:
             tag = (m[2] or "").lower()
             if not tag:
                 continue
+            if not m[1] and tag in RAW and "svg" not in hidden and "math" not in hidden:  # those two hold mark-up in every element
+                start, end = self._end(source, tag, at)
+                # in hidden elements one that isn't ended there is scanned as mark-up, so that it doesn't take the page with it
+                if not hidden or start < (self._end(source, "noscript", at)[0] if "noscript" in hidden else n):
+                    at = end
+                    if not hidden and (tag == "textarea" or tag in HIDDEN):
+                        self._put(" ")
+                    continue
             if hidden:
                 if m[1] and tag in hidden:
                     del hidden[hidden.index(tag):]
-                elif not m[1] and tag == hidden[-1]:
+                elif not m[1] and (tag == hidden[-1] or tag in ("svg", "math", "noscript") and not m[3].endswith("/")):
                     hidden.append(tag)
                 elif tag == "body":
                     hidden.clear()
                 continue
-            if not m[1] and tag in RAW:
-                end = re.compile(rf"</{tag}\s*+>", re.I).search(source, at)
-                at = end.end() if end else n
-                if tag == "textarea" or tag in HIDDEN:
-                    self._put(" ")
-                continue
             if not m[1] and tag in HIDDEN:
                 hidden.append(tag)
                 self._put(" ")
@@ -115,6 +118,13 @@ class Page:
                 self._open(tag, m[3])
         self._flush()
 
+    def _end(self, source: str, tag: str, at: int) -> tuple[int, int]:
+        """Start and end of the next end tag of an element, the page's end where there is none; each part of the page is searched once."""
+        if tag not in self.ends or self.ends[tag][0] < at:
+            m = re.compile(rf"</{tag}\s*+>", re.I).search(source, at)
+            self.ends[tag] = m.span() if m else (len(source), len(source))
+        return self.ends[tag]
+
     def _put(self, text: str) -> None:
         if text:
             self.runs.append((text, self.link))

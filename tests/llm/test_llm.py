@@ -5,6 +5,7 @@ import html
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -433,6 +434,21 @@ def test_html_extraction(spark):
     assert html_extract.extract_main_text(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("head", [
+    "<script>for(i=0;i<n;i++){} // don't</script>", "<script>document.write('<body>code, code</body>')</script>", "<style>a::after{content:'</head><body>code'}</style>", "<title>a <b 'c</title>",
+    '<noscript><iframe src="x"/></noscript>', "<noscript><script>if(a<b){} // don't</script></noscript>", "<svg><title/><style/></svg>", "<script>never ended",
+    "<svg><script/></svg><script>i<n // don't</script>"])
+def test_html_head_with_raw_text(head):
+    page = html_extract.Page(f"<html><head>{head}</head><body><p>It's one text, and <b>it's</b> whole.</p><svg><title>icon</title></svg><iframe>no</iframe><p>Second.</p></body></html>")
+    assert [x for x in page.text if x] == ["It's one text, and it's whole.", "Second."]
+
+
+def test_html_many_open_raw_elements():
+    began = time.process_time()
+    html_extract.Page("<head>" + "<script>" * 100_000 + "<noscript>" + "<iframe>" * 100_000 + "</noscript></iframe>")
+    assert time.process_time() - began < 20
+
+
 def test_html_on_rewritten_pages():
     """Held-out pages of other structures: little is lost and little added."""
     rng = random.Random(5)
