@@ -55,11 +55,13 @@ def history_within(chats: DataFrame, budget: int) -> DataFrame:
     """thread_id, id, prompt, answer, tokens: each thread's chats that fit the budget, newest first. A chat that doesn't fit is cut in the
     middle if it is among the newest three, and left out if it still doesn't fit; after those, the first that doesn't fit ends the fold.
 
-    A fold over state, thread by thread; a thread is one conversation, and only its newest chats within twice the budget are sent."""
+    A fold over state, thread by thread; a thread is one conversation, and only its newest three chats
+    and those with less than the budget between them and the newest three are sent. The first of the later ones that doesn't fit ends the fold, so these are enough."""
     order = Window.partitionBy("thread_id").orderBy(F.desc("id"))
     size = estimate(F.col("prompt")) + estimate(F.col("answer"))
-    near = chats.select("thread_id", "id", "prompt", "answer", F.row_number().over(order).alias("back"), F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
-    near = near.where((F.col("back") <= 3) | (F.coalesce("before", F.lit(0)) < 4 * budget))
+    near = chats.select("thread_id", "id", "prompt", "answer", size.alias("size"), F.row_number().over(order).alias("back"))
+    later = F.sum(F.when(F.col("back") > 3, F.col("size"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    near = near.withColumn("before", F.coalesce(later, F.lit(0))).where((F.col("back") <= 3) | (F.col("before") < budget)).drop("size", "back", "before")
     tokens = lambda s: -(-len(s) // 4)
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:

@@ -41,6 +41,32 @@ def test_history_keeps_its_budget(spark):
     assert len(used) == 5 and all(r.n <= 300 and r.c >= 1 for r in used)
 
 
+def test_history_behind_long_chats(spark):
+    """Long chats among the newest three are cut or left out, and the older ones that fit stay."""
+    sizes = {1: [4000, 40, 40, 40, 40], 2: [40, 4000, 40, 40, 40, 40], 3: [400, 4000, 4000, 40, 40], 4: [40, 40, 40, 600, 600, 40], 5: [40] * 60, 6: [9000] * 3 + [1196, 4], 7: [100, 100, 100, 4000, 40]}  # newest first
+    chats = [(t, 100 - i, "p" * (n // 2), "a" * (n // 2)) for t, ns in sizes.items() for i, n in enumerate(ns)]
+    whole = {}
+    for t, ns in sizes.items():
+        used, kept = 0, []
+        for i, n in enumerate(ns):
+            p, cost = "p" * (n // 2), 2 * -(-(n // 2) // 4)
+            if used + cost >= 300:
+                if i > 2:
+                    break
+                p = context._cut(p, 136)
+                cost = 11 + -(-len(p) // 4) + -(-len(context._cut("a" * (n // 2), 136)) // 4)
+                if used + cost > 300:
+                    continue
+            used += cost
+            kept.append(100 - i)
+        whole[t] = kept
+    got = {t: [] for t in sizes}
+    for r in context.history_within(spark.createDataFrame(chats, "thread_id long, id long, prompt string, answer string"), 300).collect():
+        got[r.thread_id].append(r.id)
+    assert {t: sorted(ids, reverse=True) for t, ids in got.items()} == whole
+    assert 96 in got[2] or 96 in got[3]
+
+
 def test_mail_archive(spark, tmp_path):
     (tmp_path / "box.mbox").write_text("From a@b Mon\nFrom: A <a@b>\nSubject: Hello\n\nFirst body\n\nFrom c@d Tue\nFrom: C <c@d>\n\nSecond body\nmore\n\nFrom e@f Wed\nSubject: none\n\n\n")
     got = [(r.n, r.title, r.author, r.text) for r in loaders.mail_messages(spark, str(tmp_path)).orderBy("n").collect()]
