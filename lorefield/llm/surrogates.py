@@ -3,7 +3,7 @@
 Patterns find e-mail addresses, phone and card numbers, IP addresses, social-security numbers, bank accounts, keys and passwords, and
 names after a form of address. An entity's canonical form (case, separators and country prefix set aside) and the secret key
 decide its surrogate, so every mention of an entity gets the same one, in the mention's own format: letters stay letters of
-their script and case, digits stay digits, check digits stay valid, names keep the gender of their form of address.
+their script and case, digits stay digits, check digits stay valid (numbers without a valid one are no cards and no bank accounts), names keep the gender of their form of address.
 All distinct entities of the corpus are then checked: where two of a kind would get one surrogate, or a surrogate is another
 entity's original, the later ones draw again with the next attempt number, until none are left. After OWN_LENGTH attempts each
 further one draws from more values (names get another syllable, secrets, keys, mailboxes and short phone numbers another
@@ -88,7 +88,9 @@ def entities(text: str) -> Iterator[tuple[str, str, int, int]]:
 
 
 def _line_entities(text: str) -> Iterator[tuple[str, str, int, int]]:
-    for m in _ANY.finditer(text):
+    pos = 0
+    while m := _ANY.search(text, pos):
+        pos = m.end()
         kind = m.lastgroup if m.lastgroup in PATTERNS else next(k for k in PATTERNS if m[k] is not None)
         start, end = m.span(kind)
         if kind == "secret":
@@ -105,7 +107,14 @@ def _line_entities(text: str) -> Iterator[tuple[str, str, int, int]]:
             for i, word in enumerate(words):  # the last is the surname, which both genders share
                 yield "surname" if i == len(words) - 1 else f"given_{gender}", f"{_script(word)}:{word.casefold()}", at, at + len(word)
                 at += len(word) + 1
-        elif kind in ("phone", "card", "ssn"):
+        elif kind == "card":
+            number = next((x for x in (m[kind], m[kind].rpartition(" ")[0]) if _is_card(x)), None)  # a number beside the card may have been taken as its end
+            if number:
+                pos = start + len(number)
+                yield kind, re.sub(r"\D", "", number), start, pos
+            else:
+                pos = start + 4  # a card or another entity may begin within
+        elif kind in ("phone", "ssn"):
             digits = re.sub(r"\D", "", m[kind])
             if kind == "phone" and len(digits) == 11 and digits[0] == "1":
                 digits = digits[1:]
@@ -124,6 +133,11 @@ def _luhn(digits: str) -> int:
     return -sum(x - 9 if x > 9 else x for x in twice) % 10
 
 
+def _is_card(number: str) -> bool:
+    digits = re.sub(r"\D", "", number)
+    return len(digits) >= 13 and _luhn(digits[:-1]) == int(digits[-1])
+
+
 def _variable(form: str) -> bool:
     """Whether a form has letters or digits."""
     return any(c.isalpha() or c.isdigit() for c in form)
@@ -174,8 +188,7 @@ def surrogate(kind: str, form: str, key: bytes, attempt: int = 0) -> str:
         return ".".join(parts)
     if kind == "card":
         body = form[0] + "".join(rng.choice("0123456789") for _ in form[1:-1])
-        check = _luhn(body)
-        return body + str(check if _luhn(form[:-1]) == int(form[-1]) else (check + 1 + rng.randrange(9)) % 10)
+        return body + str(_luhn(body))
     if kind == "iban":
         body = _like(form[4:], rng)
         check = 98 - int("".join(str(int(c, 36)) for c in body + form[:2] + "00")) % 97

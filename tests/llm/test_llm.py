@@ -521,6 +521,15 @@ def test_redrawn_surrogates_reach_the_text_by_join(spark, monkeypatch):
     assert found[0] == found[1]
 
 
+def test_cards_have_a_valid_check_digit(spark):
+    texts = ["order 4111111111111112 came", "id 5105-1051-0510-5101.", "from 3000 0000 0000 0000 to 6999 9999 9999 9999", "card 4111 1111 1111 1111 12/27", "page 3001 4111 1111 1111 1111", "5105105105105100", "4222222222222", "4111 1111 1111 1112 386-555-3733"]
+    found = [[(k, t[i:j]) for k, _, i, j in surrogates.entities(t)] for t in texts]
+    card = [("card", "4111 1111 1111 1111")]
+    assert found == [[], [], [], card, card, [("card", "5105105105105100")], [("card", "4222222222222")], [("phone", "386-555-3733")]]
+    got = [r.text for r in surrogates.surrogate_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "key").orderBy("doc_id").collect()]
+    assert got[:3] == texts[:3] and all(a != b for a, b in zip(got[3:], texts[3:]))
+
+
 @pytest.fixture
 def few_rounds(monkeypatch):
     """Drawing again fails instead of going on without end."""
