@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,20 +17,23 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: A side with at most this many narrow rows may be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
 
+#: Bytes of an Arrow batch while scratch tables are written: rows hold whole texts.
+BATCH_BYTES = 4 << 20
 
-#: Rows of an Arrow batch at most: rows hold whole texts, so a batch of the usual 10,000 could outgrow a worker.
-BATCH_ROWS = 500
 
-
-def bounded_batches(spark: SparkSession) -> None:
-    """Sets the session's Arrow batches to BATCH_ROWS where they are larger."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+@contextmanager
+def bounded_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of at most about BATCH_BYTES inside; the session's own setting comes back afterwards."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -47,10 +52,20 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame) -> DataFrame:
     """df written to a new table in the shared folder and read again: lineage is cut and any executor can be lost."""
     spark = df.sparkSession
-    bounded_batches(spark)
     path = f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with bounded_batches(spark):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def removed(*tables: DataFrame) -> None:
+    """Deletes stored tables that nothing will read any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def checked(small: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:

@@ -2,10 +2,32 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import removed, stored
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """u, v: each node of a batch of links with the smallest node that the batch's links lead to, so that many links among few nodes
+    become few before they shuffle."""
+    for batch in batches:
+        top: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (up := top.setdefault(x, x)) != x:
+                top[x] = x = top[up]
+            return x
+
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            a, b = find(a), find(b)
+            top[max(a, b)] = min(a, b)
+        rows = [(x, find(x)) for x in list(top)]
+        rows = [x for x in rows if x[0] != x[1]]
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], pa.int64()) for i in (0, 1)], ["u", "v"])
 
 
 def _mins(edges: DataFrame) -> DataFrame:
@@ -13,16 +35,19 @@ def _mins(edges: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, root (the smallest node of its component) for every node of links (a, b)."""
-    edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    """node, root (the smallest node of its component) for every node of links (a, b) with another one. Minima are tables of their own before they
+    are joined, so that adaptive execution can split the rows of a node with very many links."""
+    edges = stored(links.select("a", "b").mapInArrow(_forest, "u long, v long").distinct())
     print_of = lambda df: tuple(df.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
     now = print_of(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(_mins(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        mins = _mins(large)
-        small = large.join(mins, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        edges = stored(small.unionByName(mins.select("u", F.col("m").alias("v"))).distinct())
+        mins = stored(_mins(both))
+        large = stored(both.join(mins, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        small_mins = stored(_mins(large))
+        small = large.join(small_mins, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        before, edges = edges, stored(small.unionByName(small_mins.select("u", F.col("m").alias("v"))).distinct())
+        removed(before, mins, large, small_mins)
         if (then := print_of(edges)) == now:
             return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root")).unionByName(
                 edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -1,333 +1,217 @@
-"""N-gram Jaccard join by PartEnum signatures.
+"""N-gram Jaccard join by PartEnum signatures (partenum.py), with an exact check of all that share one.
 
-A text's set holds the hashes of its distinct word shingles. Sets fall into size bands; a pair that links lies in one
-band or in two neighbouring ones, and is looked for under the band of its larger set. In a band, linking sets differ
-in at most k elements, so of k + 1 + spare partitions of the hash domain at least 1 + spare agree. A signature is a
-partition's whole content (first-level partitions, of which all are enumerated; subsets of second-level ones would
-only multiply them). Partitions that are empty in a set give no signature while no more than the spare ones are
-empty; a set with more empty partitions adds the signatures of another division of the domain. A pair is missed by neither: in
-the first division where either set has few enough, both have all signatures and a filled partition agrees.
+Texts with equal sets are one node. The nodes under a signature are a bucket; a bucket in which no node has its own band can hold no pair that
+other buckets don't, and is left out. Each bucket has a pivot, the node that shares most signatures of all. Every linking pair lies in a bucket, so both are
+members of its pivot's group. A member's exact difference from its pivot is taken from both whole texts (which shuffle in fewer bytes than
+their hashes). Whether two members link follows from their differences: directly from the sizes for the pivot itself, and for others through
+the differences that they share. So a group of thousands of near copies takes work in proportion to its size, not to its pairs.
 
-Texts with equal sets are one node. Nodes that signatures connect form clusters; each has a pivot, against which the exact
-set differences of its nodes are taken from whole texts. Whether two nodes link follows from their differences, and most links and
-most non-links from their sizes alone; the rest is found by the differences that two nodes share. So a group of thousands of
-near copies takes work in proportion to its size. Nodes far from their pivot go on to further rounds with pivots of their own; when rounds settle few, what is
-left goes through prefix filtering on its rarest shingles instead.
+A signature that very many nodes share doesn't meet in one task: a batch of texts sends two of its nodes on, which show that the
+signature is shared, and the others join those signatures afterwards, where adaptive execution splits hot keys.
 
 Defined results: a null text or one without words has an empty set and links with nothing; with fewer words than a
 shingle the whole sequence is the only shingle; a null id gets the smallest id of its component, null if there is none;
 repeated rows share their component; an empty table gives an empty result; other columns are ignored.
-Shingles and sets are compared by 64-bit hashes.
+Shingles are compared by 64-bit hashes, sets by 128 bits of theirs.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked, stored
+from .common import checked, removed, stored
 from .components import components
+from .hashing import shingle_sets, slices
+from .partenum import Bands, signatures
 
-#: Divisions of the domain tried for sets with many empty partitions; set hashes that a task remembers.
-DIVISIONS = 6
+#: Set hashes that a task remembers; nodes of a batch that a signature sends on.
 REMEMBERED = 100_000
-#: Rounds with pivots go on while they leave at most this share of their nodes.
-SETTLED = 0.8
-#: Candidate pairs for each row of signatures up to which all are compared as they are.
-DIRECT = 1.0
+SENT = 2
 _U = np.uint64
-_A, _B, _C, _D = (_U(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> _U(30))) * _B
-    x = (x ^ (x >> _U(27))) * _C
-    return x ^ (x >> _U(31))
+def _lists(values: np.ndarray, rows: np.ndarray, n: int) -> pa.ListArray:
+    order = np.argsort(rows, kind="stable")
+    offsets = np.r_[0, np.cumsum(np.bincount(rows, minlength=n))].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values[order].view(np.int64)))
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-def shingles(text: bytes | None, width: int, words: dict) -> np.ndarray:
-    """Sorted distinct hashes of the word shingles of a whole text."""
-    found = (text or b"").lower().split()  # A-Z only, and ASCII white space only, as the text is bytes
-    if not found:
-        return np.empty(0, _U)
-    h = np.fromiter(map(words.__getitem__, found), _U, len(found))
-    width = min(width, len(h))
-    x = np.full(len(h) - width + 1, width, _U)
-    for i in range(width):
-        x = (x + h[i : len(h) - width + 1 + i]) * _A
-        x ^= x >> _U(29)
-    return np.unique(_mixed(x))
-
-
-class Bands:
-    """Size bands for links of at least percent / 100, with each band's largest difference and number of partitions."""
-
-    def __init__(self, percent: int) -> None:
-        self.percent, self.starts, self.ends = percent, [1], []
-
-    def band(self, n: int) -> int:
-        while not self.ends or self.ends[-1] < n:
-            self.ends.append(self.starts[-1] * 100 // self.percent)
-            self.starts.append(self.ends[-1] + 1)
-        lo = int(np.searchsorted(self.ends, n))
-        self.end(lo + 1)
-        return lo
-
-    def end(self, band: int) -> int:
-        while len(self.ends) <= band:
-            self.ends.append(self.starts[-1] * 100 // self.percent)
-            self.starts.append(self.ends[-1] + 1)
-        return self.ends[band]
-
-    def spare(self, band: int) -> int:
-        """Partitions beyond k + 1: about as many as the smallest set of the band leaves empty, so that few sets need a second division."""
-        k = self.differ(band)
-        if k < 8:
-            return 0
-        least, spare = self.percent * self.starts[band] / 100, 0
-        for _ in range(3):
-            parts = k + 1 + spare
-            empty = parts * math.exp(-least / parts)
-            spare = math.ceil(empty + 2 * math.sqrt(empty))
-        return spare
-
-    def differ(self, band: int) -> int:
-        return 2 * self.end(band) * (100 - self.percent) // (100 + self.percent)
-
-
-def signatures(items: np.ndarray, bands: Bands) -> np.ndarray:
-    """PartEnum signatures of a set, for its own band and for the next, in which larger partners lie."""
-    out: list[np.ndarray] = []
-    if not len(items):
-        return np.empty(0, _U)
-    own = bands.band(len(items))
-    for band in (own, own + 1):
-        k = bands.differ(band)
-        if k == 0:
-            continue  # only equal sets link, and those are one node
-        spare = bands.spare(band)
-        parts = k + 1 + spare
-        for division in range(DIVISIONS):
-            x = items if division == 0 else np.sort(_mixed(items + _U(division)))
-            part = ((x >> _U(32)) * _U(parts)) >> _U(32)
-            at = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-            key = _U((band * DIVISIONS + division + 1) * int(_D) & 0xFFFFFFFFFFFFFFFF)
-            out.append(_mixed(np.add.reduceat(_mixed(x ^ _A), at) + (part[at] + _U(1)) * _C + key))
-            empty = parts - len(at)
-            if empty <= spare:
-                break
-            if division == DIVISIONS - 1:
-                gone = np.setdiff1d(np.arange(parts, dtype=_U), part[at])
-                out.append(_mixed((gone + _U(1)) * _C + key))
-    return np.concatenate(out) if out else np.empty(0, _U)
-
-
-def _signed(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """id, n, node, signatures of each text; a set that the task has just seen has no signatures again."""
-    words, bands, seen = _Words(), Bands(percent), {}
+def _signed(batches: Iterator[pa.RecordBatch], width: int, percent: int, seed: int) -> Iterator[pa.RecordBatch]:
+    """id, print, n, node, proof (more bits of the set's hash) of each text, and its signatures: for its own band, for the next, and those
+    that SENT texts before it in the batch have already. A set that the task has just seen has no signatures again."""
+    bands, seen = Bands(percent), {}
     for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            part = batch.slice(at, 512)
-            sizes, nodes, sigs = [], [], []
-            for text in part.column(1).cast(pa.binary()):
-                items = shingles(text.as_py(), width, words)
-                node = xxhash.xxh3_64_intdigest(items.tobytes(), len(items))
-                sizes.append(len(items))
-                nodes.append(node)
-                if node in seen:
-                    sigs.append(np.empty(0, _U))
-                else:
+        for i, j in slices(batch.column(1)):
+            part = batch.slice(i, j - i)
+            items, offsets = shingle_sets(part.column(1), width)
+            nodes, proofs, fresh = np.empty(j - i, _U), np.empty(j - i, _U), np.zeros(j - i, bool)
+            for k in range(j - i):
+                h = xxhash.xxh3_128_intdigest(items[offsets[k] : offsets[k + 1]].tobytes(), seed)
+                nodes[k], proofs[k] = h & 0xFFFFFFFFFFFFFFFF, h >> 64
+                if h not in seen:
                     if len(seen) >= REMEMBERED:
                         seen.clear()
-                    seen[node] = True
-                    sigs.append(signatures(items, bands))
-            offsets = np.r_[0, np.cumsum([len(x) for x in sigs])].astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sigs).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(sizes, pa.int64()), pa.array(np.array(nodes, _U).view(np.int64)), lists], ["id", "print", "n", "node", "sigs"])
-
-
-def _lined_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by (sig, node): sig, first, node for signatures with two nodes or more, first being the smallest."""
-    sig, first, last, told = None, None, None, True
+                    seen[h] = fresh[k] = True
+            found, rows, own = signatures(items, offsets, bands)
+            use = fresh[rows]
+            found, rows, own = found[use], rows[use], own[use]
+            order = np.argsort(found, kind="stable")  # those for a set's own band come first
+            same = np.zeros(len(found), bool)
+            same[SENT:] = found[order][SENT:] == found[order][:-SENT]
+            more = np.zeros(len(found), bool)
+            more[order] = same
+            lists = [_lists(found[m], rows[m], j - i) for m in (own & ~more, ~own & ~more, more)]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(np.diff(offsets)), pa.array(nodes.view(np.int64)), pa.array(proofs.view(np.int64)), *lists],
+                                             ["id", "print", "n", "node", "proof", "own", "further", "more"])
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows (sig, own, node), sorted, own first: sig, node of the signatures with an own one and at least two nodes."""
+    sig = first = last = None
+    owned = told = False
     for batch in batches:
-        s, n = (np.asarray(batch.column(i)) for i in (0, 1))
+        s, w, n = (np.asarray(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False), np.asarray(batch.column(2)))
         if not len(s):
             continue
-        if sig is not None:  # the open run goes on with its last row
-            s, n = np.r_[sig, s], np.r_[last, n]
-        at = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
-        run = np.repeat(np.arange(len(at)), np.diff(np.r_[at, len(s)]))
-        firsts = n[at]
-        if sig is not None:
-            firsts[0] = first
-        f = firsts[run]
-        new = np.r_[True, (s[1:] != s[:-1]) | (n[1:] != n[:-1])]
-        new[0] = sig is None
-        keep = new & (f != n)
-        # the first node itself is told once with its first partner
-        partner = np.flatnonzero(keep)
-        leads = partner[np.r_[True, run[partner][1:] != run[partner][:-1]]] if len(partner) else partner
-        if len(leads) and sig is not None and run[leads[0]] == 0 and told:
-            leads = leads[1:]
-        rows = np.r_[partner, leads]
-        told = bool(len(partner) and run[partner[-1]] == run[-1]) or (told and sig is not None and run[-1] == 0)
-        sig, first, last = s[-1], f[-1], n[-1]
-        nodes = np.r_[n[partner], f[leads]]
-        if len(rows):
-            yield pa.RecordBatch.from_arrays([pa.array(s[rows]), pa.array(f[rows]), pa.array(nodes)], ["sig", "first", "node"])
+        starts = np.r_[True, s[1:] != s[:-1]]
+        new = starts | np.r_[True, n[1:] != n[:-1]]
+        goes_on = sig is not None and s[0] == sig
+        if goes_on:
+            new[0] = n[0] != last
+        at = np.flatnonzero(starts)
+        run = np.cumsum(starts) - 1
+        has, count, begin = w[at].copy(), np.add.reduceat(new.astype(np.int64), at), n[at].copy()
+        if goes_on:
+            has[0], begin[0] = owned, first
+            count[0] += 1
+        keep = new & (has & (count > 1))[run]
+        s_out, n_out = s[keep], n[keep]
+        if goes_on and has[0] and count[0] > 1 and not told:
+            s_out, n_out = np.r_[sig, s_out], np.r_[first, n_out]
+        if len(s_out):
+            yield pa.RecordBatch.from_arrays([pa.array(s_out, pa.int64()), pa.array(n_out, pa.int64())], ["sig", "node"])
+        told = bool(count[-1] > 1) or (told and goes_on and len(at) == 1)
+        sig, first, last, owned = s[-1], begin[-1], n[-1], bool(has[-1])
 
 
 def _differences(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """cluster, node, size, pivot_size, d: the symmetric difference of a node's set and its pivot's, in one order for all nodes of
-    a cluster: first what the pivot lacks, then what it has, each by hash. Rows carry both whole texts."""
-    words, held, own = _Words(), None, np.empty(0, _U)
+    """From rows (pivot, node, alone, both whole texts): pivot, node, size, pivot_size, apart (elements in one of both sets) and, unless the group has no
+    other member, d: those elements, in one order for all members: first what the pivot lacks, then what it has, each by hash."""
     for batch in batches:
-        pivots, left, right = batch.column(1).to_pylist(), *(batch.column(i).cast(pa.binary()) for i in (3, 4))
-        sizes, pivot_sizes, lists = [], [], []
-        for i, pivot in enumerate(pivots):
-            if pivot != held:
-                held, own = pivot, shingles(left[i].as_py(), width, words)
-            items = shingles(right[i].as_py(), width, words)
-            lists.append(np.r_[np.setdiff1d(items, own, True), np.setdiff1d(own, items, True)])
-            sizes.append(len(items))
-            pivot_sizes.append(len(own))
-        offsets = np.r_[0, np.cumsum([len(x) for x in lists])].astype(np.int32)
-        d = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lists).astype(_U).view(np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(pivot_sizes, pa.int64()), d, batch.column(1)], ["cluster", "node", "size", "pivot_size", "d", "pivot"])
-
-
-def _links_near_pivots(nodes: DataFrame, percent: int) -> DataFrame:
-    """Links among nodes (cluster, node, size, d) that span all components of the clusters' links.
-
-    Nodes b and c differ in |d_b| + |d_c| - 2 |d_b & d_c| elements, so with g = (100 + percent) |d| - (100 - percent) size they link
-    if and only if g_b + g_c <= 2 (100 + percent) |d_b & d_c|. Pairs with g_b + g_c <= 0 link whatever they share, and the node with the
-    smallest g links with each of them. Other pairs need a shared difference: those are found by their prefixes, as in prefix
-    filtering with the overlap that the pair needs at least, where elements that the pivot lacks come first; a pair is met only
+        for i, j in slices(pa.concat_arrays([batch.column(4)])):
+            part = batch.slice(i, j - i)
+            pivots, alone = np.asarray(part.column(0)), part.column(2).to_pylist()
+            new = np.r_[True, pivots[1:] != pivots[:-1]]
+            own = np.cumsum(new) - 1
+            items, offsets = shingle_sets(part.column(4), width)
+            theirs, their_offsets = shingle_sets(part.column(3).take(pa.array(np.flatnonzero(new))), width)
+            apart, lists = [], []
+            for k in range(j - i):
+                a, b = items[offsets[k] : offsets[k + 1]], theirs[their_offsets[own[k]] : their_offsets[own[k] + 1]]
+                lacks, has = np.setdiff1d(a, b, True), np.setdiff1d(b, a, True)
+                apart.append(len(lacks) + len(has))
+                lists += [lacks[:0]] if alone[k] else [lacks, has]
+            sizes = np.where(alone, 0, apart)
+            d = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(np.concatenate(lists).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(offsets)), pa.array(np.diff(their_offsets)[own]), pa.array(apart, pa.int64()), d],
+                                             ["pivot", "node", "size", "pivot_size", "apart", "d"])
+
+
+def _linked_members(members: DataFrame, percent: int) -> DataFrame:
+    """Links a, b among the members (pivot, node, size, d, direct) of the same group of which at least one isn't linked with the pivot itself.
+
+    Members b and c differ in |d_b| + |d_c| - 2 |d_b & d_c| elements, so with g = (100 + percent) |d| - (100 - percent) size they link
+    if and only if g_b + g_c <= 2 (100 + percent) |d_b & d_c|. If neither is linked with the pivot, or one of them, they share differences: those pairs are met by
+    their prefixes, with the overlap that a pair needs at least, where elements that the pivot lacks come first; a pair is met only
     where enough elements follow in both.
     """
     k, q = 100 + percent, 100 - percent
-    nodes = nodes.withColumn("n_d", F.size("d")).withColumn("g", k * F.col("n_d") - q * F.col("size"))
-    best = stored(nodes.groupBy("cluster").agg(F.min(F.struct("g", "node")).alias("best")))
-    placed = nodes.join(checked(best), "cluster").withColumn("out", (F.col("g") + F.col("best.g") > 0) & (F.col("node") != F.col("best.node")))
-    star = placed.where(~F.col("out") & (F.col("node") != F.col("best.node"))).select(F.col("best.node").alias("a"), F.col("node").alias("b"))
-    outside = stored(placed.where("out").groupBy("cluster").agg(F.min("g").alias("least_out")))
-    open_ = placed.join(checked(outside), "cluster")
-    partner = F.when(F.col("out"), F.col("best.g")).otherwise(F.col("least_out"))
+    members = members.withColumn("n_d", F.size("d")).withColumn("g", k * F.col("n_d") - q * F.col("size"))
+    bounds = stored(members.groupBy("pivot").agg(F.min("g").alias("least"), F.min(F.when(~F.col("direct"), F.col("g"))).alias("least_out")).where("least_out is not null"))
+    open_ = stored(members.join(checked(bounds), "pivot"))
+    partner = F.when(F.col("direct"), F.col("least_out")).otherwise(F.col("least"))
     need = F.greatest(F.ceil((F.col("g") + partner) / (2 * k)), F.ceil((F.col("g") - q * F.col("size") * 100 / percent) / k), F.lit(1)).cast("int")
     prefix = F.slice("d", F.lit(1), F.greatest(F.col("n_d") - need + 1, F.lit(0)))
-    prefixed = open_.select("cluster", "node", "out", "g", "n_d", F.posexplode(prefix).alias("pos", "e"))
-    side = lambda n: prefixed.select("cluster", "e", *[F.col(c).alias(n if c == "node" else f"{n}_{c}") for c in ("node", "out", "g", "n_d", "pos")])
+    prefixed = open_.select("pivot", "node", "direct", "g", "n_d", F.posexplode(prefix).alias("pos", "e"))
+    side = lambda n: prefixed.select("pivot", "e", *[F.col(c).alias(n if c == "node" else f"{n}_{c}") for c in ("node", "direct", "g", "n_d", "pos")])
     fits = F.expr(f"a_g + b_g <= {2 * k} * least(a_n_d - a_pos, b_n_d - b_pos)")
-    pairs = side("a").where("a_out").join(side("b"), ["cluster", "e"]).where((F.col("a") != F.col("b")) & (~F.col("b_out") | (F.col("a") < F.col("b"))) & fits).select("a", "b").distinct()
-    of = lambda n: nodes.select(F.col("node").alias(n), F.col("g").alias(f"g_{n}"), F.col("d").alias(f"d_{n}"))
+    met = side("a").where("not a_direct").join(side("b"), ["pivot", "e"]).where((F.col("a") != F.col("b")) & (F.col("b_direct") | (F.col("a") < F.col("b"))) & fits)
+    pairs = stored(met.select("pivot", "a", "b").distinct())
+    of = lambda n: open_.select("pivot", F.col("node").alias(n), F.col("g").alias(f"g_{n}"), F.col("d").alias(f"d_{n}"))
     linked = F.col("g_a") + F.col("g_b") <= 2 * k * F.size(F.array_intersect("d_a", "d_b"))
-    return star.unionByName(pairs.join(of("a"), "a").join(of("b"), "b").where(linked).select("a", "b"))
-
-
-def _items(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """node, items: the shingles of each text."""
-    words = _Words()
-    for batch in batches:
-        lists = [shingles(x.as_py(), width, words) for x in batch.column(1).cast(pa.binary())]
-        offsets = np.r_[0, np.cumsum([len(x) for x in lists])].astype(np.int32)
-        items = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lists or [np.empty(0, _U)]).astype(_U).view(np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), items], ["node", "items"])
-
-
-def _prefix_pairs(texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs a, b of nodes (node, text) that may link, by prefix filtering: each node's rarest shingles, as many as a linking partner
-    can't miss all of. What thousands of texts share is no shingle of a prefix, so texts around one common passage don't meet."""
-    sets = stored(texts.mapInArrow(lambda x: _items(x, width), "node long, items array<long>"))
-    each = sets.select("node", F.size("items").alias("size"), F.explode("items").alias("e"))
-    common = each.groupBy("e").agg(F.count("*").alias("df")).where("df > 1")
-    met = each.join(common, "e").withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy("df", "e")))
-    alone = met.groupBy("node").agg(F.count("*").alias("met"))
-    length = F.expr(f"size - ceil(size * {percent} / 100) + 1 - (size - met)")
-    prefix = stored(met.join(alone, "node").where(F.col("place") <= length).select("e", "node", "size", F.expr("met - place + 1").alias("after")))
-    x, y = (prefix.select("e", F.col("node").alias(n), F.col("size").alias(f"size_{n}"), F.col("after").alias(f"after_{n}")) for n in ("a", "b"))
-    alike = F.expr(f"{100 + percent} * least(after_a, after_b) >= {percent} * (size_a + size_b)")  # so many shingles are left to share
-    return x.join(y, "e").where((F.col("a") < F.col("b")) & alike).select("a", "b").distinct()
-
-
-def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, n_shingles, component_id: the smallest id that links of at least percent / 100 reach."""
+    out = stored(pairs.join(of("a"), ["pivot", "a"]).join(of("b"), ["pivot", "b"]).where(linked).select("a", "b"))
+    removed(bounds, open_, pairs)
+    return out
+
+
+def _groups(signed: DataFrame) -> DataFrame:
+    """pivot, node, alone: the members of each pivot's group, from the signatures of all nodes; alone where there is one member."""
+    exploded = signed.select(F.explode("own").alias("sig"), F.lit(True).alias("own"), "node").unionByName(signed.select(F.explode("further").alias("sig"), F.lit(False).alias("own"), "node"))
+    dealt = exploded.repartition("sig").sortWithinPartitions("sig", F.desc("own"), "node")
+    shared = stored(dealt.mapInArrow(_shared, "sig long, node long"))
+    if signed.where(F.size("more") > 0).head(1):
+        more = signed.select(F.explode("more").alias("sig"), "node").join(stored(shared.select("sig").distinct()), "sig", "left_semi")
+        shared = stored(shared.unionByName(more))
+    counts = stored(shared.groupBy("node").agg(F.count("*").alias("n")))
+    pivots = stored(shared.join(counts, "node").groupBy("sig").agg(F.max(F.struct("n", "node")).alias("most")).select("sig", F.col("most.node").alias("pivot")))
+    members = stored(shared.join(pivots, "sig").where("node <> pivot").select("pivot", "node").distinct())
+    sizes = stored(members.groupBy("pivot").agg((F.count("*") == 1).alias("alone")))
+    out = stored(members.join(sizes, "pivot"))
+    removed(shared, counts, pivots, members, sizes)
+    return out
+
+
+def _placed(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str, seed: int = 0) -> DataFrame:
+    """id, print (hash of the text), n (shingles), component of each row of docs."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("print"))
-    rows = stored(texts.mapInArrow(lambda x: _signed(x, width, percent), "id long, print long, n long, node long, sigs array<long>"))
-    dealt = rows.where(F.size("sigs") > 0).select(F.explode("sigs").alias("sig"), "node").repartition("sig").sortWithinPartitions("sig", "node")
-    lined = stored(dealt.mapInArrow(_lined_up, "sig long, first long, node long"))
-    # one row of docs for each node that has candidates; its whole text is read again
+    signed = stored(texts.mapInArrow(lambda x: _signed(x, width, percent, seed), "id long, print long, n long, node long, proof long, own array<long>, further array<long>, more array<long>"))
+    groups = _groups(signed)
+    rows = stored(signed.select("id", "print", "n", "node", "proof"))
+    removed(signed)
+    nodes = stored(rows.where("n > 0").groupBy("node").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.min("proof").alias("proof"), F.max("proof").alias("proof2")))
+    if nodes.where("proof <> proof2").head(1):  # unequal sets with one hash: hash all anew
+        return _placed(docs, width, percent, id_col, text_col, seed + 1)
+    # one row of docs for each node in a group; its whole text is read again
+    needed = groups.select("node").unionByName(groups.select(F.col("pivot").alias("node"))).distinct()
     one = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("of_id"), F.col("print").alias("of_print"))).alias("one")
-    counts = stored(lined.groupBy("node").agg(F.count("*").alias("shared")))
-    chosen = stored(rows.join(counts, "node").groupBy("node").agg(one).select("node", "one.of_id", "one.of_print"))
-    mine = F.col("id").eqNullSafe(F.col("of_id")) & (F.col("print") == F.col("of_print"))
+    chosen = stored(rows.join(stored(needed), "node").groupBy("node").agg(one).select("node", "one.of_id", "one.of_print"))
     n_nodes = chosen.count()
+    mine = F.col("id").eqNullSafe(F.col("of_id")) & (F.col("print") == F.col("of_print"))
     of_nodes = stored(texts.join(checked(chosen, n_nodes), mine).select("node", "text"))
     if of_nodes.count() > n_nodes:  # repeated rows
         of_nodes = stored(of_nodes.dropDuplicates(["node"]))
-    links: list[DataFrame] = []
     text_of = lambda n: of_nodes.select(F.col("node").alias(n), F.col("text").alias(f"{n}_text"))
-    schema = "cluster long, node long, size long, pivot_size long, d array<long>, pivot long"
+    paired = groups.join(text_of("node"), "node").join(text_of("pivot"), "pivot").select("pivot", "node", "alone", "pivot_text", "node_text")
+    schema = "pivot long, node long, size long, pivot_size long, apart long, d array<long>"
+    direct = (100 + percent) * F.col("apart") <= (100 - percent) * (F.col("size") + F.col("pivot_size"))
+    apart = stored(paired.mapInArrow(lambda x: _differences(x, width), schema).withColumn("direct", direct))
+    removed(of_nodes, groups, chosen)
+    links = _linked_members(apart.where("size(d) > 0"), percent).unionByName(apart.where("direct").select(F.col("pivot").alias("a"), F.col("node").alias("b")))
+    roots = stored(components(links))
+    tops = stored(roots.join(nodes, "node").groupBy("root").agg(F.min("least").alias("least")))
+    linked = roots.join(checked(tops), "root").select("node", "least")
+    copies = nodes.where("copies > 1").join(roots.select("node"), "node", "left_anti").select("node", "least")
+    classes = stored(linked.unionByName(copies))
+    removed(apart, roots, tops, nodes)
+    placed = rows.join(checked(classes), "node", "left")
+    alone = F.col("least").isNull() | (F.col("n") == 0)
+    return placed.select("id", "print", "n", F.when(alone, F.col("id")).otherwise(F.col("least")).alias("component"))
 
-    def compared(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(text_of("b"), "b").join(text_of("a"), "a").select(F.col("b").alias("cluster"), "a", "b", "a_text", "b_text")
-        differing = both.mapInArrow(lambda x: _differences(x, width), schema).selectExpr("*", "size(d) as apart")
-        alike = (100 + percent) * F.col("apart") <= (100 - percent) * (F.col("size") + F.col("pivot_size"))
-        return stored(differing.where(alike).select(F.col("pivot").alias("a"), F.col("node").alias("b")))
 
-    bound = lined.count()
-    while True:
-        # where nodes make no more pairs under their signatures than there were rows, the pairs are compared as they are
-        size = lined.groupBy("sig").agg(F.count("*").alias("m")).agg(F.sum(F.expr("m * (m - 1) / 2"))).first()[0] or 0
-        if size <= DIRECT * bound:
-            x, y = (lined.select("sig", F.col("node").alias(n)) for n in ("a", "b"))
-            links.append(compared(x.join(y, "sig").where("a < b").select("a", "b").distinct()))
-            break
-        # nodes that candidates connect, and the pivot among them: the node that shares most signatures
-        clusters = components(lined.where("first <> node").select(F.col("first").alias("a"), F.col("node").alias("b")))
-        clusters = stored(clusters.select("node", F.col("root").alias("cluster")).join(counts, "node"))
-        pivots = clusters.groupBy("cluster").agg(F.max_by("node", F.struct("shared", "node")).alias("pivot"))
-        paired = clusters.select("cluster", "node").join(text_of("node"), "node").join(pivots, "cluster").join(text_of("pivot"), "pivot")
-        apart = stored(paired.select("cluster", "pivot", "node", "pivot_text", "node_text").mapInArrow(lambda x: _differences(x, width), schema))
-        # nodes within half the pivot's size of it are done after this round: those beyond the reach of a link can't link with them
-        within, reach = 0.5, (100 - percent) / (100 + percent) * 1.5 * (1 + 100 / percent)
-        links.append(stored(_links_near_pivots(apart.where(F.size("d") <= (within + reach) * F.col("pivot_size") + 1), percent)))
-        left = stored(apart.where(F.size("d") > within * F.col("pivot_size")).select("node"))
-        n_left = left.count()
-        if n_left > SETTLED * clusters.count():  # no large groups of near copies are left
-            links.append(compared(_prefix_pairs(of_nodes.join(left, "node", "left_semi"), width, percent)))
-            break
-        rest = lined.select("sig", "node").join(left, "node", "left_semi")
-        firsts = rest.groupBy("sig").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last")
-        lined = stored(rest.join(firsts, "sig").select("sig", "first", "node"))
-    found = links[0]
-    for more in links[1:]:
-        found = found.unionByName(more)
-    return _with_components(rows, stored(components(found)), id_col)
-
-
-def _with_components(rows: DataFrame, roots: DataFrame, id_col: str) -> DataFrame:
-    placed = rows.select("id", "n", "node").join(checked(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    smallest = placed.where("n > 0").groupBy("root").agg(F.min("id").alias("least"))
-    return placed.join(smallest, "root", "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))
+def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: id, n_shingles, component_id: the smallest id that links of at least percent / 100 reach."""
+    return _placed(docs, width, percent, id_col, text_col).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows whose component has a smaller id; all columns stay."""
-    found = jaccard_components(docs, width, percent, id_col, text_col)
-    gone = stored(found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("lf__id")).distinct())
-    return docs.join(checked(gone), F.col(id_col) == F.col("lf__id"), "left_anti")
+    """docs without the rows whose component has a smaller id; all columns stay. Rows without an id stay, and of rows that repeat an id those
+    that have the smallest of their component."""
+    gone = stored(_placed(docs, width, percent, id_col, text_col).where("id <> component").select(F.col("id").alias("lf__id"), F.col("print").alias("lf__print")).distinct())
+    same = (F.col(id_col) == F.col("lf__id")) & F.xxhash64(text_col).eqNullSafe(F.col("lf__print"))
+    return docs.join(checked(gone), same, "left_anti")

@@ -10,10 +10,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lorefield.llm import boosting, cotraining, html_extract, jaccard_join, line_dedup, mixing, packing, quality_rules, surrogates
+from lorefield.llm import boosting, cotraining, hashing, html_extract, jaccard_join, line_dedup, mixing, packing, partenum, quality_rules, surrogates
 from lorefield.llm.components import components
 from lorefield.llm.exact_dedup import exact_dedup, exact_groups, merged_filter, partition_filters
 from lorefield.llm.sharding import shard_by_size
@@ -244,10 +245,8 @@ def test_jaccard_components(docs, rows, width, percent):
     assert Counter(map(tuple, jaccard_join.jaccard_components(docs, width, percent).collect())) == expected
 
 
-@pytest.mark.parametrize("direct, settled", [(1.0, 0.8), (0.0, 0.8), (0.0, 0.0)])  # compared as they are, by pivots, by prefixes
-def test_jaccard_many_variants(spark, empty, direct, settled, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "DIRECT", direct)
-    monkeypatch.setattr(jaccard_join, "SETTLED", settled)
+@pytest.mark.parametrize("width, percent", [(4, 85), (5, 80)])
+def test_jaccard_many_variants(spark, empty, width, percent):
     rng = random.Random(8)
     bases = [[f"b{k}x{i}" for i in range(n)] for k, n in enumerate((8, 12, 40, 200))]
     texts = []
@@ -265,10 +264,10 @@ def test_jaccard_many_variants(spark, empty, direct, settled, monkeypatch):
     shared = " ".join(f"p{i}" for i in range(60))
     texts += [shared + " " + " ".join(f"o{k}x{i}" for i in range(5 + k % 9)) for k in range(40)]  # a passage in many texts
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
-    sets = sets_of(texts, 4)
-    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(frame, 4, 85).collect()}
-    assert [got[i] for i in range(len(texts))] == reached(list(range(len(texts))), sets, 85)
-    kept = jaccard_join.one_of_each(frame, 4, 85)
+    sets = sets_of(texts, width)
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(frame, width, percent).collect()}
+    assert [got[i] for i in range(len(texts))] == reached(list(range(len(texts))), sets, percent)
+    kept = jaccard_join.one_of_each(frame, width, percent)
     assert {r.doc_id for r in kept.collect()} == set(got.values())
     assert jaccard_join.jaccard_components(empty).count() == 0 and jaccard_join.one_of_each(empty).count() == 0
 
@@ -276,8 +275,8 @@ def test_jaccard_many_variants(spark, empty, direct, settled, monkeypatch):
 @pytest.mark.parametrize("percent", [85, 80])
 def test_signatures_meet(percent):
     rng = np.random.default_rng(2)
-    bands = jaccard_join.Bands(percent)
-    for n in (7, 8, 13, 30, 77, 300, 1500):
+    bands = partenum.Bands(percent)
+    for n in (3, 7, 8, 13, 30, 77, 161, 300, 1500):
         for _ in range(60):
             items = np.unique(rng.integers(0, 2**64, n, np.uint64))
             drop = rng.integers(0, max(1, len(items) * (100 - percent) // 100) + 1)
@@ -285,13 +284,46 @@ def test_signatures_meet(percent):
             other = np.unique(np.r_[rng.permutation(items)[drop:], rng.integers(0, 2**64, rng.integers(0, max(0, add) + 1), np.uint64)])
             both = len(np.intersect1d(items, other))
             if 100 * both >= percent * (len(items) + len(other) - both) and len(items) + len(other) > 2 * both:
-                assert len(np.intersect1d(jaccard_join.signatures(items, bands), jaccard_join.signatures(other, bands)))
+                found, row, own = partenum.signatures(np.r_[items, other], np.array([0, len(items), len(items) + len(other)]), bands)
+                common = np.intersect1d(found[row == 0], found[row == 1])
+                assert len(common) and own[np.isin(found, common)].any()
+
+
+def test_shingles_are_those_of_the_words():
+    rng = random.Random(1)
+    texts = [None, "", " \n ", "a", "A b", "a\tb c", "x y z w", "X y  z\x0bW v\n", "é ß\xa0ñ É", "b" * 300_000 + " c d e f", " ".join(map(str, range(40_000))), "ab", "cd", "ab cd"]
+    texts += [" ".join(rng.choice("abcABC") for _ in range(rng.randint(1, 12))) for _ in range(200)]
+    for width in (4, 5):
+        items, at = hashing.shingle_sets(pa.array(texts, pa.string()), width)
+        of = defaultdict(set)
+        for i, s in enumerate(sets_of(texts, width)):
+            assert at[i + 1] - at[i] == len(s)
+            of[frozenset(s)].add(items[at[i] : at[i + 1]].tobytes())
+        assert all(len(x) == 1 for x in of.values()) and len({next(iter(x)) for x in of.values()}) == len(of)
+
+
+def test_shared_signatures_over_batches():
+    rng = np.random.default_rng(3)
+    rows = sorted({(int(s), not own, int(n)) for s, own, n in zip(rng.integers(0, 40, 400), rng.random(400) < 0.3, rng.integers(0, 60, 400))})
+    rows += [rows[-1], rows[-1]]
+    nodes, own = defaultdict(set), set()
+    for s, lower, n in rows:
+        nodes[s].add(n)
+        own |= set() if lower else {s}
+    expected = {(s, n) for s in nodes for n in nodes[s] if s in own and len(nodes[s]) > 1}
+    for size in (1, 2, 7, 1000):
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[0] for r in b], pa.int64()), pa.array([not r[1] for r in b]), pa.array([r[2] for r in b], pa.int64())], ["sig", "own", "node"])
+                   for b in (rows[i : i + size] for i in range(0, len(rows), size))]
+        got = [x for b in jaccard_join._shared(iter(batches)) for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+        assert set(got) == expected
 
 
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (7, 3), (200, 200)]
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {90: 90, 95: 90, 100: 90}
+    hub = spark.range(3000).selectExpr("id + 10 as a", "case when id % 2 = 0 then 5 else 9000 end as b").union(spark.createDataFrame([(5, 9000)], "a long, b long"))
+    assert {(r.root) for r in components(hub).collect()} == {5} and components(hub).count() == 3002
 
 
 # ---- mixing ----
