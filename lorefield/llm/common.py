@@ -82,3 +82,11 @@ def text_or_empty(name: str = "text") -> Column:
 def word_count(text: Column) -> Column:
     """Words of a text; null counts none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like this one that df doesn't have."""
+    name = f"lf__{name}"
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name

@@ -99,3 +99,39 @@ def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     new = np.ones(len(x), bool)
     new[1:] = (x[1:] != x[:-1]) | (row[1:] != row[:-1])
     return x[new], np.r_[0, np.cumsum(np.bincount(row[new], minlength=n))].astype(np.int64)
+
+
+def lines_of(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The \\n-split lines of texts: row, begin, end, begin and end of the key (white space at both ends set aside), and hash of the key (A-Z as lower case);
+    a key without bytes has hash 0. An empty text is one empty line."""
+    n, cuts = len(starts) - 1, np.flatnonzero(data == 10)
+    counts = np.bincount(np.searchsorted(starts[:-1], cuts, "right") - 1, minlength=n)[:n] + 1 if n else np.empty(0, np.int64)
+    firsts = np.r_[0, np.cumsum(counts)].astype(np.int64)
+    row = np.repeat(np.arange(n), counts)
+    inner = np.ones(len(row), bool)
+    inner[firsts[:-1]] = False
+    begin, end = np.empty(len(row), np.int64), np.empty(len(row), np.int64)
+    begin[firsts[:-1]], begin[inner] = starts[:-1], cuts + 1
+    last = np.ones(len(row), bool)
+    last[firsts[1:] - 1] = False
+    end[firsts[1:] - 1], end[last] = starts[1:], cuts
+    filled = np.flatnonzero(~_SPACE[data])
+    i, j = np.searchsorted(filled, begin), np.searchsorted(filled, end)
+    some = i < j
+    key_begin, key_end = begin.copy(), begin.copy()
+    key_begin[some], key_end[some] = filled[i[some]], filled[j[some] - 1] + 1
+    hashes = np.zeros(len(row), _U)
+    at = np.flatnonzero(some)
+    ends = np.cumsum(key_end[at] - key_begin[at])
+    a = 0
+    while a < len(at):  # about PIECE bytes at once, one line at least
+        done = ends[a - 1] if a else 0
+        b = max(a + 1, int(np.searchsorted(ends, done + PIECE, "right")))
+        sizes = key_end[at[a:b]] - key_begin[at[a:b]]
+        begins = np.r_[0, np.cumsum(sizes)]
+        place = np.arange(begins[-1]) - np.repeat(begins[:-1], sizes)
+        bytes_ = _LOWER[data[np.repeat(key_begin[at[a:b]], sizes) + place]]
+        h = np.add.reduceat(mixed((bytes_ | place.astype(_U) << _U(8)) * _A + _C), begins[:-1])
+        hashes[at[a:b]] = mixed(h + sizes.astype(_U) * _B) | _U(1)
+        a = b
+    return row, begin, end, key_begin, key_end, hashes

@@ -1,131 +1,185 @@
 """Line deduplication by two Bloom filters.
 
 Each task keeps two filters over the line hashes of its documents: one for hashes seen in a document, one for hashes
-seen in a second. Filters merge segment by segment: twice = twice1 | twice2 | (once1 & once2), once = once1 | once2,
-so no repeat is missed. The merged twice filter has a fixed size. Lines that it doesn't hold are unique and never
-shuffle; the suspected rest is counted exactly by its text. A fuller filter only sends more lines to that count.
+seen in a second. Filters merge segment by segment: twice = twice1 | twice2 | (once1 & once2), so no repeat is missed. Lines that the merged twice
+filter doesn't hold are unique and never shuffle; the suspected rest is counted exactly by its text.
+
+The filters have BITS_A_LINE bits for each line of the input, in as many segments as keep one small. Tasks send the positions of their set bits, so none
+holds a whole filter. The merged twice filter holds repeats only; it is folded to BITS_A_REPEAT bits for each of its positions, at most to MAX_BROADCAST bytes, and
+sent to the tasks. Where a corpus has more repeated lines than that, the filter is fuller and more lines go to the exact count; results stay the same.
 
 Defined results: a null or empty text is one empty line; the key of a line is stripped of ASCII white space and
 lower-cased in A-Z; a key counts once for each row that holds it, so repeated rows count as several documents;
-an empty table gives an empty result; other columns pass through whatever their names.
+an empty table gives an empty result; other columns pass through whatever their names and nulls.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored
+from .common import stored, unused
+from .hashing import bytes_of, lines_of, mixed, slices
 
-#: Bits of a filter (16 MB) and of one of its segments; bits set for each hash. The filter's size is the same for any input.
-FILTER_BITS = 1 << 27
-SEGMENT_BITS = 1 << 16
-PROBES = 4
+#: Bits of the filters for each line, bits set for each hash, positions that a segment has about.
+BITS_A_LINE = 16
+PROBES = 2
+SEGMENT = 1 << 19
+#: The folded twice filter: bits for each position, and its largest size in bytes.
+BITS_A_REPEAT = 16
+MAX_BROADCAST = 64 << 20
 #: Confirmed lines up to this many bytes are broadcast; beyond it they are joined by text hash.
 BROADCAST_BYTES = 32 << 20
-
-_STRIP = " \t\n\x0b\x0c\r"
-_LOWER = {i: i + 32 for i in range(65, 91)}
+_U = np.uint64
 
 
 def line_key(line: str) -> str:
-    line = line.strip(_STRIP)
-    return line.lower() if line.isascii() else line.translate(_LOWER)
-
+    """The key of one line."""
+    return line.encode("utf-8", "surrogatepass").strip(b" \t\n\x0b\x0c\r").lower().decode("utf-8", "surrogatepass")
 
-def line_hash(key: str) -> int:
-    return xxhash.xxh3_64_intdigest(key.encode("utf-8", "surrogatepass"))
 
+def _key(data: np.ndarray, begin: int, end: int) -> str:
+    return data[begin:end].tobytes().lower().decode("utf-8", "replace")
 
-def _bits(hashes: np.ndarray) -> np.ndarray:
-    """Bit numbers of each hash, one row for each probe; all lie in the hash's segment."""
-    segment = (hashes >> np.uint64(40)) % np.uint64(FILTER_BITS // SEGMENT_BITS) * np.uint64(SEGMENT_BITS)
-    step = (hashes >> np.uint64(16)) | np.uint64(1)
-    return np.stack([segment + (hashes + np.uint64(i) * step) % np.uint64(SEGMENT_BITS) for i in range(PROBES)])
 
+def _power(n: float) -> int:
+    """Exponent of the next power of two, 16 at least."""
+    return max(16, int(np.ceil(np.log2(max(1.0, n)))))
 
-def _holds(bits: np.ndarray, where: np.ndarray) -> np.ndarray:
-    return ((bits[where >> np.uint64(3)] >> (where & np.uint64(7)).astype(np.uint8)) & 1).all(axis=0)
 
+def _probes(hashes: np.ndarray, power: int) -> np.ndarray:
+    """Bit positions of each hash, one row for each probe."""
+    return np.stack([mixed(hashes + _U(i)) >> _U(64 - power) for i in range(PROBES)])
 
-def _put(bits: np.ndarray, where: np.ndarray) -> None:
-    np.bitwise_or.at(bits, (where >> np.uint64(3)).ravel(), np.left_shift(np.uint8(1), (where & np.uint64(7)).astype(np.uint8)).ravel())
 
+def _distinct_lines(part: pa.Array, shortest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """data, row, begin, end, hash of the distinct keys of each text."""
+    data, starts = bytes_of(part)
+    row, _, _, begin, end, h = lines_of(data, starts)
+    use = np.flatnonzero(h > 0)
+    if shortest > 1:
+        size = np.array([len(_key(data, begin[i], end[i])) for i in use], int)
+        use = use[size >= shortest]
+    order = use[np.lexsort((h[use], row[use]))]
+    new = np.ones(len(order), bool)
+    new[1:] = (h[order][1:] != h[order][:-1]) | (row[order][1:] != row[order][:-1])
+    at = order[new]
+    return data, row[at], begin[at], end[at], h[at]
 
-def task_filters(parts: Iterator[pd.DataFrame], shortest: int) -> Iterator[pd.DataFrame]:
-    """The two filters of a task, as rows for the segments in use."""
-    once, twice = (np.zeros(FILTER_BITS // 8, np.uint8) for _ in range(2))
-    used = False
-    for part in parts:
-        hashes: list[int] = []
-        for text in part["text"]:
-            if text:
-                hashes += [line_hash(k) for k in {line_key(x) for x in text.split("\n")} if len(k) >= shortest]
-        if hashes:
-            used = True
-            each, n = np.unique(np.array(hashes, np.uint64), return_counts=True)
-            where = _bits(each)
-            _put(twice, where[:, (n > 1) | _holds(once, where)])
-            _put(once, where)
-    if used:
-        a, b = (x.reshape(-1, SEGMENT_BITS // 8) for x in (once, twice))
-        rows = np.flatnonzero(a.any(axis=1))
-        for i in range(0, len(rows), 256):
-            at = rows[i : i + 256]
-            yield pd.DataFrame({"segment": at, "once": [zlib.compress(a[k].tobytes(), 1) for k in at],
-                                "twice": [zlib.compress(b[k].tobytes(), 1) for k in at]})
 
-
-def merge_segment(rows: pd.DataFrame) -> pd.DataFrame:
-    once, twice = (np.zeros(SEGMENT_BITS // 8, np.uint8) for _ in range(2))
-    for a, b in zip(rows["once"], rows["twice"]):
-        a, b = (np.frombuffer(zlib.decompress(x), np.uint8) for x in (a, b))
-        twice |= b | (once & a)
-        once |= a
-    return pd.DataFrame({"segment": rows["segment"].iloc[:1], "twice": [twice.tobytes()]})
+def task_filters(batches: Iterator[pa.RecordBatch], power: int, segments: int, shortest: int) -> Iterator[pa.RecordBatch]:
+    """The two filters of a task, as positions (in a segment) of the bits that are set: one row for each segment."""
+    held = []
+    for batch in batches:
+        for i, j in slices(batch.column(0)):
+            held.append(_distinct_lines(batch.column(0).slice(i, j - i), shortest)[4])
+        if sum(map(len, held)) > 4 * SEGMENT:  # a task with very many lines sends several filters
+            yield from _sent(held, power, segments)
+            held = []
+    if held:
+        yield from _sent(held, power, segments)
 
 
-def twice_filter(texts: DataFrame, shortest: int) -> np.ndarray:
-    """The merged twice filter of all rows: FILTER_BITS bits, at any input size."""
-    segments = (texts.mapInPandas(lambda parts: task_filters(parts, shortest), "segment long, once binary, twice binary")
-                .groupBy("segment").applyInPandas(merge_segment, "segment long, twice binary"))
-    bits = np.zeros((FILTER_BITS // SEGMENT_BITS, SEGMENT_BITS // 8), np.uint8)
-    for row in segments.toLocalIterator():
-        bits[row["segment"]] = np.frombuffer(row["twice"], np.uint8)
-    return bits.ravel()
+def _sent(held: list[np.ndarray], power: int, segments: int) -> Iterator[pa.RecordBatch]:
+    each, n = np.unique(np.concatenate(held), return_counts=True)
+    once = np.unique(_probes(each, power))
+    twice = np.unique(_probes(each[n > 1], power))
+    width = _U((1 << power) // segments)
+    cut = np.arange(segments + 1, dtype=_U) * width
+    a, b = np.searchsorted(once, cut), np.searchsorted(twice, cut)
+    used = np.flatnonzero(a[1:] > a[:-1])
+    pack = lambda x, at: [(x[at[s] : at[s + 1]] - cut[s]).astype(np.uint32).tobytes() for s in used]
+    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(pack(once, a), pa.binary()), pa.array(pack(twice, b), pa.binary())], ["segment", "once", "twice"])
 
 
-def common_lines(texts: DataFrame, min_docs: int, shortest: int) -> DataFrame:
-    """Keys (line), found in at least min_docs rows, with that number (docs). Counts are exact."""
+def merge_segment(rows: pd.DataFrame) -> pd.DataFrame:
+    """A segment's merged twice filter: positions that a task has twice or two tasks have once."""
+    found, n = np.unique(np.concatenate([np.frombuffer(x, np.uint32) for x in rows["once"]]), return_counts=True)
+    twice = np.unique(np.concatenate([found[n > 1], *(np.frombuffer(x, np.uint32) for x in rows["twice"])]))
+    return pd.DataFrame({"segment": rows["segment"].iloc[:1], "twice": [twice.tobytes()], "n": [len(twice)]})
+
+
+def twice_filter(texts: DataFrame, shortest: int) -> tuple[np.ndarray, int, int]:
+    """The folded twice filter of all rows, its power of two, and that of the filters it comes from."""
+    lines = texts.agg(F.coalesce(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1), F.lit(0))).first()[0]
+    power = _power(BITS_A_LINE * lines)
+    segments = 1 << max(0, power - 32, int(np.ceil(np.log2(max(1, PROBES * lines / SEGMENT)))))
+    merged = stored(texts.mapInArrow(lambda x: task_filters(x, power, segments, shortest), "segment long, once binary, twice binary")
+                    .groupBy("segment").applyInPandas(merge_segment, "segment long, twice binary, n long"))
+    repeats = merged.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    folded = min(power, _power(BITS_A_REPEAT * repeats), int(np.log2(MAX_BROADCAST * 8)))
+    bits = np.zeros((1 << folded) // 8, np.uint8)
+    for row in merged.toLocalIterator():
+        at = (np.frombuffer(row["twice"], np.uint32).astype(_U) + _U(row["segment"] * ((1 << power) // segments))) & _U((1 << folded) - 1)
+        np.bitwise_or.at(bits, at >> _U(3), np.left_shift(np.uint8(1), (at & _U(7)).astype(np.uint8)))
+    return bits, folded, power
+
+
+def holds(bits: np.ndarray, folded: int, power: int, hashes: np.ndarray) -> np.ndarray:
+    at = _probes(hashes, power) & _U((1 << folded) - 1)
+    return ((bits[at >> _U(3)] >> (at & _U(7)).astype(np.uint8)) & 1).all(axis=0)
+
+
+def suspected_lines(texts: DataFrame, shortest: int) -> DataFrame:
+    """line, once for each row that holds it: the keys that the twice filter holds."""
     held = texts.sparkSession.sparkContext.broadcast(twice_filter(texts, shortest))
 
-    def suspects(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            keys = [k for text in part["text"] if text for k in {line_key(x) for x in text.split("\n")} if len(k) >= shortest]
-            if keys:
-                seen = _holds(held.value, _bits(np.array([line_hash(k) for k in keys], np.uint64)))
-                yield pd.DataFrame({"line": [k for k, s in zip(keys, seen) if s]}, dtype=object)
+    def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j in slices(batch.column(0)):
+                data, _, begin, end, h = _distinct_lines(batch.column(0).slice(i, j - i), shortest)
+                at = np.flatnonzero(holds(*held.value, h)) if len(h) else []
+                yield pa.RecordBatch.from_arrays([pa.array([_key(data, begin[k], end[k]) for k in at], pa.string())], ["line"])
 
-    return (texts.mapInPandas(suspects, "line string").groupBy("line").agg(F.count("*").alias("docs"))
-            .where(F.col("docs") >= min_docs))
+    return texts.mapInArrow(suspects, "line string")
 
 
-def _kept(text: str | None, common: set[str], keep_first: bool) -> tuple[int, int, str]:
-    lines = (text or "").split("\n")
-    if keep_first:
-        seen: set[str] = set()
-        kept = [x for x in lines if (k := line_key(x)) not in common or not (k in seen or seen.add(k))]
-    else:
-        kept = [x for x in lines if line_key(x) not in common]
-    return len(lines), len(lines) - len(kept), "\n".join(kept)
+def common_lines(texts: DataFrame, min_docs: int, shortest: int) -> DataFrame:
+    """Keys (line), found in at least min_docs rows, with that number (docs). Counts are exact."""
+    return suspected_lines(texts, shortest).groupBy("line").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs)
+
+
+class _Cutter:
+    """Cuts lines from texts: by the hashes of the keys to drop, and then by the keys themselves."""
+
+    def __init__(self, firsts: dict[str, str | None]) -> None:
+        self.firsts = firsts
+        data, starts = bytes_of(pa.array(list(firsts), pa.string()))
+        self.hashes = np.unique(lines_of(data, starts)[5]) if firsts else np.empty(0, _U)
+
+    def cut(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """Texts, their lines, and how many of those went."""
+        data, starts = bytes_of(texts)
+        row, begin, end, key_begin, key_end, h = lines_of(data, starts)
+        n = np.bincount(row, minlength=len(texts))
+        hit = np.flatnonzero(np.isin(h, self.hashes)) if len(self.hashes) else np.empty(0, int)
+        drop, seen, shas = np.zeros(len(row), bool), set(), {}
+        for i in hit:
+            key = _key(data, key_begin[i], key_end[i])
+            if key in self.firsts:
+                drop[i] = True
+                if self.firsts[key] is not None and (row[i], key) not in seen:  # the first occurrence in the first text stays
+                    r = row[i]
+                    shas[r] = shas.get(r) or hashlib.sha256(data[starts[r] : starts[r + 1]].tobytes()).hexdigest()
+                    drop[i] = self.firsts[key] != shas[r]
+                    seen.add((row[i], key))
+        gone = np.bincount(row[drop], minlength=len(texts))
+        kept = pc.fill_null(texts, "")
+        if len(hit):
+            first, out = np.r_[0, np.cumsum(n)], kept.to_pylist()
+            for r in np.flatnonzero(gone):
+                at = np.arange(first[r], first[r + 1])
+                out[r] = b"\n".join(data[begin[i] : end[i]].tobytes() for i in at[~drop[at]]).decode("utf-8", "replace")
+            kept = pa.array(out, texts.type)
+        return kept, n, gone
 
 
 def line_dedup(docs: DataFrame, min_docs: int = 10, shortest: int = 1, text_col: str = "text", id_col: str = "doc_id",
@@ -139,72 +193,60 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, shortest: int = 1, text_col:
     common = stored(common_lines(texts, min_docs, shortest))
     if keep == "first":
         common = stored(_first_rows(docs, common, text_col, id_col))
-    n, size = common.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("line") + 100), F.lit(0))).first()
-    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "_mine")]
-    schema = T.StructType([docs.schema[c] for c in names] + [T.StructField(c, T.LongType()) for c in ("n_lines", "n_dropped")])
-    schema[text_col].nullable = True
+    size = common.agg(F.coalesce(F.sum(F.octet_length("line") + 100), F.lit(0))).first()[0]
+    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    schema = T.StructType([T.StructField(c, docs.schema[c].dataType) for c in names] + [T.StructField(c, T.LongType()) for c in ("n_lines", "n_dropped")])
+    firsts = lambda rows: {r["line"]: r["first_sha"] if keep == "first" else None for r in rows}
+    at = names.index(text_col)
+
+    def rebuilt(part: pa.RecordBatch, kept: pa.Array, n: np.ndarray, gone: np.ndarray) -> pa.RecordBatch:
+        columns = [kept if i == at else part.column(i) for i in range(len(names))]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(gone, pa.int64())], [*names, "n_lines", "n_dropped"])
+
     if size <= BROADCAST_BYTES:
-        lines = {r["line"]: (r["first_sha"] if keep == "first" else None) for r in common.toLocalIterator()} if n else {}
-        held = docs.sparkSession.sparkContext.broadcast(lines)
-
-        def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            every = set(held.value)
-            for part in parts:
-                yield _cut_part(part, names, text_col, lambda i, text: every if keep == "none" else _split_first(text, held.value, every))
-
-        return docs.select(names).mapInPandas(cut, schema)
-    sha = F.sha2(F.col(text_col), 256)
-
-    def lines_of(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            yield pd.DataFrame([(s, k) for s, text in zip(part["sha"], part["text"]) for k in {line_key(x) for x in text.split("\n")} if len(k) >= shortest],
-                               columns=["sha", "line"], dtype=object)
-
-    mine = (docs.where(F.col(text_col).isNotNull()).select(sha.alias("sha"), F.col(text_col).alias("text")).mapInPandas(lines_of, "sha string, line string")
-            .dropDuplicates(["sha", "line"]).join(common, "line"))
-    entry = F.struct("line", (F.col("first_sha") == F.col("sha") if keep == "first" else F.lit(False)).alias("first"))
-    mine = mine.groupBy("sha").agg(F.collect_list(entry).alias("_mine"))  # at most the lines of one text
-    joined = docs.select(names).withColumn("_sha", sha).join(mine.withColumnRenamed("sha", "_sha"), "_sha", "left").drop("_sha")
-
-    def cut_joined(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            own = [x if x is not None else () for x in part["_mine"]]
-            yield _cut_part(part, names, text_col, lambda i, text: ({x["line"] for x in own[i] if not x["first"]}, {x["line"] for x in own[i] if x["first"]}) if keep == "first" else {x["line"] for x in own[i]})
-
-    return joined.mapInPandas(cut_joined, schema)
-
-
-def _split_first(text: str | None, firsts: dict, every: set[str]) -> tuple[set[str], set[str]]:
-    """Of the keys to drop, those that go wholly from this text, and those of which it holds the first occurrence."""
-    mine = {k for x in (text or "").split("\n") if (k := line_key(x)) in every}
-    sha = hashlib.sha256((text or "").encode()).hexdigest() if mine else ""
-    return {k for k in mine if firsts[k] != sha}, {k for k in mine if firsts[k] == sha}
-
-
-def _cut_part(part: pd.DataFrame, names: list[str], text_col: str, keys) -> pd.DataFrame:
-    out = part[names].copy()
-    rows = []
-    for i, text in enumerate(part[text_col]):
-        mine = keys(i, text)
-        if isinstance(mine, tuple):
-            a = _kept(text, mine[0], False)
-            b = _kept(a[2], mine[1], True) if mine[1] else (0, 0, a[2])
-            rows.append((a[0], a[1] + b[1], b[2]))
-        else:
-            rows.append(_kept(text, mine, False))
-    out["n_lines"], out["n_dropped"], out[text_col] = ([r[k] for r in rows] for k in range(3))
-    return out
+        held = docs.sparkSession.sparkContext.broadcast(firsts(common.toLocalIterator()))
+
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            cutter = _Cutter(held.value)
+            for batch in batches:
+                for i, j in slices(batch.column(at)):
+                    part = batch.slice(i, j - i)
+                    yield rebuilt(part, *cutter.cut(part.column(at)))
+
+        return docs.select(names).mapInArrow(cut, schema)
+    sha, mine = (unused(docs, x) for x in ("sha", "mine"))
+    of_text = F.sha2(F.col(text_col), 256)
+    entry = F.struct("line", *(["first_sha"] if keep == "first" else []))
+    own = (_lines_with(docs.where(F.col(text_col).isNotNull()).select(of_text.alias("sha"), F.lit(None).cast("long").alias("id"), F.col(text_col).alias("text")), shortest)
+           .select("sha", "line").distinct().join(common, "line").groupBy("sha").agg(F.collect_list(entry).alias(mine)))  # at most the lines of one text
+    joined = docs.select(names).withColumn(sha, of_text).join(own.withColumnRenamed("sha", sha), sha, "left").select(*names, mine)
+
+    def cut_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                part = batch.slice(i, 1)
+                yield rebuilt(part, *_Cutter(firsts(part.column(len(names))[0].as_py() or [])).cut(part.column(at)))
+
+    return joined.mapInArrow(cut_joined, schema)
+
+
+def _lines_with(rows: DataFrame, shortest: int) -> DataFrame:
+    """id, sha, line for each row (sha, id, text) and each distinct key of its text."""
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j in slices(batch.column(2)):
+                part = batch.slice(i, j - i)
+                data, row, begin, end, _ = _distinct_lines(part.column(2), shortest)
+                at = pa.array(row)
+                yield pa.RecordBatch.from_arrays([part.column(1).take(at), part.column(0).take(at), pa.array([_key(data, a, b) for a, b in zip(begin, end)], pa.string())], ["id", "sha", "line"])
+
+    return rows.mapInArrow(listed, "id long, sha string, line string")
 
 
 def _first_rows(docs: DataFrame, common: DataFrame, text_col: str, id_col: str) -> DataFrame:
     """common with first_sha: the hash of the text in the row with the smallest id that holds the key. Rows that
     repeat that text hold it as well."""
-    def lines_of(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            yield pd.DataFrame([(i, s, k) for i, s, text in zip(part["id"], part["sha"], part["text"]) for k in {line_key(x) for x in text.split("\n")}],
-                               columns=["id", "sha", "line"]).astype({"id": "Int64"})
-
-    held = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.sha2(F.col(text_col), 256).alias("sha"), F.col(text_col).alias("text"))
+    held = docs.where(F.col(text_col).isNotNull()).select(F.sha2(F.col(text_col), 256).alias("sha"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rank = F.struct(F.col("id").isNull().alias("none"), "id", "sha")
-    return (held.mapInPandas(lines_of, "id long, sha string, line string").join(common, "line")
+    return (_lines_with(held, 1).join(common, "line")
             .groupBy("line").agg(F.min(rank).alias("first")).select("line", F.col("first.sha").alias("first_sha")))

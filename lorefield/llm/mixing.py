@@ -4,20 +4,24 @@ Every document has an expected number of copies, its source's target size over t
 taken outright; the fraction is an inclusion probability. The flight phase moves the probabilities of three documents
 at a time along the null space of the two balancing constraints (documents and words), until one of them
 reaches 0 or 1; sums stay as they were. Blocks of a source fly apart from each other and leave at most two undecided
-documents each, which fly again in later rounds, until a source has at most two; those land by the outcome that
-leaves the words nearest to their expectation while keeping their probabilities.
+documents each, beside a few that they keep, drawn by hash; those fly again in later rounds, until a source has one block. In that block LANDING documents don't fly; together with
+the two at most that flight leaves they are the landing problem: of all their outcomes, that nearest to the words expected of them is taken (the nearest
+in documents on ties). So a source misses its target by less than a short document, unless it has few documents or one is longer than the drawn ones together.
 
 Defined results: a null or wordless text has size 0 and is taken 0 words' worth; a null source is a source of its own
-and comes last; documents fly from long to short, in hash order among equals, so that small ones are left to land and reruns agree and repeated rows are exchangeable; an
-empty table gives an empty result; other columns are ignored, whatever their names.
+and comes last; documents fly from long to short, in hash order among equals, so that reruns agree and repeated rows are exchangeable; a null id is a value like
+any other; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import heapq
+import itertools
 from collections.abc import Iterator
 from fractions import Fraction
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,6 +31,8 @@ from .common import checked, stored, word_count
 #: Documents for each block of a flight round, and the most that a document may be taken.
 BLOCK = 4096
 MOST = 3
+#: Documents of a source that are kept for the landing; all blocks of an earlier round keep about four times as many, one each at least.
+LANDING = 13
 _EDGE = 1e-9
 
 
@@ -94,71 +100,61 @@ def flight(rows: Iterator[tuple], done, seed: tuple) -> list[list]:
 
 
 def land(held: list[list], done, seed: tuple) -> None:
-    """Decides one or two rows: of the joint laws with these probabilities, that with the least mean imbalance."""
-    if len(held) == 1:
-        done(held[0], int(_draw(seed) < held[0][0]))
-    elif len(held) == 2:
-        (p, a), (q, b) = ((r[0], r[1]) for r in held)
-        mean = p * a + q * b
-        off = lambda x, y: abs(x * a + y * b - mean)
-        both = min(p, q) if off(1, 1) + off(0, 0) < off(1, 0) + off(0, 1) else max(0.0, p + q - 1)
-        u = _draw(seed)
-        x, y = (1, 1) if u < both else (1, 0) if u < p else (0, 1) if u < p + q - both else (0, 0)
-        done(held[0], x)
-        done(held[1], y)
-
-
-def fly_blocks(parts: Iterator[pd.DataFrame], turn: int) -> Iterator[pd.DataFrame]:
+    """Decides a few rows at once: the outcome nearest to their expected words, then documents, then by hash. A row that is sure to go or to stay does so."""
+    if not held:
+        return
+    p, sizes = np.array([r[0] for r in held]), np.array([r[1] for r in held], float)
+    outcomes = np.array(list(itertools.product((0, 1), repeat=len(held))))
+    off = np.abs(outcomes @ sizes - p @ sizes)
+    near = np.flatnonzero(off <= off.min() + 1e-6)
+    docs = np.abs(outcomes[near].sum(1) - p.sum())
+    near = near[docs <= docs.min() + 1e-6]
+    for row, copy in zip(held, outcomes[near[int(_draw(seed) * len(near))]]):
+        done(row, int(copy))
+
+
+def fly_blocks(batches: Iterator[pa.RecordBatch], turn: int) -> Iterator[pa.RecordBatch]:
     """Rows sorted by source and block; a block is done when the next begins, so memory doesn't grow with it."""
-    columns = ["id", "source", "size", "whole", "p", "last"]
-
-    def blocks() -> Iterator[tuple]:
-        for part in parts:
-            yield from zip(part["source"].astype(object).where(part["source"].notna(), None), part["block"], part["blocks"], part["id"], part["size"], part["whole"], part["p"])
-
+    names = ["id", "source", "size", "whole", "p", "last"]
+    types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.bool_()]
     out: list[tuple] = []
 
     def done(r, copy: int) -> None:
         out.append((r[2], r[3], r[1], r[4] + copy, 0.0, True))
 
-    now, held = None, []
-
-    def end() -> None:
-        nonlocal held
-        if now and now[2] == 1:
-            land(held, done, ("land", turn, *now[:2]))
-        else:
-            out.extend((r[2], r[3], r[1], r[4], r[0], False) for r in held)
-        held = []
+    def rows() -> Iterator[tuple]:
+        for batch in batches:
+            yield from zip(*(c.to_pylist() for c in batch.columns))
 
-    def frame() -> pd.DataFrame:
-        made = pd.DataFrame(out, columns=columns)
-        made["id"] = made["id"].astype("Int64")
+    def made() -> pa.RecordBatch:
+        columns = [pa.array([r[i] for r in out], t) for i, t in enumerate(types)]
         out.clear()
-        return made
+        return pa.RecordBatch.from_arrays(columns, names)
 
-    each = blocks()
-    row = next(each, None)
-    while row is not None:
-        now = row[:3]
+    for now, block in itertools.groupby(rows(), key=lambda r: r[:3]):
+        final, kept, held = now[2] == 1, [], []  # kept: the rows with the smallest draws, for the landing or for the next round
+        keep = LANDING if final else -(-4 * LANDING // now[2])
 
         def mine() -> Iterator[tuple]:
-            nonlocal row
-            while row is not None and row[:3] == now:
-                yield row[6], row[4], row[3], row[0], row[5]
-                row = next(each, None)
+            for n, (_, _, _, id_, size, whole, p, place) in enumerate(block):
+                row = (p, size, id_, now[0], whole)
+                if len(kept) < keep:
+                    heapq.heappush(kept, (-place, n, row))
+                else:
+                    yield heapq.heappushpop(kept, (-place, n, row))[2]
 
         pending = mine()
-        while True:  # in slices, so that decided rows can leave
-            slice_ = [x for _, x in zip(range(20_000), pending)]
-            if not slice_:
-                break
+        while slice_ := list(itertools.islice(pending, 20_000)):  # in slices, so that decided rows can leave
             held = flight((*held, *slice_), done, (turn, *now[:2], len(slice_), slice_[0][2]))
             if len(out) >= 20_000:
-                yield frame()
-        end()
+                yield made()
+        held = [*held, *(list(x[2]) for x in sorted(kept))]
+        if final:
+            land(held, done, ("land", turn, *now[:2]))
+        else:
+            out.extend((r[2], r[3], r[1], r[4], r[0], False) for r in held)
     if out:
-        yield frame()
+        yield made()
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST, id_col: str = "doc_id", text_col: str = "text",
@@ -181,16 +177,16 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST,
         block = F.pmod(F.xxhash64(F.lit(turn), "id", "size"), F.col("blocks"))
         dealt = flying.withColumn("blocks", blocks).withColumn("block", block).withColumn("place", F.xxhash64(F.lit(f"place{turn}"), "id", "size"))
         dealt = dealt.repartition("source", "block").sortWithinPartitions("source", "block", F.desc("size"), "place", "id")
-        flown = stored(dealt.select("source", "block", "blocks", "id", "size", "whole", "p").mapInPandas(
-            lambda parts, t=turn: fly_blocks(parts, t), "id long, source string, size long, whole long, p double, last boolean"))
+        flown = stored(dealt.select("source", "block", "blocks", "id", "size", "whole", "p", "place").mapInArrow(
+            lambda batches, t=turn: fly_blocks(batches, t), "id long, source string, size long, whole long, p double, last boolean"))
         decided.append(flown.where("last").select("id", "source", "size", F.col("whole").alias("copies")))
         if largest <= BLOCK:
             break
-        # a block left two at most
-        largest, turn = 2 * -(-largest // BLOCK), turn + 1
+        # blocks left two at most, and what they kept
+        largest, turn = 3 * -(-largest // BLOCK) + 4 * LANDING, turn + 1
         left = flown.where("not last")
-        counts = left.groupBy("source").agg(F.count("*").alias("docs"))
-        flying = left.alias("d").join(F.broadcast(counts.alias("s")) if few is not targets and targets.count() <= 200_000 else counts.alias("s"), same).select("id", "d.source", "size", "docs", "whole", "p")
+        counts = stored(left.groupBy("source").agg(F.count("*").alias("docs")))
+        flying = left.alias("d").join(checked(counts).alias("s"), same).select("id", "d.source", "size", "docs", "whole", "p")
     rows = decided[0]
     for more in decided[1:]:
         rows = rows.unionByName(more)

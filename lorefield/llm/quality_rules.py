@@ -1,15 +1,15 @@
 """Quality rules with risk-controlled thresholds, with DataFrame functions only.
 
-Rules compare a measure of the text with a cutoff. Labelled good documents (quality 1) of each stratum, the language,
-are the holdout. A cutoff may be used only if an exact binomial test rejects, at a corrected level, that it would reject
-more than `risk` of the stratum's good documents: P(Bin(n, risk) <= rejected) <= delta / tests. The level is divided by the number of
-strata times rules (Bonferroni); within a rule, cutoffs are tested from lenient to strict and testing stops at the
-first that fails (fixed sequence), which needs no further division. Among the cutoffs that passed, the one that
-rejects the most labelled bad documents is used, the most lenient on ties; a rule that rejects none is left out.
+Rules compare a measure of the text with a cutoff. Labelled good documents (quality 1) of each stratum, the language, are the holdout, in two halves by id hash.
+One half, with the bad documents, proposes STEPS sets of cutoffs, from lenient to strict: step t allows each rule a share t / STEPS of the risk among that half's good
+documents, and takes the rule's cutoff that then rejects the most bad ones (the most lenient on ties; a rule that rejects none is left out). The other half tests
+whole sets: a set may be used only if an exact binomial test rejects, at a corrected level, that its rules together reject more
+than `risk` of the stratum's good documents: P(Bin(n, risk) <= rejected) <= delta / strata (Bonferroni). Sets are tested from lenient to strict and testing
+stops at the first that fails (fixed sequence), which needs no further division. So with chance 1 - delta no stratum loses more than `risk` of its good documents to all rules.
 
 Defined results: a null text has no words and fails the base; a null stratum is a stratum of its own; a stratum with
-too few labels gets no threshold, so the base alone decides there; a document with several labels counts in each; an
-empty table of documents or labels is allowed; other columns are ignored, whatever their names.
+too few labels gets no cutoffs, so the base alone decides there; a document with several labels counts once, as bad if any label says so, and so does a labelled id that several rows
+have; an empty table of documents or labels is allowed; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,11 +19,12 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, stored, text_or_empty
+from .common import SPACE, checked, stored, text_or_empty
 
-#: Share of good documents that a rule may reject in a stratum, and the chance that any of these bounds is wrong.
+#: Share of good documents that all rules may reject in a stratum, the chance that any of these bounds is wrong, and sets of cutoffs that are tried.
 RISK = 0.02
 DELTA = 0.05
+STEPS = 8
 #: Fixed cutoffs of the rules, lenient to strict; a document is rejected above (+1) or below (-1) the cutoff.
 RULES: dict[str, tuple[int, tuple[float, ...]]] = {
     "symbol_share": (1, (0.5, 0.3, 0.2, 0.15, 0.1, 0.08, 0.06, 0.05, 0.04, 0.03, 0.02)),
@@ -35,13 +36,10 @@ RULES: dict[str, tuple[int, tuple[float, ...]]] = {
 }
 
 
-def repeat_words(words: Column) -> Column:
-    """Words that lie in a 5-word window which the text holds twice or more, from the array of its words' hashes.
-
-    Windows are compared by 64-bit hashes of five word hashes. Texts whose windows all differ end there. In others,
-    sorting (hash, position) brings equal windows together; the words covered follow from the sorted positions.
-    """
-    windows = F.when(F.size(words) >= 5, F.transform(
+def repeat_windows(words: Column) -> Column:
+    """Hashes of the 5-word windows of a text, from the array of its words' hashes; none if so few words are repeated that no window can be: where two
+    windows are equal, at least five words of the text have occurred before."""
+    windows = F.when((F.size(words) >= 6) & (F.size(words) - F.size(F.array_distinct(words)) >= 5), F.transform(
         F.sequence(F.lit(0), F.size(words) - 5), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(5)])))
     return F.coalesce(windows, F.array().cast("array<bigint>"))
 
@@ -60,7 +58,7 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
     base = base.select(
         id_col, *keep, "n_words", "word_chars", "n_symbols", "n_capitals", F.size("_lines").cast("long").alias("n_lines"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        repeat_words(F.col("_hashes")).alias("_windows"))
+        repeat_windows(F.col("_hashes")).alias("_windows"))
     base = base.withColumn("_sorted", F.when(
         F.size(F.array_distinct("_windows")) < F.size("_windows"),
         F.array_sort(F.transform("_windows", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))))
@@ -96,28 +94,42 @@ def binomial_tail(n: Column, x: Column, p: float) -> Column:
     return F.when(x > n * p + 1, F.lit(1.0)).otherwise(tail)
 
 
-def thresholds(measured: DataFrame, labels: DataFrame, stratum: str, risk: float = RISK, delta: float = DELTA,
-               id_col: str = "doc_id") -> DataFrame:
-    """stratum, rule, cutoff for each rule that may be used; with holdout (good documents), rejected_good, rejected_bad."""
+def _hits(cutoffs: str) -> Column:
+    """Names of the rules that reject a document, with the cutoffs of a map column."""
+    values = rule_values()
+    hits = F.array(*[F.when(_rejects(values[r], side, F.element_at(cutoffs, r)), F.lit(r)) for r, (side, _) in RULES.items()])
+    return F.coalesce(F.filter(hits, lambda x: x.isNotNull()), F.array().cast("array<string>"))
+
+
+def proposed(tuning: DataFrame, risk: float) -> DataFrame:
+    """stratum, step, cutoffs (by rule) from measured documents with stratum and good."""
     values = rule_values()
-    marked = measured.where(~F.col("base_failed")).join(
-        labels.where(F.col("quality").isNotNull()).select(F.col(id_col), F.col("quality").alias("_quality")), id_col)
     grid = [(rule, side, i, c) for rule, (side, cuts) in RULES.items() for i, c in enumerate(cuts)]
-    good = F.col("_quality") == 1
-    cells = marked.groupBy(F.col(stratum).alias("stratum")).agg(
-        F.count_if(good).alias("holdout"),
-        F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(i).alias("step"), F.lit(float(c)).alias("cutoff"),
-                           F.count_if(good & _rejects(values[rule], side, c)).alias("rejected_good"),
-                           F.count_if(~good & _rejects(values[rule], side, c)).alias("rejected_bad"))
+    cells = tuning.groupBy("stratum").agg(
+        F.count_if("good").alias("holdout"),
+        F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(i).alias("place"), F.lit(float(c)).alias("cutoff"),
+                           F.count_if(F.col("good") & _rejects(values[rule], side, c)).alias("rejected_good"),
+                           F.count_if(~F.col("good") & _rejects(values[rule], side, c)).alias("rejected_bad"))
                   for rule, side, i, c in grid]).alias("cells"))
-    cells = stored(cells)
-    tests = max(1, cells.count()) * len(RULES)
-    tested = cells.select("stratum", "holdout", F.inline("cells")).withColumn(
-        "passed", (binomial_tail(F.col("holdout"), F.col("rejected_good"), risk) <= delta / tests))
-    so_far = Window.partitionBy("stratum", "rule").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    passed = tested.withColumn("passed", F.min("passed").over(so_far)).where(F.col("passed") & (F.col("rejected_bad") > 0))
-    best = F.max_by(F.struct("cutoff", "holdout", "rejected_good", "rejected_bad"), F.struct("rejected_bad", -F.col("step"))).alias("best")
-    return passed.groupBy("stratum", "rule").agg(best).select("stratum", "rule", "best.*")
+    steps = F.explode(F.sequence(F.lit(1), F.lit(STEPS))).alias("step")
+    allowed = cells.select("stratum", "holdout", F.inline("cells")).select("*", steps).where((F.col("rejected_good") <= F.col("holdout") * risk * F.col("step") / STEPS) & (F.col("rejected_bad") > 0))
+    best = allowed.groupBy("stratum", "step", "rule").agg(F.max_by("cutoff", F.struct("rejected_bad", -F.col("place"))).alias("cutoff"))
+    return best.groupBy("stratum", "step").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cutoffs"))  # one for each rule
+
+
+def thresholds(measured: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA, id_col: str = "doc_id") -> DataFrame:
+    """stratum, cutoffs, holdout (good documents tested), rejected_good: the strictest set of cutoffs of each stratum that may be used."""
+    of_label = labels.where(F.col("quality").isNotNull()).groupBy(F.col(id_col).alias("_id")).agg((F.min("quality") == 1).alias("good"))
+    marked = stored(measured.where(~F.col("base_failed")).join(of_label, F.col(id_col) == F.col("_id")).dropDuplicates(["_id"])
+                    .withColumn("tuning", F.pmod(F.xxhash64(F.lit("half"), "_id"), F.lit(2)) == 0))
+    sets = stored(proposed(marked.where("tuning"), risk))  # at most STEPS for each stratum
+    strata = max(1, marked.select("stratum").distinct().count())
+    tested = marked.where("good and not tuning").alias("d").join(checked(sets).alias("s"), F.col("d.stratum").eqNullSafe(F.col("s.stratum"))).select("d.*", "step", "cutoffs")
+    counts = tested.groupBy("stratum", "step").agg(F.count("*").alias("holdout"), F.count_if(F.size(_hits("cutoffs")) > 0).alias("rejected_good"), F.first("cutoffs").alias("cutoffs"))
+    passed = counts.withColumn("passed", binomial_tail(F.col("holdout"), F.col("rejected_good"), risk) <= delta / strata)
+    so_far = Window.partitionBy("stratum").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    usable = passed.withColumn("passed", F.min("passed").over(so_far)).where("passed")
+    return usable.groupBy("stratum").agg(F.max_by(F.struct("cutoffs", "holdout", "rejected_good"), "step").alias("best")).select("stratum", "best.*")
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, delta: float = DELTA,
@@ -126,14 +138,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", ris
     base_failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     narrow = docs.select(F.col(id_col), F.col(text_col), F.col(stratum).alias("stratum"))
     measured = stored(measures(narrow, id_col, text_col, ("stratum",)).withColumn("base_failed", base_failed))
-    # one row per stratum and at most one cutoff for each of the six rules in it
-    found = stored(thresholds(measured, labels, "stratum", risk, delta, id_col)
-                   .groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cutoffs")))
-    values = rule_values()
-    from .common import checked
-
+    found = stored(thresholds(measured, labels, risk, delta, id_col).select("stratum", "cutoffs"))
     joined = measured.alias("m").join(checked(found).alias("f"), F.col("m.stratum").eqNullSafe(F.col("f.stratum")), "left").select("m.*", "cutoffs")
-    hits = F.filter(F.array(*[F.when(_rejects(values[r], side, F.element_at("cutoffs", r)), F.lit(r)) for r, (side, _) in RULES.items()]), lambda x: x.isNotNull())
-    return joined.withColumn("failed_rules", F.coalesce(hits, F.array().cast("array<string>"))).select(
+    return joined.withColumn("failed_rules", _hits("cutoffs")).select(
         id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & (F.size("failed_rules") == 0)).alias("kept"), "failed_rules", F.col("stratum").alias("stratum"))

@@ -2,8 +2,8 @@
 
 Keys are text hashes, so equal texts lie side by side. A sample in which a record's chance is proportional to its
 size gives the splitters: its quantiles cut the key space into ranges of about equal size. Exact range sizes follow
-from one aggregate; a range that is overfull, as one with a hot text is, is subdivided by a hash of the id. Ranges
-and their parts, in order, then fill the shards one after another up to equal sizes.
+from one aggregate: ranges are subdivided by a hash of the key into cells, so that equal texts stay together, and a cell that is overfull, as one
+with a hot text is, further by a hash of the id. Cells, in order, then fill the shards one after another up to equal sizes.
 
 Defined results: a null text has size 1; a null id hashes like any other value; repeated rows are separate records;
 an empty table gives an empty result; other columns are ignored, whatever their names.
@@ -16,9 +16,11 @@ from pyspark.sql import functions as F
 
 from .common import checked, stored
 
-#: Ranges for each shard, parts of an overfull range, keys in the sample, records that one task numbers.
+#: Ranges for each shard, cells of a range and parts of an overfull cell, the share of a shard above which a cell is overfull (1 / OVERFULL), keys in the sample,
+#: records that one task numbers.
 RANGES = 32
 PARTS = 256
+OVERFULL = 32
 SAMPLE = 20_000
 NUMBERED = 50_000
 
@@ -47,27 +49,27 @@ def shard_by_size(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text
     cuts = splitters(records, total, ranges)
     bounds = F.array(*[F.lit(x).cast("long") for x in cuts]) if cuts else F.array().cast("array<long>")
     ranged = records.withColumn("range", F.size(F.filter(bounds, lambda x: x <= F.col("key"))))
-    part = F.pmod(F.xxhash64(F.lit("part"), "id"), F.lit(PARTS)).cast("int")
-    # at most ranges * PARTS rows, whatever the input
-    cells = stored(ranged.groupBy("range", part.alias("part")).agg(F.sum("size").alias("size")))
-    whole = cells.groupBy("range").agg(F.sum("size").alias("range_size"))
-    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    hashed = lambda c: F.pmod(F.xxhash64(F.lit("part"), c), F.lit(PARTS)).cast("int")
+    ranged = ranged.withColumn("cell", hashed("key")).withColumn("part", hashed("id"))
     share = max(total, 1) / shards
-    whole = whole.withColumn("start", F.coalesce(F.sum("range_size").over(before), F.lit(0)))
-    crosses = F.floor(F.col("start") / share) != F.floor((F.col("start") + F.col("range_size")) / share)
-    whole = whole.withColumn("overfull", crosses | (F.col("range_size") > 2 * max(total, 1) / ranges))
-    inside = Window.partitionBy("range").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    placed = cells.join(F.broadcast(whole), "range").withColumn(
-        "middle", F.when(F.col("overfull"), F.col("start") + F.coalesce(F.sum("size").over(inside), F.lit(0)) + F.col("size") / 2)
-        .otherwise(F.col("start") + F.col("range_size") / 2))
-    placed = stored(placed.select("range", "part", F.least(F.floor(F.col("middle") / share), F.lit(shards - 1)).cast("int").alias("shard")))
+    # at most ranges * PARTS cells, and at most shards * OVERFULL of them overfull, whatever the input
+    cells = stored(ranged.groupBy("range", "cell").agg(F.sum("size").alias("size")).withColumn("overfull", F.col("size") > share / OVERFULL))
+    hot = cells.where("overfull").select("range", "cell")
+    parts = ranged.join(F.broadcast(hot), ["range", "cell"]).groupBy("range", "cell", "part").agg(F.sum("size").alias("size"))
+    units = stored(cells.where("not overfull").select("range", "cell", F.lit(-1).alias("part"), "size").unionByName(parts))
+    before = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = F.coalesce(F.sum("range_size").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row for each range
+    starts = units.groupBy("range").agg(F.sum("size").alias("range_size")).select("range", earlier.alias("start"))
+    middle = F.col("start") + F.coalesce(F.sum("size").over(before("range").orderBy("cell", "part")), F.lit(0)) + F.col("size") / 2
+    placed = stored(units.join(F.broadcast(starts), "range").select("range", "cell", F.col("part").alias("of_part"), F.least(F.floor(middle / share), F.lit(shards - 1)).cast("int").alias("shard")))
     piles = max(1, -(-n // (shards * NUMBERED)))
-    sharded = stored(ranged.withColumn("part", part).join(F.broadcast(placed), ["range", "part"])
+    sharded = stored(ranged.join(F.broadcast(hot.withColumn("hot", F.lit(True))), ["range", "cell"], "left")
+                     .withColumn("of_part", F.when(F.col("hot"), F.col("part")).otherwise(F.lit(-1))).join(F.broadcast(placed), ["range", "cell", "of_part"])
                      .withColumn("pile", F.pmod(F.xxhash64(F.lit("pile"), "id", "key"), F.lit(piles)).cast("int"))
                      .select("id", "size", "crc", "key", "shard", "pile"))
     counts = sharded.groupBy("shard", "pile").agg(F.count("*").alias("rows"))
-    earlier = Window.partitionBy("shard").orderBy("pile").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = stored(counts.select("shard", "pile", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("offset")))
+    previous = Window.partitionBy("shard").orderBy("pile").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = stored(counts.select("shard", "pile", F.coalesce(F.sum("rows").over(previous), F.lit(0)).alias("offset")))
     order = Window.partitionBy("shard", "pile").orderBy("key", F.col("id").asc_nulls_last(), "size")
     return (sharded.withColumn("place", F.row_number().over(order) - 1)
             .join(checked(offsets, shards * piles), ["shard", "pile"])
