@@ -4,7 +4,8 @@ Texts with equal sets are one node. The nodes under a signature are a bucket; a
 other buckets don't, and is left out. Each bucket has a pivot, the node that shares most signatures of all. Every linking pair lies in a bucket, so both are
 members of its pivot's group. A member's exact difference from its pivot is taken from both whole texts (which shuffle in fewer bytes than
 their hashes). Whether two members link follows from their differences: directly from the sizes for the pivot itself, and for others through
-the differences that they share. So a group of thousands of near copies takes work in proportion to its size, not to its pairs.
+the differences that they share. A group of up to PART members is done by one task as its texts arrive; a larger one is dealt in parts, each with the pivot's text, and
+its members meet by the differences that a linking pair must share. So a group of thousands of near copies takes work in proportion to its size, not to its pairs.
 
 A signature that very many nodes share doesn't meet in one task: a batch of texts sends two of its nodes on, which show that the
 signature is shared, and the others join those signatures afterwards, where adaptive execution splits hot keys.
@@ -33,6 +34,8 @@ from .partenum import Bands, signatures
 #: Set hashes that a task remembers; nodes of a batch that a signature sends on.
 REMEMBERED = 100_000
 SENT = 2
+#: Members of a group that one task compares with each other.
+PART = 256
 _U = np.uint64
 
 
@@ -43,7 +46,7 @@ def _lists(values: np.ndarray, rows: np.ndarray, n: int) -> pa.ListArray:
 
 
 def _signed(batches: Iterator[pa.RecordBatch], width: int, percent: int, seed: int) -> Iterator[pa.RecordBatch]:
-    """id, print, n, node, proof (more bits of the set's hash) of each text, and its signatures: for its own band, for the next, and those
+    """id, print, n, node, proof (more bits of the set's hash) of each text, and its signatures (with a last bit of 1 if they stand for its own band), apart from those
     that SENT texts before it in the batch have already. A set that the task has just seen has no signatures again."""
     bands, seen = Bands(percent), {}
     for batch in batches:
@@ -61,22 +64,25 @@ def _signed(batches: Iterator[pa.RecordBatch], width: int, percent: int, seed: i
             found, rows, own = signatures(items, offsets, bands)
             use = fresh[rows]
             found, rows, own = found[use], rows[use], own[use]
+            found &= ~_U(1)
             order = np.argsort(found, kind="stable")  # those for a set's own band come first
             same = np.zeros(len(found), bool)
             same[SENT:] = found[order][SENT:] == found[order][:-SENT]
             more = np.zeros(len(found), bool)
             more[order] = same
-            lists = [_lists(found[m], rows[m], j - i) for m in (own & ~more, ~own & ~more, more)]
+            found |= own.astype(_U)
+            lists = [_lists(found[m], rows[m], j - i) for m in (~more, more)]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(np.diff(offsets)), pa.array(nodes.view(np.int64)), pa.array(proofs.view(np.int64)), *lists],
-                                             ["id", "print", "n", "node", "proof", "own", "further", "more"])
+                                             ["id", "print", "n", "node", "proof", "sigs", "more"])
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows (sig, own, node), sorted, own first: sig, node of the signatures with an own one and at least two nodes."""
+    """From rows (sig, node), sorted, those of an own band first: sig (without the last bit), node of the signatures with one of an own band and at least two nodes."""
     sig = first = last = None
     owned = told = False
     for batch in batches:
-        s, w, n = (np.asarray(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False), np.asarray(batch.column(2)))
+        s, n = (np.asarray(batch.column(i)) for i in (0, 1))
+        s, w = s & ~1, (s & 1) > 0
         if not len(s):
             continue
         starts = np.r_[True, s[1:] != s[:-1]]
@@ -100,31 +106,75 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sig, first, last, owned = s[-1], begin[-1], n[-1], bool(has[-1])
 
 
-def _differences(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """From rows (pivot, node, alone, both whole texts): pivot, node, size, pivot_size, apart (elements in one of both sets) and, unless the group has no
-    other member, d: those elements, in one order for all members: first what the pivot lacks, then what it has, each by hash."""
+class _Group:
+    """A part of a pivot's group as it arrives."""
+
+    def __init__(self, key: tuple, items: np.ndarray, percent: int) -> None:
+        self.key, self.items, self.k, self.q = key, items, 100 + percent, 100 - percent
+        self.nodes: list[int] = []
+        self.sizes: list[int] = []
+        self.ds: list[np.ndarray] = []
+
+    def add(self, node: int, items: np.ndarray) -> bool:
+        """Takes a member; whether it links with the pivot. d: first what the pivot lacks, then what it has, each by hash."""
+        self.nodes.append(node)
+        self.sizes.append(len(items))
+        self.ds.append(np.r_[np.setdiff1d(items, self.items, True), np.setdiff1d(self.items, items, True)])
+        return self.k * len(self.ds[-1]) <= self.q * (len(items) + len(self.items))
+
+    def links(self, direct: list[bool]) -> list[tuple[int, int]]:
+        """Links among members of which one isn't linked with the pivot: b and c differ in |d_b| + |d_c| - 2 |d_b & d_c| elements."""
+        if len(self.nodes) < 2 or all(direct):
+            return []
+        counts = np.array([len(d) for d in self.ds])
+        g = self.k * counts - self.q * np.array(self.sizes)
+        elements, owner, out = np.concatenate(self.ds), np.repeat(np.arange(len(counts)), counts), []
+        for b in np.flatnonzero(~np.array(direct)):
+            shared = np.bincount(owner[np.isin(elements, self.ds[b])], minlength=len(counts))
+            out += [(self.nodes[b], self.nodes[c]) for c in np.flatnonzero(g[b] + g <= 2 * self.k * shared) if c != b]
+        return out
+
+
+def _compared(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """From rows (pivot, part, member, large, node, text), sorted, each part's pivot first: links a, b; and for members of groups in several parts also pivot, node,
+    size, direct (linked with the pivot), d."""
+    group: _Group | None = None
+    direct: list[bool] = []
     for batch in batches:
-        for i, j in slices(pa.concat_arrays([batch.column(4)])):
+        links, rows, ds = [], [], []
+        for i, j in slices(batch.column(5)):
             part = batch.slice(i, j - i)
-            pivots, alone = np.asarray(part.column(0)), part.column(2).to_pylist()
-            new = np.r_[True, pivots[1:] != pivots[:-1]]
-            own = np.cumsum(new) - 1
-            items, offsets = shingle_sets(part.column(4), width)
-            theirs, their_offsets = shingle_sets(part.column(3).take(pa.array(np.flatnonzero(new))), width)
-            apart, lists = [], []
-            for k in range(j - i):
-                a, b = items[offsets[k] : offsets[k + 1]], theirs[their_offsets[own[k]] : their_offsets[own[k] + 1]]
-                lacks, has = np.setdiff1d(a, b, True), np.setdiff1d(b, a, True)
-                apart.append(len(lacks) + len(has))
-                lists += [lacks[:0]] if alone[k] else [lacks, has]
-            sizes = np.where(alone, 0, apart)
-            d = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(np.concatenate(lists).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(offsets)), pa.array(np.diff(their_offsets)[own]), pa.array(apart, pa.int64()), d],
-                                             ["pivot", "node", "size", "pivot_size", "apart", "d"])
+            items, offsets = shingle_sets(part.column(5), width)
+            for k, (pivot, place, member, large, node) in enumerate(zip(*(part.column(c).to_pylist() for c in range(5)))):
+                mine = items[offsets[k] : offsets[k + 1]]
+                if not member:
+                    if group is None or group.key != (pivot, place):  # else a repeated row
+                        links += group.links(direct) if group else []
+                        group, direct = _Group((pivot, place), mine, percent), []
+                elif not group.nodes or group.nodes[-1] != node:
+                    direct.append(group.add(node, mine))
+                    if direct[-1]:
+                        links.append((pivot, node))
+                    if large:  # only the last is held, against repeated rows
+                        rows.append((pivot, node, len(mine), direct[-1]))
+                        ds.append(group.ds[-1])
+                        for held in (group.nodes, group.sizes, group.ds, direct):
+                            del held[:-1]
+        yield _found(links, rows, ds)
+    if group and len(group.nodes) > 1:
+        yield _found(group.links(direct), [], [])
+
+
+def _found(links: list[tuple], rows: list[tuple], ds: list[np.ndarray]) -> pa.RecordBatch:
+    none = [None] * len(links)
+    columns = [pa.array([x[i] for x in links] + [None] * len(rows), pa.int64()) for i in (0, 1)]
+    columns += [pa.array(none + [r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.bool_()))]
+    lists = pa.array(none + [d.view(np.int64) for d in ds], pa.list_(pa.int64()))
+    return pa.RecordBatch.from_arrays([*columns, lists], ["a", "b", "pivot", "node", "size", "direct", "d"])
 
 
 def _linked_members(members: DataFrame, percent: int) -> DataFrame:
-    """Links a, b among the members (pivot, node, size, d, direct) of the same group of which at least one isn't linked with the pivot itself.
+    """Links a, b among the members (pivot, node, size, d, direct) of the same large group of which at least one isn't linked with the pivot itself.
 
     Members b and c differ in |d_b| + |d_c| - 2 |d_b & d_c| elements, so with g = (100 + percent) |d| - (100 - percent) size they link
     if and only if g_b + g_c <= 2 (100 + percent) |d_b & d_c|. If neither is linked with the pivot, or one of them, they share differences: those pairs are met by
@@ -151,18 +201,20 @@ def _linked_members(members: DataFrame, percent: int) -> DataFrame:
 
 
 def _groups(signed: DataFrame) -> DataFrame:
-    """pivot, node, alone: the members of each pivot's group, from the signatures of all nodes; alone where there is one member."""
-    exploded = signed.select(F.explode("own").alias("sig"), F.lit(True).alias("own"), "node").unionByName(signed.select(F.explode("further").alias("sig"), F.lit(False).alias("own"), "node"))
-    dealt = exploded.repartition("sig").sortWithinPartitions("sig", F.desc("own"), "node")
+    """node, at: for each node that shares a signature, the groups that its text goes to: pivot, part, member (or the pivot itself), large (in several parts)."""
+    dealt = signed.select(F.explode("sigs").alias("sig"), "node").repartition(F.shiftright("sig", 1)).sortWithinPartitions(F.desc("sig"), "node")
     shared = stored(dealt.mapInArrow(_shared, "sig long, node long"))
     if signed.where(F.size("more") > 0).head(1):
-        more = signed.select(F.explode("more").alias("sig"), "node").join(stored(shared.select("sig").distinct()), "sig", "left_semi")
+        more = signed.select(F.explode("more").alias("sig"), "node").withColumn("sig", F.col("sig").bitwiseAND(~1)).join(stored(shared.select("sig").distinct()), "sig", "left_semi")
         shared = stored(shared.unionByName(more))
     counts = stored(shared.groupBy("node").agg(F.count("*").alias("n")))
     pivots = stored(shared.join(counts, "node").groupBy("sig").agg(F.max(F.struct("n", "node")).alias("most")).select("sig", F.col("most.node").alias("pivot")))
     members = stored(shared.join(pivots, "sig").where("node <> pivot").select("pivot", "node").distinct())
-    sizes = stored(members.groupBy("pivot").agg((F.count("*") == 1).alias("alone")))
-    out = stored(members.join(sizes, "pivot"))
+    sizes = stored(members.groupBy("pivot").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")))
+    placed = members.join(sizes, "pivot").select("node", F.struct("pivot", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), F.lit(True).alias("member"), (F.col("parts") > 1).alias("large")).alias("at"))
+    leads = sizes.select("pivot", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select(
+        F.col("pivot").alias("node"), F.struct("pivot", "part", F.lit(False).alias("member"), (F.col("parts") > 1).alias("large")).alias("at"))
+    out = stored(placed.unionByName(leads).groupBy("node").agg(F.collect_list("at").alias("at")))  # at most a node's signatures, and the parts of its own group
     removed(shared, counts, pivots, members, sizes)
     return out
 
@@ -170,7 +222,7 @@ def _groups(signed: DataFrame) -> DataFrame:
 def _placed(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str, seed: int = 0) -> DataFrame:
     """id, print (hash of the text), n (shingles), component of each row of docs."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("print"))
-    signed = stored(texts.mapInArrow(lambda x: _signed(x, width, percent, seed), "id long, print long, n long, node long, proof long, own array<long>, further array<long>, more array<long>"))
+    signed = stored(texts.mapInArrow(lambda x: _signed(x, width, percent, seed), "id long, print long, n long, node long, proof long, sigs array<long>, more array<long>"))
     groups = _groups(signed)
     rows = stored(signed.select("id", "print", "n", "node", "proof"))
     removed(signed)
@@ -178,27 +230,23 @@ def _placed(docs: DataFrame, width: int, percent: int, id_col: str, text_col: st
     if nodes.where("proof <> proof2").head(1):  # unequal sets with one hash: hash all anew
         return _placed(docs, width, percent, id_col, text_col, seed + 1)
     # one row of docs for each node in a group; its whole text is read again
-    needed = groups.select("node").unionByName(groups.select(F.col("pivot").alias("node"))).distinct()
     one = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("of_id"), F.col("print").alias("of_print"))).alias("one")
-    chosen = stored(rows.join(stored(needed), "node").groupBy("node").agg(one).select("node", "one.of_id", "one.of_print"))
-    n_nodes = chosen.count()
+    first = stored(rows.join(groups.select("node"), "node").groupBy("node").agg(one).select("node", "one.of_id", "one.of_print"))
+    chosen = stored(first.join(groups, "node"))
     mine = F.col("id").eqNullSafe(F.col("of_id")) & (F.col("print") == F.col("of_print"))
-    of_nodes = stored(texts.join(checked(chosen, n_nodes), mine).select("node", "text"))
-    if of_nodes.count() > n_nodes:  # repeated rows
-        of_nodes = stored(of_nodes.dropDuplicates(["node"]))
-    text_of = lambda n: of_nodes.select(F.col("node").alias(n), F.col("text").alias(f"{n}_text"))
-    paired = groups.join(text_of("node"), "node").join(text_of("pivot"), "pivot").select("pivot", "node", "alone", "pivot_text", "node_text")
-    schema = "pivot long, node long, size long, pivot_size long, apart long, d array<long>"
-    direct = (100 + percent) * F.col("apart") <= (100 - percent) * (F.col("size") + F.col("pivot_size"))
-    apart = stored(paired.mapInArrow(lambda x: _differences(x, width), schema).withColumn("direct", direct))
-    removed(of_nodes, groups, chosen)
-    links = _linked_members(apart.where("size(d) > 0"), percent).unionByName(apart.where("direct").select(F.col("pivot").alias("a"), F.col("node").alias("b")))
+    sent = texts.join(checked(chosen), mine).select("node", "text", F.explode("at").alias("at")).select("at.pivot", "at.part", "at.member", "at.large", "node", "text")
+    dealt = sent.repartition("pivot", "part").sortWithinPartitions("pivot", "part", "member", "node")
+    found = stored(dealt.mapInArrow(lambda x: _compared(x, width, percent), "a long, b long, pivot long, node long, size long, direct boolean, d array<long>"))
+    removed(groups, first, chosen)
+    links, large = found.where("a is not null").select("a", "b"), found.where("a is null").drop("a", "b")
+    if large.head(1):
+        links = links.unionByName(_linked_members(large, percent))
     roots = stored(components(links))
     tops = stored(roots.join(nodes, "node").groupBy("root").agg(F.min("least").alias("least")))
     linked = roots.join(checked(tops), "root").select("node", "least")
     copies = nodes.where("copies > 1").join(roots.select("node"), "node", "left_anti").select("node", "least")
     classes = stored(linked.unionByName(copies))
-    removed(apart, roots, tops, nodes)
+    removed(found, roots, tops, nodes)
     placed = rows.join(checked(classes), "node", "left")
     alone = F.col("least").isNull() | (F.col("n") == 0)
     return placed.select("id", "print", "n", F.when(alone, F.col("id")).otherwise(F.col("least")).alias("component"))

@@ -284,8 +284,9 @@ def test_jaccard_components(docs, rows, width, percent):
     assert Counter(map(tuple, jaccard_join.jaccard_components(docs, width, percent).collect())) == expected
 
 
-@pytest.mark.parametrize("width, percent", [(4, 85), (5, 80)])
-def test_jaccard_many_variants(spark, empty, width, percent):
+@pytest.mark.parametrize("width, percent, part", [(4, 85, 256), (5, 80, 256), (4, 85, 4)])  # with groups in several parts
+def test_jaccard_many_variants(spark, empty, width, percent, part, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "PART", part)
     rng = random.Random(8)
     bases = [[f"b{k}x{i}" for i in range(n)] for k, n in enumerate((8, 12, 40, 200))]
     texts = []
@@ -351,10 +352,10 @@ def test_shared_signatures_over_batches():
         own |= set() if lower else {s}
     expected = {(s, n) for s in nodes for n in nodes[s] if s in own and len(nodes[s]) > 1}
     for size in (1, 2, 7, 1000):
-        batches = [pa.RecordBatch.from_arrays([pa.array([r[0] for r in b], pa.int64()), pa.array([not r[1] for r in b]), pa.array([r[2] for r in b], pa.int64())], ["sig", "own", "node"])
+        batches = [pa.RecordBatch.from_arrays([pa.array([2 * r[0] + (not r[1]) for r in b], pa.int64()), pa.array([r[2] for r in b], pa.int64())], ["sig", "node"])
                    for b in (rows[i : i + size] for i in range(0, len(rows), size))]
         got = [x for b in jaccard_join._shared(iter(batches)) for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
-        assert set(got) == expected
+        assert {(s // 2, n) for s, n in got} == expected
 
 
 @pytest.mark.parametrize("united", [1 << 18, 500, 9])
