@@ -1,11 +1,11 @@
 """Quality classification by co-training.
 
-Two views of a document train two logistic models: the text view (byte shares, word and line statistics of the whole
+Two views of a document train two logistic models: the text view (byte shares, word and line statistics, and hashed words and word pairs of the whole
 text) and the metadata view (language, source, recorded length). In each round either model labels unlabelled documents it
-is sure of for the other. Platt scaling on held-out labels calibrates each view, a second logistic model on the held-out logits combines
+is sure of, by its calibrated chances, for the other. Platt scaling on held-out labels calibrates each view, a second logistic model on the held-out logits combines
 them, and the cutoff keeps all but a small share of the held-out good documents. All documents are then scored.
 
-Fitting reads at most about `max_labels` labelled and `max_pool` unlabelled documents, drawn by id hash. Scoring reads all.
+Fitting reads at most `max_labels` labelled and `max_pool` unlabelled documents, those with the smallest id hashes. Scoring reads all.
 
 Defined results: a null text has the features of an empty one; null or missing metadata is a value of its own; without labels
 of both classes nothing is learnt: p_text, p_meta and score are null and every document is kept; repeated rows score alike;
@@ -20,24 +20,29 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import stored
+from .hashing import bytes_of, mixed, slices, word_hashes
 
 #: Bounds of the fitting sample, and the share of held-out good documents that the cutoff may reject.
 MAX_LABELS = 16_000
 MAX_POOL = 8_000
 REJECTED_GOOD = 0.003
+#: Ridge of both views' models.
+RIDGE = 10.0
 META = ("lang", "source", "n_chars")
 _SLOTS = 48
+#: Buckets of hashed words and of hashed word pairs in the text view.
+WORDS, PAIRS = 256, 128
 SCORES = ("p_text", "p_meta", "score", "kept")
 
 
-def text_features(text: str | None) -> np.ndarray:
+def _statistics(b: bytes) -> np.ndarray:
     """Byte shares (ASCII one by one, the rest together) and word and line statistics of a whole text."""
-    b = (text or "").encode("utf-8", "surrogatepass")
     words, n = b.split(), max(1, len(b))
     count = np.bincount(np.frombuffer(b, np.uint8), minlength=256)
     lines = [x for x in b.split(b"\n") if x.strip()]
@@ -46,7 +51,23 @@ def text_features(text: str | None) -> np.ndarray:
     stats = [np.log1p(len(words)), sizes.mean(), sizes.std(), min(int(sizes.max()), 100), len(set(words)) / k, np.log1p(len(lines)),
              1 - len(set(lines)) / max(1, len(lines)), k / max(1, len(lines)), float(b[:1].isupper()), float(b.rstrip()[-1:] in (b".", b"!", b"?")),
              count[65:91].sum() / max(1, count[65:91].sum() + count[97:123].sum()), np.sqrt(count[33:48].sum() / n), np.sqrt(count[58:65].sum() / n), np.sqrt(count[123:127].sum() / n)]
-    return np.r_[np.sqrt(count[:128] / n), count[128:].sum() / n, stats].astype(np.float32)
+    return np.r_[np.sqrt(count[:128] / n), count[128:].sum() / n, stats]
+
+
+def text_features(texts: pa.Array) -> np.ndarray:
+    """The text view, one row for each text; null is empty."""
+    out = [np.zeros((0, 143 + WORDS + PAIRS), np.float32)]
+    for i, j in slices(texts):
+        data, starts = bytes_of(texts.slice(i, j - i))
+        hashes, row = word_hashes(data, starts)
+        pairs = mixed(hashes[:-1] * np.uint64(3) + hashes[1:])[row[:-1] == row[1:]] if len(hashes) else hashes
+        shares = []
+        for h, r, n in ((hashes, row, WORDS), (pairs, row[:-1][row[:-1] == row[1:]], PAIRS)):
+            count = np.bincount(r * n + (h % np.uint64(n)).astype(np.int64), minlength=(j - i) * n).reshape(j - i, n)
+            shares.append(np.sqrt(count / np.maximum(1, count.sum(1, keepdims=True))))
+        stats = np.stack([_statistics(data[a:b].tobytes()) for a, b in zip(starts[:-1], starts[1:])])
+        out.append(np.c_[stats, *shares].astype(np.float32))
+    return np.concatenate(out)
 
 
 def meta_features(values: tuple) -> np.ndarray:
@@ -59,17 +80,17 @@ def meta_features(values: tuple) -> np.ndarray:
     return out
 
 
-def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, start: np.ndarray | None = None) -> np.ndarray:
     """Weights of a ridge logistic regression by Newton's steps; the last is the intercept."""
     x1 = np.c_[x, np.ones(len(x))].astype(float)
-    w = np.zeros(x1.shape[1])
+    w = np.zeros(x1.shape[1]) if start is None else start.copy()
     pull = np.full(len(w), ridge)
     pull[-1] = 1e-6
     for _ in range(25):
         p = 1 / (1 + np.exp(-np.clip(x1 @ w, -30, 30)))
         step = np.linalg.solve((x1.T * (weight * p * (1 - p))) @ x1 + np.diag(pull + 1e-9), x1.T @ (weight * (p - y)) + pull * w)
         w -= step
-        if np.abs(step).max() < 1e-6:
+        if np.abs(step).max() < 1e-4:
             break
     return w
 
@@ -103,8 +124,8 @@ class CoTrained:
 
 def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray, rounds: int = 4,
              sure: float = 0.95, each: int = 250) -> CoTrained | None:
-    """y: 0 or 1. Every fourth row is held out for calibration, another for the cutoff. None if a class is missing."""
-    part = np.arange(len(y)) % 4
+    """y: 0 or 1. A quarter of the rows is held out for calibration, another for the cutoff. None if a class is missing."""
+    part = np.random.default_rng(5).permutation(len(y)) % 4
     train, tune, hold = part > 1, part == 0, part == 1
     if any(len(set(y[m])) < 2 for m in (train, tune)):
         return None
@@ -114,15 +135,16 @@ def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.nd
     given: list[dict[int, int]] = [{}, {}]  # pseudo-labels that each view's model has got from the other
     models = []
     for turn in range(rounds + 1):
-        models = []
+        before, models = models or [None, None], []
         for v in (0, 1):
             at = np.array(list(given[v]), int)
             x, t = np.r_[views[v][train], pools[v][at]], np.r_[y[train], [given[v][i] for i in at]]
-            models.append(fit(x, t, np.r_[np.ones(train.sum()), np.full(len(at), 0.3)]))
+            models.append(fit(x, t, np.r_[np.ones(train.sum()), np.full(len(at), 0.3)], RIDGE, before[v]))
         if turn == rounds or not len(pool_text):
             break
         for v in (0, 1):
-            p = _p(_logit(pools[v], models[v]))
+            sure_of = fit(_logit(views[v][tune], models[v])[:, None], y[tune], np.ones(tune.sum()), 0.01)  # calibrated, so that a weak view gives few labels
+            p = _p(_logit(_logit(pools[v], models[v])[:, None], sure_of))
             order = np.argsort(p, kind="stable")
             for i in (*[i for i in order[:each] if p[i] <= 1 - sure], *[i for i in order[::-1][:each] if p[i] >= sure]):
                 given[1 - v].setdefault(int(i), int(p[i] > 0.5))
@@ -144,20 +166,22 @@ def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     marked = labels.where(F.col("quality").isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max("quality").alias("_y"))
     n_labels, n_docs = marked.count(), docs.count()
     unit = lambda c: F.pmod(F.xxhash64(F.lit("fit"), c), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    chosen = marked.where(unit("_id") < max_labels / max(1, n_labels)).limit(2 * max_labels)
-    pool = (docs.select(F.col(id_col).alias("_id")).where(F.col("_id").isNotNull()).where(unit("_id") < (max_pool + max_labels) / max(1, n_docs))
-            .join(marked, "_id", "left_anti").distinct().limit(2 * max_pool).withColumn("_y", F.lit(None).cast("int")))
+    chosen = marked.where(unit("_id") < 1.5 * (max_labels + 100) / max(1, n_labels)).orderBy(unit("_id"), "_id").limit(max_labels)
+    near = docs.select(F.col(id_col).alias("_id")).where(F.col("_id").isNotNull()).where(unit("_id") < 1.5 * (max_pool + max_labels) / max(1, n_docs))
+    pool = near.join(marked, "_id", "left_anti").distinct().orderBy(unit("_id"), "_id").limit(max_pool).withColumn("_y", F.lit(None).cast("int"))
     sample = stored(chosen.select("_id", F.col("_y").cast("int").alias("_y")).unionByName(pool))
 
-    def features(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            metas = [part[f"_m{i}"] for i in range(len(meta_cols))]
-            yield pd.DataFrame({"id": part["_id"], "y": part["_y"].astype("Int64"), "text": [text_features(t).tobytes() for t in part["_text"]],
-                                "meta": [meta_features(v).tobytes() for v in zip(*metas)] if metas else [b""] * len(part)})
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = text_features(batch.column(2))
+            metas = zip(*(batch.column(3 + i).to_pylist() for i in range(len(meta_cols)))) if meta_cols else [()] * batch.num_rows
+            meta = [meta_features(v).tobytes() for v in metas]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1).cast(pa.int64()), pa.array([x.tobytes() for x in text], pa.binary()), pa.array(meta, pa.binary())], ["id", "y", "text", "meta"])
 
-    # the sample has at most 2 * (max_labels + max_pool) narrow rows
+    # the sample has at most max_labels and about max_pool narrow rows
     rows = (docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *[F.col(c).alias(f"_m{i}") for i, c in enumerate(meta_cols)])
-            .join(F.broadcast(sample), "_id").mapInPandas(features, "id long, y long, text binary, meta binary").toPandas())
+            .join(F.broadcast(sample), "_id").select("_id", "_y", "_text", *[f"_m{i}" for i in range(len(meta_cols))])
+            .mapInArrow(features, "id long, y long, text binary, meta binary").toPandas())
     if not len(rows):
         return None
     rows = rows.sort_values(["id", "text"], kind="stable")
@@ -176,18 +200,17 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     metas = tuple(c for c in meta_cols if c in docs.columns)
     names = [c for c in docs.columns if c not in SCORES]
     out = [c for c in names if carry_text or c != text_col]
-    schema = T.StructType([docs.schema[c] for c in out] + [T.StructField(c, T.DoubleType()) for c in SCORES[:3]] + [T.StructField("kept", T.BooleanType())])
+    schema = T.StructType([T.StructField(c, docs.schema[c].dataType) for c in out] + [T.StructField(c, T.DoubleType()) for c in SCORES[:3]] + [T.StructField("kept", T.BooleanType())])
     if model is None:
         return docs.select(*out, *[F.lit(None).cast("double").alias(c) for c in SCORES[:3]], F.lit(True).alias("kept"))
     held = docs.sparkSession.sparkContext.broadcast(model)
 
-    def scored(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            if not len(part):
-                continue
-            text = np.stack([text_features(t) for t in part[text_col]])
-            meta = np.stack([meta_features(v) for v in zip(*[part[c] for c in metas])]) if metas else np.zeros((len(part), 0), np.float32)
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = text_features(batch.column(names.index(text_col)))
+            values = [batch.column(names.index(c)).to_pylist() for c in metas]
+            meta = np.stack([meta_features(v) for v in zip(*values)]) if metas and batch.num_rows else np.zeros((batch.num_rows, _SLOTS * len(metas)), np.float32)
             a, b, both = held.value.scores(text, meta)
-            yield part[out].assign(p_text=a, p_meta=b, score=both, kept=both >= held.value.cutoff)
+            yield pa.RecordBatch.from_arrays([*(batch.column(names.index(c)) for c in out), *(pa.array(x, pa.float64()) for x in (a, b, both)), pa.array(both >= held.value.cutoff)], [*out, *SCORES])
 
-    return docs.select(names).mapInPandas(scored, schema)
+    return docs.select(names).mapInArrow(scored, schema)

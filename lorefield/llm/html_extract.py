@@ -8,11 +8,11 @@ children choose freely), so that nothing is kept under something dropped.
 
 Training uses a bounded sample of the table's own pages whose mark-up states the article. Their copies are rewritten by rule: semantic tags become
 plain blocks with various class names or none, and menus, notices, adverts, forms, sidebars and comments are put beside and inside
-the article. So the trees learn from structure and tokens instead of one tag.
+the article. So the trees learn from structure and tokens instead of one tag. Some copies lie in a form as a whole, as pages of some servers do, and some comments have no name.
 
 Defined results: a null or empty page gives an empty text; a page without main text gives an empty text; whole pages are
-read whatever their length or depth; repeated rows give equal texts; without any page to learn from, built-in sentences fill the training pages;
-an empty table gives an empty result; only the columns named in the result are read.
+read whatever their length or depth; repeated rows give equal texts, ties between states go to keeping; a null id or URL stays null; without any page to learn from, built-in sentences fill the training pages;
+an empty table gives an empty result; only the columns named in the result are read, whatever other columns are called.
 """
 
 from __future__ import annotations
@@ -21,25 +21,31 @@ import functools
 import html as entities
 import random
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import Boosted, boost
+from .hashing import slices
 
-#: Pages in the training sample, at most twice as many; rewritten copies of each; nodes of one page that train at most.
-TRAIN_PAGES = 120
+#: Bounds of the training sample: pages, those with the smallest hashes; rewritten copies of each; blocks of its article that a copy has at most; nodes of a copy that train
+#: at most; characters of a page that trains at most. All pages are extracted whole.
+TRAIN_PAGES = 160
 COPIES = 6
+TRAIN_BLOCKS = 40
 TRAIN_NODES = 80
+TRAIN_CHARS = 1_000_000
+#: Trees, and their depth.
+TREES, DEPTH = 100, 4
 #: Log odds that dropping something inside kept text has to overcome, and nodes that are scored at once.
-CARVED = 0.5
-#: Elements whose tag states that they aren't main text, and the log odds that this takes from them.
-BOILERPLATE = frozenset(("nav", "footer", "aside", "form", "menu", "dialog"))
-STATED = 6.0
+CARVED = 1.5
 SCORED = 4096
+#: Buckets of hashed attribute tokens.
+HASHED = 24
 
 # Fixed values of HTML: elements inside a line, elements without content, elements never shown as text, and elements that a start tag ends.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -49,13 +55,13 @@ RAW = frozenset("script style textarea title iframe noembed noframes xmp".split(
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPES = frozenset("ul ol dl table div article section main aside nav body blockquote form header footer".split())
 TAGS = ("article main section div p h blockquote pre ul ol li dl table td nav header footer aside form figure figcaption address #text".split())
-# Families of attribute tokens.
+# Families of attribute tokens, in several languages.
 FAMILIES = {
-    "article": "article story post entry hentry blog news", "content": "content main body text prose copy page", "title": "title headline heading",
-    "nav": "nav menu navbar navigation breadcrumb breadcrumbs toc pagination pager tabs", "header": "header masthead top topbar logo brand", "footer": "footer foot bottom copyright colophon legal",
-    "side": "sidebar side aside widget rail related recommended trending popular archive tags tag", "ad": "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner",
-    "notice": "cookie cookies consent notice alert gdpr modal popup overlay warning disclaimer paywall", "comment": "comment comments reply replies respond discussion disqus feedback thread",
-    "form": "form login signup subscribe newsletter search register contact", "social": "share sharing social follow meta byline author tools",
+    "article": "article story post entry hentry blog news artikel beitrag articulo noticia histoire", "content": "content main body text prose copy page inhalt contenu contenido texte", "title": "title headline heading titel titre titulo ueberschrift",
+    "nav": "nav menu navbar navigation breadcrumb breadcrumbs toc pagination pager tabs navigation menue navi hauptmenue sommaire navegacion", "header": "header masthead top topbar logo brand kopf kopfzeile entete cabecera", "footer": "footer foot bottom copyright colophon legal fuss fusszeile pied pie impressum",
+    "side": "sidebar side aside widget rail related recommended trending popular archive tags tag seitenleiste randspalte verwandt lateral barra relacionados connexe", "ad": "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner werbung anzeige anzeigen publicite publicidad anuncio anuncios pub reklame",
+    "notice": "cookie cookies consent notice alert gdpr modal popup overlay warning disclaimer paywall hinweis datenschutz avis aviso banniere zustimmung", "comment": "comment comments reply replies respond discussion disqus feedback thread kommentar kommentare commentaire commentaires comentario comentarios opinion opiniones leserbriefe antworten reponse respuestas",
+    "form": "form login signup subscribe newsletter search register contact formular anmeldung suche formulaire recherche formulario busqueda abonnement", "social": "share sharing social follow meta byline author tools teilen partager compartir autor auteur",
 }
 _FAMILY = {t: i for i, words in enumerate(FAMILIES.values()) for t in words.split()}
 _TAG = re.compile(r"<!--|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?][^>]*+>")
@@ -174,12 +180,13 @@ class Page:
 
 @functools.lru_cache(4096)
 def _tokens(attrs: str) -> int:
-    """Families that occur among the attribute tokens, as bits."""
+    """Families that occur among the attribute tokens, as bits; then the tokens' hashes."""
     out = 0
     for m in _ATTR.finditer(attrs):
         for t in _TOKEN.findall(m[1]):
             if (k := _FAMILY.get(t.lower())) is not None:
                 out |= 1 << k
+            out |= 1 << len(FAMILIES) + zlib.crc32(t.lower().encode()) % HASHED
     return out
 
 
@@ -194,14 +201,14 @@ def node_rows(page: Page) -> list[tuple]:
     stops = [x.count(".") + x.count("!") + x.count("?") for x in page.text]
     leaves, paras, nodes = [1 if x else 0 for x in page.text], [1 if t == "p" else 0 for t in tags], [1] * n
     depth, index, children = [0] * n, [0] * n, [0] * n
-    own, above = [0] * n, [0] * n
+    own = [0] * n
     alike: dict[tuple[int, str], int] = {}
     for i in range(n):
         attrs = page.attrs[i]
-        own[i] = _KIND.get(tags[i], 0) << len(FAMILIES) | (_tokens(attrs) if attrs else 0)
+        own[i] = _KIND.get(tags[i], 0) << len(FAMILIES) + HASHED | (_tokens(attrs) if attrs else 0)
         if i:
             p = parent[i]
-            depth[i], above[i], index[i] = depth[p] + 1, above[p] | own[p], children[p]
+            depth[i], index[i] = depth[p] + 1, children[p]
             children[p] += 1
             alike[p, tags[i]] = alike.get((p, tags[i]), 0) + 1
     for i in range(n - 1, 0, -1):
@@ -213,6 +220,12 @@ def node_rows(page: Page) -> list[tuple]:
         leaves[p] += leaves[i]
         paras[p] += paras[i]
         nodes[p] += nodes[i]
+    for i in range(n):  # a form around most of a page's text is a container of the page, as a plain block is
+        if tags[i] == "form" and 2 * length[i] > length[0]:
+            own[i] = own[i] & ~(_KIND["form"] << len(FAMILIES) + HASHED | 1 << _FAMILY["form"]) | _KIND["div"] << len(FAMILIES) + HASHED
+    above = [0] * n
+    for i in range(1, n):
+        above[i] = above[parent[i]] | own[parent[i]]
     return [(length[i], linked[i], commas[i], stops[i], leaves[i], paras[i], nodes[i], depth[i], index[i], children[p], alike.get((p, tags[i]), 1),
              length[p], linked[p], paras[p], length[0], own[i], above[i]) for i, p in enumerate([0, *parent[1:]])]
 
@@ -221,17 +234,17 @@ def node_features(rows: list[tuple]) -> np.ndarray:
     """The features of nodes, from their rows: subtree density, siblings, depth, and indicators of the bits."""
     length, linked, commas, stops, leaves, paras, nodes, depth, index, brothers, same, up_length, up_linked, up_paras, page, own, above = np.array(rows, np.int64).reshape(-1, 17).T
     per = lambda a, b: a / np.maximum(b, 1)
-    bits = np.arange(len(FAMILIES) + len(TAGS))
+    bits = np.arange(len(FAMILIES) + HASHED + len(TAGS))
+    families = np.r_[bits[: len(FAMILIES)], bits[len(FAMILIES) + HASHED :]]  # ancestors by family and tag only
     return np.c_[
         np.log1p(length), per(linked, length), per(length, nodes), per(length, leaves), per(commas, length) * 100, per(stops, length) * 100, np.log1p(paras),
         np.log1p(nodes), per(length, page), per(length, up_length), np.minimum(depth, 30), per(index, brothers), np.log1p(brothers), per(same, brothers), np.log1p(up_length),
-        per(up_linked, up_length), np.log1p(up_paras), own[:, None] >> bits & 1, above[:, None] >> bits & 1].astype(np.float32)
+        per(up_linked, up_length), np.log1p(up_paras), own[:, None] >> bits & 1, above[:, None] >> families & 1].astype(np.float32)
 
 
 def decode(page: Page, logit: np.ndarray) -> list[bool]:
     """Which nodes are kept: the best consistent states. Mixed costs as much as an undecided node."""
     n = len(page.tag)
-    logit = logit - np.array([STATED if t in BOILERPLATE else 0.0 for t in page.tag])
     yes, no = -np.logaddexp(0, -logit), -np.logaddexp(0, logit)
     drop, keep, mixed = no.copy(), yes.copy(), np.full(n, np.log(0.5))
     for i in range(n - 1, 0, -1):
@@ -296,7 +309,7 @@ def _blocks(source: str) -> tuple[list[str], list[str]]:
     state = [0] * len(page.tag)
     for i in range(1, len(page.tag)):
         tag, tokens = page.tag[i], _tokens(page.attrs[i])
-        bad = tag in _BOILER or tokens >> 3
+        bad = tag in _BOILER or tokens >> 3 & (1 << len(FAMILIES) - 3) - 1
         state[i] = -1 if bad or state[page.parent[i]] == -1 else 1 if tag in ("article", "main") or tokens & 1 else state[page.parent[i]]
         if page.text[i] and state[i]:
             (main if state[i] == 1 else rest).append(page.text[i])
@@ -323,9 +336,10 @@ def _rewritten(main: list[str], rest: list[str], rng: random.Random) -> str:
         return f"<{tag}{own}>{inner}</{tag}>"
 
     def comments() -> str:
-        one = lambda: f"<{(t := rng.choice(('li', 'div', 'article')))}{rng.choice((sure('comment'), ''))}><p>{some(1, 3)} {link()}</p><p>{some(4, 60)}.</p></{t}>"
+        named_ = rng.random() < 0.8
+        one = lambda: f"<{(t := rng.choice(('li', 'div', 'article')))}{rng.choice((sure('comment'), '')) if named_ else ''}><p>{some(1, 3)} {link()}</p><p>{some(4, 60)}.</p></{t}>"
         tag = rng.choice(("section", "div", "ol"))
-        return f"<{tag}{sure('comment')}><h{rng.choice('234')}>{some(1, 3)}</h{rng.choice('234')}>{''.join(one() for _ in range(rng.randint(1, 6)))}</{tag}>"
+        return f"<{tag}{sure('comment') if named_ or tag == 'div' else ''}><h{rng.choice('234')}>{some(1, 3)}</h{rng.choice('234')}>{''.join(one() for _ in range(rng.randint(1, 6)))}</{tag}>"
 
     def form() -> str:
         return rng.choice((f"<form{named('form')}><p>{some(2, 12)}</p><label>{some(1, 3)}</label><input type=text></form>", f"<div{sure('form')}><p>{some(3, 15)}</p><input></div>"))
@@ -353,7 +367,8 @@ def _rewritten(main: list[str], rest: list[str], rng: random.Random) -> str:
         before.insert(0, rng.choice((f"<header{named('header')}><p>{some(1, 6)}</p>{menu()}</header>", f"<div{sure('header')}>{some(1, 6)}</div>")))
     after = [side() for _ in range(rng.randint(0, 3))] + ([comments()] if rng.random() < 0.3 else [])
     foot = rng.choice((f"<footer{named('footer')}>&copy; {some(2, 12)}</footer>", f"<div{sure('footer')}><p>&copy; {some(2, 12)}</p>{items(1, 4)}</div>", f"<footer><p>{some(3, 20)}.</p></footer>"))
-    return "".join([*before, article, *after, foot])
+    page = "".join([*before, article, *after, foot])
+    return f'<form{rng.choice((named("form"), named("content"), ""))} method="post">{page}</form>' if rng.random() < 0.15 else page
 
 
 def _labelled(source: str) -> tuple[np.ndarray, np.ndarray]:
@@ -374,11 +389,13 @@ def _labelled(source: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def trained(pages: DataFrame, html_col: str = "html", max_pages: int = TRAIN_PAGES) -> Boosted:
-    """Trees from about max_pages pages, drawn by a hash of the page, rewritten COPIES times each."""
+    """Trees from max_pages pages, those with the smallest hashes, rewritten COPIES times each."""
     n = pages.count()
-    drawn = pages.select(F.col(html_col).alias("html")).where(F.pmod(F.xxhash64(html_col), F.lit(1 << 30)) < F.lit(max_pages / max(1, n) * (1 << 30))).where(F.length("html") < 200_000)
-    sources = sorted(r["html"] for r in drawn.limit(2 * max_pages).toLocalIterator())
-    found = [(m[:40], r) for m, r in map(_blocks, sources) if m]
+    place = F.pmod(F.xxhash64(html_col), F.lit(1 << 30))
+    drawn = (pages.where((place < F.lit(2 * (max_pages + 100) / max(1, n) * (1 << 30))) & (F.length(html_col) <= TRAIN_CHARS)).select(F.col(html_col).alias("html"), place.alias("place"))
+             .distinct().orderBy("place", "html").limit(max_pages))
+    sources = sorted(r["html"] for r in drawn.toLocalIterator())
+    found = [(m[:TRAIN_BLOCKS], r) for m, r in map(_blocks, sources) if m]
     rng = random.Random(7)
     while len(found) < 12:
         found.append(([" ".join(rng.choice(_SENTENCES) for _ in range(rng.randint(1, 8))) for _ in range(rng.randint(2, 12))], list(_SENTENCES)))
@@ -389,7 +406,7 @@ def trained(pages: DataFrame, html_col: str = "html", max_pages: int = TRAIN_PAG
             pick = rng.sample(range(len(y)), min(len(y), TRAIN_NODES))
             xs.append(x[pick])
             ys.append(y[pick])
-    return boost(np.concatenate(xs), np.concatenate(ys).astype(float))
+    return boost(np.concatenate(xs), np.concatenate(ys).astype(float), TREES, DEPTH)
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -397,10 +414,12 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     held = pages.sparkSession.sparkContext.broadcast(trained(pages, html_col))
     id_type = pages.schema[id_col].dataType.simpleString()
 
-    def extracted(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            yield pd.DataFrame({"id": part["id"], "url": part["url"], "text": main_texts(part["html"], held.value)})
+    def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j in slices(batch.column(2), 4 << 20):
+                part = batch.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(main_texts(iter(part.column(2).to_pylist()), held.value), pa.string())], ["id", "url", "text"])
 
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    found = rows.mapInPandas(extracted, f"id {id_type}, url string, text string")
+    found = rows.mapInArrow(extracted, f"id {id_type}, url string, text string")
     return found.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"))

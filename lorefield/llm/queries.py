@@ -20,6 +20,10 @@ from .sharding import shard_by_size
 from .surrogates import surrogate_pii
 
 
+#: Session setting that holds the secret key of op8's surrogates.
+KEY_SETTING = "spark.lorefield.surrogates.key"
+
+
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
@@ -50,7 +54,8 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surrogate_pii(table(spark, sf_dir, "documents"), key="lorefield")
+    key = spark.conf.get(KEY_SETTING, "for tests only")
+    return surrogate_pii(table(spark, sf_dir, "documents"), key=key)
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

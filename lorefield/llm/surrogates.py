@@ -4,6 +4,7 @@ Patterns find e-mail addresses, phone and card numbers, IP addresses, social-sec
 names after a form of address. An entity's canonical form (case, separators and country prefix set aside) and the secret key
 decide its surrogate, so every mention of an entity gets the same one, in the mention's own format: letters stay letters of
 their script and case, digits stay digits, check digits stay valid (numbers without a valid one are no cards and no bank accounts), names keep the gender of their form of address.
+A name, password or key that a document has shown to be one is replaced wherever the document repeats it, with or without a form of address; a given name has one gender in a document.
 All distinct entities of the corpus are then checked: where two of a kind would get one surrogate, or a surrogate is another
 entity's original, the later ones draw again with the next attempt number, until none are left. After OWN_LENGTH attempts each
 further one draws from more values (names get another syllable, secrets, keys, mailboxes and short phone numbers another
@@ -29,12 +30,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored
+from .common import stored, unused
+from .hashing import slices
 
 #: Entities that had to draw again are broadcast up to this number; beyond it they are joined by text hash.
 BROADCAST_ENTITIES = 100_000
-#: Rows rewritten at once.
-SLICE = 512
 #: Attempts at an entity's own length; the later ones are longer by one unit each.
 OWN_LENGTH = 3
 #: What secrets without letters and digits are drawn from.
@@ -87,6 +87,24 @@ def entities(text: str) -> Iterator[tuple[str, str, int, int]]:
         base += len(line) + 1
 
 
+def mentions(text: str) -> list[tuple[str, str, int, int]]:
+    """(kind, canonical form, start, end) of each mention in a text, in order: entities, and names, passwords and keys found as such that recur elsewhere."""
+    found = list(entities(text))
+    gender = {f: k for k, f, _, _ in reversed(found) if k in ("given_m", "given_f")}
+    found = [(gender.get(f, k) if k == "given_n" else k, f, i, j) for k, f, i, j in found]
+    known = {text[i:j]: (k, f) for k, f, i, j in reversed(found) if k in ("surname", "secret", "key") or k.startswith("given_")}
+    if known:
+        taken, out = iter(found), []
+        span = next(taken, None)
+        for m in re.finditer(r"(?<!\w)(?:" + "|".join(re.escape(x) for x in sorted(known, key=lambda x: (-len(x), x))) + r")(?!\w)", text):
+            while span and span[3] <= m.start():
+                span = next(taken, None)
+            if not span or m.end() <= span[2]:
+                out.append((*known[m[0]], *m.span()))
+        found = sorted(found + out, key=lambda x: x[2])
+    return found
+
+
 def _line_entities(text: str) -> Iterator[tuple[str, str, int, int]]:
     pos = 0
     while m := _ANY.search(text, pos):
@@ -244,7 +262,7 @@ def replaced(text: str | None, key: bytes, attempts: dict[tuple[str, str], int])
     if not text:
         return text, []
     out, spans, at = [], [], 0
-    for kind, form, start, end in entities(text):
+    for kind, form, start, end in mentions(text):
         new = in_format(kind, text[start:end], surrogate(kind, form, key, attempts.get((kind, form), 0)))
         out += [text[at:start], new]
         spans.append({"kind": kind, "start": start, "end": end, "surrogate": new})
@@ -255,35 +273,36 @@ def replaced(text: str | None, key: bytes, attempts: dict[tuple[str, str], int])
 def surrogate_pii(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """docs with personal data in text_col replaced; entities lists kind, start and end (in the old text) and surrogate; n_entities counts them."""
     secret = hashlib.sha256(key.encode()).digest()
-    names = [c for c in docs.columns if c not in ("entities", "n_entities", "_again", "_sha")]
+    names = [c for c in docs.columns if c not in ("entities", "n_entities")]
     docs = docs.select(names)
+    own_sha, own_again = unused(docs, "sha"), unused(docs, "again")
     texts = docs.select(F.col(text_col).alias("text")).where(F.col("text").isNotNull())
     sha = F.sha2(F.col(text_col), 256)
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = sorted({(s, k, f) for s, text in zip(*(batch.column(i).to_pylist() for i in (0, 1))) for k, f, _, _ in entities(text)})
+            rows = sorted({(s, k, f) for s, text in zip(*(batch.column(i).to_pylist() for i in (0, 1))) for k, f, _, _ in mentions(text)})
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], ["sha", "kind", "form"])
 
-    mentions = stored(texts.select(F.sha2("text", 256).alias("sha"), "text").mapInArrow(listed, "sha string, kind string, form string"))
-    again = stored(redrawn(stored(mentions.select("kind", "form").distinct()), secret))
-    schema = T.StructType([docs.schema[c] for c in names]
+    listed_all = stored(texts.select(F.sha2("text", 256).alias("sha"), "text").mapInArrow(listed, "sha string, kind string, form string"))
+    again = stored(redrawn(stored(listed_all.select("kind", "form").distinct()), secret))
+    schema = T.StructType([T.StructField(c, docs.schema[c].dataType) for c in names]
                           + [T.StructField("entities", T.ArrayType(T.StructType.fromDDL("kind string, start int, end int, surrogate string"))), T.StructField("n_entities", T.LongType())])
     n = again.count()
     held = docs.sparkSession.sparkContext.broadcast({(r["kind"], r["form"]): r["attempt"] for r in again.toLocalIterator()} if n <= BROADCAST_ENTITIES else {})
     if n > BROADCAST_ENTITIES:
-        own = mentions.join(again, ["kind", "form"]).groupBy("sha").agg(F.collect_list(F.struct("kind", "form", "attempt")).alias("_again"))  # those of one text
-        docs = docs.withColumn("_sha", sha).join(own.withColumnRenamed("sha", "_sha"), "_sha", "left").drop("_sha")
+        own = listed_all.join(again, ["kind", "form"]).groupBy("sha").agg(F.collect_list(F.struct("kind", "form", "attempt")).alias(own_again))  # those of one text
+        docs = docs.withColumn(own_sha, sha).join(own.withColumnRenamed("sha", own_sha), own_sha, "left").drop(own_sha)
 
     at = {c: i for i, c in enumerate(docs.columns)}
     spans = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("surrogate", pa.string())]))
 
     def rewritten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for k in range(0, whole.num_rows, SLICE):
-                batch = whole.slice(k, SLICE)
+            for i, j in slices(whole.column(at[text_col])):
+                batch = whole.slice(i, j - i)
                 texts = batch.column(at[text_col]).to_pylist()
-                own = [{(x["kind"], x["form"]): x["attempt"] for x in a or ()} for a in batch.column(at["_again"]).to_pylist()] if "_again" in at else [held.value] * len(texts)
+                own = [{(x["kind"], x["form"]): x["attempt"] for x in a or ()} for a in batch.column(at[own_again]).to_pylist()] if own_again in at else [held.value] * len(texts)
                 done = [replaced(text, secret, a) for text, a in zip(texts, own)]
                 columns = [pa.array([x[0] for x in done], batch.column(at[c]).type) if c == text_col else batch.column(at[c]) for c in names]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array([x[1] for x in done], spans), pa.array([len(x[1]) for x in done], pa.int64())], [*names, "entities", "n_entities"])

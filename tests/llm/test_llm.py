@@ -490,6 +490,29 @@ def test_cotraining_learns(spark):
     assert np.mean([(a.p_meta > 0.5) == bool(q) for a, q in unseen]) > 0.8
 
 
+def test_cotraining_on_held_out_labels(spark):
+    """Fitted on three quarters of the tables' labels, the classifier ranks the rest nearly right."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    held = labels.where("pmod(xxhash64('held', doc_id), 4) = 0")
+    got = cotraining.score_quality(docs, labels.join(held, "doc_id", "left_anti"), carry_text=False).join(held, "doc_id").select("score", "quality").collect()
+    good, bad = ([r.score for r in got if r.quality == q] for q in (1, 0))
+    assert len(good) > 50 and len(bad) > 5
+    assert np.mean([(a > b) + (a == b) / 2 for a in good for b in bad]) > 0.95
+
+
+def test_words_tell_well_formed_bad_prose(spark):
+    """Good and bad texts of the same letters and shapes differ in their words only."""
+    rng = random.Random(6)
+    words = ["stone", "notes", "onset", "tones", "steno", "seton"]
+    rows = []
+    for i in range(900):
+        good = i % 2
+        rows.append((i, " ".join(rng.choice(words[:4] if good else words[2:]) for _ in range(60)) + ".", "en", "s", 300, good))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, quality int")
+    got = {r.doc_id: r.p_text for r in cotraining.score_quality(frame.drop("quality"), frame.where("doc_id < 500").select("doc_id", "quality")).collect()}
+    assert np.mean([(got[r[0]] > 0.5) == bool(r[5]) for r in rows[500:]]) > 0.95
+
+
 def test_cotraining_edges(docs, labels, rows, empty):
     got = cotraining.score_quality(docs, labels)
     assert got.count() == len(rows) and set(docs.columns) <= set(got.columns)
@@ -522,6 +545,27 @@ def test_html_extraction(spark):
     assert html_extract.extract_main_text(frame.limit(0)).count() == 0
 
 
+def test_html_of_the_table_and_in_other_structures(spark):
+    """The tables' pages have one <article>: its text is the page's, also inside a form around the page, with foreign comments, and mostly with a plain block instead."""
+    pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "html").orderBy("page_id").limit(150).collect()
+    model = html_extract.trained(spark.read.parquet(f"{SF}/pages.parquet"))
+    texts = lambda change: html_extract.main_texts(iter([change(r.html) for r in pages]), model)
+    expected = []
+    for r in pages:
+        page = html_extract.Page(r.html)
+        inside = [False] * len(page.tag)
+        for k in range(1, len(page.tag)):
+            inside[k] = page.tag[k] == "article" or inside[page.parent[k]]
+        expected.append(" ".join(t for t, k in zip(page.text, inside) if k and t))
+    assert texts(lambda x: x) == expected
+    assert texts(lambda x: x.replace("<body>", '<body><form id="aspnetForm" method="post">').replace("</body>", "</form></body>")) == expected
+    comments = '<div class="kommentare"><h3>Kommentare</h3><div><p>Anna <a href=/u>Link</a></p><p>Das ist gut, danke.</p></div><div><p>Otto</p><p>Nein, gar nicht so.</p></div></div></article>'
+    got = texts(lambda x: x.replace("</article>", comments))
+    assert not any("danke" in x or "gar nicht" in x for x in got) and sum(a != b for a, b in zip(got, expected)) <= 7
+    plain = texts(lambda x: re.sub("<article[^>]*>", '<div class="x1">', x).replace("</article>", "</div>"))
+    assert sum(a != b for a, b in zip(plain, expected)) <= 15
+
+
 @pytest.mark.parametrize("head", [
     "<script>for(i=0;i<n;i++){} // don't</script>", "<script>document.write('<body>code, code</body>')</script>", "<style>a::after{content:'</head><body>code'}</style>", "<title>a <b 'c</title>",
     '<noscript><iframe src="x"/></noscript>', "<noscript><script>if(a<b){} // don't</script></noscript>", "<svg><title/><style/></svg>", "<script>never ended",
@@ -542,7 +586,7 @@ def test_html_on_rewritten_pages():
     rng = random.Random(5)
     prose = lambda: [" ".join(rng.choice(("lorem", "ipsum,", "dolor", "sit", "amet.", "consectetur")) for _ in range(rng.randint(8, 80))) + "." for _ in range(rng.randint(2, 12))]
     xs, ys = zip(*(html_extract._labelled(html_extract._rewritten(prose(), prose()[:2], rng)) for _ in range(300)))
-    model = boosting.boost(np.concatenate(xs), np.concatenate(ys).astype(float))
+    model = boosting.boost(np.concatenate(xs), np.concatenate(ys).astype(float), html_extract.TREES, html_extract.DEPTH)
     kept = lost = added = 0
     for _ in range(100):
         page = html_extract.Page(html_extract._rewritten(prose(), prose()[:2], rng))
@@ -585,6 +629,16 @@ def test_surrogates(spark, empty):
     assert surrogates.surrogate_pii(docs, "other").where("doc_id = 1").first().text != text
 
 
+def test_names_are_replaced_wherever_they_recur(spark):
+    texts = ["Mr John Smith came. Dr John Smith spoke. Later Smith left, and John with him; SMITHS and smith stay.", "password: hunter22x then hunter22x again", "No form: Smith stays, John too."]
+    docs = spark.createDataFrame([(i, t, "a", "b") for i, t in enumerate(texts)], "doc_id long, text string, _sha string, _again string")
+    got = {r.doc_id: r for r in surrogates.surrogate_pii(docs, "key").collect()}
+    first = [e.surrogate for e in got[0].entities]
+    assert len(first) == 6 and first[0] == first[2] == first[5] and first[1] == first[3] == first[4]
+    assert "John" not in got[0].text and "Smith" not in got[0].text.replace("SMITHS", "") and "SMITHS and smith stay" in got[0].text
+    assert "hunter22x" not in got[1].text and got[2].text == texts[2] and got[0]["_sha"] == "a" and got[0]["_again"] == "b"
+
+
 def test_colliding_surrogates_draw_again(spark, monkeypatch):
     forms = [("ip", f"1.2.3.{i}") for i in range(40)]
     crowded = lambda kind, form, key, attempt=0: f"9.9.9.{int(form.rsplit('.', 1)[1]) % 10 if attempt == 0 else hash((form, attempt)) % 5000}"
@@ -648,6 +702,23 @@ def test_more_entities_than_surrogates_of_own_length(spark, few_rounds):
     assert surrogates.in_format("phone", "+123-45", "2345678") == "+234-5678"
 
 
+# ---- ids ----
+
+@pytest.mark.parametrize("apply", [
+    lambda d, l: mixing.mix(d), lambda d, l: jaccard_join.jaccard_components(d), lambda d, l: cotraining.score_quality(d, l), lambda d, l: quality_rules.quality_rules(d, l),
+    lambda d, l: shard_by_size(d), lambda d, l: line_dedup.line_dedup(d), lambda d, l: surrogates.surrogate_pii(d, "k"), lambda d, l: exact_groups(d), lambda d, l: packing.pack(d),
+    lambda d, l: html_extract.extract_main_text(d, "doc_id", "source", "text"), lambda d, l: exact_dedup(d), lambda d, l: jaccard_join.one_of_each(d), lambda d, l: mixing.mixed_documents(d)])
+def test_long_ids_beside_a_null_stay_exact(spark, apply):
+    base = 2**60
+    rows = [(base + k, f"text {k} of some words, and {k * k} more of them here.", "en", "s", base + k) for k in range(40)] + [(None, "no id here, but some words too", "en", "s", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+    labels = docs.where("doc_id is not null").select("doc_id", F.expr("cast(doc_id % 2 as int) as quality"))
+    got = apply(docs, labels)
+    assert {r.doc_id for r in got.select("doc_id").collect()} <= {r[0] for r in rows} and got.where("doc_id is not null").select("doc_id").distinct().count() == 40
+    if "n_chars" in got.columns and "url" not in got.columns and "source" in got.columns and "entities" in got.columns:
+        assert {r.n_chars for r in got.select("n_chars").collect()} == {r[4] for r in rows}
+
+
 # ---- pipeline ----
 
 def test_pipeline_stages(spark, docs, rows, labels, tmp_path):
