@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -103,3 +105,28 @@ def prompt_messages(system: Column, contexts: Column, history: Column, user: Col
     """Message list: system with context, then history, then the user's prompt. history: array of struct(role, content)."""
     message = lambda role, text: F.array(F.struct(F.lit(role).alias("role"), text.alias("content")))
     return F.concat(message("system", F.concat(system, F.when(F.size(contexts) > 0, F.concat(F.lit("\nContext:\n    "), context_text(contexts))).otherwise(""))), history, message("user", user))
+
+
+#: Tokens of a message list besides those of its contents: for each message, and in all.
+EACH_MESSAGE, ALL_MESSAGES = 3, 5
+
+
+def message_tokens(content: str, tokens: Callable[[Column], Column] = estimate) -> Column:
+    """Aggregate: the token estimate of a group's messages, with any tokeniser that counts a text's tokens."""
+    return (EACH_MESSAGE * F.count("*") + F.sum(tokens(F.col(content))) + ALL_MESSAGES).cast("long")
+
+
+def union_in_order(key: str, order: str, *parts: DataFrame) -> DataFrame:
+    """The rows of all parts, those of earlier parts first, numbered (place, from 0) within their key; prio is the part's number."""
+    rows = parts[0].withColumn("prio", F.lit(0))
+    for i, part in enumerate(parts[1:], 1):
+        rows = rows.unionByName(part.withColumn("prio", F.lit(i)))
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("prio", order)) - 1)
+
+
+def budget(window: Column, user_tokens: Column) -> dict[str, Column]:
+    """Whole tokens of a context window's shares, what the user's prompt keeps (it is cut to 80 % of its share if it doesn't fit), and what is left before the reply."""
+    share = limits(window)
+    whole = lambda c: F.floor(F.round(c, 6)).cast("long")
+    return {"history": whole(share["history"]), "system": whole(share["system"]), "user_share": whole(share["user_share"]), "system_prompt": whole(share["system"] * 0.25),
+            "system_context": whole(share["system"] * 0.75), "user_kept": F.when(user_tokens > whole(share["user_share"]), whole(share["user_share"] * 0.8)).otherwise(user_tokens), "before_reply": window - 600}

@@ -11,16 +11,19 @@ from pyspark.sql import functions as F
 
 #: Questions that one broadcast block may hold; more are searched block after block.
 BLOCK = 2_000
+#: Candidates for reranking.
+LEAST, MOST = 10, 50
 
 
-def nearest(chunks: DataFrame, questions: DataFrame, n: int = 4, id_col: str = "id") -> DataFrame:
+def nearest(chunks: DataFrame, questions: DataFrame, n: int = 4, id_col: str = "id", within: str | None = None) -> DataFrame:
     """question_id, id, distance, rank: the n nearest chunks by cosine distance of each question, ties by id.
 
     Each task multiplies its chunks with a block of questions and keeps n rows for each question, so what shuffles is
-    at most n rows for each question and task. questions: question_id, embedding.
+    at most n rows for each question and task. questions: question_id, embedding, and the column that `within` names (a long), in which chunk and question then agree.
     """
     parts = []
-    ids = questions.select("question_id", "embedding")
+    group = F.col(within).cast("long") if within else F.lit(0).cast("long")
+    ids = questions.select("question_id", "embedding", group.alias("group"))
     count = questions.count()
     blocks = max(1, -(-count // BLOCK))
     for k in range(blocks):
@@ -30,10 +33,10 @@ def nearest(chunks: DataFrame, questions: DataFrame, n: int = 4, id_col: str = "
             continue
         q = np.stack(rows["embedding"].to_numpy()).astype(np.float64)
         q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-        held = chunks.sparkSession.sparkContext.broadcast((rows["question_id"].to_numpy(), q))
+        held = chunks.sparkSession.sparkContext.broadcast((rows["question_id"].to_numpy(), q, rows["group"].to_numpy()))
 
         def search(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            names, q = held.value
+            names, q, groups = held.value
             best_d = best_i = None
             for batch in batches:
                 if not len(batch):
@@ -41,14 +44,21 @@ def nearest(chunks: DataFrame, questions: DataFrame, n: int = 4, id_col: str = "
                 x = np.stack(batch["embedding"].to_numpy()).astype(np.float64)
                 x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
                 d, i = 1 - q @ x.T, np.broadcast_to(batch["id"].to_numpy(), (len(q), len(x)))
+                d = np.where(groups[:, None] == batch["group"].to_numpy()[None], d, np.inf)
                 if best_d is not None:
                     d, i = np.c_[best_d, d], np.c_[best_i, i]
+                if d.shape[1] > 4 * n:  # all that are no farther than the n-th go on to the sort
+                    border = np.partition(d, n - 1, axis=1)[:, n - 1]
+                    most = int((d <= border[:, None]).sum(1).max())
+                    near = np.argpartition(np.where(d <= border[:, None], d, np.inf), most - 1, axis=1)[:, :most]
+                    d, i = np.take_along_axis(d, near, 1), np.take_along_axis(i, near, 1)
                 order = np.lexsort((i, d))[:, :n]
                 best_d, best_i = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
             if best_d is not None:
-                yield pd.DataFrame({"question_id": np.repeat(names, best_d.shape[1]), "id": best_i.ravel(), "distance": best_d.ravel()})
+                found = np.isfinite(best_d).ravel()
+                yield pd.DataFrame({"question_id": np.repeat(names, best_d.shape[1])[found], "id": best_i.ravel()[found], "distance": best_d.ravel()[found]})
 
-        parts.append(chunks.select(F.col(id_col).alias("id"), "embedding").mapInPandas(search, "question_id long, id long, distance double"))
+        parts.append(chunks.select(F.col(id_col).alias("id"), "embedding", group.alias("group")).mapInPandas(search, "question_id long, id long, distance double"))
     if not parts:
         return chunks.sparkSession.createDataFrame([], "question_id long, id long, distance double, rank int")
     found = parts[0]
@@ -81,16 +91,24 @@ def token_overlap(question: pd.Series, text: pd.Series) -> pd.Series:
     return pd.Series([one(q, t) for q, t in zip(question, text)])
 
 
+def candidates(chunks: DataFrame, questions: DataFrame, namespace: str = "namespace") -> DataFrame:
+    """First stage of reranking: question_id, id, distance, rank of the nearest chunks of each question's namespace: a tenth of the namespace, MOST at most and LEAST at least."""
+    sizes = chunks.groupBy(namespace).agg(F.greatest(F.lit(LEAST), F.least(F.lit(MOST), F.ceil(F.count("*") / 10))).alias("most"))
+    allowed = questions.select("question_id", namespace).join(sizes, namespace).select("question_id", "most")
+    return nearest(chunks, questions, MOST, within=namespace).join(allowed, "question_id").where(F.col("rank") <= F.col("most")).drop("most")
+
+
 def reranked(candidates: DataFrame, n: int = 4, threshold: float = 0.25, scorer: Callable[[pd.Series, pd.Series], pd.Series] = token_overlap) -> DataFrame:
-    """Second stage: candidates (question_id, question, id, text, similarity) scored again, cut to n, then held against the
-    threshold by their vector similarity. The score falls back to the similarity only where the scorer gives none."""
+    """Second stage: candidates (question_id, question, id, text, similarity, rank) scored again, cut to n in the order of the new scores (ties as the first stage had them),
+    and only then held against the threshold by their vector similarity. The score falls back to the similarity where the scorer gives none or 0."""
     score = F.pandas_udf(scorer, "double")
     scored = candidates.withColumn("rerank_score", score("question", "text"))
-    order = Window.partitionBy("question_id").orderBy(F.desc("rerank_score"), "id")
-    return (scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).where(F.col("similarity") >= threshold)
-            .withColumn("score", F.coalesce("rerank_score", "similarity")))
+    order = Window.partitionBy("question_id").orderBy(F.desc("rerank_score"), "rank", "id")
+    return (scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n).where(F.col("similarity") >= threshold)
+            .withColumn("score", F.when(F.coalesce(F.col("rerank_score"), F.lit(0.0)) != 0, F.col("rerank_score")).otherwise(F.col("similarity"))))
 
 
-def candidate_count(total: int) -> int:
-    """Candidates for reranking: a tenth of the namespace, 10 at least and 50 at most."""
-    return max(10, min(50, -(-total // 10)))
+def api_rows(hits: DataFrame) -> DataFrame:
+    """Hits as the search interface gives them: id, text, metadata (a struct), distance, score."""
+    of = {"url": "url", "title": "title", "author": "docAuthor", "docSource": "docSource", "chunkSource": "chunkSource", "published": "published", "wordCount": "wordCount", "tokenCount": "token_count_estimate"}
+    return hits.select("question_id", "id", "text", F.struct(*[F.col(c).alias(k) for k, c in of.items()]).alias("metadata"), "distance", "score")
