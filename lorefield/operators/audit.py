@@ -82,3 +82,45 @@ def file_search(files: DataFrame, term: str) -> DataFrame:
     before = Window.partitionBy("folder").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     seen = F.coalesce(F.max((hit | near).cast("int")).over(before), F.lit(0))
     return files.withColumn("shown", F.lower("folder").contains(term) | hit | (near & (seen == 0))).where("shown").drop("shown")
+
+
+def daily_quota(events: DataFrame, key: str, now_ms: int, limit: Column, admin: Column) -> DataFrame:
+    """key, used, limit, allowed: events in the trailing day against a limit; admins and null limits pass."""
+    used = events.groupBy(key).agg(F.count_if((F.col("at_ms") >= now_ms - DAY_MS) & (F.col("at_ms") <= now_ms)).alias("used"))
+    return used.withColumn("limit", limit).withColumn("allowed", admin | F.col("limit").isNull() | (F.col("used") < F.col("limit")))
+
+
+def embed_quota(chats: DataFrame, now_ms: int, per_day: Column, per_session: Column) -> DataFrame:
+    """embed_id, session_id, of_embed, of_session, refused: chats (embed_id, session_id, at_ms) of the trailing day against the limits of the embed and of its sessions."""
+    recent = F.count_if((F.col("at_ms") >= now_ms - DAY_MS) & (F.col("at_ms") <= now_ms))
+    sessions = chats.groupBy("embed_id", "session_id").agg(recent.alias("of_session"))
+    embeds = sessions.groupBy("embed_id").agg(F.sum("of_session").alias("of_embed"))
+    full = lambda used, limit: (limit > 0) & (F.col(used) >= limit)
+    refused = F.when(full("of_embed", per_day), "embed quota").when(full("of_session", per_session), "session quota")
+    return sessions.join(embeds, "embed_id").select("embed_id", "session_id", "of_embed", "of_session", refused.alias("refused"))
+
+
+def append_events(events: DataFrame, path: str) -> None:
+    """Appends events (event_id, event, metadata, user_id) to a log, their metadata (a struct) as JSON."""
+    events.withColumn("metadata", F.to_json("metadata")).write.mode("append").parquet(path)
+
+
+def tokens_per_second(tokens: Column, seconds: Column) -> Column:
+    return F.when(seconds > 0, tokens / seconds).otherwise(F.lit(0.0))
+
+
+#: Milliseconds after which a watched document is stale, unless its queue says otherwise.
+STALE_AFTER_MS = 7 * DAY_MS
+
+
+def next_sync(last_ms: Column, stale_after_ms: Column) -> Column:
+    return last_ms + F.coalesce(stale_after_ms, F.lit(STALE_AFTER_MS))
+
+
+def run_summary(rows: DataFrame, key: str, *more: Column) -> DataFrame:
+    """key, embedded, failed, failed_titles (sorted; null if none), errors (distinct, sorted), message: of rows (key, title, error) of an embedding run."""
+    bad = F.col("error").isNotNull()
+    titles, errors = F.array_sort(F.collect_list(F.when(bad, F.col("title")))), F.array_sort(F.collect_set("error"))
+    out = rows.groupBy(key).agg(F.count_if(~bad).alias("embedded"), F.count_if(bad).alias("failed"), titles.alias("failed_titles"), errors.alias("errors"), *more)
+    message = F.concat(F.col("failed").cast("string"), F.lit(" documents failed to add.\n\n"), F.array_join("errors", "\n\n"))
+    return out.withColumn("failed_titles", F.when(F.col("failed") > 0, F.col("failed_titles"))).withColumn("message", F.when(F.col("failed") > 0, message))
