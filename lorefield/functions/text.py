@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as ST
 
 SEPARATORS = ("\n\n", "\n", " ", "")
 
@@ -202,3 +203,52 @@ def source_parts(chunk_source: Column) -> tuple[Column, Column]:
     kind = F.when(at > 0, F.left(chunk_source, at - 1))
     source = F.when(at > 0, F.substr(chunk_source, at + 3)).otherwise(chunk_source)
     return kind, F.when(kind.isin("confluence", "github"), F.regexp_replace(source, r"\?.*$", "")).otherwise(source)
+
+
+def deep_without_controls(value: Column, kind: ST.DataType) -> Column:
+    """without_controls for all texts inside a nested value of the given type; other values stay."""
+    if isinstance(kind, ST.StringType):
+        return without_controls(value)
+    if isinstance(kind, ST.ArrayType):
+        return F.transform(value, lambda x: deep_without_controls(x, kind.elementType))
+    if isinstance(kind, ST.MapType):
+        return F.transform_values(value, lambda k, x: deep_without_controls(x, kind.valueType))
+    if isinstance(kind, ST.StructType):
+        return F.when(value.isNotNull(), F.struct(*[deep_without_controls(value[f.name], f.dataType).alias(f.name) for f in kind.fields]))
+    return value
+
+
+def normal_path(path: Column) -> Column:
+    """A path without empty and single-dot parts; two dots take the part before them, and none above the root."""
+    parts = F.filter(F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/"), lambda x: (x != "") & (x != "."))
+    up = lambda kept, x: F.when(x != "..", F.concat(kept, F.array(x))).otherwise(F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0))))
+    return F.array_join(F.aggregate(parts, F.array().cast("array<string>"), up), "/")
+
+
+def is_within(folder: Column, path: Column) -> Column:
+    """Whether a normal path lies inside a folder (the folder itself doesn't)."""
+    return F.startswith(path, F.concat(folder, F.lit("/")))
+
+
+def time_variables(at: Column | None = None) -> dict[str, Column]:
+    """The time variables of a prompt, at the current time unless another is given."""
+    at = F.current_timestamp() if at is None else at
+    day = F.date_format(at, "MMMM d, yyyy")
+    return {"time": F.date_format(at, "h:mm:ss a"), "date": day, "datetime": F.concat(F.date_format(at, "EEEE"), F.lit(", "), day, F.lit(" "), F.date_format(at, "h:mm a"))}
+
+
+def filled(template: Column, values: Column) -> Column:
+    """A template (or a configuration as JSON text) whose ${path} places are filled from a JSON value; paths that lead nowhere stay."""
+    pieces_ = F.split(template, r"(?=\$\{)", -1)
+    one = lambda x: F.regexp_extract(x, r"^\$\{([^}]+)\}", 1)
+    at = lambda x: F.nullif(json_path(values, one(x)), F.lit(""))
+    fill = lambda x: F.when(one(x) == "", x).otherwise(F.coalesce(F.concat(at(x), F.regexp_replace(x, r"^\$\{[^}]+\}", "")), x))
+    return F.array_join(F.transform(pieces_, fill), "")
+
+
+def citation_link(title: Column, chunk_source: Column) -> tuple[Column, Column, Column]:
+    """Text, address and icon of a citation's link: the host for web links, the title for other services, nothing for files."""
+    kind, source = source_parts(chunk_source)
+    web = F.when(source.rlike("^https?://"), source).otherwise(F.concat(F.lit("https://"), source))
+    host = F.regexp_replace(F.regexp_extract(web, "^https?://([^/?#]+)", 1), r"^www\.", "")
+    return F.when(kind.isNull(), F.lit("")).when(kind == "link", host).otherwise(title), F.when(kind.isNotNull(), web), F.coalesce(kind, F.lit("file"))

@@ -28,10 +28,10 @@ def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""select doc_id, '<document_metadata>' || chr(10) || 'sourceDocument: ' || title || chr(10) || 'published: ' || published || case when doc_id % 4 in (0, 2) then chr(10) || 'source: ' || regexp_replace(chunk_source, '^(link|youtube)://', '') else '' end
- || chr(10) || '</document_metadata>' || chr(10) || chr(10) as header, regexp_replace(left(text, 200), '^\\s+|\\s+$', '', 'g') as body from {t.DOCUMENTS_SQL}""")
+ || chr(10) || '</document_metadata>' || chr(10) || chr(10) as header, regexp_replace(text, '^\\s+|\\s+$', '', 'g') as body from {t.DOCUMENTS_SQL}""")
 def chunk_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SCL5 SCL6: metadata headers, and chunks with them taken off again."""
-    docs = t.documents(spark, sf_dir).select("doc_id", T.chunk_header(F.col("title"), F.col("published"), F.col("chunk_source")).alias("header"), F.left("text", F.lit(200)).alias("text"))
+    docs = t.documents(spark, sf_dir).select("doc_id", T.chunk_header(F.col("title"), F.col("published"), F.col("chunk_source")).alias("header"), "text")
     return docs.select("doc_id", "header", T.without_header(F.concat("header", "text")).alias("body"))
 
 
@@ -61,11 +61,23 @@ def store_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), n.alias("n")).select("id", T.store_name(F.col("n")).alias("store"), T.underscored(F.col("n")).alias("namespace"), T.safe_file_name(F.col("n")).alias("file"))
 
 
-@query("select doc_id, replace(replace(left(text, 50), 'e', ''), chr(10), chr(10)) as clean from documents")
+@query("select doc_id, replace(text, 'e', '') as clean, 't' || replace(text, 'a', '') as tag, replace(text, 'o', '') as note from documents")
 def controls_stripped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SCL14: control characters go, tabs and line ends stay."""
-    dirty = F.replace(F.left("text", F.lit(50)), F.lit("e"), F.lit("\x01\x1f"))
-    return t.documents(spark, sf_dir).select("doc_id", T.without_controls(dirty).alias("clean"))
+    """SCL14: control characters go, tabs and line ends stay, also inside arrays, maps and structures."""
+    dirty = lambda c: F.replace("text", F.lit(c), F.lit("\x01\x1f"))
+    nested = F.struct(dirty("e").alias("clean"), F.array(F.concat(F.lit("t"), dirty("a"))).alias("tags"), F.create_map(F.lit("note"), dirty("o")).alias("notes"), F.col("doc_id").alias("n"))
+    rows = t.documents(spark, sf_dir).select("doc_id", nested.alias("m"))
+    rows = rows.select("doc_id", T.deep_without_controls(F.col("m"), rows.schema["m"].dataType).alias("m"))
+    return rows.select("doc_id", "m.clean", F.get("m.tags", 0).alias("tag"), F.col("m.notes")["note"].alias("note"))
+
+
+@query("""select doc_id, case doc_id % 5 when 0 then 'a/b/' || doc_id when 1 then 'a/' || doc_id when 2 then doc_id::varchar when 3 then 'x' || doc_id else '' end as path, doc_id % 5 in (0, 1) as inside from documents""")
+def paths_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SCL16: paths without dots, double slashes and climbs above their root, and whether a folder holds them."""
+    n, k = F.col("doc_id").cast("string"), F.col("doc_id") % 5
+    raw = F.when(k == 0, F.concat(F.lit("a//b/./"), n)).when(k == 1, F.concat(F.lit("a/c/../"), n)).when(k == 2, F.concat(F.lit("../../"), n)).when(k == 3, F.concat(F.lit("/x"), n)).otherwise("..")
+    path = T.normal_path(raw)
+    return t.documents(spark, sf_dir).select("doc_id", path.alias("path"), T.is_within(F.lit("a"), path).alias("inside"))
 
 
 @query("""select doc_id, regexp_replace(regexp_replace('doc-' || doc_id || '-1b4e28ba-2fa1-41d2-883f-0016d3cca427.json', '-[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}', ''), '\\.json$', '') as name from documents""")
@@ -97,12 +109,30 @@ def number_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"select id, 'Hi ' || coalesce(c_name, '[User name]') || ' of [Workspace plan], ' || thread_id || ' {{other}}' as prompt from {t.CHATS_SQL} left join customer on c_custkey = user_id")
 def variables_expanded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SCL24 SCL46: variables of a prompt, with placeholders for those without a value."""
+    """SCL24: variables of a prompt, with placeholders for those without a value."""
     chats = t.chats(spark, sf_dir).join(t.users(spark, sf_dir).select("user_id", "username"), "user_id", "left")
     values = {"user.name": F.coalesce("username", F.lit("{user.name}")), "thread": F.col("thread_id").cast("string")}
     return chats.select("id", T.expanded(F.lit("Hi {user.name} of {workspace.plan}, {thread} {other}"), values).alias("prompt"))
 
 
+@query(f"select id, 'On ' || strftime(w, '%B ') || day(w) || strftime(w, ', %Y') || ' (' || strftime(w, '%A, %B ') || day(w) || strftime(w, ', %Y ') || case when hour(w) % 12 = 0 then 12 else hour(w) % 12 end || strftime(w, ':%M %p') || ') at ' || case when hour(w) % 12 = 0 then 12 else hour(w) % 12 end || strftime(w, ':%M:%S %p') as prompt from (select id, make_timestamp(created_s * 1000000) as w from {t.CHATS_SQL})")
+def time_variables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SCL46: date, time and datetime variables of a prompt, here at the chat's own time (the current time is the default)."""
+    values = T.time_variables(F.timestamp_seconds("created_s"))
+    return t.chats(spark, sf_dir).select("id", T.expanded(F.lit("On {date} ({datetime}) at {time}"), values).alias("prompt"))
+
+
+@query("""select event_id, 'k is ' || json_extract_string(props, '$.k') || ', user ' || user_id || ', first of ' || case when event_id % 3 = 0 then '["x' || event_id || '","y"]' else '${list.tags}' end || ' is ' || case when event_id % 3 = 0 then 'x' || event_id else '${list.tags[0]}' end || ', ${missing.path}' as filled,
+ '{"q":"' || user_id || '","deep":[{"k":"' || json_extract_string(props, '$.k') || '"},"${no}"],"n":1}' as config from events""")
+def templates_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SCL25 SCL27: ${path} templates filled from a JSON value, also inside a nested configuration; paths that lead nowhere stay."""
+    tags = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit(',"list":{"tags":["x'), F.col("event_id").cast("string"), F.lit('","y"]}'))).otherwise("")
+    values = F.concat(F.lit('{"user":{"id":'), F.col("user_id").cast("string"), F.lit('},"props":'), "props", tags, F.lit("}"))
+    rows = t.table(spark, sf_dir, "events").select("event_id", values.alias("v"), F.lit("k is ${props.k}, user ${user.id}, first of ${list.tags} is ${list.tags[0]}, ${missing.path}").alias("t"),
+                                                   F.lit('{"q":"${user.id}","deep":[{"k":"${props.k}"},"${no}"],"n":1}').alias("c"))
+    return rows.select("event_id", T.filled(F.col("t"), F.col("v")).alias("filled"), T.filled(F.col("c"), F.col("v")).alias("config"))
+
+
 @query(f"select id, case id % 4 when 0 then '/reset' when 1 then 'Sum it up ' || id when 2 then 'say Sum it up' else 'no /summary' || id end as message, case when id % 4 = 3 then 2 else 0 end as mentioned from {t.CHATS_SQL}")
 def commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SCL22 SCL23: slash commands expanded, mentions counted."""
@@ -116,7 +146,7 @@ def commands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select event_id, json_extract_string(props, '$.k') as k, json_extract_string('{\"a\":[{\"b-c\":' || event_id || '}]}', '$.a[0].\"b-c\"') as deep, '' as none from events")
 def json_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SCL27 SCL25: values at JSON paths."""
+    """SCL27: values at JSON paths."""
     nested = F.concat(F.lit('{"a":[{"b-c":'), F.col("event_id").cast("string"), F.lit("}]}"))
     return t.table(spark, sf_dir, "events").select("event_id", T.json_path(F.col("props"), F.lit("k")).alias("k"), T.json_path(nested, F.lit("a[0]['b-c']")).alias("deep"), T.json_path(F.col("props"), F.lit("")).alias("none"))
 
@@ -128,11 +158,14 @@ def json_safe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.table(spark, sf_dir, "events").select("event_id", F.coalesce(k.cast("double"), F.lit(-1.0)).alias("number"), F.to_json(F.struct(F.col("event_id").cast("string").alias("id"), k.alias("k"))).alias("json"))
 
 
-@query("select vec_id, 8 as parts, 64 as total, true as valid from embeddings")
+@query("select vec_id, list_sum(list_transform(embedding[1:n], lambda x: 0 * x + 1))::bigint as total, ((n + 6) // 7)::bigint as parts, (case when n % 7 = 0 then least(7, n) else n % 7 end)::bigint as last_size, round(embedding[n]::double, 6) as last_value, vec_id % 9 > 0 as valid from (select *, 1 + vec_id % 64 as n from embeddings)")
 def array_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SCL34 SCL36 SRC28: arrays in slices, and a check of their size and values."""
-    b = T.batches(F.col("embedding"), 8)
-    return t.table(spark, sf_dir, "embeddings").select("vec_id", F.size(b).alias("parts"), F.size(F.flatten(b)).alias("total"), (F.forall("embedding", lambda x: x.isNotNull()) & (F.size("embedding") > 0)).alias("valid"))
+    """SCL34 SCL36 SRC28: arrays of different lengths in slices of seven, and a check that they aren't empty and have no nulls."""
+    n = (1 + F.col("vec_id") % 64).cast("int")
+    rows = t.table(spark, sf_dir, "embeddings").select("vec_id", F.slice("embedding", F.lit(1), n).alias("a")).withColumn("b", T.batches(F.col("a"), 7))
+    odd = F.when(F.col("vec_id") % 9 > 0, F.col("a")).otherwise(F.concat("a", F.array(F.lit(None).cast("float"))))
+    return rows.select("vec_id", F.size(F.flatten("b")).cast("long").alias("total"), F.size("b").cast("long").alias("parts"), F.size(F.element_at("b", -1)).cast("long").alias("last_size"),
+                       F.round(F.element_at(F.element_at("b", -1), -1).cast("double"), 6).alias("last_value"), (F.forall(odd, lambda x: x.isNotNull()) & (F.size(odd) > 0)).alias("valid"))
 
 
 @query("""select page_id, regexp_matches(url, '^https?://[^/:?#]+') as valid, false as private, regexp_replace(case when regexp_matches(u, '^[a-zA-Z]+://') then u else 'https://' || u end, '/$', '') as normal,
@@ -146,11 +179,13 @@ def url_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                   T.url_file_name(F.col("url")).alias("file"), T.video_id(link).alias("video"), T.link_kind(link, F.when(k == 2, "application/pdf").otherwise("text/html; charset=utf-8")).alias("kind"))
 
 
-@query(f"select doc_id, case doc_id % 4 when 0 then 'link' when 1 then 'confluence' when 2 then 'youtube' end as kind, case doc_id % 4 when 0 then 'https://' else '' end || 'host.example.com/' || doc_id as source from {t.DOCUMENTS_SQL}")
+@query(f"""select doc_id, case doc_id % 4 when 0 then 'link' when 1 then 'confluence' when 2 then 'youtube' end as kind, case doc_id % 4 when 0 then 'https://' else '' end || 'host.example.com/' || doc_id as source,
+ case doc_id % 4 when 0 then 'host.example.com' when 1 then title when 2 then title else '' end as link_text, case doc_id % 4 when 0 then 'https://host.example.com/' || doc_id when 1 then 'https://host.example.com/' || doc_id when 2 then 'https://host.example.com/' || doc_id end as href, case doc_id % 4 when 0 then 'link' when 1 then 'confluence' when 2 then 'youtube' else 'file' end as icon from {t.DOCUMENTS_SQL}""")
 def source_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SCL49 SCL50: type and source of documents from their chunk source."""
+    """SCL49 SCL50: type and source of documents from their chunk source, and the link, its text and its icon in a citation."""
     kind, source = T.source_parts(F.col("chunk_source"))
-    return t.documents(spark, sf_dir).select("doc_id", kind.alias("kind"), source.alias("source"))
+    text, href, icon = T.citation_link(F.col("title"), F.col("chunk_source"))
+    return t.documents(spark, sf_dir).select("doc_id", kind.alias("kind"), source.alias("source"), text.alias("link_text"), href.alias("href"), icon.alias("icon"))
 
 
 @query("select s_suppkey as id, lower(replace(s_name, '#', '')) as owner, 'repo' || s_nationkey as project from supplier")
