@@ -7,8 +7,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 Embedder = Callable[[list[str]], np.ndarray]
 
@@ -28,24 +30,42 @@ def cache_key(text: Column, size: int, overlap: int) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(f"{size}/{overlap}"), text), 256)
 
 
+def write_cache(rows: DataFrame, path: str) -> None:
+    """Adds rows (key, namespace, ...) to the vector cache."""
+    append_chunks(rows.dropDuplicates(["key"]), path)
+
+
 def split_by_cache(chunks: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Chunks whose key the cache holds, and the others."""
     keys = cache.select("key").distinct()
     return chunks.join(keys, "key", "left_semi"), chunks.join(keys, "key", "left_anti")
 
 
-def embedded(chunks: DataFrame, embedder: Embedder = hashing_embedder, batch: int = 500, max_chars: int = 8000) -> DataFrame:
-    """chunks (with text) plus embedding; texts go to the embedder in batches, cut to its longest input."""
+def embedded(chunks: DataFrame, embedder: Embedder = hashing_embedder, batch: int = 500, max_chars: int | None = None) -> DataFrame:
+    """chunks (with text) plus embedding; texts go to the embedder in batches. A text longer than the embedder's longest input, if it has one, goes there in pieces, and its
+    vector is the mean of theirs, scaled to length 1. Other columns pass through as they are."""
     names = chunks.columns
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    at = names.index("text")
+
+    def vectors(texts: list[str]) -> np.ndarray:
+        pieces = [[x[i : i + max_chars] for i in range(0, max(1, len(x)), max_chars)] if max_chars else [x] for x in texts]
+        owner = np.repeat(np.arange(len(texts)), [len(p) for p in pieces])
+        found = np.asarray(embedder([y for p in pieces for y in p]), float)
+        if len(found) == len(texts):
+            return found
+        out = np.zeros((len(texts), found.shape[1]))
+        np.add.at(out, owner, found)
+        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for at in range(0, len(part), batch):
-                rows = part.iloc[at : at + batch]
-                yield rows.assign(embedding=list(embedder([(x or "")[:max_chars] for x in rows["text"]]).astype(np.float32)))
+            for i in range(0, part.num_rows, batch):
+                rows = part.slice(i, batch)
+                made = vectors([x or "" for x in rows.column(at).to_pylist()]).astype(np.float32)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, made.size + 1, made.shape[1], dtype=np.int32)), pa.array(made.ravel()))
+                yield pa.RecordBatch.from_arrays([*rows.columns, lists], [*names, "embedding"])
 
-    from pyspark.sql import types as T
-    return chunks.mapInPandas(run, T.StructType([*chunks.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType()))])).select(*names, "embedding")
+    return chunks.mapInArrow(run, T.StructType([*(T.StructField(f.name, f.dataType) for f in chunks.schema), T.StructField("embedding", T.ArrayType(T.FloatType()))]))
 
 
 def checked_schema(chunks: DataFrame, required: dict[str, str]) -> DataFrame:
@@ -65,7 +85,7 @@ def append_chunks(chunks: DataFrame, path: str) -> None:
 def next_snapshot(chunks: DataFrame, gone: DataFrame, key: str, path: str) -> DataFrame:
     """A new snapshot of the chunk table without the rows whose key is gone; the caller switches to its path."""
     chunks.join(gone.select(key).distinct(), key, "left_anti").write.partitionBy("namespace").parquet(path)
-    return chunks.sparkSession.read.parquet(path)
+    return chunks.sparkSession.read.schema(chunks.schema).parquet(path)
 
 
 def first_sentences(text: str, n: int = 2) -> str:

@@ -15,9 +15,9 @@ DOCUMENT = ", ".join(f"{c} string" for c in (*REQUIRED[:8], "pageContent")) + ",
 CONVERTERS = {".txt": "text", ".md": "text", ".org": "text", ".adoc": "text", ".rst": "text", ".csv": "text", ".json": "text", ".html": "text", ".mbox": "mbox"}
 
 
-def listed_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Document files under path/<folder>/*.json without their contents; files that miss a required key are left out."""
-    rows = spark.read.schema(DOCUMENT).option("multiLine", True).json(f"{path}/*/*.json")
+def listed_documents(spark: SparkSession, path: str, many: bool = False) -> DataFrame:
+    """Document files under path/<folder>/*.json without their contents; files that miss a required key are left out. many: a file holds a document on each line."""
+    rows = spark.read.schema(DOCUMENT).option("multiLine", not many).json(f"{path}/*/*.json")
     complete = F.lit(True)
     for c in REQUIRED:
         complete = complete & F.col(c).isNotNull()
@@ -25,9 +25,10 @@ def listed_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def text_documents(spark: SparkSession, path: str) -> DataFrame:
-    """One document for each non-empty text file."""
+    """One document for each non-empty text file, with its folder."""
     files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
-    return files.where(F.length("text") > 0).select(F.concat(F.lit("file://"), F.regexp_extract("file", r"([^/]+)$", 1)).alias("url"), F.regexp_extract("file", r"([^/]+)$", 1).alias("title"), "text")
+    name = F.regexp_extract("file", r"([^/]+)$", 1)
+    return files.where(F.length("text") > 0).select(F.concat(F.lit("file://"), name).alias("url"), name.alias("title"), F.regexp_extract("file", r"([^/]+)/[^/]+$", 1).alias("folder"), "text")
 
 
 def looks_like_text(content: Column) -> Column:
@@ -154,10 +155,8 @@ def page_documents(pages: DataFrame) -> DataFrame:
 
 def page_links(pages: DataFrame) -> DataFrame:
     """page_id, link: distinct links of each page, resolved against its URL."""
-    origin = F.regexp_extract("url", r"^(https?://[^/]+)", 1)
-    href = pages.select("page_id", origin.alias("origin"), F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("href"))
-    link = F.when(F.col("href").rlike("^https?://"), F.col("href")).when(F.col("href").startswith("/"), F.concat("origin", "href")).otherwise(F.concat("origin", F.lit("/"), "href"))
-    return href.select("page_id", link.alias("link")).distinct()
+    href = pages.select("page_id", "url", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("href"))
+    return href.select("page_id", resolved(F.col("url"), F.col("href")).alias("link")).distinct()
 
 
 def discovered(edges: DataFrame, start: int, max_depth: int, max_links: int) -> DataFrame:
@@ -216,7 +215,58 @@ def tagged(content: Column, fields: dict[str, Column]) -> Column:
 
 
 def result_rows(results: DataFrame) -> DataFrame:
-    """Rows of search-result pages (page_id, html): the first ten entries with a title, a link and a snippet."""
-    entry = results.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(r"(?s)<li>(.*?)</li>"), F.lit(1))).alias("pos", "item"))
-    made = entry.select("page_id", "pos", F.regexp_extract("item", 'href="([^"]+)"', 1).alias("link"), F.regexp_extract("item", r">([^<]+)</a>", 1).alias("title"))
-    return made.where("link <> '' and title <> '' and pos < 10")
+    """Rows of search-result pages (page_id, html): title, link and snippet of the first ten entries; an entry that lacks one of them is dropped. The snippet is the text
+    after the entry's link."""
+    entry = results.select("page_id", F.posexplode(F.slice(F.regexp_extract_all("html", F.lit(r"(?s)<li>(.*?)</li>"), F.lit(1)), 1, 10)).alias("pos", "item"))
+    snippet = F.trim(F.regexp_replace(F.regexp_replace("item", r"(?s)^.*?</a>", ""), "<[^>]*>", ""))
+    made = entry.select("page_id", "pos", F.regexp_extract("item", 'href="([^"]+)"', 1).alias("link"), F.regexp_extract("item", r">([^<]+)</a>", 1).alias("title"), snippet.alias("snippet"))
+    return made.where("link <> '' and title <> '' and snippet <> ''")
+
+
+def within_site(links: DataFrame, start: str) -> DataFrame:
+    """links (url, link) that stay on the origin and under the path of a column of start URLs."""
+    origin = F.regexp_extract(start, r"^(https?://[^/]+)", 1)
+    prefix = F.regexp_replace(F.regexp_extract(start, r"^https?://[^/]+([^?#]*)", 1), "[^/]*$", "")
+    return links.where(F.startswith("link", F.concat(origin, F.when(prefix == "", F.lit("/")).otherwise(prefix))) | (F.col("link") == origin))
+
+
+def resolved(url: Column, href: Column) -> Column:
+    """A link against the URL of its page: absolute, from the root, or beside the page; fragments are cut."""
+    bare = F.regexp_replace(href, "#.*$", "")
+    origin, folder = F.regexp_extract(url, r"^(https?://[^/]+)", 1), F.regexp_extract(url, r"^(https?://[^/]+(?:/[^?#]*/|/)?)", 1)
+    beside = F.when(F.endswith(folder, F.lit("/")), folder).otherwise(F.concat(folder, F.lit("/")))
+    return F.when(bare.rlike("^https?://"), bare).when(F.startswith(bare, F.lit("//")), F.concat(F.regexp_extract(url, "^(https?:)", 1), bare)).when(F.startswith(bare, F.lit("/")), F.concat(origin, bare)).otherwise(F.concat(beside, bare))
+
+
+def archive_documents(rows: DataFrame) -> DataFrame:
+    """Documents of an archive (id, title, content, tags, correspondent, created) as records: HTML to text, tags and correspondent as metadata, empty ones dropped."""
+    text = F.trim(F.when(F.col("content").contains("<"), html_to_text(F.col("content"))).otherwise(F.col("content")))
+    made = rows.select("id", "title", text.alias("text"), F.array_join("tags", ", ").alias("tags"), F.coalesce("correspondent", F.lit("Unknown")).alias("docAuthor"), F.col("created").alias("published"))
+    return made.where(F.length("text") > 0)
+
+
+def repository_documents(issues: DataFrame, pages: DataFrame, files: DataFrame) -> DataFrame:
+    """Issues (iid, text), wiki pages (slug, content) and files (path, content) of a repository in one shape: kind, source, text; empty ones dropped."""
+    one = lambda df, kind, source, text: df.select(F.lit(kind).alias("kind"), F.concat(F.lit(f"{kind}-"), F.col(source).cast("string")).alias("source"), F.col(text).alias("text"))
+    return one(issues, "issue", "iid", "text").unionByName(one(pages, "wiki", "slug", "content")).unionByName(one(files, "file", "path", "content")).where(F.length(F.trim("text")) > 0)
+
+
+def run_query(spark: SparkSession, sql: str) -> tuple[DataFrame | None, int, str | None]:
+    """The rows of a query over registered views, their number, and the error if it has one."""
+    try:
+        rows = spark.sql(sql)
+        return rows, rows.count(), None
+    except Exception as error:  # the caller reports any engine's error
+        return None, 0, str(error).split("\n")[0]
+
+
+def table_profile(tables: dict[str, DataFrame]) -> DataFrame:
+    """table, place, column, kind, rows, nulls: the columns of tables."""
+    out = None
+    for name, df in tables.items():
+        counts = df.agg(F.count("*").alias("rows"), *[F.count_if(F.col(c).isNull()).alias(c) for c in df.columns])  # one row
+        kind = {c: "number" if k in ("bigint", "int", "double", "float") else "time" if k.startswith("timestamp") else "text" if k == "string" else "other" for c, k in df.dtypes}
+        columns = F.array(*[F.struct(F.lit(name).alias("table"), F.lit(i + 1).cast("long").alias("place"), F.lit(c).alias("column"), F.lit(kind[c]).alias("kind"), F.col("rows"), F.col(c).alias("nulls")) for i, c in enumerate(df.columns)])
+        made = counts.select(F.inline(columns))
+        out = made if out is None else out.unionByName(made)
+    return out

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import embedding, loaders
+from ..operators import embedding, loaders, search
 from ..sources import tables as t
 from ..sources.shared import with_checkpoints
 from .registry import query
@@ -16,7 +16,7 @@ from .registry import query
 
 @query("select doc_id, title, namespace as folder from (select doc_id, 'doc-' || doc_id as title, source as namespace, lang from documents) where lang is not null")
 def document_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC1 SRC2 UDF7 PRJ1: document records without their contents, by folder; those without required values are left out."""
+    """UDF7 PRJ1: document records without their contents, by folder; those without required values are left out."""
     return t.documents(spark, sf_dir).where(F.col("lang").isNotNull()).drop("text").select("doc_id", "title", F.col("namespace").alias("folder"))
 
 
@@ -85,7 +85,7 @@ def discover_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select 'wiki.example.com.' || (page_id % 3) || '.' || page_id || '.2024' as id, 'page ' || page_id as title from pages")
 def wiki_pages_to_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC15 SRC16 SRC17 SCL17: dump pages as documents; unchanged re-imports are kept once."""
+    """SRC15 SRC16 SCL17: dump pages as documents; unchanged re-imports are kept once."""
     p = t.table(spark, sf_dir, "pages").select(F.lit("wiki.example.com").alias("host"), (F.col("page_id") % 3).alias("space"), "page_id", F.lit("2024").alias("modified"), F.concat(F.lit("page "), "page_id").alias("title"), F.when(F.col("page_id") % 4 > 0, F.col("html")).otherwise("").alias("body"))
     return loaders.wiki_documents(p.unionByName(p.where("page_id % 2 = 0"))).where(F.length("text") > 0).select("id", "title")
 
@@ -99,11 +99,11 @@ def vault_load_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""select o_orderkey as iid, '# ' || o_orderpriority || ' (' || o_orderkey || ')' || chr(10) || chr(10) || 'order' || chr(10) || chr(10) || '## Metadata' || chr(10) || chr(10) || case when o_orderkey % 4 > 0 then '- state: ' || o_orderstatus || chr(10) else '' end || '- labels:' || chr(10) || '  - a' || chr(10) || '  - ' || o_orderstatus
- || case when max(l_linenumber) is not null then chr(10) || chr(10) || '## Activity' || chr(10) || chr(10) || string_agg(l_returnflag || l_linenumber, chr(10) || chr(10) order by l_linenumber, l_returnflag) || chr(10) else '' end as text from orders left join lineitem on l_orderkey = o_orderkey and l_linenumber < 3 group by o_orderkey, o_orderpriority, o_orderstatus""")
+ || case when max(l_linenumber) is not null then chr(10) || chr(10) || '## Activity' || chr(10) || chr(10) || string_agg(l_returnflag || l_linenumber, chr(10) || chr(10) order by l_linenumber, l_returnflag) || chr(10) else '' end as text from orders left join lineitem on l_orderkey = o_orderkey group by o_orderkey, o_orderpriority, o_orderstatus""")
 def issues_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC20 SRC21: issues with their notes as Markdown documents."""
+    """SRC20: issues with their notes as Markdown documents."""
     issues = t.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("iid"), F.col("o_orderpriority").alias("title"), F.lit("order").alias("description"), F.when(F.col("o_orderkey") % 4 > 0, F.col("o_orderstatus")).alias("state"), F.lit(None).cast("string").alias("created"), F.array(F.lit("a"), "o_orderstatus").alias("labels"))
-    notes = t.table(spark, sf_dir, "lineitem").where("l_linenumber < 3").select(F.col("l_orderkey").alias("iid"), F.struct("l_linenumber", "l_returnflag").alias("n"), F.concat("l_returnflag", "l_linenumber").alias("note"))
+    notes = t.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("iid"), F.struct("l_linenumber", "l_returnflag").alias("n"), F.concat("l_returnflag", "l_linenumber").alias("note"))
     return loaders.issue_documents(issues, notes)
 
 
@@ -115,31 +115,48 @@ def transcript_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return loaders.transcripts(turns, "conv_id", "turn", "text").join(n, "conv_id").select("conv_id", loaders.tagged(F.col("text"), {"turns": F.col("n").cast("string"), "none": F.lit(None).cast("string")}).alias("text"))
 
 
-@query("select page_id, pos::bigint as pos, '/' || name as link, name as title from (select page_id, generate_subscripts(names, 1) - 1 as pos, unnest(names) as name from (select page_id, regexp_extract_all(html, '<li><a href=\"/[^\"]*\">([^<]*)</a></li>', 1) as names from pages)) where pos < 10 and name <> ''")
+@query("select page_id, pos::bigint as pos, '/' || name as link, name as title, 'about ' || name as snippet from (select page_id, generate_subscripts(names, 1) - 1 as pos, unnest(names) as name from (select page_id, regexp_extract_all(html, '<li><a href=\"/[^\"]*\">([^<]*)</a></li>', 1) as names from pages)) where pos < 10 and name <> '' and pos % 4 <> 3")
 def result_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PRJ13 PRJ14: entries of result pages as rows."""
-    return loaders.result_rows(t.table(spark, sf_dir, "pages")).select("page_id", F.col("pos").cast("long").alias("pos"), "link", "title")
+    """PRJ13 PRJ14: entries of result pages as rows; those without a snippet (here every fourth) are dropped."""
+    pages = t.table(spark, sf_dir, "pages").select("page_id", F.regexp_extract_all("html", F.lit(r'(<li><a href="/[^"]*">[^<]*</a></li>)'), F.lit(1)).alias("items"))
+    described = F.transform("items", lambda x, i: F.when(i % 4 == 3, x).otherwise(F.regexp_replace(x, r'href="/([^"]*)">([^<]*)</a></li>', 'href="/$2">$2</a><p>about <i>$2</i></p></li>')))
+    return loaders.result_rows(pages.select("page_id", F.array_join(described, "").alias("html"))).select("page_id", F.col("pos").cast("long").alias("pos"), "link", "title", "snippet")
 
 
-@query("select n_name as name, sum(case when c_mktsegment = 'BUILDING' then 1 else 0 end)::bigint as building, count(*) as members from customer join nation on n_nationkey = c_nationkey group by n_name")
+@query("select n_name as name, 'building' as series, sum(case when c_mktsegment = 'BUILDING' then 1 else 0 end)::double as value from customer join nation on n_nationkey = c_nationkey group by n_name")
 def chart_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PRJ15: series by name, ready for a chart, parsed from a JSON list of rows."""
+    """PRJ15: a chart's data from JSON lists of rows: the series is the second key of the first row, the index is name."""
     counted = t.users(spark, sf_dir).groupBy("c_nationkey").agg(F.count_if(F.col("segment") == "BUILDING").alias("building"), F.count("*").alias("members"))
     named = counted.join(t.table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
-    rows = named.select(F.to_json(F.array(F.struct(F.col("n_name").alias("name"), "building", "members"))).alias("json"))
-    return rows.select(F.inline(F.from_json("json", "array<struct<name:string,building:long,members:long>>")))
+    lists = named.select(F.to_json(F.array(F.struct(F.col("n_name").alias("name"), "building", "members"))).alias("json"))
+    rows = lists.select(F.from_json("json", "array<map<string,string>>").alias("rows"), F.expr("json_object_keys(get_json_object(json, '$[0]'))[1]").alias("series"))
+    return rows.select("series", F.explode("rows").alias("row")).select(F.col("row")["name"].alias("name"), "series", F.try_element_at("row", F.col("series")).cast("double").alias("value"))
 
 
-_HIT = "doc_id in (select doc_id from labels)"
-
-
-@query(f"select doc_id, {_HIT} as cached from documents")
+@query("with c as (select distinct text from documents where doc_id % 3 = 0), p as (select distinct text from documents where doc_id % 2 = 0) select doc_id, text in (select text from c) as cached, text in (select text from c) and text in (select text from p) as purged from documents")
 def embed_cache_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JON17 SNK4 SCL41: chunks that the cache holds, and those still to embed."""
-    key = lambda c: embedding.cache_key(c, 1000, 20)
-    docs = t.documents(spark, sf_dir).select("doc_id", key(F.col("doc_id").cast("string")).alias("key"))
-    hit, miss = embedding.split_by_cache(docs, t.table(spark, sf_dir, "labels").select(key(F.col("doc_id").cast("string")).alias("key")))
-    return hit.select("doc_id", F.lit(True).alias("cached")).unionByName(miss.select("doc_id", F.lit(False).alias("cached")))
+    """JON17 SNK4 SCL41: texts whose digest the vector cache holds, and those still to embed; the cache is written and purged as tables. A change of the chunk size misses it all."""
+    base = f"{with_checkpoints(spark)}/cache-{uuid.uuid4().hex}"
+    key = lambda size: embedding.cache_key(F.col("text"), size, 20).alias("key")
+    docs = t.documents(spark, sf_dir).select("doc_id", "namespace", "text", key(1000))
+    embedding.write_cache(docs.where("doc_id % 3 = 0").select("key", "namespace"), base)
+    cache = spark.read.parquet(base)
+    hit, miss = embedding.split_by_cache(docs, cache)
+    none, _ = embedding.split_by_cache(docs.withColumn("key", key(500)), cache)
+    purged = embedding.next_snapshot(cache, docs.where("doc_id % 2 = 0").select("key"), "key", f"{base}-next")
+    held = hit.select("doc_id", F.lit(True).alias("cached")).unionByName(miss.select("doc_id", F.lit(False).alias("cached")))
+    left, _ = embedding.split_by_cache(docs, purged.unionByName(none.select("key", "namespace")))
+    return held.join(left.select("doc_id", F.lit(True).alias("still")), "doc_id", "left").select("doc_id", "cached", (F.col("cached") & F.col("still").isNull()).alias("purged"))
+
+
+@query("select vec_id as id, label::bigint as namespace from embeddings where label <> 3")
+def namespace_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK3: a chunk table without one namespace, as a new snapshot that readers switch to."""
+    base = f"{with_checkpoints(spark)}/chunks-{uuid.uuid4().hex}"
+    embedding.append_chunks(t.chunks(spark, sf_dir).drop("embedding"), base)
+    chunks = spark.read.parquet(base)
+    gone = chunks.where("namespace = 3").select("namespace").distinct()
+    return embedding.next_snapshot(chunks, gone, "namespace", f"{base}-next").select("id", F.col("namespace").cast("long").alias("namespace"))
 
 
 @query()
@@ -157,19 +174,116 @@ def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding.summarized(t.documents(spark, sf_dir), 4000)
 
 
-@query("select 1000000 + doc_id as id, 'agent memory' as title, '@agent' as author, length(text) as chars from documents where doc_id % 10 = 0 and length(trim(text)) > 0")
+@query("select 1000000 + doc_id as id, 'agent memory' as title, '@agent' as author, length(text) as chars from documents where length(trim(text)) > 0")
 def memory_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """UDF8: texts that an agent stores become documents under a fixed title."""
-    rows = t.documents(spark, sf_dir).where("doc_id % 10 = 0").select((F.col("doc_id") + 1_000_000).alias("id"), "text", F.lit("agent memory").alias("title"), F.lit("@agent").alias("author"), F.lit(None).cast("string").alias("about"))
-    good, _ = loaders.raw_text_documents(rows)
-    return good.select("id", "title", "author", F.length("text").cast("long").alias("chars"))
+    return _memory(spark, sf_dir).select("id", "title", "author", F.length("text").cast("long").alias("chars"))
+
+
+def _memory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = t.documents(spark, sf_dir).select((F.col("doc_id") + 1_000_000).alias("id"), "text", F.lit("agent memory").alias("title"), F.lit("@agent").alias("author"), F.lit(None).cast("string").alias("about"))
+    return loaders.raw_text_documents(rows)[0]
+
 
+@query("select doc_id + 1000000 as question_id, (select min(e.doc_id) + 1000000 from documents e where e.text = d.text) as id, 1.0::double as score from documents d where doc_id % 100 = 0 and length(trim(text)) > 0 and len(list_filter(string_split(text, ' '), lambda x: x <> '')) > 5")
+def memory_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """UDF8: the memory searched by embedded questions; here every hundredth memory asks and finds itself (or the first equal one)."""
+    held = embedding.embedded(_memory(spark, sf_dir).select("id", "text"))
+    asked = held.where("id % 100 = 0 and size(filter(split(text, ' ', -1), x -> x <> '')) > 5").select(F.col("id").alias("question_id"), "embedding")
+    found = search.nearest(held, asked, 1)
+    return found.select("question_id", "id", F.round(1 - F.col("distance"), 4).alias("score"))
 
-@query("select c_mktsegment as segment, count(*) as rows from customer where c_acctbal > 0 group by c_mktsegment order by 2 desc")
+
+@query("select c_mktsegment as segment, count(*) as rows, count(*) over () as count, null::varchar as error from customer where c_acctbal > 0 group by c_mktsegment union all select null, 0, 0, 'failed'")
 def sql_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC23 SRC24 SRC25: a query over registered views."""
+    """SRC23: queries over registered views with their number of rows, or the error."""
     t.table(spark, sf_dir, "customer").createOrReplaceTempView("lorefield_customer")
-    return spark.sql("select c_mktsegment as segment, count(*) as rows from lorefield_customer where c_acctbal > 0 group by c_mktsegment order by 2 desc")
+    good, n, _ = loaders.run_query(spark, "select c_mktsegment as segment, count(*) as rows from lorefield_customer where c_acctbal > 0 group by c_mktsegment")
+    _, none, error = loaders.run_query(spark, "select no_such_column from lorefield_customer")
+    failed = spark.range(1).select(F.lit(None).cast("string").alias("segment"), F.lit(none).cast("long").alias("rows"), F.lit(none).cast("long").alias("count"), F.lit("failed" if error else None).alias("error"))
+    return good.select("segment", "rows", F.lit(n).cast("long").alias("count"), F.lit(None).cast("string").alias("error")).unionByName(failed)
+
+
+@query("select 'customer' as name, count(*) as rows from customer union all select 'orders', count(*) from orders union all select 'events', count(*) from events union all select 'documents', count(*) from documents")
+def table_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC24: the registered tables of a database, with their rows."""
+    for name in ("customer", "orders", "events", "documents"):
+        t.table(spark, sf_dir, name).createOrReplaceTempView(f"lorefield_{name}")
+    names = sorted(x.name for x in spark.catalog.listTables() if x.name.removeprefix("lorefield_") in ("customer", "orders", "events", "documents"))  # the catalogue's names
+    out = None
+    for name in names:
+        one = spark.table(name).agg(F.lit(name.removeprefix("lorefield_")).alias("name"), F.count("*").alias("rows"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("""select 'orders' as "table", place, "column", kind, (select count(*) from orders) as rows, 0::bigint as nulls from (values (1::bigint, 'o_orderkey', 'number'), (2, 'o_custkey', 'number'), (3, 'o_orderstatus', 'text'), (4, 'o_totalprice', 'number'), (5, 'o_orderdate', 'time'), (6, 'o_orderpriority', 'text')) c(place, "column", kind)
+ union all select 'chats', 1, 'id', 'number', count(*), 0 from """ + t.CHATS_SQL + """ union all select 'chats', 2, 'answer', 'text', count(*), count(*) - count(answer) from """ + t.CHATS_SQL)
+def column_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC25: the columns of tables: place, name, kind, rows and nulls."""
+    return loaders.table_profile({"orders": t.table(spark, sf_dir, "orders"), "chats": t.chats(spark, sf_dir).select("id", "answer")})
+
+
+@query("select doc_id as id, case when doc_id % 6 = 0 then null else trim(regexp_replace(text, '\\s+', ' ', 'g')) end as body, case doc_id % 3 when 0 then 'invoice, tax' when 1 then 'letter' else '' end as tags, case when doc_id % 4 > 0 then 'c' || doc_id % 4 else 'Unknown' end as author from documents where doc_id % 6 > 0 and trim(text) <> ''")
+def archive_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC17: archive documents with tags and correspondent; those without content are dropped."""
+    k = F.col("doc_id")
+    plain = F.regexp_replace(F.regexp_replace("text", r"\s+", " "), "[<>]", "")
+    rows = t.documents(spark, sf_dir).select(k.alias("id"), "title", F.when(k % 6 > 0, plain).alias("content"), F.when(k % 3 == 0, F.array(F.lit("invoice"), F.lit("tax"))).when(k % 3 == 1, F.array(F.lit("letter"))).otherwise(F.array().cast("array<string>")).alias("tags"),
+                                             F.when(k % 4 > 0, F.concat(F.lit("c"), (k % 4).cast("string"))).alias("correspondent"), F.lit("2024-01-01").alias("created"))
+    return loaders.archive_documents(rows).select("id", F.col("text").alias("body"), "tags", F.col("docAuthor").alias("author"))
+
+
+@query("select 'issue' as kind, count(*) as docs from orders union all select 'wiki', count(*) from pages where page_id % 4 > 0 union all select 'file', count(*) from documents where length(trim(text)) > 0 and source <> 'src3'")
+def repository_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC21 SRC19: issues, wiki pages and files of a repository in one shape; ignored paths and empty texts are left out."""
+    issues = t.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("iid"), F.concat(F.lit("# "), "o_orderpriority").alias("text"))
+    pages = t.table(spark, sf_dir, "pages").select(F.col("page_id").alias("slug"), F.when(F.col("page_id") % 4 > 0, F.col("html")).otherwise(" ").alias("content"))
+    files = t.documents(spark, sf_dir).select(F.concat(F.lit("src/"), "source", F.lit("/"), "doc_id").alias("path"), F.col("text").alias("content"))
+    made = loaders.repository_documents(issues, pages, loaders.without_ignored(files, ["/src3/"]))
+    return made.groupBy("kind").agg(F.count("*").alias("docs"))
+
+
+@query("select doc_id, source as folder, 'doc-' || doc_id as title, len(string_split(text, ' ')) as words from documents where doc_id % 10 > 0")
+def document_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC1 SRC2 SNK5: JSON documents in folders written, and read again without their contents; files that miss a required key are left out."""
+    path = f"{with_checkpoints(spark)}/scan-{uuid.uuid4().hex}"
+    n = F.col("doc_id").cast("string")
+    docs = t.documents(spark, sf_dir).select(n.alias("id"), F.concat(F.lit("file://"), n).alias("url"), "title", F.lit("unknown").alias("docAuthor"), F.lit("none").alias("description"), F.lit("table").alias("docSource"), F.col("chunk_source").alias("chunkSource"), "published",
+                                             F.when(F.col("doc_id") % 10 > 0, T.pieces(F.col("text"))).alias("wordCount"), F.lit(1).alias("token_count_estimate"), F.col("text").alias("pageContent"), F.col("source").alias("folder"))
+    docs.write.partitionBy("folder").json(path)
+    return loaders.listed_documents(spark, path, many=True).select(F.col("id").cast("long").alias("doc_id"), F.regexp_replace("folder", "^folder=", "").alias("folder"), "title", F.col("wordCount").alias("words"))
+
+
+@query("select 'part-' || source as title, count(*) as lines from (select source, unnest(string_split(regexp_replace(text, '[\\n\\r\\x0b\\x0c\\x85]', ' ', 'g'), chr(10))) as line from documents) group by source")
+def text_files_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC4: text files become one document each, empty ones are left out; here a file for each source with a line for each text."""
+    path = f"{with_checkpoints(spark)}/texts-{uuid.uuid4().hex}"
+    docs = t.documents(spark, sf_dir).select(F.regexp_replace("text", r"[\n\r\x0b\x0c\x85]", " ").alias("value"), "source")
+    docs.unionByName(spark.createDataFrame([("", "none")], "value string, source string").where("source = 'never'")).repartition("source").write.partitionBy("source").text(path)
+    files = loaders.text_documents(spark, f"{path}/*")
+    return files.select(F.concat(F.lit("part-"), F.regexp_extract("folder", "([^=]+)$", 1)).alias("title"), F.size(F.split(F.regexp_replace("text", r"\n$", ""), "\n", -1)).cast("long").alias("lines")).groupBy("title").agg(F.sum("lines").alias("lines"))
+
+
+@query("""with e as (select page_id, regexp_extract(url, '^(https?://[^/]+)', 1) || case when page_id % 2 = 0 then href else '/elsewhere' end as link, url, href from (select page_id, url, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) as href from pages))
+ select distinct page_id, link from e where page_id % 2 = 0 and page_id % 3 > 0""")
+def site_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC10: links of pages that stay on the page's origin and under its path; here every third page has another host and odd pages a deeper path."""
+    pages = t.table(spark, sf_dir, "pages")
+    start = F.when(F.col("page_id") % 3 == 0, F.regexp_replace("url", r"^(https?://)[^/]+", "$1other.example.org")).when(F.col("page_id") % 2 == 1, F.concat(F.regexp_extract("url", r"^(https?://[^/]+)", 1), F.lit("/deep/er/index"))).otherwise(F.regexp_extract("url", r"^(https?://[^/]+)", 1))
+    links = loaders.page_links(pages).join(pages.select("page_id", start.alias("start")), "page_id")
+    return loaders.within_site(links, "start").select("page_id", "link").distinct()
+
+
+@query("""with recursive n as (select count(*) as n from pages), e as (select page_id as src, (3 * page_id + 1) % n as dst from pages, n union all select page_id, (5 * page_id + 2) % n from pages, n),
+ w as (select 0::bigint as node, 0 as depth union select e.dst, w.depth + 1 from w join e on e.src = w.node where w.depth < 5), f as (select node, min(depth) as depth from w group by node order by depth, node limit 40)
+ select page_id, depth, 'link://' || url as chunk_source from f join pages on page_id = node where page_id % 5 > 0""")
+def discovered_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC11: the pages that discovery finds as documents; empty ones (here every fifth) are skipped."""
+    found = discover_links(spark, sf_dir)
+    pages = t.table(spark, sf_dir, "pages").withColumn("html", F.when(F.col("page_id") % 5 > 0, F.col("html")).otherwise("<p> </p>"))
+    made = loaders.page_documents(pages.join(found, F.col("node") == F.col("page_id"), "left_semi"))
+    return made.join(found, F.col("node") == F.col("page_id")).select("page_id", "depth", "chunk_source")
 
 
 @query("select vec_id as id from embeddings where label = 3")
