@@ -34,8 +34,10 @@ from .partenum import Bands, signatures
 #: Set hashes that a task remembers; nodes of a batch that a signature sends on.
 REMEMBERED = 100_000
 SENT = 2
-#: Members of a group that one task compares with each other.
-PART = 256
+#: Members of a group that one task compares with each other, differing elements that it holds for that, and elements that it compares at once.
+PART = 2048
+HELD = 4_000_000
+COMPARED = 2048
 _U = np.uint64
 
 
@@ -114,6 +116,7 @@ class _Group:
         self.nodes: list[int] = []
         self.sizes: list[int] = []
         self.ds: list[np.ndarray] = []
+        self.held, self.large, self.sent = 0, False, 0
 
     def add(self, node: int, items: np.ndarray) -> bool:
         """Takes a member; whether it links with the pivot. d: first what the pivot lacks, then what it has, each by hash."""
@@ -128,16 +131,30 @@ class _Group:
             return []
         counts = np.array([len(d) for d in self.ds])
         g = self.k * counts - self.q * np.array(self.sizes)
-        elements, owner, out = np.concatenate(self.ds), np.repeat(np.arange(len(counts)), counts), []
-        for b in np.flatnonzero(~np.array(direct)):
-            shared = np.bincount(owner[np.isin(elements, self.ds[b])], minlength=len(counts))
-            out += [(self.nodes[b], self.nodes[c]) for c in np.flatnonzero(g[b] + g <= 2 * self.k * shared) if c != b]
-        return out
+        elements, element = np.unique(np.concatenate(self.ds), return_inverse=True)
+        times = np.bincount(element, minlength=len(elements))
+        place = np.cumsum(times > 1) - 1  # of the elements that several members have
+        owner = np.repeat(np.arange(len(counts)), counts)[times[element] > 1]
+        column = place[element[times[element] > 1]]
+        shared = np.zeros((len(counts), len(counts)), np.float32)
+        order = np.argsort(column, kind="stable")
+        owner, column = owner[order], column[order]
+        for first in range(0, int(column[-1]) + 1 if len(column) else 0, COMPARED):
+            i, j = np.searchsorted(column, (first, first + COMPARED))
+            has = np.zeros((len(counts), COMPARED), np.float32)
+            has[owner[i:j], column[i:j] - first] = 1
+            shared += has @ has.T
+        linked = g[:, None] + g[None] <= 2 * self.k * shared
+        linked[np.array(direct)] = False  # those are linked by way of the pivot
+        return [(self.nodes[b], self.nodes[c]) for b, c in zip(*np.nonzero(linked)) if b != c]
+
+    def rows(self, direct: list[bool]) -> list[tuple]:
+        return [(self.key[0], node, size, d) for node, size, d in zip(self.nodes, self.sizes, direct)]
 
 
 def _compared(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
     """From rows (pivot, part, member, large, node, text), sorted, each part's pivot first: links a, b; and for members of groups in several parts also pivot, node,
-    size, direct (linked with the pivot), d."""
+    size, direct (linked with the pivot), d. So does a group whose differences are more than a task should hold."""
     group: _Group | None = None
     direct: list[bool] = []
     for batch in batches:
@@ -149,19 +166,22 @@ def _compared(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> It
                 mine = items[offsets[k] : offsets[k + 1]]
                 if not member:
                     if group is None or group.key != (pivot, place):  # else a repeated row
-                        links += group.links(direct) if group else []
+                        links += group.links(direct) if group and not group.large else []
                         group, direct = _Group((pivot, place), mine, percent), []
                 elif not group.nodes or group.nodes[-1] != node:
                     direct.append(group.add(node, mine))
                     if direct[-1]:
                         links.append((pivot, node))
-                    if large:  # only the last is held, against repeated rows
-                        rows.append((pivot, node, len(mine), direct[-1]))
-                        ds.append(group.ds[-1])
+                    group.held += len(group.ds[-1])
+                    group.large |= large or group.held > HELD
+                    if group.large:  # its members go on; only the last stays, against repeated rows
+                        rows += group.rows(direct)[group.sent :]
+                        ds += group.ds[group.sent :]
                         for held in (group.nodes, group.sizes, group.ds, direct):
                             del held[:-1]
+                        group.sent = 1
         yield _found(links, rows, ds)
-    if group and len(group.nodes) > 1:
+    if group and not group.large:
         yield _found(group.links(direct), [], [])
 
 

@@ -284,7 +284,7 @@ def test_jaccard_components(docs, rows, width, percent):
     assert Counter(map(tuple, jaccard_join.jaccard_components(docs, width, percent).collect())) == expected
 
 
-@pytest.mark.parametrize("width, percent, part", [(4, 85, 256), (5, 80, 256), (4, 85, 4)])  # with groups in several parts
+@pytest.mark.parametrize("width, percent, part", [(4, 85, 2048), (5, 80, 2048), (4, 85, 4)])  # with groups in several parts
 def test_jaccard_many_variants(spark, empty, width, percent, part, monkeypatch):
     monkeypatch.setattr(jaccard_join, "PART", part)
     rng = random.Random(8)
@@ -358,6 +358,22 @@ def test_shared_signatures_over_batches():
         assert {(s // 2, n) for s, n in got} == expected
 
 
+def test_members_of_a_group_link(monkeypatch):
+    """Links in a group's task against brute force, with few elements compared at once; a group with many differences goes on whole."""
+    rng = np.random.default_rng(5)
+    base = np.unique(rng.integers(0, 2**63, 200).astype(np.uint64))
+    pool = np.unique(rng.integers(0, 2**63, 60).astype(np.uint64))
+    sets = [np.unique(np.r_[rng.permutation(base)[rng.integers(0, 30) :], rng.choice(pool, rng.integers(0, 30), False)]) for _ in range(60)]
+    monkeypatch.setattr(jaccard_join, "COMPARED", 16)
+    group = jaccard_join._Group((0, 0), base, 85)
+    direct = [group.add(i, s) for i, s in enumerate(sets)]
+    alike = lambda a, b: 100 * len(np.intersect1d(a, b)) >= 85 * len(np.union1d(a, b))
+    assert direct == [alike(base, s) for s in sets] and 5 < sum(direct) < 55
+    expected = {frozenset((b, c)) for b in range(60) for c in range(b) if alike(sets[b], sets[c]) and not (direct[b] and direct[c])}
+    assert {frozenset(x) for x in group.links(direct)} == expected and expected
+    assert len(group.rows(direct)) == 60
+
+
 @pytest.mark.parametrize("united", [1 << 18, 500, 9])
 def test_components(spark, united, monkeypatch):
     monkeypatch.setattr(components_module, "UNITED", united)
