@@ -14,49 +14,86 @@ from .registry import query
 
 
 def _pieces(turns: DataFrame) -> DataFrame:
-    """Answers of assistant turns as pieces of 40 characters; the third, or the last before it, has the finish marker."""
+    """Answers of assistant turns as pieces of 40 characters, a tenth of a second apart; the last has the finish marker, and one more piece follows it."""
     n = F.greatest(F.ceil(F.length("text") / 40), F.lit(1)).cast("int")
     cut = turns.where("role = 'assistant'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text", n.alias("total"))
-    cut = cut.select("id", "text", "total", F.explode(F.sequence(F.lit(1), "total")).alias("n"))
-    return cut.select("id", "n", F.substr("text", (F.col("n") - 1) * 40 + 1, F.lit(40)).alias("piece"), (F.col("n") == F.least("total", F.lit(3))).alias("finish"))
+    cut = cut.select("id", "text", "total", F.explode(F.sequence(F.lit(1), F.col("total") + 1)).alias("n"))
+    piece = F.when(F.col("n") <= F.col("total"), F.substr("text", (F.col("n") - 1) * 40 + 1, F.lit(40))).otherwise("after the end")
+    return cut.select("id", "n", piece.alias("piece"), (F.col("n") >= F.col("total")).alias("finish"), (1_704_067_200_000 + F.col("n") * 100).cast("long").alias("at_ms"))
 
 
-_ANSWERS = "select conv_id * 1000 + turn as id, left(text, 120) as answer, least(greatest(ceil(length(text) / 40), 1), 3)::integer as pieces, true as finished from conversations where role = 'assistant'"
+_ANSWERS = "select conv_id * 1000 + turn as id, text as answer, greatest(ceil(length(text) / 40), 1)::integer as pieces, true as finished, case when length(text) > 40 then round(ceil(length(text) / 4) / ((ceil(length(text) / 40) - 1) / 10), 6) else 0 end as tokens_per_second from conversations where role = 'assistant'"
 
 
 @query(_ANSWERS)
 def stream_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STR1 STR2: answers put together from streamed pieces up to the first finish marker."""
-    return jobs.run_available(jobs.assembled_answers(_pieces(jobs.table_stream(spark, sf_dir, "conversations"))))
+    """STR1 STR2: whole answers put together from streamed pieces up to the first finish marker, with their tokens a second."""
+    return jobs.run_available(jobs.assembled_answers(_pieces(jobs.table_stream(spark, sf_dir, "conversations")))).withColumn("tokens_per_second", F.round("tokens_per_second", 6))
 
 
 @query(_ANSWERS)
 def batch_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STR1: the same by one aggregation."""
-    return jobs.assembled_batch(_pieces(t.table(spark, sf_dir, "conversations")))
+    """STR1 STR2: the same by one aggregation."""
+    return jobs.assembled_batch(_pieces(t.table(spark, sf_dir, "conversations"))).withColumn("tokens_per_second", F.round("tokens_per_second", 6))
 
 
 @query("select cast(floor(extract(epoch from w)) as bigint) as from_s, user_id, count(*) as used from (select user_id, unnest(generate_series(time_bucket(interval '6 hours', ts::timestamp) - interval '18 hours', time_bucket(interval '6 hours', ts::timestamp), interval '6 hours')) as w from events) group by 1, 2")
 def stream_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STR3: events of each user in sliding day windows, with a watermark."""
     events = jobs.table_stream(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "user_id")
-    return jobs.run_available(jobs.windowed_counts(events), "complete")
+    return jobs.run_available(jobs.windowed_counts(events), "update", ("from_s", "user_id"))
 
 
-@query()
+@query(f"select event_id, event, at_ms from (select *, at_ms - lag(at_ms) over (partition by event order by at_ms, event_id) as gap from (select event_id, event || '-' || user_id as event, at_ms from {t.EVENTS_SQL})) where gap is null or gap >= 3600000")
 def stream_debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STR4: debounced events with keyed state."""
+    """STR4: debounced events with keyed state that expires; the watermark waits as long as the log is, as its files need not be in order."""
     events = jobs.table_stream(spark, sf_dir, "events").select("event_id", F.concat_ws("-", "event_type", "user_id").alias("event"), F.expr("unix_micros(cast(ts as timestamp)) div 1000").alias("at_ms"))
-    return jobs.run_available(jobs.debounced_stream(events, 3_600_000))
+    return jobs.run_available(jobs.debounced_stream(events, 3_600_000, "366 days"))
+
+
+_OUTCOME = "case when doc_id % 6 = 0 then case when doc_id % 4 = 0 then 'unwatched' else 'missing' end when doc_id % 5 = 0 then 'changed' else 'unchanged' end"
+
+
+def _sync(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All documents with their file's name, the watched one of each file (the first of three), and what a fetch of those brings."""
+    docs = t.documents(spark, sf_dir).select("doc_id", F.expr("doc_id div 3").alias("name"), "text")
+    watched = docs.where("doc_id % 3 = 0").withColumn("failed", F.when(F.col("doc_id") % 4 == 0, 4).otherwise(0))
+    fetched = watched.where("doc_id % 6 <> 0").select("doc_id", F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")).alias("text"))
+    return docs, watched, fetched
 
 
-@query("select doc_id, case when doc_id % 6 = 0 then case when doc_id % 4 = 0 then 'unwatched' else 'missing' end when doc_id % 5 = 0 then 'changed' else 'unchanged' end as outcome from documents where doc_id % 2 = 0")
+@query(f"select doc_id, {_OUTCOME} as outcome from documents where doc_id % 3 = 0")
 def document_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STR5 STR6: one sync run over watched documents."""
-    docs = t.documents(spark, sf_dir).where("doc_id % 2 = 0")
-    current = docs.select("doc_id", "text", F.when(F.col("doc_id") % 4 == 0, 4).otherwise(0).alias("failed"))
-    fetched = docs.where("doc_id % 6 <> 0").select("doc_id", F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")).alias("text"))
-    return jobs.synced(current, fetched)
+    """STR5: the outcomes of one sync run over the watched document of each file, as its log has them."""
+    docs, watched, fetched = _sync(spark, sf_dir)
+    log = f"{with_checkpoints(spark)}/runs-{uuid.uuid4().hex}"
+    jobs.sync_run(docs, watched, fetched, log, 1)
+    return spark.read.parquet(log).select("doc_id", "outcome")
+
+
+@query("""with w as (select doc_id // 3 as name, text || '!' as new_text from documents where doc_id % 3 = 0 and doc_id % 6 <> 0 and doc_id % 5 = 0)
+ select doc_id, md5(coalesce(new_text, text)) as body, new_text is not null as replaced from documents left join w on name = doc_id // 3""")
+def synced_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR5: after a sync run the copies of changed files have the new text in all workspaces, others stay."""
+    docs, watched, fetched = _sync(spark, sf_dir)
+    log = f"{with_checkpoints(spark)}/runs-{uuid.uuid4().hex}"
+    after = jobs.sync_run(docs, watched, fetched, log, 1)
+    old = docs.select("doc_id", F.col("text").alias("old"))
+    return after.join(old, "doc_id").select("doc_id", F.md5("text").alias("body"), (~F.col("text").eqNullSafe(F.col("old"))).alias("replaced"))
+
+
+@query("select conv_id as thread_id, max(conv_id * 1000 + turn) as reset_id from conversations where turn % 4 = 2 group by conv_id")
+def stream_resets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR9: the last reset of each thread from a stream of resets; after_reset applies them to a history."""
+    resets = jobs.table_stream(spark, sf_dir, "conversations").where("turn % 4 = 2").select(F.col("conv_id").alias("thread_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("reset_id"))
+    return jobs.run_available(jobs.last_resets(resets), "update", ("thread_id",))
+
+
+@query("select conv_id as id, arg_max(role || length(text), turn) as value, count(*) as edits from conversations group by conv_id")
+def stream_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR10: the latest edit of each chat from a stream of edits."""
+    edits = jobs.table_stream(spark, sf_dir, "conversations").select(F.col("conv_id").alias("id"), F.col("turn").alias("seq"), F.concat("role", F.length("text").cast("string")).alias("value"))
+    return jobs.run_available(jobs.latest_values(edits), "update", ("id",))
 
 
 @query()

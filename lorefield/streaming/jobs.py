@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import embedding
@@ -25,48 +26,66 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{sf_dir}/{name}[.]parquet")  # a pattern, as tables may be single files
 
 
-def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Runs a stream over the input that is there; its result is a table in the shared folder. In complete mode the last batch holds."""
+def run_available(stream: DataFrame, mode: str = "append", keys: tuple[str, ...] = ()) -> DataFrame:
+    """Runs a stream over the input that is there; its result is a table in the shared folder. In update mode each batch writes a folder of its own, so that a batch that is
+    run again replaces its rows, and the last row of each key holds."""
     spark = stream.sparkSession
     base = f"{with_checkpoints(spark)}/stream-{uuid.uuid4().hex}"
     writer = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{base}/state")
     if mode == "append":
         writer.outputMode("append").format("parquet").option("path", f"{base}/rows").start().awaitTermination()
-    else:
-        writer.outputMode(mode).foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{base}/rows")).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/rows")
+        return spark.read.schema(stream.schema).parquet(f"{base}/rows")
+    writer.outputMode("update").foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{base}/rows/batch={n}")).start().awaitTermination()
+    rows = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{base}/rows")
+    values = F.struct(*[c for c in stream.columns if c not in keys])
+    return rows.groupBy(*keys).agg(F.max_by(values, "batch").alias("v")).select(*keys, "v.*").select(stream.columns)
 
 
-ANSWER = "id long, answer string, pieces int, finished boolean"
+ANSWER = "id long, answer string, pieces int, finished boolean, tokens_per_second double"
+#: Milliseconds after its last piece for which an answer's state is kept.
+KEPT_MS = 3_600_000
 
 
 def _assembled(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    text, pieces, done = state.get if state.exists else ("", 0, False)
+    if state.hasTimedOut:
+        state.remove()
+        return
+    text, pieces, done, first, last = state.get if state.exists else ("", 0, False, None, None)
     rows = pd.concat(list(parts)).sort_values("n")
     if not done:
-        for piece, finish in zip(rows["piece"], rows["finish"]):
+        for piece, finish, at in zip(rows["piece"], rows["finish"], rows["at_ms"]):
             text, pieces = text + (piece or ""), pieces + 1
+            first, last = int(at) if first is None else first, int(at)
             if finish:
                 done = True
-                yield pd.DataFrame({"id": [key[0]], "answer": [text], "pieces": [pieces], "finished": [True]})
+                speed = -(-len(text) // 4) / ((last - first) / 1000) if last > first else 0.0
+                yield pd.DataFrame({"id": [key[0]], "answer": [text], "pieces": [pieces], "finished": [True], "tokens_per_second": [speed]})
+                text = ""  # what follows is ignored
                 break
-    state.update((text, pieces, done))
+    state.update((text, pieces, done, first, last))
+    state.setTimeoutTimestamp(max(int(rows["at_ms"].max()) + KEPT_MS, state.getCurrentWatermarkMs() + 1))
 
 
-def assembled_answers(stream: DataFrame) -> DataFrame:
-    """Answers from pieces (id, n, piece, finish): one row when the first finish marker comes; pieces after it are ignored."""
-    return stream.groupBy("id").applyInPandasWithState(_assembled, ANSWER, "answer string, pieces int, finished boolean", "append", GroupStateTimeout.NoTimeout)
+def assembled_answers(stream: DataFrame, late: str = LATE) -> DataFrame:
+    """Answers from pieces (id, n, piece, finish, at_ms): one row when the first finish marker comes, with the tokens a second from its first piece to its last; pieces after it are
+    ignored. An answer is forgotten once the watermark has passed its last piece by KEPT_MS."""
+    timed = stream.withColumn("ts", F.timestamp_millis("at_ms")).withWatermark("ts", late)
+    return timed.groupBy("id").applyInPandasWithState(_assembled, ANSWER, "answer string, pieces int, finished boolean, first long, last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def assembled_batch(pieces: DataFrame) -> DataFrame:
     """Batch twin of assembled_answers."""
     first = pieces.where("finish").groupBy("id").agg(F.min("n").alias("last"))
-    kept = pieces.join(first, "id").where("n <= last").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "piece"))).alias("p"))
-    return kept.select("id", F.array_join(F.transform("p", lambda x: x["piece"]), "").alias("answer"), F.size("p").alias("pieces"), F.lit(True).alias("finished"))
+    kept = pieces.join(first, "id").where("n <= last").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "piece"))).alias("p"), ((F.max("at_ms") - F.min("at_ms")) / 1000).alias("seconds"))
+    answer = F.array_join(F.transform("p", lambda x: x["piece"]), "")
+    return kept.select("id", answer.alias("answer"), F.size("p").alias("pieces"), F.lit(True).alias("finished"), F.when(F.col("seconds") > 0, F.ceil(F.length(answer) / 4) / F.col("seconds")).otherwise(0.0).alias("tokens_per_second"))
 
 
 def _debounced(cooldown_ms: int):
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get[0] if state.exists else None
         rows = pd.concat(list(parts)).sort_values(["at_ms", "event_id"])
         kept = []
@@ -75,13 +94,16 @@ def _debounced(cooldown_ms: int):
                 kept.append(i)
             last = at
         state.update((int(last),))
+        state.setTimeoutTimestamp(max(int(last) + cooldown_ms, state.getCurrentWatermarkMs() + 1))
         yield rows.iloc[kept][["event_id", "event", "at_ms"]]
     return step
 
 
-def debounced_stream(stream: DataFrame, cooldown_ms: int) -> DataFrame:
-    """Events (event_id, event, at_ms) a cooldown or more after the previous one of their key, in order of arrival by micro-batch."""
-    return stream.groupBy("event").applyInPandasWithState(_debounced(cooldown_ms), "event_id long, event string, at_ms long", "last long", "append", GroupStateTimeout.NoTimeout)
+def debounced_stream(stream: DataFrame, cooldown_ms: int, late: str = LATE) -> DataFrame:
+    """Events (event_id, event, at_ms) a cooldown or more after the previous one of their key, in order of arrival by micro-batch. A key is forgotten once the watermark has passed its
+    last event by the cooldown: a later event passes anyway."""
+    timed = stream.withColumn("ts", F.timestamp_millis("at_ms")).withWatermark("ts", late)
+    return timed.groupBy("event").applyInPandasWithState(_debounced(cooldown_ms), "event_id long, event string, at_ms long", "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def windowed_counts(stream: DataFrame) -> DataFrame:
@@ -100,13 +122,40 @@ def synced(current: DataFrame, fetched: DataFrame, failures: int = 5) -> DataFra
     return both.select("doc_id", outcome.alias("outcome"))
 
 
+def sync_run(chunks: DataFrame, watched: DataFrame, fetched: DataFrame, log: str, run: int) -> DataFrame:
+    """One sync run: outcomes of the watched documents are appended to the log under the run's number, and the chunk table (doc_id, name, text) comes back with the new text in
+    the rows of all documents whose file has changed, in whatever workspace. watched: doc_id, name, text, failed; fetched: doc_id, text."""
+    outcome = synced(watched, fetched)
+    outcome.write.mode("overwrite").parquet(f"{log}/run={run}")
+    done = watched.sparkSession.read.schema(outcome.schema).parquet(f"{log}/run={run}")
+    changed = done.where("outcome = 'changed'").join(watched.select("doc_id", "name"), "doc_id").join(fetched.select("doc_id", F.col("text").alias("new_text")), "doc_id").select("name", "new_text")
+    return chunks.join(changed, "name", "left").select("doc_id", "name", F.coalesce("new_text", "text").alias("text"))
+
+
 def ingested(stream: DataFrame, path: str) -> None:
-    """Documents of a stream (doc_id, namespace, text) chunked, embedded and appended to a chunk table, batch by batch; documents seen before, by
-    their content, are skipped within a batch."""
+    """Documents of a stream (doc_id, namespace, text) chunked, embedded and added to a chunk table, batch by batch; documents that the batch or an earlier one has brought with the same
+    text are skipped. Each batch has a folder of its own, so that one that is run again replaces its rows."""
     from ..functions.text import chunks
 
+    spark = stream.sparkSession
+    digest = F.sha2(F.concat_ws("|", "doc_id", "text"), 256).alias("digest")
+
     def one(batch: DataFrame, n: int) -> None:
-        cut = batch.dropDuplicates(["doc_id", "text"]).select("doc_id", "namespace", F.posexplode(chunks(F.col("text"))).alias("chunk_index", "text"))
-        embedding.append_chunks(embedding.embedded(cut).withColumn("batch", F.lit(n)), path)
+        fresh = batch.dropDuplicates(["doc_id", "text"]).select("doc_id", "namespace", "text", digest)
+        if n:
+            before = spark.read.schema("digest string, batch long").parquet(path).where(F.col("batch") < n).select("digest").distinct()
+            fresh = fresh.join(before, "digest", "left_anti")
+        cut = fresh.select("doc_id", "namespace", "digest", F.posexplode(chunks(F.col("text"))).alias("chunk_index", "text"))
+        embedding.embedded(cut).write.mode("overwrite").partitionBy("namespace").parquet(f"{path}/batch={n}")
 
     stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{path}-state").foreachBatch(one).start().awaitTermination()
+
+
+def last_resets(stream: DataFrame) -> DataFrame:
+    """thread_id, reset_id: the last reset of each thread in a stream of resets (thread_id, reset_id)."""
+    return stream.groupBy("thread_id").agg(F.max("reset_id").alias("reset_id"))
+
+
+def latest_values(stream: DataFrame) -> DataFrame:
+    """id, value, edits: the latest of a stream of edits (id, seq, value) of each chat."""
+    return stream.groupBy("id").agg(F.max_by("value", "seq").alias("value"), F.count("*").alias("edits"))
