@@ -19,8 +19,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,8 +32,9 @@ from .hashing import bytes_of, mixed, slices, word_hashes
 MAX_LABELS = 16_000
 MAX_POOL = 8_000
 REJECTED_GOOD = 0.003
-#: Ridge of both views' models.
+#: Ridge of both views' models; rows that a step of fitting takes at once.
 RIDGE = 10.0
+FITTED = 1024
 META = ("lang", "source", "n_chars")
 _SLOTS = 48
 #: Buckets of hashed words and of hashed word pairs in the text view.
@@ -66,7 +67,7 @@ def text_features(texts: pa.Array) -> np.ndarray:
             count = np.bincount(r * n + (h % np.uint64(n)).astype(np.int64), minlength=(j - i) * n).reshape(j - i, n)
             shares.append(np.sqrt(count / np.maximum(1, count.sum(1, keepdims=True))))
         stats = np.stack([_statistics(data[a:b].tobytes()) for a, b in zip(starts[:-1], starts[1:])])
-        out.append(np.c_[stats, *shares].astype(np.float32))
+        out.append(np.minimum(np.c_[stats, *shares], 60_000).astype(np.float16).astype(np.float32))  # half precision is what the sample travels in
     return np.concatenate(out)
 
 
@@ -82,13 +83,18 @@ def meta_features(values: tuple) -> np.ndarray:
 
 def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, start: np.ndarray | None = None) -> np.ndarray:
     """Weights of a ridge logistic regression by Newton's steps; the last is the intercept."""
-    x1 = np.c_[x, np.ones(len(x))].astype(float)
-    w = np.zeros(x1.shape[1]) if start is None else start.copy()
-    pull = np.full(len(w), ridge)
+    n = x.shape[1] + 1
+    w = np.zeros(n) if start is None else start.copy()
+    pull = np.full(n, ridge)
     pull[-1] = 1e-6
     for _ in range(25):
-        p = 1 / (1 + np.exp(-np.clip(x1 @ w, -30, 30)))
-        step = np.linalg.solve((x1.T * (weight * p * (1 - p))) @ x1 + np.diag(pull + 1e-9), x1.T @ (weight * (p - y)) + pull * w)
+        slope, bend = pull * w, np.diag(pull + 1e-9)
+        for i in range(0, len(x), FITTED):  # in blocks, so that memory stays small
+            x1 = np.c_[x[i : i + FITTED], np.ones(len(x[i : i + FITTED]))].astype(float)
+            p, m = 1 / (1 + np.exp(-np.clip(x1 @ w, -30, 30))), weight[i : i + FITTED]
+            slope += x1.T @ (m * (p - y[i : i + FITTED]))
+            bend += (x1.T * (m * p * (1 - p))) @ x1
+        step = np.linalg.solve(bend, slope)
         w -= step
         if np.abs(step).max() < 1e-4:
             break
@@ -175,22 +181,25 @@ def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for batch in batches:
             text = text_features(batch.column(2))
             metas = zip(*(batch.column(3 + i).to_pylist() for i in range(len(meta_cols)))) if meta_cols else [()] * batch.num_rows
-            meta = [meta_features(v).tobytes() for v in metas]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1).cast(pa.int64()), pa.array([x.tobytes() for x in text], pa.binary()), pa.array(meta, pa.binary())], ["id", "y", "text", "meta"])
+            meta = [np.packbits(meta_features(v) > 0).tobytes() for v in metas]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1).cast(pa.int64()), pa.array([x.tobytes() for x in text.astype(np.float16)], pa.binary()), pa.array(meta, pa.binary())], ["id", "y", "text", "meta"])
 
     # the sample has at most max_labels and about max_pool narrow rows
     rows = (docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *[F.col(c).alias(f"_m{i}") for i, c in enumerate(meta_cols)])
             .join(F.broadcast(sample), "_id").select("_id", "_y", "_text", *[f"_m{i}" for i in range(len(meta_cols))])
-            .mapInArrow(features, "id long, y long, text binary, meta binary").toPandas())
+            .mapInArrow(features, "id long, y long, text binary, meta binary").toArrow().combine_chunks())
     if not len(rows):
         return None
-    rows = rows.sort_values(["id", "text"], kind="stable")
-    text = np.stack([np.frombuffer(x, np.float32) for x in rows["text"]])
-    meta = np.stack([np.frombuffer(x, np.float32) for x in rows["meta"]])
-    own = rows["y"].notna().to_numpy()
+    rows = rows.take(pc.sort_indices(rows, [("id", "ascending"), ("text", "ascending")]))
+    text = np.frombuffer(b"".join(rows["text"].to_pylist()), np.float16).reshape(len(rows), -1).astype(np.float32)
+    bits = np.frombuffer(b"".join(rows["meta"].to_pylist()), np.uint8).reshape(len(rows), -1)
+    meta = np.unpackbits(bits, axis=1, count=_SLOTS * len(meta_cols)).astype(np.float32) if meta_cols else np.zeros((len(rows), 0), np.float32)
+    y = rows["y"].to_numpy()
+    del rows
+    own = ~np.isnan(y.astype(float))
     if not own.any():
         return None
-    return co_train(text[own], meta[own], rows["y"][own].to_numpy(int), text[~own], meta[~own])
+    return co_train(text[own], meta[own], y[own].astype(int), text[~own], meta[~own])
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", meta_cols: tuple[str, ...] = META,
