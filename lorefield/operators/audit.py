@@ -29,7 +29,9 @@ def signature(*cols: Column) -> Column:
 
 def first_calls(events: DataFrame, *key: str) -> DataFrame:
     """Calls whose key wasn't seen before."""
-    return events.withColumn("n", F.row_number().over(Window.partitionBy(*key).orderBy("at_ms", "event_id"))).where("n = 1").drop("n")
+    rest = [c for c in events.columns if c not in key]
+    first = F.min_by(F.struct(*rest), F.struct("at_ms", "event_id")).alias("first")
+    return events.groupBy(*key).agg(first).select(*key, "first.*").select(events.columns)
 
 
 def accepted_after_cooldown(events: DataFrame, key: str, cooldown_ms: int) -> DataFrame:

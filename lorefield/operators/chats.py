@@ -73,9 +73,10 @@ def instruction(system: Column, contexts: Column) -> Column:
 
 
 def citations(chats: DataFrame) -> DataFrame:
-    """id, title, refs, chunks (in order of citation) of each chat's sources."""
-    cited = chats.select("id", F.posexplode("sources").alias("k", "s"))
-    return cited.groupBy("id", F.col("s.title").alias("title")).agg(F.count("*").alias("refs"), F.array_sort(F.collect_list(F.struct("k", F.col("s.text").alias("text")))).alias("chunks"))
+    """id, title, refs, chunks (in order of citation) of each chat's sources. All within the chat's own row."""
+    titles = chats.select("id", "sources", F.explode(F.array_distinct(F.transform("sources", lambda s: s["title"]))).alias("title"))
+    mine = F.filter(F.transform("sources", lambda s, k: F.struct(k.alias("k"), s["text"].alias("text"), s["title"].alias("t"))), lambda x: x["t"].eqNullSafe(F.col("title")))
+    return titles.select("id", "title", F.size(mine).cast("long").alias("refs"), F.transform(mine, lambda x: F.struct(x["k"].alias("k"), x["text"].alias("text"))).alias("chunks"))
 
 
 def without_sources(chats: DataFrame) -> DataFrame:
@@ -87,10 +88,11 @@ def shortened(text: Column, n: int) -> Column:
 
 
 def forked(chats: DataFrame, pivots: DataFrame) -> DataFrame:
-    """thread_id, copied, name: visible chats up to each pivot, and a name from the last of them that has an answer."""
+    """thread_id, name, and the copied columns of each visible chat up to its thread's pivot; the name is from the last of them that has an answer."""
     kept = chats.join(pivots, "thread_id").where("id <= pivot and include")
     last = F.max_by("answer", F.when(F.col("answer").isNotNull(), F.col("id")))
-    return kept.groupBy("thread_id").agg(F.count("*").alias("copied"), shortened(last, 22).alias("name"))
+    names = kept.groupBy("thread_id").agg(shortened(last, 22).alias("name"))
+    return kept.join(names, "thread_id").select("thread_id", "name", "id", "prompt", "answer")
 
 
 def first_names(chats: DataFrame) -> DataFrame:

@@ -95,13 +95,14 @@ def sources_hidden(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hidden.where(~F.col("response").contains('"sources"')).select("id", F.get_json_object("response", "$.text").alias("response"))
 
 
-@query(f"""with p as (select thread_id, max(id) as top_id from {t.CHATS_SQL} where turn <= 3 group by thread_id)
- select thread_id, count(*) as copied, left(arg_max(answer, id), 22) || case when length(arg_max(answer, id)) > 22 then '…' else '' end as name from {t.CHATS_SQL} join p using (thread_id) where id <= top_id and include group by thread_id having max(answer) is not null""")
+@query(f"""with p as (select thread_id, max(id) as top_id from {t.CHATS_SQL} where turn <= 3 group by thread_id), k as (select c.* from {t.CHATS_SQL} c join p using (thread_id) where id <= top_id and include),
+ n as (select thread_id, left(arg_max(answer, id), 22) || case when length(arg_max(answer, id)) > 22 then '…' else '' end as name from k group by thread_id)
+ select 1000000 + thread_id as thread_id, name, id, md5(prompt) as prompt, md5(answer) as answer from k join n using (thread_id)""")
 def thread_fork(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WIN9 SCL26: chats up to a pivot copied to a new thread, named after the last answer."""
     chats = t.chats(spark, sf_dir)
     pivots = chats.where("turn <= 3").groupBy("thread_id").agg(F.max("id").alias("pivot"))
-    return ops.forked(chats, pivots).where("name is not null").select("thread_id", "copied", "name")
+    return ops.forked(chats, pivots).select((F.col("thread_id") + 1_000_000).alias("thread_id"), "name", "id", F.md5("prompt").alias("prompt"), F.md5("answer").alias("answer"))
 
 
 @query(f"select thread_id, any_value(left(prompt, 22) || case when length(prompt) > 22 then '…' else '' end) as name from {t.CHATS_SQL} group by thread_id having count(*) = 1")
@@ -130,10 +131,10 @@ def workspace_chat_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.chats(spark, sf_dir).groupBy("workspace_id").agg(F.count_if(F.col("include") & F.col("api_session_id").isNull()).alias("visible"), F.count_distinct("thread_id").alias("threads"), F.count("*").alias("chats"))
 
 
-@query("""select conv_id, turn, prev as old_prompt, text as new_prompt from (select *, lag(text) over (partition by conv_id order by turn) as prev from conversations) where prev is not null and prev <> text and turn % 2 = 1""")
+@query("""select conv_id, turn, prev as old_prompt, text as new_prompt from (select *, lag(text) over (partition by conv_id order by turn) as prev from conversations) where prev is not null and prev <> text""")
 def prompt_change_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WIN6: a change is logged where the old prompt is set and differs from the new one."""
-    return ops.changes(t.table(spark, sf_dir, "conversations"), "conv_id", "turn", "text").where("turn % 2 = 1").select("conv_id", "turn", "old_prompt", "new_prompt")
+    return ops.changes(t.table(spark, sf_dir, "conversations"), "conv_id", "turn", "text").select("conv_id", "turn", "old_prompt", "new_prompt")
 
 
 @query("""with f as (select conv_id, turn, role, text, lag(role) over (partition by conv_id order by turn) as prev from conversations)

@@ -55,7 +55,7 @@ def vector_count_by_namespace(spark: SparkSession, sf_dir: str) -> DataFrame:
 _RERANKED = """with n as (select label, greatest(10, least(50, ceil(count(*) / 10)))::bigint as most from embeddings group by label),
  v as (select b.vec_id as question_id, a.vec_id as id, a.label, list_cosine_distance(cast(a.embedding as double[]), cast(b.embedding as double[])) as d from embeddings a join embeddings b on a.label = b.label and b.vec_id % 100 = 0),
  c as (select * from (select v.*, row_number() over (partition by question_id order by d, id) as rank, most from v join n using (label)) where rank <= most),
- w as (select doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) as ws, left(text, 400) as head from documents),
+ w as (select doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) as ws, text as head from documents),
  q as (select doc_id, list_distinct(list_filter(regexp_split_to_array(lower(head), '\\s+'), lambda x: x <> '')) as ws from w),
  s as (select c.*, case when len(q.ws) > 0 then len(list_intersect(q.ws, w.ws)) / len(q.ws) else 0 end as rerank from c join w on w.doc_id = c.id join q on q.doc_id = c.question_id),
  r as (select *, row_number() over (partition by question_id order by rerank desc, rank, id) as place from s)
@@ -63,10 +63,10 @@ _RERANKED = """with n as (select label, greatest(10, least(50, ceil(count(*) / 1
 
 
 def _reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Questions are every hundredth vector with the first 400 characters of its document; pinned are the documents with ids divisible by seven."""
+    """Questions are every hundredth vector with the text of its document; pinned are the documents with ids divisible by seven."""
     docs, asked = t.documents(spark, sf_dir), _questions(spark, sf_dir)
     texts = docs.select(F.col("doc_id").alias("id"), "text", "title", "published", "chunk_source", "source")
-    question = docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("question_id"), F.left("text", F.lit(400)).alias("question"))
+    question = docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("question_id"), F.col("text").alias("question"))
     found = search.candidates(t.chunks(spark, sf_dir), asked).join(texts, "id").join(question, "question_id").withColumn("similarity", V.similarity(F.col("distance")))
     return search.without_pinned(search.reranked(found), docs.where("doc_id % 7 = 0"))
 
@@ -106,14 +106,14 @@ def pinned_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.pinned_within(t.documents(spark, sf_dir), 3000).select("namespace", "doc_id", "before")
 
 
-@query(f"""with hits as (select workspace_id as question_id, source_id, chunk, 0 as prio, 0 as age, min(id * 10 + k) as pos from {t.SOURCES_SQL} where k = 1 and thread_id < 25 group by all),
+@query(f"""with hits as (select workspace_id as question_id, source_id, chunk, 0 as prio, 0 as age, min(id * 10 + k) as pos from {t.SOURCES_SQL} where k = 1 and id % 100 = 0 group by all),
  old as (select workspace_id as question_id, source_id, chunk, 1 as prio, -id as age, k as pos from {t.SOURCES_SQL} where score is not null and include),
  allof as (select * from (select question_id, source_id, chunk, prio, age, pos, row_number() over (partition by question_id, source_id order by prio, age, pos) as n from (select * from hits union all select * from old)) where n = 1)
  select question_id, source_id, row_number() over (partition by question_id order by prio, age, pos) as rank from allof qualify rank <= 6""")
 def fill_source_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """WIN3 SET1: search hits first, then sources of earlier chats newest first, each once, up to six."""
+    """WIN3 SET1: search hits (of every hundredth chat) first, then sources of earlier chats newest first, each once, up to six."""
     old = t.chats(spark, sf_dir).select("id", "workspace_id", "thread_id", "include", F.posexplode("sources").alias("k", "s"))
-    hits = old.where("k = 0 and thread_id < 25").groupBy(F.col("workspace_id").alias("question_id"), F.col("s.id").alias("source_id")).agg(F.min(F.col("id") * 10 + F.col("k") + 1).alias("pos"))
+    hits = old.where("k = 0 and id % 100 = 0").groupBy(F.col("workspace_id").alias("question_id"), F.col("s.id").alias("source_id")).agg(F.min(F.col("id") * 10 + F.col("k") + 1).alias("pos"))
     earlier = old.where("s.score is not null and include").select(F.col("workspace_id").alias("question_id"), F.col("s.id").alias("source_id"), (-F.col("id")).alias("age"), F.col("k").cast("long").alias("pos"))
     return context.filled_window(hits, earlier, 6).select("question_id", "source_id", F.col("rank").cast("long").alias("rank"))
 
@@ -183,12 +183,12 @@ def middle_out(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "tokens", (F.size(F.split("kept", " ", -1)) - F.when(F.col("tokens") < 200, 0).otherwise(0)).cast("long").alias("left_tokens"))
 
 
-@query(f"""select question_id, string_agg('[CONTEXT ' || (rank - 1) || E']:\\n' || left(text, 100) || E'\\n[END CONTEXT ' || (rank - 1) || E']\\n\\n', '' order by rank) as context
+@query(f"""select question_id, string_agg('[CONTEXT ' || (rank - 1) || E']:\\n' || text || E'\\n[END CONTEXT ' || (rank - 1) || E']\\n\\n', '' order by rank) as context
  from (select source as question_id, text, row_number() over (partition by source order by doc_id) as rank from documents qualify rank <= 4) group by question_id""")
 def context_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PRJ5 PRJ4: numbered context blocks from each question's texts."""
+    """PRJ5: numbered context blocks from each question's texts."""
     top = t.documents(spark, sf_dir).withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))).where("rank <= 4")
-    texts = top.groupBy(F.col("source").alias("question_id")).agg(F.array_sort(F.collect_list(F.struct("rank", F.substring("text", 1, 100).alias("text")))).alias("texts"))  # four at most
+    texts = top.groupBy(F.col("source").alias("question_id")).agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("texts"))  # four at most
     return texts.select("question_id", context.context_text(F.transform("texts", lambda x: x["text"])).alias("context"))
 
 

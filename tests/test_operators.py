@@ -1,10 +1,12 @@
 """Golden cases and properties of operators that SQL doesn't cover."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from lorefield.functions.text import chunk_header, split_text, valid_url
-from lorefield.operators import audit, context, embedding, loaders
+from lorefield.operators import audit, context, embedding, loaders, search
 from lorefield.streaming import jobs
 
 SENTENCE = "This is a test text to be split into chunks"  # fixed value: 43 characters with published chunk counts
@@ -104,14 +106,76 @@ def test_snapshots(spark, tmp_path):
 
 
 def test_streams_over_several_batches_equal_batch(spark, tmp_path):
-    rows = [(i, n, f"{i}.{n} ", n == 4) for i in range(6) for n in range(1, 7)]
+    rows = [(i, n, f"{i}.{n} ", n == 4, 1000 * n + i) for i in range(6) for n in range(1, 7)]
     for n in range(1, 7):
-        spark.createDataFrame([r for r in rows if r[1] == n], "id long, n int, piece string, finish boolean").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-    stream = spark.readStream.schema("id long, n int, piece string, finish boolean").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        spark.createDataFrame([r for r in rows if r[1] == n], "id long, n int, piece string, finish boolean, at_ms long").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("id long, n int, piece string, finish boolean, at_ms long").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     got = jobs.run_available(jobs.assembled_answers(stream)).collect()
-    assert sorted(got) == sorted(jobs.assembled_batch(spark.createDataFrame(rows, "id long, n int, piece string, finish boolean")).collect())
+    assert sorted(got) == sorted(jobs.assembled_batch(spark.createDataFrame(rows, "id long, n int, piece string, finish boolean, at_ms long")).collect())
+
+
+def test_answers_are_forgotten_after_a_while(spark, tmp_path):
+    """A piece that comes hours after the others starts an answer anew, as the state has expired; within the hour it is ignored."""
+    hour = 3_600_000
+    batches = [[(1, 1, "a", True, 0), (2, 1, "b", True, 0)], [(1, 2, "late", True, hour // 2)], [(3, 1, "c", True, 9 * hour)], [(4, 1, "d", True, 9 * hour + 1)], [(2, 2, "again", True, 10 * hour)]]
+    for rows in batches:
+        time.sleep(1.1)  # files are taken in the order of their times
+        rows = [(*r[:4], 10**12 + r[4]) for r in rows]
+        spark.createDataFrame(rows, "id long, n int, piece string, finish boolean, at_ms long").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("id long, n int, piece string, finish boolean, at_ms long").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    assert sorted((r.id, r.answer) for r in jobs.run_available(jobs.assembled_answers(stream)).collect()) == [(1, "a"), (2, "again"), (2, "b"), (3, "c"), (4, "d")]
 
 
 def test_cooldown_depends_on_accepted_calls(spark):
     events = spark.createDataFrame([(i, "k", at) for i, at in enumerate((0, 40, 90, 120, 210, 230, 1000))], "event_id long, event string, at_ms long")
     assert sorted(r.at_ms for r in audit.accepted_after_cooldown(events, "event", 100).collect()) == [0, 120, 230, 1000]
+
+
+def test_cooldown_over_a_whole_table(spark):
+    """The folded stretches against a plain loop over each key."""
+    events = [(i, f"e{i * 7 % 13}", (i * 7919) % 100_000) for i in range(3000)]
+    expected, last = set(), {}
+    for i, key, at in sorted(events, key=lambda e: (e[2], e[0])):
+        if key not in last or at - last[key] >= 400:
+            last[key] = at
+            expected.add(i)
+    frame = spark.createDataFrame(events, "event_id long, event string, at_ms long")
+    assert {r.event_id for r in audit.accepted_after_cooldown(frame, "event", 400).collect()} == expected
+
+
+def test_rerank_falls_back_to_the_similarity(spark):
+    rows = [(1, "a b", i, t, s, r) for i, t, s, r in ((10, "a b", 0.9, 1), (11, "a", 0.2, 2), (12, "none", 0.8, 3), (13, "b", 0.7, 4), (14, "none", 0.6, 5))]
+    found = search.reranked(spark.createDataFrame(rows, "question_id long, question string, id long, text string, similarity double, rank int"), 4).orderBy("place").collect()
+    assert [(r.id, r.score) for r in found] == [(10, 1.0), (13, 0.5), (12, 0.8)]  # 11 is in the top four by its new score, but below the threshold by its similarity
+
+
+def test_nearest_keeps_to_a_group_and_to_ties(spark):
+    rows = [(i, [1.0, float(i % 3)], i % 2) for i in range(40)]
+    chunks = spark.createDataFrame(rows, "id long, embedding array<float>, namespace long")
+    found = search.nearest(chunks, chunks.where("id = 1").select(F.col("id").alias("question_id"), "embedding", "namespace"), 3, within="namespace").orderBy("rank").collect()
+    assert [r.id for r in found] == [1, 7, 13]
+    assert search.candidates(chunks, chunks.where("id = 1").select(F.col("id").alias("question_id"), "embedding", "namespace")).count() == 10
+
+
+def test_long_texts_reach_the_embedder_in_pieces(spark):
+    docs = spark.createDataFrame([(2**60 + 1, "alpha " * 50 + "omega " * 50), (None, "x")], "id long, text string")
+    got = {r.id: r.embedding for r in embedding.embedded(docs, max_chars=300).collect()}
+    whole = embedding.hashing_embedder(["alpha " * 50, "omega " * 50]).sum(0)
+    assert set(got) == {2**60 + 1, None} and max(abs(a - b) for a, b in zip(got[2**60 + 1], whole / (whole @ whole) ** 0.5)) < 1e-6
+
+
+def test_ingestion_is_the_same_when_a_batch_runs_again(spark, tmp_path):
+    source, path = tmp_path / "in", str(tmp_path / "chunks")
+    one = lambda rows: spark.createDataFrame(rows, "doc_id long, namespace string, text string").coalesce(1).write.mode("append").parquet(str(source))
+    stream = lambda: spark.readStream.schema("doc_id long, namespace string, text string").parquet(str(source))
+    one([(1, "a", "first text"), (2, "a", "second text")])
+    jobs.ingested(stream(), path)
+    one([(1, "a", "first text"), (3, "b", "third text")])  # the first document comes again
+    jobs.ingested(stream(), path)
+    rows = lambda: sorted((r.doc_id, r.text, r.batch) for r in spark.read.parquet(path).collect())
+    assert rows() == [(1, "first text", 0), (2, "second text", 0), (3, "third text", 1)]
+    commits = tmp_path / "chunks-state" / "commits"
+    for name in ("1", ".1.crc"):
+        (commits / name).unlink()  # as if the job had failed after its last batch
+    jobs.ingested(stream(), path)
+    assert rows() == [(1, "first text", 0), (2, "second text", 0), (3, "third text", 1)]
