@@ -246,18 +246,18 @@ def _placed(docs: DataFrame, width: int, percent: int, id_col: str, text_col: st
     groups = _groups(signed)
     rows = stored(signed.select("id", "print", "n", "node", "proof"))
     removed(signed)
-    nodes = stored(rows.where("n > 0").groupBy("node").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.min("proof").alias("proof"), F.max("proof").alias("proof2")))
+    # one row of docs for each node, by partial aggregates before the shuffle, as very many rows may be one node
+    one = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("of_id"), F.col("print").alias("of_print"))).alias("one")
+    nodes = stored(rows.where("n > 0").groupBy("node").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.min("proof").alias("proof"), F.max("proof").alias("proof2"), one))
     if nodes.where("proof <> proof2").head(1):  # unequal sets with one hash: hash all anew
         return _placed(docs, width, percent, id_col, text_col, seed + 1)
-    # one row of docs for each node in a group; its whole text is read again
-    one = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("of_id"), F.col("print").alias("of_print"))).alias("one")
-    first = stored(rows.join(groups.select("node"), "node").groupBy("node").agg(one).select("node", "one.of_id", "one.of_print"))
-    chosen = stored(first.join(groups, "node"))
+    # the whole texts of those in a group are read again
+    chosen = stored(nodes.select("node", "one.of_id", "one.of_print").join(groups, "node"))
     mine = F.col("id").eqNullSafe(F.col("of_id")) & (F.col("print") == F.col("of_print"))
     sent = texts.join(checked(chosen), mine).select("node", "text", F.explode("at").alias("at")).select("at.pivot", "at.part", "at.member", "at.large", "node", "text")
     dealt = sent.repartition("pivot", "part").sortWithinPartitions("pivot", "part", "member", "node")
     found = stored(dealt.mapInArrow(lambda x: _compared(x, width, percent), "a long, b long, pivot long, node long, size long, direct boolean, d array<long>"))
-    removed(groups, first, chosen)
+    removed(groups, chosen)
     links, large = found.where("a is not null").select("a", "b"), found.where("a is null").drop("a", "b")
     if large.head(1):
         links = links.unionByName(_linked_members(large, percent))
