@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, checked, stored, text_or_empty
+from .common import SPACE, checked, stored, text_or_empty, unused
 
 #: Fingerprints for each block, which one task merges; blocks at least; fingerprints that a task holds before it writes its filters.
 BLOCK = 1 << 16
@@ -140,14 +140,14 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that exact_groups drops; all columns stay."""
     sha = F.sha2(F.regexp_replace(text_or_empty(text_col), SPACE, " "), 256)
-    rows = exact_groups(docs, id_col, text_col).select(F.col(id_col).alias("lf__id"), F.col("text_sha256").alias("lf__sha"), "kept")
-    gone = stored(rows.groupBy("lf__id", "lf__sha").agg(F.max("kept").alias("lf__any"), F.count("*").alias("lf__n"))
-                  .where(~F.col("lf__any") | (F.col("lf__n") > 1)))
-    same = F.col(id_col).eqNullSafe(F.col("lf__id")) & (sha == F.col("lf__sha"))
+    id_, of_sha, any_, n_ = (unused(docs, x) for x in ("id", "sha", "any", "n"))
+    rows = exact_groups(docs, id_col, text_col).select(F.col(id_col).alias(id_), F.col("text_sha256").alias(of_sha), F.col("kept").alias("kept"))
+    gone = stored(rows.groupBy(id_, of_sha).agg(F.max("kept").alias(any_), F.count("*").alias(n_)).where(~F.col(any_) | (F.col(n_) > 1)))
+    same = F.col(id_col).eqNullSafe(F.col(id_)) & (sha == F.col(of_sha))
     n = gone.count()
-    if not gone.where("lf__any").head(1):
+    if not gone.where(F.col(any_)).head(1):
         return docs.join(checked(gone, n), same, "left_anti")
     marked = docs.join(checked(gone, n), same, "left")
-    once = marked.where("lf__n is null").select(docs.columns)
-    again = marked.where("lf__any").dropDuplicates(["lf__id", "lf__sha"]).select(docs.columns)
+    once = marked.where(F.col(n_).isNull()).select(docs.columns)
+    again = marked.where(F.col(any_)).dropDuplicates([id_, of_sha]).select(docs.columns)
     return once.unionByName(again)

@@ -2,7 +2,7 @@
 
 Texts with equal sets are one node. The nodes under a signature are a bucket; a bucket in which no node has its own band can hold no pair that
 other buckets don't, and is left out. Each bucket has a pivot, the node that shares most signatures of all. Every linking pair lies in a bucket, so both are
-members of its pivot's group. A member's exact difference from its pivot is taken from both whole texts (which shuffle in fewer bytes than
+members of its pivot's group. Groups that have most members in common become one, so that a text goes to few. A member's exact difference from its pivot is taken from both whole texts (which shuffle in fewer bytes than
 their hashes). Whether two members link follows from their differences: directly from the sizes for the pivot itself, and for others through
 the differences that they share. A group of up to PART members is done by one task as its texts arrive; a larger one is dealt in parts, each with the pivot's text, and
 its members meet by the differences that a linking pair must share. So a group of thousands of near copies takes work in proportion to its size, not to its pairs.
@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked, removed, stored
+from .common import checked, removed, stored, unused
 from .components import components
 from .hashing import shingle_sets, slices
 from .partenum import Bands, signatures
@@ -220,43 +220,63 @@ def _linked_members(members: DataFrame, percent: int) -> DataFrame:
     return out
 
 
+def _united(members: DataFrame, sizes: DataFrame) -> DataFrame:
+    """members (pivot, node) under fewer pivots: a pivot at least half of whose members also belong to the same larger group joins that one with all its members, and
+    so on up. Every two nodes that had a pivot in common still have one, and a text that shares many signatures with its copies goes to one group instead of one for each pivot."""
+    sized = members.join(sizes, "pivot")
+    tops = sized.groupBy("node").agg(F.max(F.struct("n", "pivot")).alias("top")).select("node", F.col("top.pivot").alias("top"))
+    shared = members.join(tops, "node").where("pivot <> top").groupBy("pivot", "top").agg(F.count("*").alias("both"))
+    joins = shared.groupBy("pivot").agg(F.max(F.struct("both", "top")).alias("most")).join(sizes, "pivot").where("2 * most.both >= n")
+    roots = stored(components(joins.select(F.col("pivot").alias("a"), F.col("most.top").alias("b"))).select(F.col("node").alias("pivot"), "root"))
+    moved = members.join(roots, "pivot", "left").select(F.coalesce("root", "pivot").alias("pivot"), "node")
+    united = stored(moved.unionByName(roots.select(F.col("root").alias("pivot"), F.col("pivot").alias("node"))).where("pivot <> node").distinct())
+    removed(roots)
+    return united
+
+
+def dealt(members: DataFrame) -> DataFrame:
+    """node, at: the groups that a node's text goes to, from members (pivot, node): pivot, part, member (or the pivot itself), large (in several parts)."""
+    sizes = stored(members.groupBy("pivot").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")))
+    placed = members.join(sizes, "pivot").select("node", F.struct("pivot", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), F.lit(True).alias("member"), (F.col("parts") > 1).alias("large")).alias("at"))
+    leads = sizes.select("pivot", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select(
+        F.col("pivot").alias("node"), F.struct("pivot", "part", F.lit(False).alias("member"), (F.col("parts") > 1).alias("large")).alias("at"))
+    out = stored(placed.unionByName(leads).groupBy("node").agg(F.collect_list("at").alias("at")))  # at most a node's signatures, and the parts of its own group
+    removed(sizes)
+    return out
+
+
 def _groups(signed: DataFrame) -> DataFrame:
-    """node, at: for each node that shares a signature, the groups that its text goes to: pivot, part, member (or the pivot itself), large (in several parts)."""
-    dealt = signed.select(F.explode("sigs").alias("sig"), "node").repartition(F.shiftright("sig", 1)).sortWithinPartitions(F.desc("sig"), "node")
-    shared = stored(dealt.mapInArrow(_shared, "sig long, node long"))
+    """node, at: for each node that shares a signature, the groups that its text goes to."""
+    dealt_out = signed.select(F.explode("sigs").alias("sig"), "node").repartition(F.shiftright("sig", 1)).sortWithinPartitions(F.desc("sig"), "node")
+    shared = stored(dealt_out.mapInArrow(_shared, "sig long, node long"))
     if signed.where(F.size("more") > 0).head(1):
         more = signed.select(F.explode("more").alias("sig"), "node").withColumn("sig", F.col("sig").bitwiseAND(~1)).join(stored(shared.select("sig").distinct()), "sig", "left_semi")
         shared = stored(shared.unionByName(more))
     counts = stored(shared.groupBy("node").agg(F.count("*").alias("n")))
     pivots = stored(shared.join(counts, "node").groupBy("sig").agg(F.max(F.struct("n", "node")).alias("most")).select("sig", F.col("most.node").alias("pivot")))
     members = stored(shared.join(pivots, "sig").where("node <> pivot").select("pivot", "node").distinct())
-    sizes = stored(members.groupBy("pivot").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")))
-    placed = members.join(sizes, "pivot").select("node", F.struct("pivot", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), F.lit(True).alias("member"), (F.col("parts") > 1).alias("large")).alias("at"))
-    leads = sizes.select("pivot", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select(
-        F.col("pivot").alias("node"), F.struct("pivot", "part", F.lit(False).alias("member"), (F.col("parts") > 1).alias("large")).alias("at"))
-    out = stored(placed.unionByName(leads).groupBy("node").agg(F.collect_list("at").alias("at")))  # at most a node's signatures, and the parts of its own group
-    removed(shared, counts, pivots, members, sizes)
+    sizes = stored(members.groupBy("pivot").agg(F.count("*").alias("n")))
+    united = _united(members, sizes)
+    out = dealt(united)
+    removed(shared, counts, pivots, members, sizes, united)
     return out
 
 
-def _placed(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str, seed: int = 0) -> DataFrame:
-    """id, print (hash of the text), n (shingles), component of each row of docs."""
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("print"))
-    signed = stored(texts.mapInArrow(lambda x: _signed(x, width, percent, seed), "id long, print long, n long, node long, proof long, sigs array<long>, more array<long>"))
-    groups = _groups(signed)
-    rows = stored(signed.select("id", "print", "n", "node", "proof"))
-    removed(signed)
-    # one row of docs for each node, by partial aggregates before the shuffle, as very many rows may be one node
+def nodes_of(rows: DataFrame) -> DataFrame | None:
+    """From rows (id, print, n, node, proof): node, its smallest id, copies, and one row of docs that has its text. None if unequal sets have one hash."""
+    # by partial aggregates before the shuffle, as very many rows may be one node
     one = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("of_id"), F.col("print").alias("of_print"))).alias("one")
     nodes = stored(rows.where("n > 0").groupBy("node").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.min("proof").alias("proof"), F.max("proof").alias("proof2"), one))
-    if nodes.where("proof <> proof2").head(1):  # unequal sets with one hash: hash all anew
-        return _placed(docs, width, percent, id_col, text_col, seed + 1)
-    # the whole texts of those in a group are read again
+    return None if nodes.where("proof <> proof2").head(1) else nodes
+
+
+def decided(texts: DataFrame, rows: DataFrame, nodes: DataFrame, groups: DataFrame, width: int, percent: int) -> DataFrame:
+    """id, print, n, component of each of rows: all pairs within each of the groups (node, at) are decided on the whole texts, which are read again."""
     chosen = stored(nodes.select("node", "one.of_id", "one.of_print").join(groups, "node"))
     mine = F.col("id").eqNullSafe(F.col("of_id")) & (F.col("print") == F.col("of_print"))
     sent = texts.join(checked(chosen), mine).select("node", "text", F.explode("at").alias("at")).select("at.pivot", "at.part", "at.member", "at.large", "node", "text")
-    dealt = sent.repartition("pivot", "part").sortWithinPartitions("pivot", "part", "member", "node")
-    found = stored(dealt.mapInArrow(lambda x: _compared(x, width, percent), "a long, b long, pivot long, node long, size long, direct boolean, d array<long>"))
+    dealt_out = sent.repartition("pivot", "part").sortWithinPartitions("pivot", "part", "member", "node")
+    found = stored(dealt_out.mapInArrow(lambda x: _compared(x, width, percent), "a long, b long, pivot long, node long, size long, direct boolean, d array<long>"))
     removed(groups, chosen)
     links, large = found.where("a is not null").select("a", "b"), found.where("a is null").drop("a", "b")
     if large.head(1):
@@ -272,6 +292,23 @@ def _placed(docs: DataFrame, width: int, percent: int, id_col: str, text_col: st
     return placed.select("id", "print", "n", F.when(alone, F.col("id")).otherwise(F.col("least")).alias("component"))
 
 
+def texts_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("print"))
+
+
+def _placed(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str, seed: int = 0) -> DataFrame:
+    """id, print (hash of the text), n (shingles), component of each row of docs."""
+    texts = texts_of(docs, id_col, text_col)
+    signed = stored(texts.mapInArrow(lambda x: _signed(x, width, percent, seed), "id long, print long, n long, node long, proof long, sigs array<long>, more array<long>"))
+    groups = _groups(signed)
+    rows = stored(signed.select("id", "print", "n", "node", "proof"))
+    removed(signed)
+    nodes = nodes_of(rows)
+    if nodes is None:  # hash all anew
+        return _placed(docs, width, percent, id_col, text_col, seed + 1)
+    return decided(texts, rows, nodes, groups, width, percent)
+
+
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_shingles, component_id: the smallest id that links of at least percent / 100 reach."""
     return _placed(docs, width, percent, id_col, text_col).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
@@ -280,6 +317,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows whose component has a smaller id; all columns stay. Rows without an id stay, and of rows that repeat an id those
     that have the smallest of their component."""
-    gone = stored(_placed(docs, width, percent, id_col, text_col).where("id <> component").select(F.col("id").alias("lf__id"), F.col("print").alias("lf__print")).distinct())
-    same = (F.col(id_col) == F.col("lf__id")) & F.xxhash64(text_col).eqNullSafe(F.col("lf__print"))
+    of_id, of_print = unused(docs, "id"), unused(docs, "print")
+    gone = stored(_placed(docs, width, percent, id_col, text_col).where("id <> component").select(F.col("id").alias(of_id), F.col("print").alias(of_print)).distinct())
+    same = (F.col(id_col) == F.col(of_id)) & F.xxhash64(text_col).eqNullSafe(F.col(of_print))
     return docs.join(checked(gone), same, "left_anti")

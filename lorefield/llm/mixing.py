@@ -6,7 +6,8 @@ at a time along the null space of the two balancing constraints (documents and w
 reaches 0 or 1; sums stay as they were. Blocks of a source fly apart from each other and leave at most two undecided
 documents each, beside a few that they keep, drawn by hash; those fly again in later rounds, until a source has one block. In that block LANDING documents don't fly; together with
 the two at most that flight leaves they are the landing problem: of all their outcomes, that nearest to the words expected of them is taken (the nearest
-in documents on ties). So a source misses its target by less than a short document, unless it has few documents or one is longer than the drawn ones together.
+in documents on ties). Documents of more than LONG times their source's mean fly and land before the others; what their outcome has more or less than the words expected of them
+then moves the probabilities of all others of the source alike. So a source misses its target by less than a short document, whatever long ones it has, unless they leave too few others.
 
 Defined results: a null or wordless text has size 0 and is taken 0 words' worth; a null source is a source of its own
 and comes last; documents fly from long to short, in hash order among equals, so that reruns agree and repeated rows are exchangeable; a null id is a value like
@@ -19,6 +20,7 @@ import heapq
 import itertools
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +28,15 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checked, stored, word_count
+from .common import checked, stored, unused, word_count
 
 #: Documents for each block of a flight round, and the most that a document may be taken.
 BLOCK = 4096
 MOST = 3
 #: Documents of a source that are kept for the landing; all blocks of an earlier round keep about four times as many, one each at least.
 LANDING = 13
+#: Times the mean size of its source from which a document is long.
+LONG = 4
 _EDGE = 1e-9
 
 
@@ -113,7 +117,7 @@ def land(held: list[list], done, seed: tuple) -> None:
         done(row, int(copy))
 
 
-def fly_blocks(batches: Iterator[pa.RecordBatch], turn: int) -> Iterator[pa.RecordBatch]:
+def fly_blocks(batches: Iterator[pa.RecordBatch], turn: str) -> Iterator[pa.RecordBatch]:
     """Rows sorted by source and block; a block is done when the next begins, so memory doesn't grow with it."""
     names = ["id", "source", "size", "whole", "p", "last"]
     types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.bool_()]
@@ -157,6 +161,27 @@ def fly_blocks(batches: Iterator[pa.RecordBatch], turn: int) -> Iterator[pa.Reco
         yield made()
 
 
+def flown(flying: DataFrame, name: str) -> list[DataFrame]:
+    """id, source, size, copies of rows (id, source, size, whole, p), decided in rounds of blocks."""
+    decided: list[DataFrame] = []
+    turn, same = 0, F.col("d.source").eqNullSafe(F.col("s.source"))
+    while True:
+        counts = stored(flying.groupBy("source").agg(F.count("*").alias("docs")))
+        largest = counts.agg(F.max("docs")).first()[0] or 0
+        blocks = F.greatest(F.lit(1), F.ceil(F.col("docs") / BLOCK)).cast("long")
+        block = F.pmod(F.xxhash64(F.lit(turn), "id", "size"), F.col("blocks"))
+        dealt = flying.alias("d").join(checked(counts).alias("s"), same).select("id", "d.source", "size", "whole", "p", blocks.alias("blocks"))
+        dealt = dealt.withColumn("block", block).withColumn("place", F.xxhash64(F.lit(f"place{turn}"), "id", "size"))
+        dealt = dealt.repartition("source", "block").sortWithinPartitions("source", "block", F.desc("size"), "place", "id")
+        out = stored(dealt.select("source", "block", "blocks", "id", "size", "whole", "p", "place").mapInArrow(
+            partial(fly_blocks, turn=f"{name}{turn}"), "id long, source string, size long, whole long, p double, last boolean"))
+        decided.append(out.where("last").select("id", "source", "size", F.col("whole").alias("copies")))
+        if largest <= BLOCK:
+            return decided
+        turn += 1
+        flying = out.where("not last").drop("last")  # blocks left two at most, and what they kept
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST, id_col: str = "doc_id", text_col: str = "text",
         source_col: str = "source") -> DataFrame:
     """One row per document: id, size, source, source_size, target, copies (0 to most), taken (copies * size)."""
@@ -167,29 +192,22 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST,
     planned = sized.alias("d").join(few.alias("s"), same).withColumn("rate", F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0)))
     # a rate within rounding of a whole number is that number
     whole = F.floor(F.col("rate") + _EDGE)
-    planned = planned.select("id", "d.source", "size", "docs", whole.cast("long").alias("whole"), F.greatest(F.col("rate") - whole, F.lit(0.0)).alias("p"))
+    planned = planned.select("id", "d.source", "size", (F.col("size") * F.col("docs") > LONG * F.col("source_size")).alias("long"), whole.cast("long").alias("whole"), F.greatest(F.col("rate") - whole, F.lit(0.0)).alias("p"))
     sure = planned.where(F.col("p") <= _EDGE).select("id", "source", "size", F.col("whole").alias("copies"))
-    flying = planned.where(F.col("p") > _EDGE)
-    decided, turn = [sure], 0
-    largest = targets.agg(F.max("docs")).first()[0] or 0
-    while True:
-        blocks = F.greatest(F.lit(1), F.ceil(F.col("docs") / BLOCK)).cast("long")
-        block = F.pmod(F.xxhash64(F.lit(turn), "id", "size"), F.col("blocks"))
-        dealt = flying.withColumn("blocks", blocks).withColumn("block", block).withColumn("place", F.xxhash64(F.lit(f"place{turn}"), "id", "size"))
-        dealt = dealt.repartition("source", "block").sortWithinPartitions("source", "block", F.desc("size"), "place", "id")
-        flown = stored(dealt.select("source", "block", "blocks", "id", "size", "whole", "p", "place").mapInArrow(
-            lambda batches, t=turn: fly_blocks(batches, t), "id long, source string, size long, whole long, p double, last boolean"))
-        decided.append(flown.where("last").select("id", "source", "size", F.col("whole").alias("copies")))
-        if largest <= BLOCK:
-            break
-        # blocks left two at most, and what they kept
-        largest, turn = 3 * -(-largest // BLOCK) + 4 * LANDING, turn + 1
-        left = flown.where("not last")
-        counts = stored(left.groupBy("source").agg(F.count("*").alias("docs")))
-        flying = left.alias("d").join(checked(counts).alias("s"), same).select("id", "d.source", "size", "docs", "whole", "p")
-    rows = decided[0]
-    for more in decided[1:]:
-        rows = rows.unionByName(more)
+    flying = stored(planned.where(F.col("p") > _EDGE))
+    long, others = flying.where("long").drop("long"), flying.where(~F.col("long")).drop("long")
+    decided = [sure]
+    if long.head(1):
+        decided += flown(long, "long")
+        taken = reduce(DataFrame.unionByName, decided[1:]).groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("taken"))
+        expected = long.groupBy("source").agg(F.sum((F.col("whole") + F.col("p")) * F.col("size")).alias("expected"))
+        rest = others.groupBy("source").agg(F.sum("size").alias("rest"))
+        over = taken.alias("d").join(expected.alias("s"), same).select("d.source", (F.col("expected") - F.col("taken")).alias("missing"))
+        moved = stored(over.alias("d").join(rest.alias("s"), same).select("d.source", F.coalesce(F.try_divide("missing", "rest"), F.lit(0.0)).alias("more")))
+        p = F.least(F.greatest(F.col("p") + F.coalesce("more", F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+        others = stored(others.alias("d").join(checked(moved).alias("s"), same, "left").select("id", "d.source", "size", "whole", p.alias("p")))
+    decided += flown(others, "others")
+    rows = reduce(DataFrame.unionByName, decided)
     return rows.alias("d").join(few.alias("s"), same).select(
         F.col("id").alias(id_col), "size", F.col("d.source").alias("source"), "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
@@ -198,16 +216,16 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """docs with each row repeated as often as mix takes it, 0 included. Rows that agree in id, source and size share their
     copies as evenly as whole numbers allow."""
     id_col, text_col, source_col = (options.get(k, v) for k, v in (("id_col", "doc_id"), ("text_col", "text"), ("source_col", "source")))
-    plan = mix(docs, **options).groupBy(F.col(id_col).alias("lf__id"), F.col("source").alias("lf__source"), F.col("size").alias("lf__size")).agg(F.sum("copies").alias("lf__copies"), F.count("*").alias("lf__rows"))
-    plan = stored(plan)
-    size = word_count(F.col(text_col))
-    same = F.col(id_col).eqNullSafe(F.col("lf__id")) & F.col(source_col).eqNullSafe(F.col("lf__source")) & (size == F.col("lf__size"))
-    joined = docs.join(checked(plan), same)
+    of_id, of_source, of_size, copies, rows, nth, place = (unused(docs, x) for x in ("id", "source", "size", "copies", "rows", "nth", "place"))
+    mixed = mix(docs, **options)
+    plan = stored(mixed.groupBy(F.col(id_col).alias(of_id), F.col("source").alias(of_source), F.col("size").alias(of_size)).agg(F.sum("copies").alias(copies), F.count("*").alias(rows)))
+    same = F.col(id_col).eqNullSafe(F.col(of_id)) & F.col(source_col).eqNullSafe(F.col(of_source)) & (word_count(F.col(text_col)) == F.col(of_size))
+    joined = docs.join(checked(plan), same).where(F.col(copies) > 0)
     times = lambda n: F.explode(F.sequence(F.lit(1).cast("long"), n))
-    one = joined.where("lf__rows = 1 and lf__copies > 0").withColumn("lf__n", times(F.col("lf__copies"))).select(docs.columns)
-    if not plan.where("lf__rows > 1").head(1):
+    one = joined.where(F.col(rows) == 1).withColumn(nth, times(F.col(copies))).select(docs.columns)
+    if not plan.where(F.col(rows) > 1).head(1):
         return one
-    window = Window.partitionBy("lf__id", "lf__source", "lf__size").orderBy(F.xxhash64(text_col))
-    several = joined.where("lf__rows > 1 and lf__copies > 0").withColumn("lf__place", F.row_number().over(window) - 1)
-    share = F.floor(F.col("lf__copies") / F.col("lf__rows")) + (F.col("lf__place") < F.col("lf__copies") % F.col("lf__rows")).cast("long")
-    return one.unionByName(several.withColumn("lf__share", share).where("lf__share > 0").withColumn("lf__n", times(F.col("lf__share"))).select(docs.columns))
+    window = Window.partitionBy(of_id, of_source, of_size).orderBy(F.xxhash64(text_col))
+    several = joined.where(F.col(rows) > 1).withColumn(place, F.row_number().over(window) - 1)
+    share = F.floor(F.col(copies) / F.col(rows)) + (F.col(place) < F.col(copies) % F.col(rows)).cast("long")
+    return one.unionByName(several.where(share > 0).withColumn(nth, times(share)).select(docs.columns))

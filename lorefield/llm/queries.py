@@ -10,13 +10,17 @@ from pyspark.sql import functions as F
 from .common import table
 from .cotraining import score_quality
 from .exact_dedup import exact_groups
+from .forest import near_duplicates
 from .html_extract import extract_main_text
 from .jaccard_join import jaccard_components
 from .line_dedup import line_dedup
+from .merkle import manifest
 from .mixing import mix
 from .packing import pack
 from .quality_rules import quality_rules
+from .runs import collapse_runs
 from .sharding import shard_by_size
+from .sql import COMPONENTS, MANIFEST, RUNS
 from .surrogates import surrogate_pii
 
 
@@ -66,9 +70,21 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collapse_runs(table(spark, sf_dir, "documents"), plant=True, digest=True)
+
+
+def op12_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), width=5, percent=85)
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_mix_sources, op2_html_extraction, op3_jaccard_join, op4_cotraining, op5_quality_rules, op6_sampled_splitters, op7_line_dedup,
-    op8_surrogates, op9_exact_dedup, op10_pack)}
+    op8_surrogates, op9_exact_dedup, op10_pack, op11_periodic_runs, op12_lsh_forest, op13_merkle_manifest)}
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -82,3 +98,7 @@ ORACLE_SQL["op9_exact_dedup"] = r"""
 with d as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as t from documents),
 g as (select *, min(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size from d)
 select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(t) as text_sha256 from g"""
+ORACLE_SQL["op3_jaccard_join"] = COMPONENTS.format(width=4, kept="")
+ORACLE_SQL["op11_periodic_runs"] = RUNS
+ORACLE_SQL["op12_lsh_forest"] = COMPONENTS.format(width=5, kept=", coalesce(doc_id = component_id, doc_id is null and component_id is null) as kept")
+ORACLE_SQL["op13_merkle_manifest"] = MANIFEST
