@@ -125,10 +125,8 @@ class _Group:
         self.ds.append(np.r_[np.setdiff1d(items, self.items, True), np.setdiff1d(self.items, items, True)])
         return self.k * len(self.ds[-1]) <= self.q * (len(items) + len(self.items))
 
-    def links(self, direct: list[bool]) -> list[tuple[int, int]]:
-        """Links among members of which one isn't linked with the pivot: b and c differ in |d_b| + |d_c| - 2 |d_b & d_c| elements."""
-        if len(self.nodes) < 2 or all(direct):
-            return []
+    def linked(self, direct: list[bool]) -> np.ndarray:
+        """Whether two members link of which one isn't linked with the pivot: b and c differ in |d_b| + |d_c| - 2 |d_b & d_c| elements."""
         counts = np.array([len(d) for d in self.ds])
         g = self.k * counts - self.q * np.array(self.sizes)
         elements, element = np.unique(np.concatenate(self.ds), return_inverse=True)
@@ -145,8 +143,28 @@ class _Group:
             has[owner[i:j], column[i:j] - first] = 1
             shared += has @ has.T
         linked = g[:, None] + g[None] <= 2 * self.k * shared
-        linked[np.array(direct)] = False  # those are linked by way of the pivot
-        return [(self.nodes[b], self.nodes[c]) for b, c in zip(*np.nonzero(linked)) if b != c]
+        linked[np.ix_(direct, direct)] = False  # those are linked by way of the pivot
+        np.fill_diagonal(linked, False)
+        return linked
+
+    def links(self, direct: list[bool]) -> list[tuple[int, int]]:
+        """As many of these links as unite what all of them do."""
+        if len(self.nodes) < 2 or all(direct):
+            return []
+        linked, out = self.linked(direct), []
+        seen = np.array(direct)
+        found = np.flatnonzero(seen)
+        while True:
+            while len(found):  # members that link with those just found
+                new = np.flatnonzero(linked[found].any(0) & ~seen)
+                by = found[linked[found][:, new].argmax(0)]
+                out += [(self.nodes[b], self.nodes[c]) for b, c in zip(by, new)]
+                seen[new] = True
+                found = new
+            if seen.all():
+                return out
+            found = np.flatnonzero(~seen)[:1]
+            seen[found] = True
 
     def rows(self, direct: list[bool]) -> list[tuple]:
         return [(self.key[0], node, size, d) for node, size, d in zip(self.nodes, self.sizes, direct)]
