@@ -1,4 +1,4 @@
-"""Structured Streaming jobs: answers put together from their pieces, debouncing, windowed quotas, document sync and ingestion.
+"""Structured Streaming jobs: answers put together from their pieces, windowed quotas, edits and resets, and the batch form of document sync; stateful.py has those with timers.
 
 Each job takes a streaming DataFrame and gives one back; run_available drives it over all input that is there and returns the
 written result. Late rows: jobs with a watermark keep one hour; rows behind it are dropped and show in the query's progress.
@@ -7,6 +7,7 @@ written result. Late rows: jobs with a watermark keep one hour; rows behind it a
 from __future__ import annotations
 
 import uuid
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,10 +16,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators import embedding
 from ..sources.shared import with_checkpoints
+from .stateful import LATE, rocks_state
 
-LATE = "1 hour"
+#: Progress of the last queries that run_available has run.
+PROGRESS: deque = deque(maxlen=100)
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,9 +35,14 @@ def run_available(stream: DataFrame, mode: str = "append", keys: tuple[str, ...]
     base = f"{with_checkpoints(spark)}/stream-{uuid.uuid4().hex}"
     writer = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{base}/state")
     if mode == "append":
-        writer.outputMode("append").format("parquet").option("path", f"{base}/rows").start().awaitTermination()
+        with rocks_state(spark):
+            query = writer.outputMode("append").format("parquet").option("path", f"{base}/rows").start()
+            query.awaitTermination()
+        PROGRESS.extend(query.recentProgress)
         return spark.read.schema(stream.schema).parquet(f"{base}/rows")
-    writer.outputMode("update").foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{base}/rows/batch={n}")).start().awaitTermination()
+    query = writer.outputMode("update").foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{base}/rows/batch={n}")).start()
+    query.awaitTermination()
+    PROGRESS.extend(query.recentProgress)
     rows = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{base}/rows")
     values = F.struct(*[c for c in stream.columns if c not in keys])
     return rows.groupBy(*keys).agg(F.max_by(values, "batch").alias("v")).select(*keys, "v.*").select(stream.columns)
@@ -81,31 +88,6 @@ def assembled_batch(pieces: DataFrame) -> DataFrame:
     return kept.select("id", answer.alias("answer"), F.size("p").alias("pieces"), F.lit(True).alias("finished"), F.when(F.col("seconds") > 0, F.ceil(F.length(answer) / 4) / F.col("seconds")).otherwise(0.0).alias("tokens_per_second"))
 
 
-def _debounced(cooldown_ms: int):
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(parts)).sort_values(["at_ms", "event_id"])
-        kept = []
-        for i, at in enumerate(rows["at_ms"]):
-            if last is None or at - last >= cooldown_ms:
-                kept.append(i)
-            last = at
-        state.update((int(last),))
-        state.setTimeoutTimestamp(max(int(last) + cooldown_ms, state.getCurrentWatermarkMs() + 1))
-        yield rows.iloc[kept][["event_id", "event", "at_ms"]]
-    return step
-
-
-def debounced_stream(stream: DataFrame, cooldown_ms: int, late: str = LATE) -> DataFrame:
-    """Events (event_id, event, at_ms) a cooldown or more after the previous one of their key, in order of arrival by micro-batch. A key is forgotten once the watermark has passed its
-    last event by the cooldown: a later event passes anyway."""
-    timed = stream.withColumn("ts", F.timestamp_millis("at_ms")).withWatermark("ts", late)
-    return timed.groupBy("event").applyInPandasWithState(_debounced(cooldown_ms), "event_id long, event string, at_ms long", "last long", "append", GroupStateTimeout.EventTimeTimeout)
-
-
 def windowed_counts(stream: DataFrame) -> DataFrame:
     """Events (ts, user_id) of each user in day windows that slide by six hours, with a watermark."""
     w = F.window("ts", "24 hours", "6 hours")
@@ -117,7 +99,7 @@ def synced(current: DataFrame, fetched: DataFrame, failures: int = 5) -> DataFra
     current: doc_id, text, failed (failures before this run); fetched: doc_id, text."""
     now = fetched.select("doc_id", F.sha2("text", 256).alias("new"))
     both = current.select("doc_id", F.sha2("text", 256).alias("old"), "failed").join(now, "doc_id", "left")
-    outcome = (F.when(F.col("new").isNull() & (F.col("failed") + 1 >= failures), "unwatched").when(F.col("new").isNull(), "missing")
+    outcome = (F.when(F.col("new").isNull() & (F.col("failed") >= failures), "unwatched").when(F.col("new").isNull(), "missing")
                .when(F.col("new") == F.col("old"), "unchanged").otherwise("changed"))
     return both.select("doc_id", outcome.alias("outcome"))
 
@@ -132,30 +114,19 @@ def sync_run(chunks: DataFrame, watched: DataFrame, fetched: DataFrame, log: str
     return chunks.join(changed, "name", "left").select("doc_id", "name", F.coalesce("new_text", "text").alias("text"))
 
 
-def ingested(stream: DataFrame, path: str) -> None:
-    """Documents of a stream (doc_id, namespace, text) chunked, embedded and added to a chunk table, batch by batch; documents that the batch or an earlier one has brought with the same
-    text are skipped. Each batch has a folder of its own, so that one that is run again replaces its rows."""
-    from ..functions.text import chunks
-
-    spark = stream.sparkSession
-    digest = F.sha2(F.concat_ws("|", "doc_id", "text"), 256).alias("digest")
-
-    def one(batch: DataFrame, n: int) -> None:
-        fresh = batch.dropDuplicates(["doc_id", "text"]).select("doc_id", "namespace", "text", digest)
-        if n:
-            before = spark.read.schema("digest string, batch long").parquet(path).where(F.col("batch") < n).select("digest").distinct()
-            fresh = fresh.join(before, "digest", "left_anti")
-        cut = fresh.select("doc_id", "namespace", "digest", F.posexplode(chunks(F.col("text"))).alias("chunk_index", "text"))
-        embedding.embedded(cut).write.mode("overwrite").partitionBy("namespace").parquet(f"{path}/batch={n}")
-
-    stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{path}-state").foreachBatch(one).start().awaitTermination()
+def _daily(stream: DataFrame, keys: tuple[str, ...], **of) -> DataFrame:
+    """Aggregates of each key and day of a stream with at_ms, kept until the watermark has passed the day, and put together over the days when they are read."""
+    timed = stream.withColumn("ts", F.timestamp_millis("at_ms")).withWatermark("ts", LATE)
+    days = timed.groupBy(F.window("ts", "1 day").alias("w"), *keys).agg(*[c.alias(n) for n, c in of.items()])
+    return run_available(days.select(F.unix_seconds("w.start").alias("day"), *keys, *of), "update", ("day", *keys))
 
 
 def last_resets(stream: DataFrame) -> DataFrame:
-    """thread_id, reset_id: the last reset of each thread in a stream of resets (thread_id, reset_id)."""
-    return stream.groupBy("thread_id").agg(F.max("reset_id").alias("reset_id"))
+    """thread_id, reset_id: the last reset of each thread in a stream of resets (thread_id, reset_id, at_ms), run over what is there."""
+    return _daily(stream, ("thread_id",), reset_id=F.max("reset_id")).groupBy("thread_id").agg(F.max("reset_id").alias("reset_id"))
 
 
 def latest_values(stream: DataFrame) -> DataFrame:
-    """id, value, edits: the latest of a stream of edits (id, seq, value) of each chat."""
-    return stream.groupBy("id").agg(F.max_by("value", "seq").alias("value"), F.count("*").alias("edits"))
+    """id, value, edits: the latest of a stream of edits (id, seq, value, at_ms) of each chat, run over what is there."""
+    days = _daily(stream, ("id",), seq=F.max("seq"), value=F.max_by("value", "seq"), edits=F.count("*"))
+    return days.groupBy("id").agg(F.max_by("value", "seq").alias("value"), F.sum("edits").alias("edits"))

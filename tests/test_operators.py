@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lorefield.functions.text import chunk_header, split_text, valid_url
 from lorefield.operators import audit, context, embedding, loaders, search
-from lorefield.streaming import jobs
+from lorefield.streaming import jobs, stateful
 
 SENTENCE = "This is a test text to be split into chunks"  # fixed value: 43 characters with published chunk counts
 
@@ -169,13 +169,13 @@ def test_ingestion_is_the_same_when_a_batch_runs_again(spark, tmp_path):
     one = lambda rows: spark.createDataFrame(rows, "doc_id long, namespace string, text string").coalesce(1).write.mode("append").parquet(str(source))
     stream = lambda: spark.readStream.schema("doc_id long, namespace string, text string").parquet(str(source))
     one([(1, "a", "first text"), (2, "a", "second text")])
-    jobs.ingested(stream(), path)
+    stateful.ingested(stream(), path)
     one([(1, "a", "first text"), (3, "b", "third text")])  # the first document comes again
-    jobs.ingested(stream(), path)
+    stateful.ingested(stream(), path)
     rows = lambda: sorted((r.doc_id, r.text, r.batch) for r in spark.read.parquet(path).collect())
     assert rows() == [(1, "first text", 0), (2, "second text", 0), (3, "third text", 1)]
     commits = tmp_path / "chunks-state" / "commits"
     for name in ("1", ".1.crc"):
         (commits / name).unlink()  # as if the job had failed after its last batch
-    jobs.ingested(stream(), path)
+    stateful.ingested(stream(), path)
     assert rows() == [(1, "first text", 0), (2, "second text", 0), (3, "third text", 1)]
