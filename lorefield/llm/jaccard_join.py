@@ -2,7 +2,8 @@
 
 Texts with equal sets are one node. The nodes under a signature are a bucket; a bucket in which no node has its own band can hold no pair that
 other buckets don't, and is left out. Each bucket has a pivot, the node that shares most signatures of all. Every linking pair lies in a bucket, so both are
-members of its pivot's group. Groups that have most members in common become one, so that a text goes to few. A member's exact difference from its pivot is taken from both whole texts (which shuffle in fewer bytes than
+members of its pivot's group. Groups that have most members in common become one, so that a text goes to few; and it goes to
+none where the counts of its elements by cell differ too much from those of all others there. A member's exact difference from its pivot is taken from both whole texts (which shuffle in fewer bytes than
 their hashes). Whether two members link follows from their differences: directly from the sizes for the pivot itself, and for others through
 the differences that they share. A group of up to PART members is done by one task as its texts arrive; a larger one is dealt in parts, each with the pivot's text, and
 its members meet by the differences that a linking pair must share. So a group of thousands of near copies takes work in proportion to its size, not to its pairs.
@@ -19,6 +20,7 @@ Shingles are compared by 64-bit hashes, sets by 128 bits of theirs.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +40,8 @@ SENT = 2
 PART = 2048
 HELD = 4_000_000
 COMPARED = 2048
+#: Cells of the hash domain in which a set's elements are counted, a power of two.
+CELLS = 64
 _U = np.uint64
 
 
@@ -74,8 +78,54 @@ def _signed(batches: Iterator[pa.RecordBatch], width: int, percent: int, seed: i
             more[order] = same
             found |= own.astype(_U)
             lists = [_lists(found[m], rows[m], j - i) for m in (~more, more)]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(np.diff(offsets)), pa.array(nodes.view(np.int64)), pa.array(proofs.view(np.int64)), *lists],
-                                             ["id", "print", "n", "node", "proof", "sigs", "more"])
+            cells = pa.array([c.tobytes() if f else None for c, f in zip(cell_counts(items, offsets), fresh)], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(np.diff(offsets)), pa.array(nodes.view(np.int64)), pa.array(proofs.view(np.int64)), *lists, cells],
+                                             ["id", "print", "n", "node", "proof", "sigs", "more", "cells"])
+
+
+def cell_counts(items: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How many elements of each set lie in each of CELLS equal cells of the hash domain, 255 at most. Two sets differ in at least as many elements as their counts do, all cells together."""
+    set_ = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    cell = (items >> _U(64 - CELLS.bit_length() + 1)).astype(np.int64)
+    return np.minimum(np.bincount(set_ * CELLS + cell, minlength=(len(offsets) - 1) * CELLS), 255).astype(np.uint8).reshape(-1, CELLS)
+
+
+def with_partner(cells: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Which of some sets may link with another one, by their cell counts."""
+    wide, out = cells.astype(np.int16), np.zeros(len(cells), bool)
+    for x in range(len(cells)):
+        if not out[x]:
+            may = (100 + percent) * np.abs(wide - wide[x]).sum(1, dtype=np.int64) <= (100 - percent) * (sizes + sizes[x])
+            may[x] = False
+            out |= may
+            out[x] = may.any()
+    return out
+
+
+def _partnered(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """From rows (pivot, node, n, cells), sorted by pivot: pivot, node of the members that may link with another one or the pivot."""
+    held: list[tuple] = []
+
+    def kept() -> list[tuple[int, int]]:
+        if len(held) < 2:
+            return []
+        cells = np.frombuffer(b"".join(r[3] for r in held), np.uint8).reshape(-1, CELLS)
+        may = with_partner(cells, np.array([r[2] for r in held]), percent)
+        return [r[:2] for r, m in zip(held, may.tolist()) if m and r[0] != r[1]]
+
+    for batch in batches:
+        out: list[tuple[int, int]] = []
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if held and held[0][0] != row[0]:
+                out += kept()
+                held = []
+            held.append(row)
+        yield _pairs(out)
+    yield _pairs(kept())
+
+
+def _pairs(rows: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], ["pivot", "node"])
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,7 +313,7 @@ def dealt(members: DataFrame) -> DataFrame:
     return out
 
 
-def _groups(signed: DataFrame) -> DataFrame:
+def _groups(signed: DataFrame, percent: int) -> DataFrame:
     """node, at: for each node that shares a signature, the groups that its text goes to."""
     dealt_out = signed.select(F.explode("sigs").alias("sig"), "node").repartition(F.shiftright("sig", 1)).sortWithinPartitions(F.desc("sig"), "node")
     shared = stored(dealt_out.mapInArrow(_shared, "sig long, node long"))
@@ -275,8 +325,22 @@ def _groups(signed: DataFrame) -> DataFrame:
     members = stored(shared.join(pivots, "sig").where("node <> pivot").select("pivot", "node").distinct())
     sizes = stored(members.groupBy("pivot").agg(F.count("*").alias("n")))
     united = _united(members, sizes)
-    out = dealt(united)
-    removed(shared, counts, pivots, members, sizes, united)
+    possible = _possible(united, signed, percent)
+    out = dealt(possible)
+    removed(shared, counts, pivots, members, sizes, united, possible)
+    return out
+
+
+def _possible(members: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
+    """members (pivot, node) without those that can link with no other of their group, by cell counts, which are far smaller than texts. Groups of several parts stay whole."""
+    sized = stored(members.groupBy("pivot").agg(F.count("*").alias("of")))
+    cells = signed.where("cells is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("cells").alias("cells"))
+    small = sized.where(F.col("of") < PART).select("pivot")
+    rows = members.join(small, "pivot").select("pivot", "node").unionByName(small.select("pivot", F.col("pivot").alias("node"))).join(cells, "node")
+    dealt_out = rows.select("pivot", "node", "n", "cells").repartition("pivot").sortWithinPartitions("pivot", "node")
+    near = dealt_out.mapInArrow(partial(_partnered, percent=percent), "pivot long, node long")
+    out = stored(near.unionByName(members.join(sized.where(F.col("of") >= PART), "pivot").select("pivot", "node")))
+    removed(sized)
     return out
 
 
@@ -317,8 +381,8 @@ def texts_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _placed(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str, seed: int = 0) -> DataFrame:
     """id, print (hash of the text), n (shingles), component of each row of docs."""
     texts = texts_of(docs, id_col, text_col)
-    signed = stored(texts.mapInArrow(lambda x: _signed(x, width, percent, seed), "id long, print long, n long, node long, proof long, sigs array<long>, more array<long>"))
-    groups = _groups(signed)
+    signed = stored(texts.mapInArrow(lambda x: _signed(x, width, percent, seed), "id long, print long, n long, node long, proof long, sigs array<long>, more array<long>, cells binary"))
+    groups = _groups(signed, percent)
     rows = stored(signed.select("id", "print", "n", "node", "proof"))
     removed(signed)
     nodes = nodes_of(rows)
