@@ -189,18 +189,6 @@ def test_each_text_travels_once(spark, monkeypatch):
     assert trips[1] <= 1.1 * len(texts)
 
 
-def test_cell_counts_bound_differences():
-    rng = np.random.default_rng(7)
-    for percent in (80, 85):
-        base = rng.integers(0, 2**64, 300, np.uint64)
-        sets = [np.unique(np.r_[rng.permutation(base)[rng.integers(0, 60) :], rng.integers(0, 2**64, rng.integers(0, 30), np.uint64)]) for _ in range(40)]
-        sets += [np.unique(rng.integers(0, 2**64, n, np.uint64)) for n in (1, 30, 300, 300, 40_000, 40_000)]
-        cells = jaccard_join.cell_counts(np.concatenate(sets), np.r_[0, np.cumsum([len(s) for s in sets])])
-        may = jaccard_join.with_partner(cells, np.array([len(s) for s in sets]), percent)
-        links = [any(100 * len(np.intersect1d(a, b)) >= percent * len(np.union1d(a, b)) for j, b in enumerate(sets) if i != j) for i, a in enumerate(sets)]
-        assert any(links) and all(m for m, link in zip(may, links) if link) and not may[40:44].any()
-
-
 # ---- Merkle manifest ----
 
 def manifest_expected(rows, fanout):
