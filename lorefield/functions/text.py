@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -119,10 +120,25 @@ def percent(value: Column, decimals: int = 0) -> Column:
 
 
 def file_size(size: Column) -> Column:
-    """Bytes as text with a binary unit and one decimal."""
-    out = F.concat(size.cast("long").cast("string"), F.lit(" B"))
-    for k, unit in enumerate(("KiB", "MiB", "GiB", "TiB"), 1):
-        out = F.when(size >= 1024**k, F.concat(F.format_string("%.1f", size / 1024**k), F.lit(f" {unit}"))).otherwise(out)
+    """Bytes as text: whole below 1,024, else with one decimal in the smallest binary unit in which the rounded number stays below 1,024."""
+    units = ("KiB", "MiB", "GiB", "TiB", "PiB", "EiB", "ZiB", "YiB")
+    out = None
+    for k in reversed(range(len(units))):
+        tenths = F.floor(F.abs(size) / 1024.0 ** (k + 1) * 10 + 0.5) / 10
+        text = F.concat(F.when(size < 0, "-").otherwise(""), F.format_string("%.1f", tenths), F.lit(f" {units[k]}"))
+        out = text if out is None else F.when(tenths < 1024, text).otherwise(out)
+    return F.when(F.abs(size) < 1024, F.concat(size.cast("long").cast("string"), F.lit(" B"))).otherwise(out)
+
+
+def compact(n: Column) -> Column:
+    """A whole number in short form: two digits, or all before the decimal point, and K, M, B or T, whichever keeps the rounded number below 1,000."""
+    out = None
+    for k in reversed(range(5)):
+        value = F.abs(n) / 1000.0**k
+        rounded = F.when(value < 9.95, F.floor(value * 10 + 0.5) / 10).otherwise(F.floor(value + 0.5).cast("double"))
+        digits = F.when(rounded >= 10_000, with_commas(rounded)).otherwise(F.regexp_replace(F.format_string("%.1f", rounded), r"\.0$", ""))
+        text = F.concat(F.when(n < 0, "-").otherwise(""), digits, F.lit(("", "K", "M", "B", "T")[k]))
+        out = text if out is None else F.when(rounded < 1000, text).otherwise(out)
     return out
 
 
@@ -137,18 +153,22 @@ def duration(ms: Column) -> Column:
 
 
 def expanded(template: Column, variables: dict[str, Column]) -> Column:
-    """{key} replaced, first occurrence for each mention: known keys by their values, unknown user.* and workspace.* by a placeholder, others left alone."""
-    for key, value in variables.items():
-        template = F.replace(template, F.lit("{" + key + "}"), value)
-    template = F.regexp_replace(template, r"\{user\.([^}.]+)[^}]*\}", "[User $1]")
-    return F.regexp_replace(template, r"\{workspace\.([^}.]+)[^}]*\}", "[Workspace $1]")
+    """{key} replaced in one pass, so that braces in a value stay: known keys by their values, user.* and workspace.* without a value by a placeholder, others left alone."""
+    def one(piece: Column) -> Column:
+        out = F.regexp_replace(piece, r"^\{user\.([^}.]+)[^}]*\}$", "[User $1]")
+        out = F.regexp_replace(out, r"^\{workspace\.([^}.]+)[^}]*\}$", "[Workspace $1]")
+        for key, value in variables.items():
+            out = F.when((piece == F.lit("{" + key + "}")) & value.isNotNull(), value).otherwise(out)
+        return out
+
+    return F.array_join(F.transform(F.regexp_extract_all(template, F.lit(r"(?s)(\{[^{}]*\}|[^{]+|\{)")), one), "")
 
 
 def commands_expanded(message: Column, presets: dict[str, str]) -> Column:
-    """/reset if the message starts with it; else preset commands that stand as words give way to their prompts."""
+    """/reset if the message starts with it; else preset commands that stand as words give way to their prompts, whatever characters either has."""
     out = message
     for command, prompt in presets.items():
-        out = F.regexp_replace(out, rf"(?:\b\s|^){command}(?:\b\s|$)", prompt)
+        out = F.regexp_replace(out, rf"(?:\b\s|^){re.escape(command)}(?:\b\s|$)", prompt.replace("\\", "\\\\").replace("$", "\\$"))
     return F.when(F.lower(message).startswith("/reset"), "/reset").otherwise(out)
 
 

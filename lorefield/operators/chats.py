@@ -136,3 +136,20 @@ def mime_of(url: Column) -> Column:
 def attachments(parts: Column) -> Column:
     images = F.filter(parts, lambda p: p["type"] == "image_url")
     return F.transform(images, lambda p, i: F.struct(F.concat(F.lit("uploaded_image_"), i.cast("string")).alias("name"), mime_of(p["url"]).alias("mime"), p["url"].alias("content")))
+
+
+def history_messages(chats: DataFrame, spread: bool = False) -> DataFrame:
+    """id, role, message: the two messages of each chat (id, prompt, answer, attachments) as JSON, images of the user's turn with it. As a property, content is a list of a text part and image parts;
+    spread, content stays text and the images' bytes lie beside it. A turn without attachments has its text as content in both shapes."""
+    shape = F.struct(F.lit("user").alias("role"), F.col("prompt").alias("content"))
+    if spread:
+        with_images = F.struct(F.lit("user").alias("role"), F.col("prompt").alias("content"), F.transform("attachments", lambda a: F.regexp_replace(a["contentString"], "(?s)^.*base64,", "")).alias("images"))
+    else:
+        part = lambda kind, text, url: F.struct(F.lit(kind).alias("type"), text.cast("string").alias("text"), F.when(url.isNotNull(), F.struct(url.alias("url"))).alias("image_url"))
+        none = F.lit(None).cast("string")
+        parts = F.concat(F.array(part("text", F.col("prompt"), none)), F.transform("attachments", lambda a: part("image_url", none, a["contentString"])))
+        with_images = F.struct(F.lit("user").alias("role"), parts.alias("content"))
+    user = F.when(F.coalesce(F.size("attachments"), F.lit(0)) > 0, F.to_json(with_images)).otherwise(F.to_json(shape))
+    assistant = F.to_json(F.struct(F.lit("assistant").alias("role"), F.col("answer").alias("content")))
+    turns = F.array(F.struct(F.lit("user").alias("role"), user.alias("message")), F.struct(F.lit("assistant").alias("role"), assistant.alias("message")))
+    return chats.select("id", F.inline(turns))

@@ -180,3 +180,27 @@ def multimodal_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = t.chats(spark, sf_dir).select("id", parts.alias("parts"))
     images = ops.attachments(F.col("parts"))
     return rows.select("id", ops.text_content(F.col("parts")).alias("text"), F.get(images, 0)["name"].alias("name"), F.get(images, 0)["mime"].alias("mime"))
+
+
+def _messages_sql(with_images: str) -> str:
+    return f"""select id, 'user' as role, case when id % 10 = 1 then {with_images} else json_object('role', 'user', 'content', prompt) end::varchar as message from {t.CHATS_SQL} where answer is not null
+ union all select id, 'assistant', json_object('role', 'assistant', 'content', answer)::varchar from {t.CHATS_SQL} where answer is not null"""
+
+
+def _attached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chats with an answer; every tenth has two images."""
+    image = lambda name, data: F.struct(F.lit("image/png").alias("mime"), F.lit(name).alias("name"), F.concat(F.lit("data:image/png;base64,"), data).alias("contentString"))
+    two = F.array(image("a.png", F.lit("QUJD")), image("b.png", F.col("id").cast("string")))
+    return t.chats(spark, sf_dir).where("answer is not null").withColumn("attachments", F.when(F.col("id") % 10 == 1, two))
+
+
+@query(_messages_sql("json_object('role', 'user', 'content', json_array(json_object('type', 'text', 'text', prompt), json_object('type', 'image_url', 'image_url', json_object('url', 'data:image/png;base64,QUJD')), json_object('type', 'image_url', 'image_url', json_object('url', 'data:image/png;base64,' || id))))"))
+def history_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PRJ12: history messages with the images of user turns as parts of their content."""
+    return ops.history_messages(_attached(spark, sf_dir))
+
+
+@query(_messages_sql("json_object('role', 'user', 'content', prompt, 'images', json_array('QUJD', id::varchar))"))
+def history_images_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PRJ12: the same with the images beside the content."""
+    return ops.history_messages(_attached(spark, sf_dir), spread=True)

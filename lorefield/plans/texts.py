@@ -107,11 +107,26 @@ def number_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                    T.file_size(b).alias("size"), T.with_commas(b).alias("commas"), T.duration(F.col("o_orderkey") * 1010).alias("took"))
 
 
+_UNITS = "n < 1024 then n || ' B' " + " ".join(f"when floor(n / {1024.0**k} * 10 + 0.5) / 10 < 1024 then printf('%.1f', floor(n / {1024.0**k} * 10 + 0.5) / 10) || ' {u}'" for k, u in enumerate(("KiB", "MiB", "GiB", "TiB", "PiB"), 1))
+_SHORT = " ".join(f"when n / {1000.0**k} < 9.95 then regexp_replace(printf('%.1f', floor(n / {1000.0**k} * 10 + 0.5) / 10), '\\.0$', '') || '{u}' when n / {1000.0**k} < {limit} then floor(n / {1000.0**k} + 0.5)::bigint || '{u}'"
+                  for k, u, limit in ((0, "", 999.5), (1, "K", 999.5), (2, "M", 999.5), (3, "B", 999.5), (4, "T", 9999.5)))
+
+
+@query(f"""select id, n, case when {_UNITS} end as size, case {_SHORT} end as short from (select o_orderkey as id,
+ case o_orderkey % 6 when 0 then 999950 - o_orderkey % 3 when 1 then 1048575 + o_orderkey % 2 when 2 then 3000000000000000 + o_orderkey else floor(o_totalprice)::bigint * 1000 ** (o_orderkey % 4)::bigint end::bigint as n from orders)""")
+def number_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SCL43: byte sizes whose unit is chosen after rounding, and numbers in short form, from bytes to PiB and T."""
+    k, key = F.col("o_orderkey") % 6, F.col("o_orderkey")
+    n = F.when(k == 0, 999_950 - key % 3).when(k == 1, 1_048_575 + key % 2).when(k == 2, 3_000_000_000_000_000 + key).otherwise(F.floor("o_totalprice") * F.pow(F.lit(1000), key % 4).cast("long")).cast("long")
+    rows = t.table(spark, sf_dir, "orders").select(key.alias("id"), n.alias("n"))
+    return rows.select("id", "n", T.file_size(F.col("n")).alias("size"), T.compact(F.col("n")).alias("short"))
+
+
 @query(f"select id, 'Hi ' || coalesce(c_name, '[User name]') || ' of [Workspace plan], ' || thread_id || ' {{other}}' as prompt from {t.CHATS_SQL} left join customer on c_custkey = user_id")
 def variables_expanded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SCL24: variables of a prompt, with placeholders for those without a value."""
     chats = t.chats(spark, sf_dir).join(t.users(spark, sf_dir).select("user_id", "username"), "user_id", "left")
-    values = {"user.name": F.coalesce("username", F.lit("{user.name}")), "thread": F.col("thread_id").cast("string")}
+    values = {"user.name": F.col("username"), "thread": F.col("thread_id").cast("string")}
     return chats.select("id", T.expanded(F.lit("Hi {user.name} of {workspace.plan}, {thread} {other}"), values).alias("prompt"))
 
 

@@ -179,3 +179,18 @@ def test_ingestion_is_the_same_when_a_batch_runs_again(spark, tmp_path):
         (commits / name).unlink()  # as if the job had failed after its last batch
     stateful.ingested(stream(), path)
     assert rows() == [(1, "first text", 0), (2, "second text", 0), (3, "third text", 1)]
+
+
+def test_text_functions_take_any_characters(spark):
+    from lorefield.functions import text as T
+
+    one = lambda c: spark.range(1).select(c.alias("x")).first().x
+    presets = {"/price": r"costs $5 \ now", "/a.b": "dotted"}
+    assert one(T.commands_expanded(F.lit("/price"), presets)) == r"costs $5 \ now"
+    assert one(T.commands_expanded(F.lit("/axb"), presets)) == "/axb" and one(T.commands_expanded(F.lit("/a.b"), presets)) == "dotted"
+    values = {"user.name": F.lit("{thread} $1"), "thread": F.lit("7"), "user.none": F.lit(None).cast("string")}
+    assert one(T.expanded(F.lit("a {user.name} {thread} {user.none} {workspace.plan.x} {other} { {"), values)) == "a {thread} $1 7 [User none] [Workspace plan] {other} { {"
+    sizes = {0: "0 B", 1023: "1023 B", 1024: "1.0 KiB", 1_048_575: "1.0 MiB", 1_048_576: "1.0 MiB", 3 * 10**15: "2.7 PiB", -2048: "-2.0 KiB"}
+    assert {n: one(T.file_size(F.lit(n).cast("long"))) for n in sizes} == sizes
+    short = {0: "0", 7: "7", 999: "999", 1000: "1K", 1234: "1.2K", 9960: "10K", 12_345: "12K", 999_499: "999K", 999_950: "1M", 1_048_575: "1M", 1_500_000_000: "1.5B", 3 * 10**15: "3000T", 3 * 10**16: "30,000T", -1500: "-1.5K"}
+    assert {n: one(T.compact(F.lit(n).cast("long"))) for n in short} == short
