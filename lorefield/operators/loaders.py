@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 REQUIRED = ("id", "url", "title", "docAuthor", "description", "docSource", "chunkSource", "published", "wordCount", "token_count_estimate")
@@ -172,6 +172,27 @@ def discovered(edges: DataFrame, start: int, max_depth: int, max_links: int) ->
     return seen.orderBy("depth", "node").limit(max_links)
 
 
+def site_discovered(pages: DataFrame, start: str, max_depth: int = 1, max_links: int = 20) -> DataFrame:
+    """link, depth, place: what a walk over the links of pages (url, html) finds from a start URL, in order of discovery: level by level, pages in the order in which they were found, links in
+    their order on the page. Links are resolved against the start, and stay on its origin and in its folder; the start is the first of at most max_links. Each level is one
+    join of the frontier with the pages, and a set of seen links is kept by anti-join; a level keeps max_links rows at most, as that is the walk's limit."""
+    spark = pages.sparkSession
+    links = pages.select("url", F.posexplode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("pos", "href"))
+    links = within_site(links.select(F.col("url").alias("page"), "pos", resolved(F.lit(start), F.col("href")).alias("link")), F.lit(start)).select("page", "pos", "link")
+    seen = frontier = spark.range(1).select(F.lit(start).alias("link"), F.lit(0).alias("depth"), F.lit(0).cast("long").alias("place"))
+    count = 1
+    for depth in range(1, max_depth + 1):
+        found = frontier.select(F.col("link").alias("page"), "place").join(links, "page").groupBy("link").agg(F.min(F.struct("place", "pos")).alias("at"))
+        new = found.join(seen.select("link"), "link", "left_anti").orderBy("at").limit(max_links - count)
+        order = Window.orderBy("at")  # max_links rows at most
+        frontier = new.select("link", F.lit(depth).alias("depth"), (F.row_number().over(order) + count - 1).cast("long").alias("place")).checkpoint()
+        more = frontier.count()
+        seen, count = seen.unionByName(frontier), count + more
+        if not more or count >= max_links:
+            break
+    return seen
+
+
 def wiki_documents(pages: DataFrame) -> DataFrame:
     """Dump pages (host, space, page_id, modified, title, body) as documents: code macros fenced, HTML to text, newlines collapsed; an empty body falls
     back to the title; ids repeat only for unchanged pages, which are kept once."""
@@ -223,7 +244,7 @@ def result_rows(results: DataFrame) -> DataFrame:
     return made.where("link <> '' and title <> '' and snippet <> ''")
 
 
-def within_site(links: DataFrame, start: str) -> DataFrame:
+def within_site(links: DataFrame, start: str | Column) -> DataFrame:
     """links (url, link) that stay on the origin and under the path of a column of start URLs."""
     origin = F.regexp_extract(start, r"^(https?://[^/]+)", 1)
     prefix = F.regexp_replace(F.regexp_extract(start, r"^https?://[^/]+([^?#]*)", 1), "[^/]*$", "")

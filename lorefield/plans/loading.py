@@ -83,6 +83,29 @@ def discover_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return loaders.discovered(edges, 0, 5, 40)
 
 
+def _walk_sql(depth: int, most: int) -> str:
+    """The walk level by level; each level numbers its new links by the place of the page and their place on it."""
+    parts = ["p as (select 'https://site.example.com' || h as url, arg_max(html, page_id) as html from (select page_id, html, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) as h from pages) group by 1)",
+             "l as (select url, generate_subscripts(h, 1) as pos, 'https://site.example.com' || unnest(h) as link from (select url, regexp_extract_all(html, 'href=\"([^\"]*)\"', 1) as h from p))",
+             "d0 as (select min(url) as link, 0 as depth, 0::bigint as place from p)"]
+    for k in range(1, depth + 1):
+        seen = " union all ".join(f"select * from d{j}" for j in range(k))
+        parts.append(f"n{k} as (select l.link, min(row(place, pos)) as o from d{k - 1} join l on l.url = d{k - 1}.link where l.link not in (select link from ({seen})) group by l.link order by o limit (select {most} - count(*) from ({seen})))")
+        parts.append(f"d{k} as (select link, {k} as depth, (select count(*) from ({seen})) - 1 + row_number() over (order by o) as place from n{k})")
+    return "with " + ", ".join(parts) + " " + " union all ".join(f"select link, depth, place from d{k}" for k in range(depth + 1))
+
+
+@query(_walk_sql(4, 150))
+def site_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC10: the links that a walk over the links of pages finds, in order of discovery, to a depth and a number of links. The pages lie on one site, where each link leads to the last
+    page that has it (at the pages' own URLs none leads to a page); the walk starts at the first URL."""
+    with_checkpoints(spark)
+    hrefs = t.table(spark, sf_dir, "pages").select("page_id", "html", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("href"))
+    site = hrefs.groupBy(F.concat(F.lit("https://site.example.com"), "href").alias("url")).agg(F.max_by("html", "page_id").alias("html"))
+    start = site.agg(F.min("url")).first()[0]
+    return loaders.site_discovered(site, start, max_depth=4, max_links=150)
+
+
 @query("select 'wiki.example.com.' || (page_id % 3) || '.' || page_id || '.2024' as id, 'page ' || page_id as title from pages")
 def wiki_pages_to_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC15 SRC16 SCL17: dump pages as documents; unchanged re-imports are kept once."""

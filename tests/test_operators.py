@@ -194,3 +194,18 @@ def test_text_functions_take_any_characters(spark):
     assert {n: one(T.file_size(F.lit(n).cast("long"))) for n in sizes} == sizes
     short = {0: "0", 7: "7", 999: "999", 1000: "1K", 1234: "1.2K", 9960: "10K", 12_345: "12K", 999_499: "999K", 999_950: "1M", 1_048_575: "1M", 1_500_000_000: "1.5B", 3 * 10**15: "3000T", 3 * 10**16: "30,000T", -1500: "-1.5K"}
     assert {n: one(T.compact(F.lit(n).cast("long"))) for n in short} == short
+
+
+def test_site_walk_in_order_of_discovery(spark):
+    from lorefield.operators import loaders
+    from lorefield.sources.shared import with_checkpoints
+
+    with_checkpoints(spark)
+    site = "https://a.org/docs/"
+    html = {"index": ["b", "/docs/c#x", "c", "/other", "https://b.org/docs/z", "//a.org/docs/d"], "b": ["index", "e", "c"], "c": ["f"], "d": ["g"], "e": ["h"], "f": ["h", "i"]}
+    pages = spark.createDataFrame([(site + k, "".join(f'<a href="{x}">x</a>' for x in v)) for k, v in html.items()], "url string, html string")
+    walk = lambda *a: [(r.link.removeprefix(site), r.depth) for r in loaders.site_discovered(pages, site + "index", *a).orderBy("place").collect()]
+    first = [("index", 0), ("b", 1), ("c", 1), ("d", 1)]
+    assert walk() == first and walk(0, 20) == first[:1] and walk(2, 3) == first[:3]
+    assert walk(2, 20) == [*first, ("e", 2), ("f", 2), ("g", 2)]
+    assert walk(9, 20) == [*first, ("e", 2), ("f", 2), ("g", 2), ("h", 3), ("i", 3)] and walk(9, 8) == walk(9, 20)[:8]
