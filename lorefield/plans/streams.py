@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import tables as t
@@ -111,21 +111,22 @@ def synced_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return after.join(old, "doc_id").select("doc_id", F.md5("text").alias("body"), (~F.col("text").eqNullSafe(F.col("old"))).alias("replaced"))
 
 
-#: The time of a turn.
-_AT = (1_704_067_200_000 + (F.col("conv_id") * 1000 + F.col("turn")) * 60_000).alias("at_ms")
+def _at() -> Column:
+    """The time of a turn."""
+    return (1_704_067_200_000 + (F.col("conv_id") * 1000 + F.col("turn")) * 60_000).alias("at_ms")
 
 
 @query("select conv_id as thread_id, max(conv_id * 1000 + turn) as reset_id from conversations where turn % 4 = 2 group by conv_id")
 def stream_resets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STR9: the last reset of each thread from a stream of resets; after_reset applies them to a history."""
-    resets = jobs.table_stream(spark, sf_dir, "conversations").where("turn % 4 = 2").select(F.col("conv_id").alias("thread_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("reset_id"), _AT)
+    resets = jobs.table_stream(spark, sf_dir, "conversations").where("turn % 4 = 2").select(F.col("conv_id").alias("thread_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("reset_id"), _at())
     return jobs.last_resets(resets)
 
 
 @query("select conv_id as id, arg_max(role || length(text), turn) as value, count(*) as edits from conversations group by conv_id")
 def stream_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STR10: the latest edit of each chat from a stream of edits."""
-    edits = jobs.table_stream(spark, sf_dir, "conversations").select(F.col("conv_id").alias("id"), F.col("turn").alias("seq"), F.concat("role", F.length("text").cast("string")).alias("value"), _AT)
+    edits = jobs.table_stream(spark, sf_dir, "conversations").select(F.col("conv_id").alias("id"), F.col("turn").alias("seq"), F.concat("role", F.length("text").cast("string")).alias("value"), _at())
     return jobs.latest_values(edits)
 
 
