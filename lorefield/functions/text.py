@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
@@ -69,6 +69,18 @@ def chunks(text: Column, size: int = 1000, overlap: int = 20, separators: tuple[
     return split(text)
 
 
+class TextChunks:
+    """Table function: chunk_index and chunk of a text, one row after the other, so that no list of a text's chunks is held in a row."""
+
+    def eval(self, text: str, size: int = 1000, overlap: int = 20, separators: list | None = None) -> Iterator[tuple[int, str]]:
+        yield from enumerate(split_text(text, size, overlap, tuple(separators or SEPARATORS)) if text else [])
+
+
+def register_chunks(spark: SparkSession, name: str = "text_chunks") -> None:
+    """Makes the table function known to SQL: select doc_id, c.* from docs, lateral text_chunks(text, 1000, 20) c."""
+    spark.udtf.register(name, F.udtf(TextChunks, returnType="chunk_index bigint, chunk string", useArrow=True))
+
+
 def chunk_header(title: Column, published: Column, chunk_source: Column) -> Column:
     """Metadata block that leads a chunk: null parts are left out; a source only for link:// and youtube://."""
     source = F.when(chunk_source.rlike("^(link|youtube)://"), F.regexp_replace(chunk_source, "^(link|youtube)://", ""))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,45 +44,45 @@ def middle_cut(text: Column, target: int, marker: str = TRUNCATED) -> Column:
     return F.when(n < target, text).otherwise(F.concat(F.array_join(left, " "), F.lit(marker), F.array_join(right, " ")))
 
 
-def _cut(text: str, target: int) -> str:
-    tokens = [text[i : i + 4] for i in range(0, len(text), 4)]
-    if len(tokens) < target:
-        return text
-    middle, half = len(tokens) // 2, round((len(tokens) - target) / 2)
-    return "".join(tokens[: max(0, middle - half)]) + TRUNCATED + "".join(tokens[middle + half :])
+def quarter_cut(text: Column, target: int, marker: str = TRUNCATED) -> Column:
+    """As middle_cut, with four characters for a token."""
+    n = F.ceil(F.length(text) / 4)
+    middle, half = F.floor(n / 2), F.round((n - target) / F.lit(2.0)).cast("long")
+    left = F.substr(text, F.lit(1), (4 * F.greatest(middle - half, F.lit(0))).cast("int"))
+    right = F.substr(text, (4 * (middle + half) + 1).cast("int"))
+    return F.when(n < target, text).otherwise(F.concat(left, F.lit(marker), right))
 
 
 def history_within(chats: DataFrame, budget: int) -> DataFrame:
     """thread_id, id, prompt, answer, tokens: each thread's chats that fit the budget, newest first. A chat that doesn't fit is cut in the
-    middle if it is among the newest three, and left out if it still doesn't fit; after those, the first that doesn't fit ends the fold.
+    middle if it is among the newest three, and left out if it still doesn't fit; after those, the first that doesn't fit ends the fold. A null text counts as empty.
 
-    A fold over state, thread by thread; a thread is one conversation, and only its newest three chats
-    and those with less than the budget between them and the newest three are sent. The first of the later ones that doesn't fit ends the fold, so these are enough."""
+    The fold goes over the sizes of a thread's chats. Only the newest three and those with less than the budget between them and the newest three
+    are sent: the first of the later ones that doesn't fit ends the fold, so these are enough."""
     order = Window.partitionBy("thread_id").orderBy(F.desc("id"))
-    size = estimate(F.col("prompt")) + estimate(F.col("answer"))
-    near = chats.select("thread_id", "id", "prompt", "answer", size.alias("size"), F.row_number().over(order).alias("back"))
+    whole = chats.select("thread_id", "id", *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("prompt", "answer")])
+    size = lambda x: estimate(x["prompt"]) + estimate(x["answer"])
+    sized = whole.withColumn("size", estimate(F.col("prompt")) + estimate(F.col("answer"))).withColumn("back", F.row_number().over(order))
     later = F.sum(F.when(F.col("back") > 3, F.col("size"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    near = near.withColumn("before", F.coalesce(later, F.lit(0))).where((F.col("back") <= 3) | (F.col("before") < budget)).drop("size", "back", "before")
-    tokens = lambda s: -(-len(s) // 4)
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        used, kept = 0, []
-        for i, r in enumerate(rows.sort_values("id", ascending=False).itertuples()):
-            total = tokens(r.prompt) + tokens(r.answer)
-            prompt, answer = r.prompt, r.answer
-            if used + total >= budget:
-                if i > 2:
-                    break
-                most = int(budget / 2.2)
-                prompt, answer = _cut(prompt, most), _cut(answer, most)
-                total = 3 * 2 + tokens(prompt) + tokens(answer) + 5
-                if used + total > budget:
-                    continue
-            used += total
-            kept.append((r.thread_id, r.id, prompt, answer, total))
-        return pd.DataFrame(kept, columns=["thread_id", "id", "prompt", "answer", "tokens"])
-
-    return near.groupBy("thread_id").applyInPandas(fold, "thread_id long, id long, prompt string, answer string, tokens long")
+    near = sized.withColumn("before", F.coalesce(later, F.lit(0))).where((F.col("back") <= 3) | (F.col("before") < budget))
+    most = int(budget / 2.2)
+    cut = F.when(F.col("back") <= 3, F.struct(*[quarter_cut(F.col(c), most).alias(c) for c in ("prompt", "answer")]))
+    lists = near.groupBy("thread_id").agg(F.array_sort(F.collect_list(F.struct("back", "id", "prompt", "answer", "size", cut.alias("cut")))).alias("chats"))
+
+    def step(state: Column, x: Column) -> Column:
+        fits = state["used"] + x["size"] < budget
+        size_cut = 3 * 2 + size(x["cut"]) + 5
+        fits_cut = F.coalesce(state["used"] + size_cut <= budget, F.lit(False))
+        taken = ~state["over"] & (fits | fits_cut)
+        tokens = F.when(fits, x["size"]).otherwise(size_cut)
+        return F.struct((state["used"] + F.when(taken, tokens).otherwise(0)).alias("used"), (state["over"] | ~fits & x["cut"].isNull()).alias("over"),
+                        F.when(taken, F.concat(state["kept"], F.array(F.struct(x["back"].alias("back"), fits.alias("whole"), tokens.alias("tokens"))))).otherwise(state["kept"]).alias("kept"))
+
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(False).alias("over"), F.expr("cast(array() as array<struct<back:int,whole:boolean,tokens:bigint>>)").alias("kept"))
+    kept = lists.select("thread_id", "chats", F.explode(F.reduce("chats", start, step, lambda s: s["kept"])).alias("k"))
+    chat = F.element_at("chats", F.col("k.back"))
+    texts = [F.when(F.col("k.whole"), chat[c]).otherwise(chat["cut"][c]).alias(c) for c in ("prompt", "answer")]
+    return kept.select("thread_id", chat["id"].alias("id"), *texts, F.col("k.tokens").alias("tokens"))
 
 
 def context_text(texts: Column) -> Column:

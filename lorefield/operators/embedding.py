@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.shared import with_checkpoints
+
 Embedder = Callable[[list[str]], np.ndarray]
 
 
@@ -95,15 +97,28 @@ def first_sentences(text: str, n: int = 2) -> str:
     return " ".join(re.split(r"(?<=[.!?])\s+", text.strip())[:n])
 
 
-def summarized(docs: DataFrame, limit: int, summarizer: Callable[[str], str] = first_sentences) -> DataFrame:
-    """doc_id, summary: texts within the limit stay; longer ones are cut at paragraphs, each piece is summarised, and the summaries joined in order."""
+def summarized(docs: DataFrame, limit: int, summarizer: Callable[[str], str] = first_sentences, pieces: Callable[[Column], Column] | None = None, rounds: int = 8) -> DataFrame:
+    """doc_id, summary, levels: texts within the limit stay (levels 0). A longer one is cut, at paragraphs unless pieces says otherwise, each piece is summarised and
+    the summaries are joined in order; what is still over the limit is cut and summarised again, level by level, and what fits is summarised once more as a whole. A summariser
+    that doesn't shorten ends after `rounds` levels. A null text has a null summary; doc_id names a text."""
     from ..functions.text import chunks
 
+    cut = pieces or (lambda x: chunks(x, 10_000, 500, ("\n\n", "\n")))
+
     @F.pandas_udf("string")
     def short(texts: pd.Series) -> pd.Series:
         return texts.map(lambda x: summarizer(x or ""))
 
-    long = docs.where(F.length("text") > limit).select("doc_id", F.posexplode(chunks(F.col("text"), 10_000, 500, ("\n\n", "\n"))).alias("n", "piece"))
-    parts = long.select("doc_id", F.struct("n", short("piece").alias("s")).alias("p")).groupBy("doc_id").agg(F.array_sort(F.collect_list("p")).alias("p"))
-    reduced = parts.select("doc_id", F.array_join(F.transform("p", lambda x: x["s"]), "\n").alias("summary"))
-    return docs.where(F.length("text") <= limit).select("doc_id", F.col("text").alias("summary")).unionByName(reduced)
+    with_checkpoints(docs.sparkSession)
+    over = F.coalesce(F.length("text") > limit, F.lit(False))
+    done = docs.where(~over).select("doc_id", F.col("text").alias("summary"), F.lit(0).alias("levels"))
+    rest = docs.where(over).select("doc_id", "text")
+    for level in range(1, rounds + 1):
+        parts = rest.select("doc_id", F.posexplode_outer(cut(F.col("text"))).alias("n", "piece")).select("doc_id", F.struct("n", short("piece").alias("s")).alias("p"))
+        joined = parts.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda x: x["s"]), "\n").alias("text")).checkpoint()
+        last = over & F.lit(level < rounds)
+        done = done.unionByName(joined.where(~last).select("doc_id", short("text").alias("summary"), F.lit(level).alias("levels")))
+        rest = joined.where(last)
+        if rest.isEmpty():
+            break
+    return done

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from html import escape
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -193,12 +195,56 @@ def site_discovered(pages: DataFrame, start: str, max_depth: int = 1, max_links:
     return seen
 
 
+#: What a wiki body's scanner stops at: CDATA sections, which hide whatever they hold, parameters, and the ends of macros.
+_MACRO = re.compile(r'<!\[CDATA\[(?P<data>.*?)\]\]>|<ac:parameter\b[^>]*ac:name="(?P<parameter>[^"]*)"[^>]*>(?P<value>[^<]*)</ac:parameter>|(?P<open><ac:structured-macro\b[^>]*>)|(?P<close></ac:structured-macro\s*>)', re.S)
+
+
+def wiki_text(body: str | None) -> str:
+    """Text of a wiki body: code macros fenced with their language and code as it is, wherever they are nested; everything else as visible text, parameters of
+    macros left out; three newlines or more become two."""
+    out, html, open_macros, at = [], [], [], 0  # open_macros: [is code, language, code] from the outermost
+    body = body or ""
+
+    def flush() -> None:
+        if seen := _visible("".join(html)):
+            out.append(seen)
+        html.clear()
+
+    for m in _MACRO.finditer(body):
+        inside = open_macros and open_macros[-1][0]
+        if not inside:
+            html.append(body[at : m.start()])
+        at = m.end()
+        if m["open"]:
+            closed = m["open"].rstrip().endswith("/>")
+            if not closed:
+                open_macros.append([bool(re.search(r'ac:name="code"', m["open"])), "", ""])
+        elif m["close"]:
+            code, language, text = open_macros.pop() if open_macros else (False, "", "")
+            if code:
+                flush()
+                out.append(f"```{language}\n{text.strip()}\n```")
+        elif m["parameter"] is not None:
+            if inside and m["parameter"] == "language":
+                open_macros[-1][1] = m["value"].strip()
+        elif inside:
+            open_macros[-1][2] += m["data"]
+        else:
+            html.append(escape(m["data"]))
+    html.append(body[at:])
+    flush()
+    return re.sub(r"\n{3,}", "\n\n", "\n".join(out)).strip()
+
+
 def wiki_documents(pages: DataFrame) -> DataFrame:
-    """Dump pages (host, space, page_id, modified, title, body) as documents: code macros fenced, HTML to text, newlines collapsed; an empty body falls
+    """Dump pages (host, space, page_id, modified, title, body) as documents with wiki_text's text; an empty body falls
     back to the title; ids repeat only for unchanged pages, which are kept once."""
-    fenced = F.regexp_replace("body", r'(?s)<ac:structured-macro ac:name="code"[^>]*>.*?<!\[CDATA\[(.*?)\]\]>.*?</ac:structured-macro>', "<pre>\n```\n$1\n```\n</pre>")
-    text = F.trim(F.regexp_replace(html_to_text(fenced), r"\n{3,}", "\n\n"))
-    made = pages.select(F.concat_ws(".", "host", "space", "page_id", "modified").alias("id"), "title", text.alias("t"))
+    @F.pandas_udf("string")
+    def text(bodies: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in bodies:
+            yield batch.map(wiki_text)
+
+    made = pages.select(F.concat_ws(".", "host", "space", "page_id", "modified").alias("id"), "title", text("body").alias("t"))
     return made.select("id", "title", F.when(F.col("t") != "", F.col("t")).otherwise(F.col("title")).alias("text")).dropDuplicates(["id"])
 
 
@@ -291,3 +337,11 @@ def table_profile(tables: dict[str, DataFrame]) -> DataFrame:
         made = counts.select(F.inline(columns))
         out = made if out is None else out.unionByName(made)
     return out
+
+
+def declared_columns(spark: SparkSession, table: str) -> DataFrame:
+    """place, column, type, default, nullable of a table as the catalogue has them; default is the declared expression's text, null without one."""
+    described = spark.sql(f"describe table extended {table} as json")  # one row
+    kind = "columns array<struct<name string, type struct<name string>, nullable boolean, default string>>"
+    rows = described.select(F.posexplode(F.from_json("json_metadata", kind)["columns"]).alias("n", "c"))
+    return rows.select((F.col("n") + 1).cast("long").alias("place"), F.col("c.name").alias("column"), F.col("c.type.name").alias("type"), F.col("c.default").alias("default"), F.col("c.nullable").alias("nullable"))

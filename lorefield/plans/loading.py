@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import embedding, loaders, search
+from ..operators.snapshots import Snapshots
 from ..sources import tables as t
 from ..sources.shared import with_checkpoints
 from .registry import query
@@ -106,6 +107,20 @@ def site_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return loaders.site_discovered(site, start, max_depth=4, max_links=150)
 
 
+@query("""select 'wiki.example.com.7.' || doc_id || '.2024' as id, case when doc_id % 4 = 3 then 'page ' || doc_id else 'Language ' || coalesce(lang, 'none') || chr(10) || '```' || case when doc_id % 4 = 1 then 'sql' else '' end || chr(10) || 'if a < b:' || chr(10) || '    x = "</ac:structured-macro>" # '
+ || n || chr(10) || '```' || case when doc_id % 4 = 2 then chr(10) || 'inner note' else '' end || chr(10) || 'end & done' end as text from (select *, coalesce(n_chars, 0) as n from documents)""")
+def wiki_code_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC15 SRC16 SCL17: wiki bodies with code macros in panels, code that itself holds tags, and bodies without text, which fall back to the title."""
+    d = t.table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 4).alias("k"), F.coalesce("lang", F.lit("none")).alias("lang"), F.coalesce("n_chars", F.lit(0)).cast("string").alias("n"))
+    language = F.when(F.col("k") == 1, '<ac:parameter ac:name="language">sql</ac:parameter>').otherwise("")
+    code = F.concat(F.lit('<ac:structured-macro ac:name="code" ac:schema-version="1">'), language, F.lit('<ac:plain-text-body><![CDATA[\nif a < b:\n    x = "</ac:structured-macro>" # '), "n", F.lit("\n]]></ac:plain-text-body></ac:structured-macro>"))
+    panel = F.concat(F.lit('<ac:structured-macro ac:name="panel"><ac:parameter ac:name="title">hidden</ac:parameter><ac:rich-text-body>'), code, F.lit("<p>inner <b>note</b></p></ac:rich-text-body></ac:structured-macro>"))
+    body = F.concat(F.lit("<p>Language "), "lang", F.lit("</p>\n\n\n\n"), F.when(F.col("k") == 2, panel).otherwise(code), F.lit("<p>end &amp; done</p>"))
+    p = d.select(F.lit("wiki.example.com").alias("host"), F.lit(7).alias("space"), F.col("doc_id").alias("page_id"), F.lit("2024").alias("modified"), F.concat(F.lit("page "), F.col("doc_id").cast("string")).alias("title"),
+                 F.when(F.col("k") == 3, "<p> </p>").otherwise(body).alias("body"))
+    return loaders.wiki_documents(p.unionByName(p.where("k = 1"))).select("id", "text")
+
+
 @query("select 'wiki.example.com.' || (page_id % 3) || '.' || page_id || '.2024' as id, 'page ' || page_id as title from pages")
 def wiki_pages_to_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC15 SRC16 SCL17: dump pages as documents; unchanged re-imports are kept once."""
@@ -182,6 +197,24 @@ def namespace_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding.next_snapshot(chunks, gone, "namespace", f"{base}-next").select("id", F.col("namespace").cast("long").alias("namespace"))
 
 
+@query("""with e as (select 'chunks' as name, label::bigint as namespace from embeddings union all select 'documents', doc_id % 10 from documents)
+ select v::bigint as version, name, namespace, count(*) as rows from e, (values (1), (2), (3), (4)) x(v) where not (v in (2, 3) and namespace = 3) and not (v = 3 and name = 'documents' and namespace = 5) group by all""")
+def table_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK2 SNK3: two tables that change together: written, a namespace dropped from both, another from one of them, and all rolled back to the first version."""
+    store = Snapshots(spark, f"{with_checkpoints(spark)}/versions-{uuid.uuid4().hex}")
+    docs = t.documents(spark, sf_dir).select("doc_id", (F.col("doc_id") % 10).alias("namespace"))
+    store.commit({"chunks": t.chunks(spark, sf_dir).drop("embedding"), "documents": docs})
+    store.commit({name: store.read(name).where("namespace <> 3") for name in ("chunks", "documents")})
+    store.commit({"documents": store.read("documents").where("namespace <> 5")})
+    store.rollback(1)
+    out = None
+    for version in range(1, 5):
+        for name in ("chunks", "documents"):
+            rows = store.read(name, version).groupBy("namespace").agg(F.count("*").alias("rows")).select(F.lit(version).cast("long").alias("version"), F.lit(name).alias("name"), "namespace", "rows")
+            out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @query()
 def embed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """UDF1 SNK1 SCL39: chunks with their vectors, as they go to the chunk table."""
@@ -197,6 +230,17 @@ def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding.summarized(t.documents(spark, sf_dir), 4000)
 
 
+@query("""with recursive r as (select doc_id, text, 0 as level, length(text) > 600 as more from documents
+ union all select doc_id, j, level + 1, length(j) > 600 from (select doc_id, level, array_to_string(list_transform(range(0, length(text), 500), lambda i: substr(text, i + 1, 120)), chr(10)) as j from r where more))
+ select doc_id, case when level > 0 then left(text, 120) else text end as summary, level as levels from r where not more""")
+def summary_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """UDF6: long documents reduced level by level, in pieces of 500 characters whose heads are their summaries, until a level fits 600."""
+    def pieces(text: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.length(text) - 1) / 500).cast("int")), lambda i: F.substr(text, i * 500 + 1, F.lit(500)))
+
+    return embedding.summarized(t.documents(spark, sf_dir), 600, lambda x: x[:120], pieces)
+
+
 @query("select 1000000 + doc_id as id, 'agent memory' as title, '@agent' as author, length(text) as chars from documents where length(trim(text)) > 0")
 def memory_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """UDF8: texts that an agent stores become documents under a fixed title."""
@@ -331,3 +375,17 @@ def document_write(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{with_checkpoints(spark)}/documents-{uuid.uuid4().hex}"
     t.documents(spark, sf_dir).select("doc_id", "title", "text", F.col("source").alias("folder")).write.partitionBy("folder").json(path)
     return spark.read.schema("doc_id long, title string, text string, folder string").json(path).select("doc_id", "title", "folder", F.length("text").cast("long").alias("chars"))
+
+
+@query("""select place, "column", type, "default", nullable, (select count(*) from customer) as rows, case when "column" = 'segment' then (select count(*) from customer where c_acctbal < 0) else 0 end as nulls
+ from (values (1::bigint, 'id', 'bigint', null, true), (2, 'segment', 'string', null, true), (3, 'role', 'string', '''default''', true), (4, 'quota', 'int', '10', true), (5, 'balance', 'decimal', null, true)) c(place, "column", type, "default", nullable)""")
+def declared_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC25: columns of a catalogue table with declared type, default and nullability, beside the rows and nulls that the table has after an insert that leaves the defaults to it."""
+    name, folder = f"lorefield_users_{uuid.uuid4().hex}", f"{with_checkpoints(spark)}/users-{uuid.uuid4().hex}"
+    spark.sql(f"create table {name} (id bigint, segment string, role string default 'default', quota int default 10, balance decimal(12,2)) using parquet location '{folder}'")
+    t.table(spark, sf_dir, "customer").createOrReplaceTempView("lorefield_customer")
+    spark.sql(f"insert into {name} (id, segment, balance) select c_custkey, case when c_acctbal >= 0 then c_mktsegment end, cast(c_acctbal as decimal(12,2)) from lorefield_customer")
+    held = loaders.table_profile({"users": spark.table(name)}).select("column", "rows", "nulls")
+    out = loaders.declared_columns(spark, name).join(held, "column").select("place", "column", "type", "default", "nullable", "rows", "nulls")
+    spark.sql(f"drop table {name}")  # from the catalogue; the files stay in the shared folder, where out reads them
+    return out

@@ -167,7 +167,19 @@ def budget_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.select("id", "w", *[c.alias(k) for k, c in context.budget(F.col("w"), F.col("u")).items()])
 
 
-@query()
+def _cut_sql(text: str) -> str:
+    n = f"ceil(length({text}) / 4)::bigint"
+    half = f"round(({n} - 136) / 2.0)::bigint"
+    return f"case when {n} < 136 then {text} else left({text}, 4 * greatest({n} // 2 - {half}, 0)) || E'\\n\\n--prompt truncated for brevity--\\n\\n' || substr({text}, 4 * ({n} // 2 + {half}) + 1) end"
+
+
+@query(f"""with recursive c as (select thread_id, id, prompt, answer, row_number() over (partition by thread_id order by id desc) as back, {_cut_sql("prompt")} as p2, {_cut_sql("answer")} as a2 from {t.CHATS_SQL} where answer is not null),
+ s as (select *, (ceil(length(prompt) / 4) + ceil(length(answer) / 4))::bigint as whole, (11 + ceil(length(p2) / 4) + ceil(length(a2) / 4))::bigint as cut from c),
+ f as (select distinct thread_id, 0::bigint as back, 0::bigint as used, false as over, false as kept, 0::bigint as tokens from s
+  union all select thread_id, back, used + case when kept then tokens else 0 end, over, kept, tokens from (
+   select s.thread_id, s.back, f.used, f.used + whole >= 300 and s.back > 3 as over, f.used + whole < 300 or (s.back <= 3 and f.used + cut <= 300) as kept, case when f.used + whole < 300 then whole else cut end as tokens
+   from f join s on s.thread_id = f.thread_id and s.back = f.back + 1 where not f.over))
+ select s.thread_id, s.id, case when f.tokens = s.whole then prompt else p2 end as prompt, case when f.tokens = s.whole then answer else a2 end as answer, f.tokens from f join s using (thread_id, back) where f.kept""")
 def history_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WIN4 SCL7 SCL55: each conversation's newest chats that fit its history budget; of the newest three, long ones are cut in the middle."""
     return context.history_within(t.chats(spark, sf_dir).where("answer is not null"), 300)

@@ -27,6 +27,15 @@ def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.sha2(F.concat_ws(":", "doc_id", "chunk_index"), 256).alias("id"), F.concat("header", "chunk").alias("text"))
 
 
+@query("""select doc_id, row_number() over (partition by doc_id order by i) - 1 as chunk_index, chunk from (select doc_id, i, regexp_replace(substr(text, i + 1, 800), '^\\s+|\\s+$', '', 'g') as chunk
+ from (select doc_id, text, unnest(range(0, greatest(length(text) - 100, 1), 700)) as i from documents where length(text) > 0)) where chunk <> ''""")
+def chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """UDF4 SCL4: the table function in SQL, beside each document; here it cuts at any character."""
+    T.register_chunks(spark)
+    t.table(spark, sf_dir, "documents").createOrReplaceTempView("lorefield_documents")
+    return spark.sql("select doc_id, c.chunk_index, c.chunk from lorefield_documents, lateral text_chunks(text, 800, 100, array('')) c")
+
+
 @query(f"""select doc_id, '<document_metadata>' || chr(10) || 'sourceDocument: ' || title || chr(10) || 'published: ' || published || case when doc_id % 4 in (0, 2) then chr(10) || 'source: ' || regexp_replace(chunk_source, '^(link|youtube)://', '') else '' end
  || chr(10) || '</document_metadata>' || chr(10) || chr(10) as header, regexp_replace(text, '^\\s+|\\s+$', '', 'g') as body from {t.DOCUMENTS_SQL}""")
 def chunk_headers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,8 +5,9 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from lorefield.functions import text
 from lorefield.functions.text import chunk_header, split_text, valid_url
-from lorefield.operators import audit, context, embedding, loaders, search
+from lorefield.operators import audit, context, embedding, loaders, search, snapshots
 from lorefield.streaming import jobs, stateful
 
 SENTENCE = "This is a test text to be split into chunks"  # fixed value: 43 characters with published chunk counts
@@ -43,6 +44,22 @@ def test_history_keeps_its_budget(spark):
     assert len(used) == 5 and all(r.n <= 300 and r.c >= 1 for r in used)
 
 
+def _middle_out(text, target):
+    """The loop's own cut, group by group of four characters."""
+    groups = [text[i : i + 4] for i in range(0, len(text), 4)]
+    if len(groups) < target:
+        return text
+    middle, half = len(groups) // 2, (len(groups) - target + 1) // 2
+    return "".join(groups[: max(0, middle - half)]) + context.TRUNCATED + "".join(groups[middle + half :])
+
+
+def test_quarter_cut_is_the_loops(spark):
+    texts = ["x" * n + "é😀" * (n % 7) for n in range(0, 700, 13)]
+    frame = spark.createDataFrame([(x,) for x in texts], "t string")
+    for target in (1, 30, 136):
+        assert [r.c for r in frame.select(context.quarter_cut(F.col("t"), target).alias("c")).collect()] == [_middle_out(x, target) for x in texts]
+
+
 def test_history_behind_long_chats(spark):
     """Long chats among the newest three are cut or left out, and the older ones that fit stay."""
     sizes = {1: [4000, 40, 40, 40, 40], 2: [40, 4000, 40, 40, 40, 40], 3: [400, 4000, 4000, 40, 40], 4: [40, 40, 40, 600, 600, 40], 5: [40] * 60, 6: [9000] * 3 + [1196, 4], 7: [100, 100, 100, 4000, 40]}  # newest first
@@ -55,8 +72,8 @@ def test_history_behind_long_chats(spark):
             if used + cost >= 300:
                 if i > 2:
                     break
-                p = context._cut(p, 136)
-                cost = 11 + -(-len(p) // 4) + -(-len(context._cut("a" * (n // 2), 136)) // 4)
+                p = _middle_out(p, 136)
+                cost = 11 + -(-len(p) // 4) + -(-len(_middle_out("a" * (n // 2), 136)) // 4)
                 if used + cost > 300:
                     continue
             used += cost
@@ -209,3 +226,59 @@ def test_site_walk_in_order_of_discovery(spark):
     assert walk() == first and walk(0, 20) == first[:1] and walk(2, 3) == first[:3]
     assert walk(2, 20) == [*first, ("e", 2), ("f", 2), ("g", 2)]
     assert walk(9, 20) == [*first, ("e", 2), ("f", 2), ("g", 2), ("h", 3), ("i", 3)] and walk(9, 8) == walk(9, 20)[:8]
+
+
+def test_summaries_of_a_long_text_by_levels(spark):
+    """A text of 1 MB against a plain loop; one whose summaries don't shrink ends."""
+    def head(x):
+        return " ".join(x.split()[:200])
+
+    def loop(text, limit):
+        level = 0
+        while len(text) > limit:
+            level += 1
+            text = "\n".join(head(x) for x in split_text(text, 10_000, 500, ("\n\n", "\n")))
+        return (head(text) if level else text), level
+
+    long = "\n\n".join(" ".join(f"w{i}x{j}" for j in range(30 + i % 50)) for i in range(2600))
+    assert len(long) > 1_000_000
+    docs = spark.createDataFrame([(1, long), (2, "short"), (3, None), (4, ""), (5, " " * 4000)], "doc_id long, text string")
+    got = {r.doc_id: (r.summary, r.levels) for r in embedding.summarized(docs, 3000, head).collect()}
+    assert got == {1: loop(long, 3000), 2: ("short", 0), 3: (None, 0), 4: ("", 0), 5: ("", 1)} and got[1][1] > 1
+    stuck = embedding.summarized(docs.where("doc_id = 1"), 3000, lambda x: x, rounds=2).first()
+    assert stuck.levels == 2 and len(stuck.summary) > 3000
+    assert embedding.summarized(docs.limit(0), 3000).count() == 0
+
+
+def test_versions_change_together(spark, tmp_path):
+    store = snapshots.Snapshots(spark, f"file://{tmp_path}/s")
+    assert store.version() == 0 and store.tables() == {}
+    a, b = spark.range(10).toDF("x"), spark.range(5).toDF("y")
+    assert store.commit({"a": a, "b": b}) == 1
+    with pytest.raises(Exception):  # the second table's write fails
+        store.commit({"a": a.where("x > 3"), "b": b.select(F.when(F.col("y") > 2, F.raise_error(F.lit("no"))).otherwise(F.col("y")).alias("y"))})
+    assert store.version() == 1 and store.read("a").count() == 10 and store.read("b").count() == 5
+    assert store.commit({"a": store.read("a").where("x > 3")}) == 2 and store.read("a").count() == 6 and store.read("b").count() == 5
+    with pytest.raises(RuntimeError):
+        store.commit({"a": a}, base=1)
+    assert store.rollback(1) == 3 and store.read("a").count() == 10 and store.read("a", 2).count() == 6
+    store.commit({"a": store.read("a").limit(0)})
+    assert store.read("a").count() == 0 and store.read("a").columns == ["x"]
+
+
+def test_wiki_bodies():
+    code = '<ac:structured-macro ac:name="code"><ac:parameter ac:name="language">py</ac:parameter><ac:plain-text-body><![CDATA[ a<b\n\n\n\n  c ]]></ac:plain-text-body></ac:structured-macro>'
+    assert loaders.wiki_text(f"<p>x</p>{code}<p>y</p>") == "x\n```py\na<b\n\n  c\n```\ny"
+    nested = f'<ac:structured-macro ac:name="expand"><ac:structured-macro ac:name="info"><p>i</p>{code}</ac:structured-macro><p>j</p></ac:structured-macro>'
+    assert loaders.wiki_text(nested) == "i\n```py\na<b\n\n  c\n```\nj"
+    assert loaders.wiki_text('<ac:structured-macro ac:name="toc" /><p>t</p>') == "t"
+    assert loaders.wiki_text("<p>a</p><![CDATA[1 < 2]]></ac:structured-macro>") == "a\n1 < 2"
+    assert loaders.wiki_text(None) == "" and loaders.wiki_text('<ac:structured-macro ac:name="code">') == ""
+
+
+def test_chunk_table_function(spark):
+    text.register_chunks(spark, "chunks_here")
+    spark.createDataFrame([(1, SENTENCE * 2), (2, None), (3, "")], "id long, t string").createOrReplaceTempView("chunked")
+    for size, overlap, n in ((20, 0, 5), (30, 20, 6)):  # published counts
+        got = spark.sql(f"select id, c.* from chunked, lateral chunks_here(t, {size}, {overlap}) c").collect()
+        assert [(r.id, r.chunk_index) for r in got] == [(1, i) for i in range(n)] and [r.chunk for r in got] == split_text(SENTENCE * 2, size, overlap)
