@@ -1,10 +1,11 @@
 """Personal data replaced by keyed, type-consistent surrogates.
 
-Patterns find e-mail addresses, phone and card numbers, IP addresses, social-security numbers, bank accounts, keys and passwords, and
-names after a form of address. An entity's canonical form (case, separators and country prefix set aside) and the secret key
+Patterns find e-mail addresses, phone and card numbers, IP addresses, social-security numbers, bank accounts, keys and passwords, dates after a word for birth, streets with a
+house number, and names after a form of address, with initials and particles. An entity's canonical form (case, separators and country prefix set aside) and the secret key
 decide its surrogate, so every mention of an entity gets the same one, in the mention's own format: letters stay letters of
 their script and case, digits stay digits, check digits stay valid (numbers without a valid one are no cards and no bank accounts), names keep the gender of their form of address.
-A name, password or key that a document has shown to be one is replaced wherever the document repeats it, with or without a form of address; a given name has one gender in a document.
+A name, password or key that a document has shown to be one is replaced wherever the document repeats it, with or without a form of address, as written, capitalised or in capitals; a name in small
+letters may be a word ("may") and stays, and so does a month's name in a date ("in May"). The parts of a hyphenated name are entities of their own, so each is known wherever it recurs. A given name has one gender in a document.
 All distinct entities of the corpus are then checked: where two of a kind would get one surrogate, or a surrogate is another
 entity's original, the later ones draw again with the next attempt number, until none are left. After OWN_LENGTH attempts each
 further one draws from more values (names get another syllable, secrets, keys, mailboxes and short phone numbers another
@@ -56,20 +57,31 @@ ENDINGS = {
     "cyrillic": {"m": ("н", "р", "в"), "f": ("ина", "ра", "ва"), "n": ("н", "р", "л")},
     "greek": {"m": ("ρος", "νης", "λος"), "f": ("ρα", "νη", "λα"), "n": ("ς", "ν", "ρ")},
 }
+# A capital, a name with its apostrophes and hyphens (a genitive's s is no part of it), and what may come before one: initials and particles.
+_CAPITAL = r"[^\W\d_a-zß-öø-ÿа-яά-ώ]"
+_NAME = rf"{_CAPITAL}(?:[^\W\d_]+|(?=['’][^\W\d_]{{2}}))(?:['’][^\W\d_]{{2,}}|-{_CAPITAL}[^\W\d_]+)*"
+_LEAD = rf"(?:{_CAPITAL}\. ?){{0,3}}(?:(?:von|van|vom|zu|de|del|der|den|di|da|du|la|le) ){{0,2}}"
+_MONTHS = frozenset("january february march april may june july august september october november december".split())
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])",
     "secret": r"(?i:(?:\b|_)(?:password|passwd|pwd|passphrase|token|secret|api[_\-]?key|access[_\-]?key)\b[\"']?[ \t]{0,3}[=:][ \t]{0,3}[\"']?)(?P<value>[^\s\"',;]{6,})",
     "key": r"\b(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9_\-]{16,}|xox[abprs]-[A-Za-z0-9\-]{10,}|AIza[A-Za-z0-9_\-]{30,}|eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,})",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
+    "ipv6": r"(?<![\w:.])(?=(?:[0-9A-Fa-f]{0,4}:){2})[0-9A-Fa-f:]{6,39}(?![\w:])",
+    "birth": r"(?i:\b(?:born(?: on)?|date of birth|birth ?date|dob|geboren(?: am)?|geb\.(?: am)?|geburtsdatum|née? le|nacid[oa] el|fecha de nacimiento)[ \t]{0,2}:?[ \t]{0,3})(?P<day>[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[./\-][0-9]{1,2}[./\-][0-9]{4})(?!\w)",
+    "address": rf"(?<!\w)(?:[0-9]{{1,5}}[a-z]? (?:{_CAPITAL}[^\W\d_]+ ){{1,3}}(?:Street|Road|Avenue|Lane|Drive|Boulevard|Square)|{_CAPITAL}[^\W\d_]*(?:straße|strasse|weg|platz|allee|gasse) [0-9]{{1,4}}[a-z]?)(?!\w)",
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![\w]|\.[0-9])",
     "card": r"(?<![\w.+\-])[3-6][0-9]{3}[ \-]?[0-9]{4}[ \-]?[0-9]{4}[ \-]?[0-9]{1,4}(?:[ \-]?[0-9]{1,3})?(?![\w\-]|\.[0-9])",
     "ssn": r"(?<![\w\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w\-])",
-    "phone": r"(?<![\w.])(?:\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)[ .\-]?)?[0-9]{2,4}(?:[ .\-][0-9]{2,5}){1,4}|\+[0-9]{8,14}|\([0-9]{3}\) ?[0-9]{3}[ .\-][0-9]{4}|[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4})(?![\w\-])",
-    "name": r"\b(?P<form>" + "|".join(sorted(FORMS, key=len, reverse=True)) + r")\.? (?P<who>[^\W\d_a-zß-öø-ÿа-яά-ώ][^\W\d_]+(?: [^\W\d_a-zß-öø-ÿа-яά-ώ][^\W\d_]+)?)",
+    "phone": r"(?<![\w.])(?:\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)[ .\-]?)?[0-9]{2,4}(?:[ .\-][0-9]{2,5}){1,4}|\+[0-9]{8,14}|\([0-9]{3}\) ?[0-9]{3}[ .\-][0-9]{4}|[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4}|(?<!\-)0[1-9][0-9]{1,3}[ /\-][0-9]{3,8}(?:[ \-][0-9]{3,5})?)(?![\w\-])",
+    "name": rf"\b(?P<form>{'|'.join(sorted({*FORMS, *map(str.upper, FORMS)}, key=lambda x: (-len(x), x)))})\.? (?P<who>{_LEAD}{_NAME}(?: {_LEAD}{_NAME})?)",
 }
 _ANY = re.compile("|".join(f"(?P<{k}>{v})" for k, v in PATTERNS.items()))
 _KEY_HEAD = re.compile(r"AKIA|ASIA|gh[pousr]_|sk-|xox[abprs]-|AIza|eyJ")
-_HINT = re.compile(r"[0-9@=:]|\b(?:" + "|".join(FORMS) + r")\b")
+_HINT = re.compile(r"[0-9@=:]|\b(?:" + "|".join((*FORMS, *map(str.upper, FORMS))) + r")\b")
+_PART = re.compile(r"[^ \-]+")
+_DATED = re.compile(r"(?i:\b(?:in|of|by|on|since|until|till|during|early|mid|late|next|last|this|from|to|[0-9]{1,2}(?:st|nd|rd|th)?)[ \-]$)")
+_HOUSE = re.compile(r"(?P<no>[0-9]+)(?P<letter>[a-z]?) (?P<street>.+?)(?P<kind> \w+)|(?P<street2>.+?)(?P<kind2>straße|strasse|weg|platz|allee|gasse) (?P<no2>[0-9]+)(?P<letter2>[a-z]?)")
 
 
 def _script(word: str) -> str:
@@ -92,19 +104,31 @@ def mentions(text: str) -> list[tuple[str, str, int, int]]:
     found = list(entities(text))
     gender = {f: k for k, f, _, _ in reversed(found) if k in ("given_m", "given_f")}
     found = [(gender.get(f, k) if k == "given_n" else k, f, i, j) for k, f, i, j in found]
-    known = {text[i:j]: (k, f) for k, f, i, j in reversed(found) if k in ("surname", "secret", "key") or k.startswith("given_")}
+    known = {}
+    for k, f, i, j in reversed(found):
+        if k in ("secret", "key"):
+            known[text[i:j]] = (k, f)
+        elif k == "surname" or k.startswith("given_"):
+            known.update({x: (k, f) for word in (text[i:j], text[i:j].replace("’", "'"), text[i:j].replace("'", "’")) for x in (word, word.upper(), _capitals(word))})
     if known:
         taken, out = iter(found), []
         span = next(taken, None)
         for m in re.finditer(r"(?<!\w)(?:" + "|".join(re.escape(x) for x in sorted(known, key=lambda x: (-len(x), x))) + r")(?!\w)", text):
             while span and span[3] <= m.start():
                 span = next(taken, None)
+            if m[0].casefold() in _MONTHS and (_DATED.search(text, max(0, m.start() - 12), m.start()) or re.match(r" [0-9]{1,4}\b", text[m.end() : m.end() + 6])):
+                continue
             if not span or m.end() <= span[2]:
                 out.append((*known[m[0]], *m.span()))
         found = sorted(found + out, key=lambda x: x[2])
     return found
 
 
+def _capitals(word: str) -> str:
+    """A name with a capital at its start and after an apostrophe."""
+    return re.sub(r"[^'’]+", lambda m: m[0].capitalize(), word)
+
+
 def _line_entities(text: str) -> Iterator[tuple[str, str, int, int]]:
     pos = 0
     while m := _ANY.search(text, pos):
@@ -119,12 +143,27 @@ def _line_entities(text: str) -> Iterator[tuple[str, str, int, int]]:
             if _variable(_KEY_HEAD.sub("", m[kind], count=1)):
                 yield kind, m[kind], start, end
         elif kind == "name":
-            at = m.start("who")
-            gender = FORMS[m["form"]]
-            words = m["who"].split(" ")
-            for i, word in enumerate(words):  # the last is the surname, which both genders share
-                yield "surname" if i == len(words) - 1 else f"given_{gender}", f"{_script(word)}:{word.casefold()}", at, at + len(word)
-                at += len(word) + 1
+            gender, last = FORMS[m["form"] if m["form"] in FORMS else m["form"].capitalize()], m["who"].rfind(" ")
+            for part in _PART.finditer(m["who"]):
+                word, at = part[0], m.start("who") + part.start()
+                if word[0].islower() or word.endswith("."):
+                    continue  # particles and initials stay
+                lead = re.match(r"(?:[^\W\d_]\.)+", word)
+                word, at = (word[lead.end() :], at + lead.end()) if lead else (word, at)
+                # the last word is the surname, which both genders share
+                yield "surname" if part.start() > last else f"given_{gender}", f"{_script(word)}:{word.casefold().replace('’', chr(39))}", at, at + len(word)
+        elif kind == "birth":
+            start, end = m.span("day")
+            a, b, c = re.split(r"\D", m["day"])
+            yield kind, f"{a}-{b}-{c}" if len(a) == 4 else f"{c}-{b:0>2}-{a:0>2}", start, end
+        elif kind == "address":
+            yield kind, m[kind].lower(), start, end
+        elif kind == "ipv6":
+            form = _ipv6(m[kind])
+            if form:
+                yield kind, form, start, end
+            else:
+                pos = start + 1  # another entity may begin within
         elif kind == "card":
             number = next((x for x in (m[kind], m[kind].rpartition(" ")[0]) if _is_card(x)), None)  # a number beside the card may have been taken as its end
             if number:
@@ -134,6 +173,8 @@ def _line_entities(text: str) -> Iterator[tuple[str, str, int, int]]:
                 pos = start + 4  # a card or another entity may begin within
         elif kind in ("phone", "ssn"):
             digits = re.sub(r"\D", "", m[kind])
+            if kind == "phone" and m[kind][0] == "0" and not 9 <= len(digits) <= 12:
+                continue
             if kind == "phone" and len(digits) == 11 and digits[0] == "1":
                 digits = digits[1:]
             yield kind, digits, start, end
@@ -145,6 +186,14 @@ def _line_entities(text: str) -> Iterator[tuple[str, str, int, int]]:
             yield kind, m[kind].lower() if kind == "email" else m[kind], start, end
 
 
+def _ipv6(text: str) -> str | None:
+    """An address of three groups or more in its short form."""
+    try:
+        return ipaddress.IPv6Address(text).compressed if len([x for x in text.split(":") if x]) > 2 else None
+    except ValueError:
+        return None
+
+
 def _luhn(digits: str) -> int:
     """The check digit that follows digits."""
     twice = [int(c) * (2 - i % 2) for i, c in enumerate(reversed(digits))]
@@ -204,6 +253,16 @@ def surrogate(kind: str, form: str, key: bytes, attempt: int = 0) -> str:
         if not keep:
             parts[0] = str(rng.choice([x for x in range(11, 224) if x not in (127, 172, 192, 198, 203, 169, 100)]))
         return ".".join(parts)
+    if kind == "ipv6":
+        return ipaddress.IPv6Address((0x20010DB8 << 96) | rng.getrandbits(96)).compressed
+    if kind == "birth":  # day and month from 1 to 12, so that it is a date in either order
+        return f"{rng.randrange(1000, 10 ** (3 + longer)) if longer > 1 else rng.randrange(1930, 2010)}-{rng.randrange(1, 13):02d}-{rng.randrange(1, 13):02d}"
+    if kind == "address":
+        m = _HOUSE.fullmatch(form)
+        no = m["no"] or m["no2"]
+        number = f"{rng.randrange(10 ** (len(no) - 1), 10 ** len(no))}{m['letter'] or m['letter2'] or ''}"
+        street = "".join(rng.choice(SYLLABLES["latin"]) for _ in range(3 + longer)) + rng.choice(ENDINGS["latin"]["n"])
+        return f"{number} {street}{m['kind']}" if m["no"] else f"{street}{m['kind2']} {number}"
     if kind == "card":
         body = form[0] + "".join(rng.choice("0123456789") for _ in form[1:-1])
         return body + str(_luhn(body))
@@ -212,7 +271,7 @@ def surrogate(kind: str, form: str, key: bytes, attempt: int = 0) -> str:
         check = 98 - int("".join(str(int(c, 36)) for c in body + form[:2] + "00")) % 97
         return f"{form[:2]}{check:02d}{body}"
     if kind == "phone":
-        keep = max(0, len(form) - 10)  # a country prefix stays
+        keep = max(int(form[0] == "0"), len(form) - 10)  # a country prefix stays, and so does a leading 0
         return form[:keep] + "".join(rng.choice("23456789" if i in (0, 3) else "0123456789") for i in range(len(form) - keep)) + digits(longer if len(form) < 10 else 0)
     if kind == "ssn":
         return f"{rng.randrange(10) if longer else 9}{rng.randrange(100):02d}{rng.randrange(1, 100):02d}{rng.randrange(1, 10000):04d}"
@@ -233,8 +292,17 @@ def in_format(kind: str, mention: str, new: str) -> str:
     if kind == "email":
         return new.upper() if mention.isupper() else new.capitalize() if mention[:1].isupper() else new
     if kind == "surname" or kind.startswith("given_"):
+        head = re.match(r"\w{1,2}['’](?=\w)", mention)  # O' and D' stay
         word = new.partition(":")[2]
-        return word.upper() if mention.isupper() and len(mention) > 1 else word.capitalize()
+        return (head[0] if head else "") + (word.upper() if mention.isupper() and len(mention) > 1 else word.capitalize())
+    if kind == "ipv6":
+        return new.upper() if mention.upper() == mention and mention.lower() != mention else new
+    if kind == "birth":
+        fields = new.split("-")
+        order = iter(fields if re.match("[0-9]{4}", mention) else fields[::-1])
+        return re.sub("[0-9]+", lambda _: next(order), mention)
+    if kind == "address":
+        return " ".join(w.capitalize() for w in new.split(" "))
     return new
 
 

@@ -668,6 +668,52 @@ def test_names_are_replaced_wherever_they_recur(spark):
     assert "hunter22x" not in got[1].text and got[2].text == texts[2] and got[0]["_sha"] == "a" and got[0]["_again"] == "b"
 
 
+@pytest.mark.parametrize("text, gone, kept", [
+    ("Frau Müller kam. MÜLLER ging, Müllers Haus", ["MÜLLER ", "Frau Müller"], ["Müllers Haus"]),
+    ("Mrs Smith-Jones and Jones; SMITH-JONES", ["Smith", "Jones", "SMITH", "JONES"], ["Mrs ", "-"]),
+    ("Mr O'Brien met O’Brien and O'BRIEN's son", ["Brien", "BRIEN"], ["O'", "O’", "'s son"]),
+    ("Mrs May came in May, and on 3 May; May said she may", ["Mrs May", "; May"], ["in May,", "3 May;", "she may"]),
+    ("Herr von Trotha, Dr J. R. Kessler, MR BROWN's dog, Frau Anna-Lena Vogt", ["Trotha", "Kessler", "BROWN", "Anna", "Lena", "Vogt"], ["Herr von ", "Dr J. R. ", "'s dog"]),
+    ("call 0171 1234567 or 020 7946 0958, code 0123 45", ["1234567", "7946 0958"], ["code 0123 45"]),
+    ("host 2001:db8:85a3::8a2e:370:7334, at 12:30:45, std::add", ["85a3"], ["12:30:45", "std::add"]),
+    ("born on 12.03.1980, DOB: 1980-03-12, on 12.03.1980 or 1.2.3", ["born on 12.03.1980", "1980-03-12"], ["on 12.03.1980 or 1.2.3"]),
+    ("lives at 221b Baker Street, Hauptstraße 12, in 12 Streets", ["221b", "Baker", "Haupt"], ["Street,", "straße ", "in 12 Streets"])])
+def test_what_goes_and_what_stays(text, gone, kept):
+    new, spans = surrogates.replaced(text, b"k" * 32, {})
+    assert spans and not [x for x in gone if x in new] and not [x for x in kept if x not in new], new
+    assert surrogates.replaced(text, b"k" * 32, {}) == (new, spans)
+
+
+def test_dates_of_birth_agree_in_every_format():
+    new = surrogates.replaced("born 12.03.1980; geboren am 12/3/1980; DOB 1980-03-12", b"k" * 32, {})[0]
+    a, b, c = (re.split(r"\D", x) for x in re.findall(r"[0-9][0-9./\-]+[0-9]", new))
+    assert a == b == c[::-1] and new != "born 12.03.1980"
+
+
+def test_no_planted_entity_survives(spark):
+    """Generated documents with entities of every kind: none is left, no two of a kind share a surrogate, and the text around them stays."""
+    rng = random.Random(3)
+    capital = lambda: "".join(rng.choice("bdfgklmnrst") + rng.choice("aeiou") for _ in range(4)).capitalize()
+    number = lambda n: "".join(rng.choice("123456789") for _ in range(n))
+    make = {"surname": lambda: f"{capital()}xq", "email": lambda: f"{capital().lower()}.{number(3)}@mail{number(2)}.org", "ipv6": lambda: f"2a01:{number(4)}:{number(4)}::{number(4)}", "phone": lambda: f"+49 {number(3)} {number(7)[:5]}",
+            "birth": lambda: f"1{rng.choice('2345')}.0{rng.choice('123456789')}.19{number(2)}", "address": lambda: f"{number(2)} {capital()}xq Road", "ssn": lambda: f"{number(3)}-{number(2)}-{number(4)}"}
+    frame = {"surname": "met Mrs {} there", "birth": "born on {} there"}
+    docs, planted = [], []
+    for i in range(120):
+        own = [(k, make[k]()) for k in make]
+        planted += own
+        docs.append((i, " ; ".join(frame.get(k, "see {} there").format(x) for k, x in own) + " ; " + own[0][1].upper()))
+    got = {r.doc_id: r for r in surrogates.surrogate_pii(spark.createDataFrame(docs, "doc_id long, text string"), "key").collect()}
+    assert all(x not in r.text and x.upper() not in r.text for r in got.values() for _, x in planted)
+    of = defaultdict(set)
+    for i, (_, old) in enumerate(docs):
+        assert len(got[i].entities) == len(make) + 1
+        for e in got[i].entities[:-1]:
+            of[e.kind, e.surrogate].add(old[e.start : e.end])
+        assert re.sub(r"\S+", "", got[i].text).count(" ") >= 20 and got[i].entities[-1].surrogate == got[i].entities[0].surrogate.upper()
+    assert all(len(x) == 1 for x in of.values())
+
+
 def test_colliding_surrogates_draw_again(spark, monkeypatch):
     forms = [("ip", f"1.2.3.{i}") for i in range(40)]
     crowded = lambda kind, form, key, attempt=0: f"9.9.9.{int(form.rsplit('.', 1)[1]) % 10 if attempt == 0 else hash((form, attempt)) % 5000}"
