@@ -5,8 +5,8 @@ seen in a second. Filters merge segment by segment: twice = twice1 | twice2 | (o
 filter doesn't hold are unique and never shuffle; the suspected rest is counted exactly by its text.
 
 The filters have BITS_A_LINE bits for each line of the input, in as many segments as keep one small. Tasks send the positions of their set bits, so none
-holds a whole filter. The merged twice filter holds repeats only; it is folded to BITS_A_REPEAT bits for each of its positions, at most to MAX_BROADCAST bytes, and
-sent to the tasks. Where a corpus has more repeated lines than that, the filter is fuller and more lines go to the exact count; results stay the same.
+holds a whole filter. The merged twice filter holds repeats only; tasks fold it to BITS_A_REPEAT bits for each of its positions, at most to MAX_BROADCAST bytes in all, and
+it is sent to the tasks. Where a corpus has more repeated lines than that, the filter is fuller and more lines go to the exact count; results stay the same.
 
 Defined results: a null or empty text is one empty line; the key of a line is stripped of ASCII white space and
 lower-cased in A-Z; a key counts once for each row that holds it, so repeated rows count as several documents;
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored, unused
+from .common import removed, stored, unused
 from .hashing import bytes_of, lines_of, mixed, slices
 
 #: Bits of the filters for each line, bits set for each hash, positions that a segment has about.
@@ -36,6 +36,9 @@ SEGMENT = 1 << 19
 #: The folded twice filter: bits for each position, and its largest size in bytes.
 BITS_A_REPEAT = 16
 MAX_BROADCAST = 64 << 20
+#: Tasks that fold the merged segments, and bits of the slices that they send.
+FOLDERS = 64
+SLICE = 1 << 20
 #: Confirmed lines up to this many bytes are broadcast; beyond it they are joined by text hash.
 BROADCAST_BYTES = 32 << 20
 _U = np.uint64
@@ -107,6 +110,24 @@ def merge_segment(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"segment": rows["segment"].iloc[:1], "twice": [twice.tobytes()], "n": [len(twice)]})
 
 
+def folded_slices(parts: Iterator[pd.DataFrame], width: int, folded: int) -> Iterator[pd.DataFrame]:
+    """A task's segments folded into one filter of 2 ** folded bits, sent as the slices that have a bit."""
+    bits = np.zeros((1 << folded) // 8, np.uint8)
+    for part in parts:
+        for segment, twice in zip(part["segment"], part["twice"]):
+            at = (np.frombuffer(twice, np.uint32).astype(_U) + _U(int(segment) * width)) & _U((1 << folded) - 1)
+            np.bitwise_or.at(bits, at >> _U(3), np.left_shift(np.uint8(1), (at & _U(7)).astype(np.uint8)))
+    for i in range(0, len(bits), SLICE // 8):
+        if (piece := bits[i : i + SLICE // 8]).any():
+            yield pd.DataFrame({"slice": [i // (SLICE // 8)], "bits": [piece.tobytes()]})
+
+
+def merge_slice(rows: pd.DataFrame) -> pd.DataFrame:
+    """A slice's bits over all tasks, FOLDERS rows at most."""
+    bits = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in rows["bits"]])
+    return pd.DataFrame({"slice": rows["slice"].iloc[:1], "bits": [bits.tobytes()]})
+
+
 def twice_filter(texts: DataFrame, shortest: int) -> tuple[np.ndarray, int, int]:
     """The folded twice filter of all rows, its power of two, and that of the filters it comes from."""
     lines = texts.agg(F.coalesce(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1), F.lit(0))).first()[0]
@@ -117,9 +138,11 @@ def twice_filter(texts: DataFrame, shortest: int) -> tuple[np.ndarray, int, int]
     repeats = merged.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     folded = min(power, _power(BITS_A_REPEAT * repeats), int(np.log2(MAX_BROADCAST * 8)))
     bits = np.zeros((1 << folded) // 8, np.uint8)
-    for row in merged.toLocalIterator():
-        at = (np.frombuffer(row["twice"], np.uint32).astype(_U) + _U(row["segment"] * ((1 << power) // segments))) & _U((1 << folded) - 1)
-        np.bitwise_or.at(bits, at >> _U(3), np.left_shift(np.uint8(1), (at & _U(7)).astype(np.uint8)))
+    slices_of = merged.coalesce(FOLDERS).mapInPandas(lambda x: folded_slices(x, (1 << power) // segments, folded), "slice long, bits binary")
+    for row in slices_of.groupBy("slice").applyInPandas(merge_slice, "slice long, bits binary").toLocalIterator():  # MAX_BROADCAST bytes at most
+        piece = np.frombuffer(row["bits"], np.uint8)
+        bits[row["slice"] * (SLICE // 8) :][: len(piece)] = piece
+    removed(merged)
     return bits, folded, power
 
 
