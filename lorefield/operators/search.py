@@ -83,6 +83,11 @@ def without_pinned(hits: DataFrame, pinned: DataFrame) -> DataFrame:
     return hits.withColumn("pin_key", source_key(F.col("title"), F.col("published"))).join(keys, "pin_key", "left_anti").drop("pin_key")
 
 
+def usable(sources: DataFrame, pinned: DataFrame, seen: DataFrame) -> DataFrame:
+    """Earlier sources (id, score, text, title, published) that can fill a window: with a score and a text, not pinned (title, published) and not seen (id) yet."""
+    return without_pinned(sources.where("score is not null and text is not null"), pinned).join(seen.select("id").distinct(), "id", "left_anti")
+
+
 def token_overlap(question: pd.Series, text: pd.Series) -> pd.Series:
     """Default rerank score: share of the question's distinct words that the text holds."""
     def one(q: str | None, t: str | None) -> float:

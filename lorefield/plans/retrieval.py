@@ -99,6 +99,17 @@ def pinned_exclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.without_pinned(top, docs.where("doc_id % 7 = 0")).select("source", "doc_id", F.col("rank").cast("long").alias("rank"))
 
 
+@query(f"""select doc_id as id, score, length(body)::bigint as chars from (select doc_id, title || published as key, case when doc_id % 3 < 2 then 1.0 / (1 + doc_id % 5) end as score, case when doc_id % 4 > 0 then text end as body from {t.DOCUMENTS_SQL})
+ where score is not null and body is not null and key not in (select title || published from {_PINNED}) and id % 11 <> 0""")
+def usable_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FLT7 SCL40: sources with a score and a text that are neither pinned nor seen."""
+    docs = t.documents(spark, sf_dir)
+    i = F.col("doc_id")
+    sources = docs.select(i.alias("id"), "title", "published", F.when(i % 3 < 2, 1.0 / (1 + i % 5)).alias("score"), F.when(i % 4 > 0, F.col("text")).alias("text"))
+    found = search.usable(sources, docs.where("doc_id % 7 = 0"), docs.where("doc_id % 11 = 0").select(i.alias("id")))
+    return found.select("id", "score", F.length("text").cast("long").alias("chars"))
+
+
 @query(f"""select namespace, doc_id, before from (select namespace, doc_id, coalesce(sum(tokens) over (partition by namespace order by doc_id rows between unbounded preceding and 1 preceding), 0)::bigint as before
  from (select namespace, doc_id, case when length(text) >= 5120 then ceil(length(text) / 8) else ceil(length(text) / 4) end as tokens from {t.DOCUMENTS_SQL} where text is not null)) where before < 3000""")
 def pinned_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
