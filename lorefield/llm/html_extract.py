@@ -8,7 +8,8 @@ children choose freely), so that nothing is kept under something dropped.
 
 Training uses a bounded sample of the table's own pages whose mark-up states the article. Their copies are rewritten by rule: semantic tags become
 plain blocks with various class names or none, and menus, notices, adverts, forms, sidebars and comments are put beside and inside
-the article. So the trees learn from structure and tokens instead of one tag. Some copies lie in a form as a whole, as pages of some servers do, and some comments have no name.
+the article. So the trees learn from structure and tokens instead of one tag. Some copies lie in a form as a whole, as pages of some servers do, or in a layout table; some comments
+have no name, and in a third of the copies blocks around the article have generated names or none, so that place and structure decide.
 
 Defined results: a null or empty page gives an empty text; a page without main text gives an empty text; whole pages are
 read whatever their length or depth; repeated rows give equal texts, ties between states go to keeping; a null id or URL stays null; without any page to learn from, built-in sentences fill the training pages;
@@ -32,17 +33,21 @@ from pyspark.sql import functions as F
 from .boosting import Boosted, boost
 from .hashing import slices
 
-#: Bounds of the training sample: pages, those with the smallest hashes; rewritten copies of each; blocks of its article that a copy has at most; nodes of a copy that train
+#: Bounds of the training sample: pages, those with the smallest hashes; rewritten copies of each; pages that train at least, made of built-in sentences where the table has fewer; blocks of its article that a copy has at most, drawn by hash; nodes of a copy that train
 #: at most; characters of a page that trains at most. All pages are extracted whole.
 TRAIN_PAGES = 160
 COPIES = 6
+LEAST_PAGES = 48
 TRAIN_BLOCKS = 40
 TRAIN_NODES = 80
 TRAIN_CHARS = 1_000_000
+#: Share of copies whose article has neither a telling element nor a telling name.
+NAMELESS = 0.2
 #: Trees, and their depth.
-TREES, DEPTH = 100, 4
-#: Log odds that dropping something inside kept text has to overcome, and nodes that are scored at once.
+TREES, DEPTH = 120, 4
+#: Log odds that dropping something inside kept text has to overcome, the chance that a mixed node counts with, and nodes that are scored at once.
 CARVED = 1.5
+MIXED = 0.2
 SCORED = 4096
 #: Buckets of hashed attribute tokens.
 HASHED = 24
@@ -220,33 +225,32 @@ def node_rows(page: Page) -> list[tuple]:
         leaves[p] += leaves[i]
         paras[p] += paras[i]
         nodes[p] += nodes[i]
-    for i in range(n):  # a form around most of a page's text is a container of the page, as a plain block is
-        if tags[i] == "form" and 2 * length[i] > length[0]:
-            own[i] = own[i] & ~(_KIND["form"] << len(FAMILIES) + HASHED | 1 << _FAMILY["form"]) | _KIND["div"] << len(FAMILIES) + HASHED
-    above = [0] * n
+    above, form = [0] * n, [length[0]] * n  # form: characters in the nearest form around a node, or else in the page
     for i in range(1, n):
         above[i] = above[parent[i]] | own[parent[i]]
+        form[i] = length[i] if tags[i] == "form" else form[parent[i]]
     return [(length[i], linked[i], commas[i], stops[i], leaves[i], paras[i], nodes[i], depth[i], index[i], children[p], alike.get((p, tags[i]), 1),
-             length[p], linked[p], paras[p], length[0], own[i], above[i]) for i, p in enumerate([0, *parent[1:]])]
+             length[p], linked[p], paras[p], length[0], form[i], own[i], above[i]) for i, p in enumerate([0, *parent[1:]])]
 
 
 def node_features(rows: list[tuple]) -> np.ndarray:
     """The features of nodes, from their rows: subtree density, siblings, depth, and indicators of the bits."""
-    length, linked, commas, stops, leaves, paras, nodes, depth, index, brothers, same, up_length, up_linked, up_paras, page, own, above = np.array(rows, np.int64).reshape(-1, 17).T
+    length, linked, commas, stops, leaves, paras, nodes, depth, index, brothers, same, up_length, up_linked, up_paras, page, form, own, above = np.array(rows, np.int64).reshape(-1, 18).T
     per = lambda a, b: a / np.maximum(b, 1)
     bits = np.arange(len(FAMILIES) + HASHED + len(TAGS))
-    families = np.r_[bits[: len(FAMILIES)], bits[len(FAMILIES) + HASHED :]]  # ancestors by family and tag only
+    families = np.r_[bits[: len(FAMILIES)], bits[len(FAMILIES) + HASHED :]]  # ancestors by family and tag only, and forms by their share of the page instead
+    families = families[~np.isin(families, (_FAMILY["form"], len(FAMILIES) + HASHED + TAGS.index("form")))]
     return np.c_[
         np.log1p(length), per(linked, length), per(length, nodes), per(length, leaves), per(commas, length) * 100, per(stops, length) * 100, np.log1p(paras),
         np.log1p(nodes), per(length, page), per(length, up_length), np.minimum(depth, 30), per(index, brothers), np.log1p(brothers), per(same, brothers), np.log1p(up_length),
-        per(up_linked, up_length), np.log1p(up_paras), own[:, None] >> bits & 1, above[:, None] >> families & 1].astype(np.float32)
+        per(up_linked, up_length), np.log1p(up_paras), per(form, page), own[:, None] >> bits & 1, above[:, None] >> families & 1].astype(np.float32)
 
 
 def decode(page: Page, logit: np.ndarray) -> list[bool]:
-    """Which nodes are kept: the best consistent states. Mixed costs as much as an undecided node."""
+    """Which nodes are kept: the best consistent states. Mixed costs as much as a node of chance MIXED."""
     n = len(page.tag)
     yes, no = -np.logaddexp(0, -logit), -np.logaddexp(0, logit)
-    drop, keep, mixed = no.copy(), yes.copy(), np.full(n, np.log(0.5))
+    drop, keep, mixed = no.copy(), yes.copy(), np.full(n, np.log(MIXED))
     for i in range(n - 1, 0, -1):
         if page.tag[i] == "#text":
             mixed[i] = -np.inf
@@ -316,6 +320,12 @@ def _blocks(source: str) -> tuple[list[str], list[str]]:
     return main, rest
 
 
+def _drawn(blocks: list[str]) -> list[str]:
+    """At most TRAIN_BLOCKS of the blocks, those with the smallest hashes, in their order."""
+    least = sorted(range(len(blocks)), key=lambda i: (zlib.crc32(f"{i} {blocks[i]}".encode()), i))[:TRAIN_BLOCKS]
+    return [blocks[i] for i in sorted(least)]
+
+
 def _rewritten(main: list[str], rest: list[str], rng: random.Random) -> str:
     """A page with these texts: nodes of the article carry data-main, so that their labels can be read off again."""
     words = " ".join(rest or main).split() or ["more"]
@@ -324,14 +334,18 @@ def _rewritten(main: list[str], rest: list[str], rng: random.Random) -> str:
     named = lambda *f: rng.choice(["", f' class="{rng.choice(FAMILIES[rng.choice(f)].split())}"', f' id="{rng.choice(FAMILIES[rng.choice(f)].split())}-{rng.choice(("box", "wrap", "area", "1"))}"',
                                    f' class="{rng.choice(("c1 ", "js-", "site-", "b_"))}{rng.choice(FAMILIES[rng.choice(f)].split())}"'])
     sure = lambda f: f' class="{rng.choice(FAMILIES[f].split())}"'
+    plain = rng.random() < 0.35  # the blocks around the article have generated names or none
+    made = lambda: rng.choice(("", f' class="{rng.choice(("css-", "sc-", "x", "_"))}{rng.randrange(1 << 20):x}"'))
+    outer = lambda f: made() if plain and rng.random() < 0.7 else sure(f)
+    parts = lambda t: [x for x in re.findall(r"\S.{0,80}(?:\s|$)", t) if rng.random() < 0.9] or [t]
     items = lambda a, b: "<ul>" + "".join(f"<li>{link()}</li>" for _ in range(rng.randint(a, b))) + "</ul>"
 
     def menu() -> str:
-        return rng.choice((f"<nav{named('nav')}>{items(3, 9)}</nav>", f"<div{named('nav', 'header')}>{items(3, 9)}</div>", f"<div{sure('nav')}>{' | '.join(link() for _ in range(rng.randint(3, 8)))}</div>"))
+        return rng.choice((f"<nav{named('nav')}>{items(3, 9)}</nav>", f"<div{named('nav', 'header')}>{items(3, 9)}</div>", f"<div{outer('nav')}>{' | '.join(link() for _ in range(rng.randint(3, 8)))}</div>"))
 
-    def box(f: str, tags: tuple[str, ...]) -> str:
+    def box(f: str, tags: tuple[str, ...], around: bool) -> str:
         tag = rng.choice(tags)
-        own = sure(f) if tag in ("div", "section", "ul") else named(f)
+        own = outer(f) if around else sure(f) if tag in ("div", "section", "ul") else named(f)
         inner = rng.choice((f"<p>{some(3, 30)}</p>", some(3, 30), f"<h3>{some(1, 4)}</h3>{items(2, 6)}", f"<p>{some(2, 12)} {link()}</p>", f"<p>{some(10, 60)}.</p><p>{some(5, 40)}.</p>"))
         return f"<{tag}{own}>{inner}</{tag}>"
 
@@ -344,17 +358,23 @@ def _rewritten(main: list[str], rest: list[str], rng: random.Random) -> str:
     def form() -> str:
         return rng.choice((f"<form{named('form')}><p>{some(2, 12)}</p><label>{some(1, 3)}</label><input type=text></form>", f"<div{sure('form')}><p>{some(3, 15)}</p><input></div>"))
 
-    def side() -> str:
-        return rng.choice((lambda: box("side", ("aside", "div", "section")), lambda: box("ad", ("div", "aside", "section")), lambda: box("notice", ("div", "section", "aside")),
-                           lambda: box("social", ("div", "ul", "section")), form, comments))()
+    def side(around: bool = False) -> str:
+        return rng.choice((lambda: box("side", ("aside", "div", "section"), around), lambda: box("ad", ("div", "aside", "section"), around), lambda: box("notice", ("div", "section", "aside"), around),
+                           lambda: box("social", ("div", "ul", "section"), around), form, comments))()
 
     wrap = rng.choice(("article", "article", "main", "section", "div", "div"))
     own = named("article", "content") if wrap in ("article", "main") else rng.choice((named("article", "content"), sure("article"), sure("content")))
+    if rng.random() < NAMELESS:
+        wrap, own = "div", made()
     body = [f"<h1 data-main>{entities.escape(main[0])}</h1>" if i == 0 and len(main) > 1 and len(t) < 200 else
             rng.choices((f"<p data-main>{entities.escape(t)}</p>", f"<div data-main>{entities.escape(t)}</div>", f"<blockquote data-main><p data-main>{entities.escape(t)}</p></blockquote>", f"<h2 data-main>{some(1, 6)}</h2><p data-main>{entities.escape(t)}</p>",
-                         "<ul data-main>" + "".join(f"<li data-main>{entities.escape(x)}</li>" for x in re.findall(r"\S.{0,80}(?:\s|$)", t)[:12]) + "</ul>",
-                         "<table data-main>" + "".join(f"<tr data-main><td data-main>{entities.escape(x)}</td></tr>" for x in re.findall(r"\S.{0,80}(?:\s|$)", t)[:12]) + "</table>"), (12, 1, 1, 2, 1, 1))[0]
+                         "<ul data-main>" + "".join(f"<li data-main>{entities.escape(x)}</li>" for x in parts(t)) + "</ul>",
+                         "<table data-main>" + "".join(f"<tr data-main><td data-main>{entities.escape(x)}</td></tr>" for x in parts(t)) + "</table>"), (12, 1, 1, 2, 1, 1))[0]
             for i, t in enumerate(main)]
+    if rng.random() < 0.5:  # a title of a few words
+        title = main[0].split()
+        title = " ".join(title[(at := rng.randrange(len(title))) : at + rng.randint(1, 8)]) if title else "more"
+        body.insert(0, f"<{(h := rng.choice(('h1', 'h1', 'h2')))} data-main>{entities.escape(title)}</{h}>")
     for _ in range(rng.choice((0, 0, 1, 2))):
         body.insert(rng.randint(0, len(body)), side())
     if rng.random() < 0.3:
@@ -362,13 +382,16 @@ def _rewritten(main: list[str], rest: list[str], rng: random.Random) -> str:
     article = f"<{wrap}{own} data-main>{''.join(body)}</{wrap}>"
     if rng.random() < 0.4:
         article = f"<div{named('content')}>{article}{''.join(side() for _ in range(rng.randint(0, 2)))}</div>"
-    before = [menu() for _ in range(rng.randint(1, 2))] + [side() for _ in range(rng.randint(0, 2))]
+    before = [menu() for _ in range(rng.randint(1, 2))] + [side(True) for _ in range(rng.randint(0, 2))]
     if rng.random() < 0.5:
-        before.insert(0, rng.choice((f"<header{named('header')}><p>{some(1, 6)}</p>{menu()}</header>", f"<div{sure('header')}>{some(1, 6)}</div>")))
-    after = [side() for _ in range(rng.randint(0, 3))] + ([comments()] if rng.random() < 0.3 else [])
-    foot = rng.choice((f"<footer{named('footer')}>&copy; {some(2, 12)}</footer>", f"<div{sure('footer')}><p>&copy; {some(2, 12)}</p>{items(1, 4)}</div>", f"<footer><p>{some(3, 20)}.</p></footer>"))
+        before.insert(0, rng.choice((f"<header{named('header')}><p>{some(1, 6)}</p>{menu()}</header>", f"<div{outer('header')}>{some(1, 6)}</div>")))
+    after = [side(True) for _ in range(rng.randint(0, 3))] + ([comments()] if rng.random() < 0.3 else [])
+    foot = rng.choice((f"<footer{named('footer')}>&copy; {some(2, 12)}</footer>", f"<div{outer('footer')}><p>&copy; {some(2, 12)}</p>{items(1, 4)}</div>", f"<div{outer('footer')}>&copy; {some(2, 12)}.</div>", f"<footer><p>{some(3, 20)}.</p></footer>"))
+    if rng.random() < 0.08:  # a layout table
+        return (f"<table{made()}><tr><td colspan=2>{''.join(before)}</td></tr><tr><td>{items(2, 8)}</td><td data-main>{''.join(body)}</td></tr>"
+                f"<tr><td colspan=2>{rng.choice((foot, f'&copy; {some(2, 12)}'))}</td></tr></table>")
     page = "".join([*before, article, *after, foot])
-    return f'<form{rng.choice((named("form"), named("content"), ""))} method="post">{page}</form>' if rng.random() < 0.15 else page
+    return f'<form{rng.choice((named("form"), named("content"), ""))} method="post">{page}</form>' if rng.random() < 0.2 else page
 
 
 def _labelled(source: str) -> tuple[np.ndarray, np.ndarray]:
@@ -394,10 +417,14 @@ def trained(pages: DataFrame, html_col: str = "html", max_pages: int = TRAIN_PAG
     place = F.pmod(F.xxhash64(html_col), F.lit(1 << 30))
     drawn = (pages.where((place < F.lit(2 * (max_pages + 100) / max(1, n) * (1 << 30))) & (F.length(html_col) <= TRAIN_CHARS)).select(F.col(html_col).alias("html"), place.alias("place"))
              .distinct().orderBy("place", "html").limit(max_pages))
-    sources = sorted(r["html"] for r in drawn.toLocalIterator())
-    found = [(m[:TRAIN_BLOCKS], r) for m, r in map(_blocks, sources) if m]
+    return _fitted(sorted(r["html"] for r in drawn.toLocalIterator()))
+
+
+def _fitted(sources: list[str]) -> Boosted:
+    """Trees from these pages' copies."""
+    found = [(_drawn(m), r) for m, r in map(_blocks, sources) if m]
     rng = random.Random(7)
-    while len(found) < 12:
+    while len(found) < LEAST_PAGES:
         found.append(([" ".join(rng.choice(_SENTENCES) for _ in range(rng.randint(1, 8))) for _ in range(rng.randint(2, 12))], list(_SENTENCES)))
     xs, ys = [], []
     for main, rest in found:
