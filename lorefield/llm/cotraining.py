@@ -1,11 +1,14 @@
 """Quality classification by co-training.
 
 Two views of a document train two logistic models: the text view (byte shares, word and line statistics, and hashed words and word pairs of the whole
-text) and the metadata view (language, source, recorded length). In each round either model labels unlabelled documents it
-is sure of, by its calibrated chances, for the other. Platt scaling on held-out labels calibrates each view, a second logistic model on the held-out logits combines
-them, and the cutoff keeps all but a small share of the held-out good documents. All documents are then scored.
+text) and the metadata view (language, source, recorded length). A round is one pass over all documents outside the labelled sample: tasks score both views,
+and every document that a view is sure of, by its calibrated chances, is a pseudo-label for the other. Tasks send only sums over these documents (the slope of
+the other view's loss, by class), with which both models take a step together with the labelled rows. Pseudo-labels weigh GIVEN each, and a class's
+together at most SHARE of its labelled rows, whatever their number. Platt scaling on held-out labels calibrates each view, a second logistic model on the held-out
+logits combines them, and the cutoff keeps all but a small share of the held-out good documents. All documents are then scored.
 
-Fitting reads at most `max_labels` labelled and `max_pool` unlabelled documents, those with the smallest id hashes. Scoring reads all.
+Fitting takes at most `max_labels` labelled documents to the driver, those with the smallest id hashes, one row for each id (the smallest). Of several
+labels of one id the worst counts.
 
 Defined results: a null text has the features of an empty one; null or missing metadata is a value of its own; without labels
 of both classes nothing is learnt: p_text, p_meta and score are null and every document is kept; repeated rows score alike;
@@ -15,7 +18,7 @@ an empty table gives an empty result; columns named p_text, p_meta, score or kep
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,16 +28,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored
+from .common import removed, stored
 from .hashing import bytes_of, mixed, slices, word_hashes
 
-#: Bounds of the fitting sample, and the share of held-out good documents that the cutoff may reject.
+#: Bound of the labelled fitting sample, and the share of held-out good documents that the cutoff may reject.
 MAX_LABELS = 16_000
-MAX_POOL = 8_000
 REJECTED_GOOD = 0.003
 #: Ridge of both views' models; rows that a step of fitting takes at once.
 RIDGE = 10.0
 FITTED = 1024
+#: Rounds; the chance from which a view is sure; weight of a pseudo-label, and of all of a class as a share of its labelled rows.
+ROUNDS = 4
+SURE = 0.95
+GIVEN, SHARE = 0.3, 0.1
+#: Standardised features end here.
+FARTHEST = 20.0
 META = ("lang", "source", "n_chars")
 _SLOTS = 48
 #: Buckets of hashed words and of hashed word pairs in the text view.
@@ -81,19 +89,24 @@ def meta_features(values: tuple) -> np.ndarray:
     return out
 
 
-def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, start: np.ndarray | None = None) -> np.ndarray:
-    """Weights of a ridge logistic regression by Newton's steps; the last is the intercept."""
-    n = x.shape[1] + 1
-    w = np.zeros(n) if start is None else start.copy()
-    pull = np.full(n, ridge)
+def derivatives(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float) -> tuple[np.ndarray, np.ndarray]:
+    """Slope and curvature of a ridge logistic regression at weights w; the last is the intercept."""
+    pull = np.full(len(w), ridge)
     pull[-1] = 1e-6
+    slope, bend = pull * w, np.diag(pull + 1e-9)
+    for i in range(0, len(x), FITTED):  # in blocks, so that memory stays small
+        x1 = np.c_[x[i : i + FITTED], np.ones(len(x[i : i + FITTED]))].astype(float)
+        p = 1 / (1 + np.exp(-np.clip(x1 @ w, -30, 30)))
+        slope += x1.T @ (p - y[i : i + FITTED])
+        bend += (x1.T * (p * (1 - p))) @ x1
+    return slope, bend
+
+
+def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+    """Weights of a ridge logistic regression by Newton's steps."""
+    w = np.zeros(x.shape[1] + 1)
     for _ in range(25):
-        slope, bend = pull * w, np.diag(pull + 1e-9)
-        for i in range(0, len(x), FITTED):  # in blocks, so that memory stays small
-            x1 = np.c_[x[i : i + FITTED], np.ones(len(x[i : i + FITTED]))].astype(float)
-            p, m = 1 / (1 + np.exp(-np.clip(x1 @ w, -30, 30))), weight[i : i + FITTED]
-            slope += x1.T @ (m * (p - y[i : i + FITTED]))
-            bend += (x1.T * (m * p * (1 - p))) @ x1
+        slope, bend = derivatives(x, y, w, ridge)
         step = np.linalg.solve(bend, slope)
         w -= step
         if np.abs(step).max() < 1e-4:
@@ -109,6 +122,10 @@ def _p(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-z))
 
 
+def standard(text: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    return np.clip((text - mean) / scale, -FARTHEST, FARTHEST)
+
+
 @dataclass
 class CoTrained:
     """Both views' models, their calibrations, the combination and the cutoff."""
@@ -123,41 +140,62 @@ class CoTrained:
     cutoff: float = 0.5
 
     def scores(self, text: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        a = _logit(_logit((text - self.mean) / self.scale, self.text)[:, None], self.platt_text)
+        a = _logit(_logit(standard(text, self.mean, self.scale), self.text)[:, None], self.platt_text)
         b = _logit(_logit(meta, self.meta)[:, None], self.platt_meta)
         return _p(a), _p(b), _p(_logit(np.c_[a, b], self.joint))
 
 
-def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray, rounds: int = 4,
-             sure: float = 0.95, each: int = 250) -> CoTrained | None:
-    """y: 0 or 1. A quarter of the rows is held out for calibration, another for the cutoff. None if a class is missing."""
+@dataclass
+class Views:
+    """What a round sends to the tasks: the text view's scale, and both views' models with the calibrations that say what they are sure of."""
+
+    mean: np.ndarray
+    scale: np.ndarray
+    models: list[np.ndarray]
+    sure_of: list[np.ndarray]
+    sure: float
+
+    def pulls(self, text: np.ndarray, meta: np.ndarray) -> np.ndarray:
+        """Text view, label 0; text view, label 1; metadata view, label 0; metadata view, label 1: the summed slope of that view's loss over the
+        documents which the other view gives that label, each followed by their number; one after the other."""
+        views = [standard(text, self.mean, self.scale), meta]
+        z = [_logit(x, w) for x, w in zip(views, self.models)]
+        p = [_p(_logit(a[:, None], w)) for a, w in zip(z, self.sure_of)]
+        out = []
+        for v in (0, 1):
+            for label in (0, 1):
+                at = p[1 - v] >= self.sure if label else p[1 - v] <= 1 - self.sure
+                out += [np.c_[views[v][at], np.ones(at.sum())].T.astype(float) @ (_p(z[v][at]) - label), [at.sum()]]
+        return np.concatenate(out)
+
+
+def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, exchange: Callable[[Views], np.ndarray], rounds: int = ROUNDS) -> CoTrained | None:
+    """y: 0 or 1, of the labelled rows. exchange gives the sum of `Views.pulls` over all other documents. A quarter of the rows is held out for calibration,
+    another for the cutoff. None if a class is missing."""
     part = np.random.default_rng(5).permutation(len(y)) % 4
     train, tune, hold = part > 1, part == 0, part == 1
     if any(len(set(y[m])) < 2 for m in (train, tune)):
         return None
     mean, scale = text[train].mean(0), text[train].std(0) + 1e-3
-    views = [(text - mean) / scale, meta]
-    pools = [(pool_text - mean) / scale, pool_meta]
-    given: list[dict[int, int]] = [{}, {}]  # pseudo-labels that each view's model has got from the other
-    models = []
-    for turn in range(rounds + 1):
-        before, models = models or [None, None], []
-        for v in (0, 1):
-            at = np.array(list(given[v]), int)
-            x, t = np.r_[views[v][train], pools[v][at]], np.r_[y[train], [given[v][i] for i in at]]
-            models.append(fit(x, t, np.r_[np.ones(train.sum()), np.full(len(at), 0.3)], RIDGE, before[v]))
-        if turn == rounds or not len(pool_text):
-            break
+    views = [standard(text, mean, scale), meta]
+    models = [fit(x[train], y[train], RIDGE) for x in views]
+    for _ in range(rounds):
+        sure_of = [fit(_logit(x[tune], w)[:, None], y[tune], 0.01) for x, w in zip(views, models)]  # calibrated, so that a weak view gives few labels
+        sums = exchange(Views(mean, scale, models, sure_of, SURE))
+        at, models = 0, list(models)
         for v in (0, 1):
-            sure_of = fit(_logit(views[v][tune], models[v])[:, None], y[tune], np.ones(tune.sum()), 0.01)  # calibrated, so that a weak view gives few labels
-            p = _p(_logit(_logit(pools[v], models[v])[:, None], sure_of))
-            order = np.argsort(p, kind="stable")
-            for i in (*[i for i in order[:each] if p[i] <= 1 - sure], *[i for i in order[::-1][:each] if p[i] >= sure]):
-                given[1 - v].setdefault(int(i), int(p[i] > 0.5))
+            w, given = models[v], 0.0
+            slope, bend = derivatives(views[v][train], y[train], w, RIDGE)
+            for label in (0, 1):
+                pull, n = sums[at : at + len(w)], sums[at + len(w)]
+                at += len(w) + 1
+                if n:
+                    weight = min(GIVEN, SHARE * (y[train] == label).sum() / n)
+                    slope, given = slope + weight * pull, given + weight * n
+            models[v] = w - np.linalg.solve(bend * (1 + given / train.sum()), slope)
     a, b = (_logit(views[v][tune], models[v]) for v in (0, 1))
-    ones = np.ones(tune.sum())
-    platt = [fit(z[:, None], y[tune], ones, 0.01) for z in (a, b)]
-    joint = fit(np.c_[_logit(a[:, None], platt[0]), _logit(b[:, None], platt[1])], y[tune], ones, 0.1)
+    platt = [fit(z[:, None], y[tune], 0.01) for z in (a, b)]
+    joint = fit(np.c_[_logit(a[:, None], platt[0]), _logit(b[:, None], platt[1])], y[tune], 0.1)
     model = CoTrained(mean, scale, models[0], models[1], *platt, joint)
     good = model.scores(text[hold & (y == 1)], meta[hold & (y == 1)])[2]
     if len(good):
@@ -165,17 +203,49 @@ def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.nd
     return model
 
 
+def _matrices(texts: pa.Array, metas: pa.Array, n_meta: int) -> tuple[np.ndarray, np.ndarray]:
+    """Both views of rows of the feature table."""
+    if not len(texts):
+        return np.zeros((0, 143 + WORDS + PAIRS), np.float32), np.zeros((0, n_meta), np.float32)
+    text = np.frombuffer(b"".join(texts.to_pylist()), np.float16).reshape(len(texts), -1).astype(np.float32)
+    if not n_meta:
+        return text, np.zeros((len(texts), 0), np.float32)
+    return text, np.unpackbits(np.frombuffer(b"".join(metas.to_pylist()), np.uint8).reshape(len(texts), -1), axis=1, count=n_meta).astype(np.float32)
+
+
+def exchanged(pool: DataFrame, views: Views, n_meta: int) -> np.ndarray:
+    """The sum of `Views.pulls` over the pool (text, meta), of which each task sends its own sum."""
+    held = pool.sparkSession.sparkContext.broadcast(views)
+    size = 2 * sum(len(w) + 1 for w in views.models)
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
+        for batch in batches:
+            for i in range(0, batch.num_rows, FITTED):
+                part = batch.slice(i, FITTED)
+                total += held.value.pulls(*_matrices(part.column(0), part.column(1), n_meta))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], ["k", "x"])
+
+    out = np.zeros(size)
+    sums = pool.select("text", "meta").mapInArrow(summed, "k long, x double").groupBy("k").agg(F.sum(F.col("x").cast("decimal(38,12)")).alias("x"))  # exact in any order
+    for r in sums.collect():  # size rows at most, some 1,300
+        out[r.k] = float(r.x)
+    held.destroy()
+    return out
+
+
 def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", meta_cols: tuple[str, ...] = META,
-           max_labels: int = MAX_LABELS, max_pool: int = MAX_POOL) -> CoTrained | None:
-    """The classifier from a bounded sample: ids with the smallest hashes, at a rate that gives about the bounds."""
+           max_labels: int = MAX_LABELS) -> CoTrained | None:
+    """The classifier from a bounded sample of labelled documents (ids with the smallest hashes) and all others."""
     meta_cols = tuple(c for c in meta_cols if c in docs.columns)
-    marked = labels.where(F.col("quality").isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max("quality").alias("_y"))
-    n_labels, n_docs = marked.count(), docs.count()
-    unit = lambda c: F.pmod(F.xxhash64(F.lit("fit"), c), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    chosen = marked.where(unit("_id") < 1.5 * (max_labels + 100) / max(1, n_labels)).orderBy(unit("_id"), "_id").limit(max_labels)
-    near = docs.select(F.col(id_col).alias("_id")).where(F.col("_id").isNotNull()).where(unit("_id") < 1.5 * (max_pool + max_labels) / max(1, n_docs))
-    pool = near.join(marked, "_id", "left_anti").distinct().orderBy(unit("_id"), "_id").limit(max_pool).withColumn("_y", F.lit(None).cast("int"))
-    sample = stored(chosen.select("_id", F.col("_y").cast("int").alias("_y")).unionByName(pool))
+    n_meta = _SLOTS * len(meta_cols)
+    marked = labels.where(F.col("quality").isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min("quality").cast("int").alias("_y"))
+    unit = F.pmod(F.xxhash64(F.lit("fit"), "_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    sample = stored(marked.where(unit < 1.5 * (max_labels + 100) / max(1, marked.count())).orderBy(unit, "_id").limit(max_labels))
+    if sample.select("_y").distinct().count() < 2:
+        removed(sample)
+        return None
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,22 +254,21 @@ def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             meta = [np.packbits(meta_features(v) > 0).tobytes() for v in metas]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1).cast(pa.int64()), pa.array([x.tobytes() for x in text.astype(np.float16)], pa.binary()), pa.array(meta, pa.binary())], ["id", "y", "text", "meta"])
 
-    # the sample has at most max_labels and about max_pool narrow rows
-    rows = (docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *[F.col(c).alias(f"_m{i}") for i, c in enumerate(meta_cols)])
-            .join(F.broadcast(sample), "_id").select("_id", "_y", "_text", *[f"_m{i}" for i in range(len(meta_cols))])
-            .mapInArrow(features, "id long, y long, text binary, meta binary").toArrow().combine_chunks())
-    if not len(rows):
-        return None
-    rows = rows.take(pc.sort_indices(rows, [("id", "ascending"), ("text", "ascending")]))
-    text = np.frombuffer(b"".join(rows["text"].to_pylist()), np.float16).reshape(len(rows), -1).astype(np.float32)
-    bits = np.frombuffer(b"".join(rows["meta"].to_pylist()), np.uint8).reshape(len(rows), -1)
-    meta = np.unpackbits(bits, axis=1, count=_SLOTS * len(meta_cols)).astype(np.float32) if meta_cols else np.zeros((len(rows), 0), np.float32)
-    y = rows["y"].to_numpy()
-    del rows
-    own = ~np.isnan(y.astype(float))
-    if not own.any():
-        return None
-    return co_train(text[own], meta[own], y[own].astype(int), text[~own], meta[~own])
+    # the sample has at most max_labels narrow rows
+    table = stored(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *[F.col(c).alias(f"_m{i}") for i, c in enumerate(meta_cols)])
+                   .join(F.broadcast(sample), "_id", "left").select("_id", "_y", "_text", *[f"_m{i}" for i in range(len(meta_cols))])
+                   .mapInArrow(features, "id long, y long, text binary, meta binary"))
+    own = table.where("y is not null").groupBy("id").agg(F.min(F.struct("text", "meta", "y")).alias("row")).select("id", "row.*").toArrow().combine_chunks()
+    model = None
+    if len(own):
+        own = own.take(pc.sort_indices(own, [("id", "ascending")]))
+        text, meta = _matrices(own["text"], own["meta"], n_meta)
+        y = own["y"].to_numpy().astype(int)
+        del own
+        pool = table.where("y is null")
+        model = co_train(text, meta, y, lambda views: exchanged(pool, views, n_meta))
+    removed(table, sample)
+    return model
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", meta_cols: tuple[str, ...] = META,

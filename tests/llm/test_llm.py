@@ -542,6 +542,33 @@ def test_words_tell_well_formed_bad_prose(spark):
     assert np.mean([(got[r[0]] > 0.5) == bool(r[5]) for r in rows[500:]]) > 0.95
 
 
+def test_cotraining_equals_a_plain_loop(spark, monkeypatch):
+    """Rounds over the stored feature table give the scores of a loop over all rows, one by one; hot repeated ids and contradicting labels are one row and the worst label."""
+    monkeypatch.setattr(cotraining, "SURE", 0.8)
+    rng = random.Random(8)
+    rows = []
+    for i in range(500):
+        good = i % 3 > 0
+        rows.append((i, " ".join(rng.choice(("alpha", "beta")) + ("" if good or rng.random() < 0.6 else "**") for _ in range(rng.randint(5, 30))), "en", ("g" if good == (rng.random() < 0.9) else "b"), i))
+    rows += [rows[2]] * 150 + [(None, "no id", None, None, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(200)] + [(7, 0), (7, 1), (None, 1)], "doc_id long, quality int")
+    got = cotraining.fitted(frame, labels)
+    text, meta = cotraining.text_features(pa.array([r[1] for r in rows])), np.stack([cotraining.meta_features(r[2:]) for r in rows])
+    y, pool = np.array([int(i % 3 > 0 and i != 7) for i in range(200)]), [k for k, r in enumerate(rows) if r[0] is None or r[0] >= 200]
+    given = []
+
+    def loop(views):
+        given.append(sum(views.pulls(text[k : k + 1], meta[k : k + 1]) for k in pool))
+        return given[-1]
+
+    expected = cotraining.co_train(text[:200], meta[:200], y, loop)
+    assert len(given) == cotraining.ROUNDS and given[-1][2 * text.shape[1] + 3] > 0 and given[-1][-1] > 0  # both views give labels
+    for a, b in zip(got.scores(text, meta), expected.scores(text, meta)):
+        assert np.abs(a - b).max() < 1e-6
+    assert abs(got.cutoff - expected.cutoff) < 1e-6
+
+
 def test_cotraining_edges(docs, labels, rows, empty):
     got = cotraining.score_quality(docs, labels)
     assert got.count() == len(rows) and set(docs.columns) <= set(got.columns)
@@ -595,6 +622,27 @@ def test_html_of_the_table_and_in_other_structures(spark):
     assert sum(a != b for a, b in zip(plain, expected)) <= 15
 
 
+def test_html_blocks_without_names_and_layout_tables():
+    """Menus, notices and footers with generated names, and the cells of a layout table, by structure and place."""
+    pages = [p.html for p in pd.read_parquet(f"{SF}/pages.parquet", columns=["html"]).head(100).itertuples()]
+    model = html_extract._fitted(sorted(pages))
+    parts = ("The mill", "The river rose slowly, and the town kept watch through the night, as it had done for years.", "Nobody knew, at first, where the letters had come from, and few people asked about them.",
+             "A short walk leads to the mill, which still stands, and which the council wants to keep.")
+    body = f"<h1>{parts[0]}</h1>" + "".join(f"<p>{x}</p>" for x in parts[1:])
+    boxes = ('<div class="css-33">We use cookies to improve your experience. <a href=/c>More</a></div><div class="css-1"><ul><li><a href=/a>Home</a></li><li><a href=/b>News</a></li><li><a href=/c>About</a></li></ul></div>'
+             f'<div class="css-22">{body}</div><div class="css-44">© 2024 Town. All rights reserved.</div>')
+    cells = (f"<table><tr><td colspan=2><a href=/>Home</a> <a href=/n>News</a></td></tr><tr><td><a href=/a>One</a><br><a href=/b>Two</a></td><td>{body}</td></tr>"
+             "<tr><td colspan=2>© 2024 Town. All rights reserved.</td></tr></table>")
+    assert html_extract.main_texts(iter([boxes, cells]), model) == [" ".join(parts)] * 2
+
+
+def test_html_training_blocks_are_drawn_from_the_whole_article():
+    blocks = [f"block {i}" for i in range(1000)]
+    drawn = html_extract._drawn(blocks)
+    assert len(drawn) == html_extract.TRAIN_BLOCKS and drawn == sorted(drawn, key=blocks.index) and max(map(blocks.index, drawn)) > 800
+    assert html_extract._drawn(blocks[:7]) == blocks[:7]
+
+
 @pytest.mark.parametrize("head", [
     "<script>for(i=0;i<n;i++){} // don't</script>", "<script>document.write('<body>code, code</body>')</script>", "<style>a::after{content:'</head><body>code'}</style>", "<title>a <b 'c</title>",
     '<noscript><iframe src="x"/></noscript>', "<noscript><script>if(a<b){} // don't</script></noscript>", "<svg><title/><style/></svg>", "<script>never ended",
