@@ -23,9 +23,12 @@ from .stateful import LATE, rocks_state
 PROGRESS: deque = deque(maxlen=100)
 
 
-def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def table_stream(spark: SparkSession, sf_dir: str, name: str, at_once: bool = False) -> DataFrame:
+    """A table's files as a stream, four a batch; or all in one batch, where a watermark must not pass rows of files that aren't in order of time."""
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{sf_dir}/{name}[.]parquet")  # a pattern, as tables may be single files
+    reader = spark.readStream.schema(schema)
+    reader = reader if at_once else reader.option("maxFilesPerTrigger", 4)
+    return reader.parquet(f"{sf_dir}/{name}[.]parquet")  # a pattern, as tables may be single files
 
 
 def run_available(stream: DataFrame, mode: str = "append", keys: tuple[str, ...] = ()) -> DataFrame:

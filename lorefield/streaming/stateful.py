@@ -16,8 +16,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-#: Watermark delay of events, retry interval of a failed fetch, failures in a row after which a document is no longer watched.
+from ..sources.shared import with_checkpoints
+
+#: Watermark delay of events (also in milliseconds), retry interval of a failed fetch, failures in a row after which a document is no longer watched.
 LATE = "1 hour"
+LATE_MS = 3_600_000
 RETRY_MS = 3_600_000
 #: How long after its time a row still counts for the sync job: its watermark follows the clock by so much, and timers are set as much earlier.
 BEHIND_MS = 86_400_000
@@ -42,7 +45,8 @@ def rocks_state(spark: SparkSession):
 
 
 class Debounce(StatefulProcessor):
-    """Holds a key's events until the watermark has passed them, then decides them in the order of their times."""
+    """Holds a key's events until the watermark has passed them, then decides them in the order of their times. A key has one timer for each batch, at the earliest event that it
+    brings; when it expires, all events that the watermark has passed are decided. An event without a time has no previous one and passes at once."""
 
     def __init__(self, cooldown_ms: int) -> None:
         self.cooldown = cooldown_ms
@@ -53,14 +57,22 @@ class Debounce(StatefulProcessor):
         self.last = handle.getValueState("last", "at_ms long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        first = None
         for part in rows:
-            for at, id_ in zip(part["at_ms"].tolist(), part["event_id"].tolist()):
-                self.waiting.appendValue((at, id_))
-            for at in set(part["at_ms"].tolist()):
-                self.handle.registerTimer(at)
-        return iter(())
+            timeless = part["at_ms"].isna()
+            if timeless.any():
+                yield part.loc[timeless, ["event_id", "event"]].assign(at_ms=pd.array([None] * int(timeless.sum()), "Int64"))
+                part = part[~timeless]
+            if len(part):
+                times = part["at_ms"].astype("int64").tolist()
+                self.waiting.appendList(list(zip(times, part["event_id"].tolist())))
+                first = min(times) if first is None else min(first, *times)
+        if first is not None:
+            self.handle.registerTimer(first)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if not self.waiting.exists() and not self.last.exists():
+            return  # an earlier timer has decided all
         now = timerValues.getCurrentWatermarkInMs()
         waiting = sorted(tuple(x) for x in self.waiting.get()) if self.waiting.exists() else []
         last = self.last.get()[0] if self.last.exists() else None
@@ -70,8 +82,9 @@ class Debounce(StatefulProcessor):
                 kept.append((id_, key[0], at))
             last = at
         self.waiting.clear()
-        for x in later:
-            self.waiting.appendValue(x)
+        if later:
+            self.waiting.appendList(later)
+            self.handle.registerTimer(later[0][0])
         if last is not None and not later and last + self.cooldown <= now:
             self.last.clear()  # the next event passes anyway
         elif last is not None:
@@ -92,6 +105,18 @@ def debounced_in_order(stream: DataFrame, cooldown_ms: int, late: str = LATE) ->
     return timed.groupBy("event").transformWithStateInPandas(Debounce(cooldown_ms), "event_id long, event string, at_ms long", "append", "eventTime")
 
 
+def debounced_log(stream: DataFrame, end_ms: int | None, cooldown_ms: int) -> DataFrame:
+    """Events of a log that has ended, whose latest is at end_ms, debounced to its end: one more row moves the watermark past it, so that nothing is held back. The row has no key, comes
+    with the first batch and is never decided itself; the stream has to give all its rows in that batch."""
+    if end_ms is not None:
+        spark = stream.sparkSession
+        folder = f"{with_checkpoints(spark)}/clock-{uuid.uuid4().hex}"
+        clock = spark.range(1).select(*[F.lit(end_ms + cooldown_ms + LATE_MS + 1 if f.name == "at_ms" else -1 if f.name == "event_id" else None).cast(f.dataType).alias(f.name) for f in stream.schema])
+        clock.write.parquet(folder)
+        stream = stream.unionByName(spark.readStream.schema(clock.schema).parquet(folder))
+    return debounced_in_order(stream, cooldown_ms)
+
+
 LOG = "doc_id long, at_ms long, action string, failures long, digest string"
 INPUT = "doc_id long, kind string, at_ms long, digest string, stale_ms long"
 

@@ -5,8 +5,10 @@ import random
 import time
 from collections import defaultdict
 
+import duckdb
 from pyspark.sql import functions as F
 
+from lorefield.plans import ORACLE_SQL, QUERIES
 from lorefield.streaming import jobs, stateful
 
 
@@ -45,6 +47,24 @@ def test_debounce_of_files_out_of_order(spark, tmp_path):
     assert dropped == 1 and rows.where("event_id = 9001").count() == 0
 
 
+def test_debounce_query_takes_the_whole_log(spark, tmp_path):
+    """Events of the last hour, of files in any order, and without a time or a user: as the query's SQL has them."""
+    rng, minute, start = random.Random(5), 60, 1_704_067_200
+    times = [start + rng.randrange(3000) * minute for _ in range(300)] + [start + 3000 * minute, None, None]
+    rows = [(i, at, None if i % 50 == 7 else rng.randrange(3), rng.choice("ab")) for i, at in enumerate(times)]
+    rows.sort(key=lambda r: -(r[1] or 0))  # the latest files come first
+    for k in range(0, len(rows), 30):
+        frame = spark.createDataFrame(rows[k : k + 30], "event_id long, at long, user_id long, event_type string").withColumn("ts", F.timestamp_seconds("at"))
+        frame.select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "user_id", "event_type", F.lit(0.0).alias("value"), F.lit("{}").alias("props")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute("set timezone = 'UTC'")
+    con.execute(f"create view events as select * from read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    expected = {tuple(r) for r in con.execute(ORACLE_SQL["stream_debounce"]).fetchall()}
+    assert sum(r[2] is None for r in expected) == 2 and any(r[2] is not None and r[2] > (start + 2940 * minute) * 1000 for r in expected)
+    got = QUERIES["stream_debounce"](spark, str(tmp_path)).select("event_id", "event", "at_ms").collect()
+    assert {tuple(r) for r in got} == expected and len(got) == len(expected)
+
+
 def test_sync_job_over_restarts(spark, tmp_path):
     folder, hour, start = str(tmp_path), 3_600_000, stateful.at_ms(5)
     watch = [(1, "watch", start, "a", 10 * hour), (2, "watch", start, "b", 10 * hour), (3, "watch", start, "c", 30 * hour), (4, "watch", start, "d", 10 * hour)]
