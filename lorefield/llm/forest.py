@@ -4,7 +4,8 @@ Each text's set of word shingles gets ORDERS * DEPTH minimum hashes. Each slice
 side by side in it: a region. The depth at which regions begin is the largest at which a linking pair shares one in some order but for MISSED; a region of
 more than CROWDED texts is cut at greater depth. In a region neighbours by longest common prefix come first, then all that no neighbour has united;
 two are alike if the share of equal values among all ORDERS * DEPTH could belong to a linking pair. A crowded region is first united around some leaders, to which its texts are
-compared wherever they lie, and those that are near none go on to the next depth.
+compared wherever they lie, and those that are near none go on to the next depth. Not all pairs of a crowded region meet in that way; so if its texts end in more than one
+group, they also meet by the exact signatures of jaccard_join, which miss no pair.
 
 Texts that are alike, directly or by way of others, form a candidate group. Each group's texts are sent once, to the group's pivot, and all pairs of the group are decided there exactly
 (jaccard_join.decided). So results are exact but for pairs that no order brings together.
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import checked, removed, stored, unused
 from .components import components
 from .hashing import mixed, shingle_sets, slices
-from .jaccard_join import REMEMBERED, dealt, decided, nodes_of, texts_of
+from .jaccard_join import REMEMBERED, dealt, decided, grouped, nodes_of, sharing, signed_texts, texts_of, with_texts
 
 #: Sorted orders, values of each, and how many values deeper a crowded region is cut.
 ORDERS = 16
@@ -157,24 +158,29 @@ def _near_leaders(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], ["a", "b", "region", "order", "node"])
 
 
-def candidates(signed: DataFrame, percent: int) -> DataFrame:
-    """a, b: links that unite all texts that are alike in some region."""
+def candidates(signed: DataFrame, percent: int) -> tuple[DataFrame, DataFrame | None]:
+    """a, b: links that unite texts that are alike in some region, all of those in regions that aren't crowded; and region, node of the crowded regions of the first depth, in which
+    some that are alike may not have met."""
     depth, least = first_depth(percent), least_equal(percent)
     sketches = stored(signed.where("regions is not null").groupBy("node").agg(F.first("sketch").alias("sketch"), F.first("regions").alias("regions")))
     placed = sketches.select("node", F.posexplode("regions").alias("order", "region"))
     links: list[DataFrame] = []
+    first: DataFrame | None = None
     while True:
         counted = placed.groupBy("region").agg(F.count("*").alias("n")).where("n > 1")
         shared = stored(placed.join(counted, "region"))
         within = shared.where(F.lit(True) if depth >= DEPTH else F.col("n") <= CROWDED)
-        # at the last depth a crowded region is dealt in parts; its texts meet in other orders
+        # at the last depth a crowded region is dealt in parts; apart() finds what doesn't meet
         part = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / CROWDED))
         own = F.substring("sketch", F.col("order") * DEPTH + 1, F.lit(DEPTH))
         rows = within.withColumn("of", F.when(F.col("n") > CROWDED, F.xxhash64("region", part)).otherwise(F.col("region"))).join(sketches.select("node", "sketch"), "node")
         sorted_ = rows.select("of", "node", "sketch", own.alias("own")).repartition("of").sortWithinPartitions("of", "own", "node")
         links.append(stored(sorted_.select("of", "node", "sketch").mapInArrow(partial(_alike, least=least), "a long, b long").distinct()))
         crowded = shared.where(F.col("n") > CROWDED)
-        if depth >= DEPTH or not crowded.head(1):
+        some = bool(crowded.head(1))
+        if some and first is None:
+            first = stored(crowded.select("region", "node"))
+        if depth >= DEPTH or not some:
             removed(shared)
             break
         # LEADERS texts of each crowded region, by partial aggregates
@@ -192,6 +198,15 @@ def candidates(signed: DataFrame, percent: int) -> DataFrame:
     out = links[0]
     for more in links[1:]:
         out = out.unionByName(more)
+    return out, first
+
+
+def apart(crowded: DataFrame, united: DataFrame) -> DataFrame:
+    """node: the texts of crowded regions (region, node) that united (node, root) doesn't bring into one group."""
+    placed = stored(crowded.join(united, "node", "left").select("region", "node", F.coalesce("root", "node").alias("root")))
+    split = placed.groupBy("region").agg((F.min("root") < F.max("root")).alias("split")).where("split").select("region")
+    out = stored(placed.join(split, "region").select("node").distinct())
+    removed(crowded, placed)
     return out
 
 
@@ -204,10 +219,19 @@ def _placed(docs: DataFrame, width: int, percent: int, id_col: str, text_col: st
     nodes = nodes_of(rows)
     if nodes is None:  # unequal sets with one hash: hash all anew
         return _placed(docs, width, percent, id_col, text_col, seed + 1)
-    united = stored(components(candidates(signed, percent)))
+    links, crowded = candidates(signed, percent)
+    united = stored(components(links))
     removed(signed)
     members = stored(united.where("node <> root").select(F.col("root").alias("pivot"), "node"))
-    groups = dealt(members)
+    rest = None if crowded is None else apart(crowded, united)
+    if rest is not None and rest.head(1):  # texts of crowded regions that are in several groups meet by exact signatures
+        chosen = stored(nodes.join(rest, "node").select("one.of_id", "one.of_print"))
+        more = signed_texts(with_texts(texts, chosen).select("id", "text", "print"), width, percent, seed)
+        met = sharing(more)
+        groups = grouped(stored(members.unionByName(met).distinct()))
+        removed(rest, chosen, more, met)
+    else:
+        groups = dealt(members)
     removed(united, members)
     return decided(texts, rows, nodes, groups, width, percent)
 

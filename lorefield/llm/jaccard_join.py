@@ -263,8 +263,8 @@ def dealt(members: DataFrame) -> DataFrame:
     return out
 
 
-def _groups(signed: DataFrame) -> DataFrame:
-    """node, at: for each node that shares a signature, the groups that its text goes to."""
+def sharing(signed: DataFrame) -> DataFrame:
+    """pivot, node: for each node that shares a signature, the pivots in whose groups it meets all that it may link with."""
     dealt_out = signed.select(F.explode("sigs").alias("sig"), "node").repartition(F.shiftright("sig", 1)).sortWithinPartitions(F.desc("sig"), "node")
     shared = stored(dealt_out.mapInArrow(_shared, "sig long, node long"))
     if signed.where(F.size("more") > 0).head(1):
@@ -273,10 +273,16 @@ def _groups(signed: DataFrame) -> DataFrame:
     counts = stored(shared.groupBy("node").agg(F.count("*").alias("n")))
     pivots = stored(shared.join(counts, "node").groupBy("sig").agg(F.max(F.struct("n", "node")).alias("most")).select("sig", F.col("most.node").alias("pivot")))
     members = stored(shared.join(pivots, "sig").where("node <> pivot").select("pivot", "node").distinct())
+    removed(shared, counts, pivots)
+    return members
+
+
+def grouped(members: DataFrame) -> DataFrame:
+    """node, at: the groups that a node's text goes to, from stored members (pivot, node), which are removed."""
     sizes = stored(members.groupBy("pivot").agg(F.count("*").alias("n")))
     united = _united(members, sizes)
     out = dealt(united)
-    removed(shared, counts, pivots, members, sizes, united)
+    removed(members, sizes, united)
     return out
 
 
@@ -288,11 +294,15 @@ def nodes_of(rows: DataFrame) -> DataFrame | None:
     return None if nodes.where("proof <> proof2").head(1) else nodes
 
 
+def with_texts(texts: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Stored rows (of_id, of_print and more) with the row of texts that each names."""
+    return texts.join(checked(chosen), F.col("id").eqNullSafe(F.col("of_id")) & (F.col("print") == F.col("of_print")))
+
+
 def decided(texts: DataFrame, rows: DataFrame, nodes: DataFrame, groups: DataFrame, width: int, percent: int) -> DataFrame:
     """id, print, n, component of each of rows: all pairs within each of the groups (node, at) are decided on the whole texts, which are read again."""
     chosen = stored(nodes.select("node", "one.of_id", "one.of_print").join(groups, "node"))
-    mine = F.col("id").eqNullSafe(F.col("of_id")) & (F.col("print") == F.col("of_print"))
-    sent = texts.join(checked(chosen), mine).select("node", "text", F.explode("at").alias("at")).select("at.pivot", "at.part", "at.member", "at.large", "node", "text")
+    sent = with_texts(texts, chosen).select("node", "text", F.explode("at").alias("at")).select("at.pivot", "at.part", "at.member", "at.large", "node", "text")
     dealt_out = sent.repartition("pivot", "part").sortWithinPartitions("pivot", "part", "member", "node")
     found = stored(dealt_out.mapInArrow(lambda x: _compared(x, width, percent), "a long, b long, pivot long, node long, size long, direct boolean, d array<long>"))
     removed(groups, chosen)
@@ -314,11 +324,16 @@ def texts_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("print"))
 
 
+def signed_texts(texts: DataFrame, width: int, percent: int, seed: int) -> DataFrame:
+    """A stored table of texts with their signatures."""
+    return stored(texts.mapInArrow(lambda x: _signed(x, width, percent, seed), "id long, print long, n long, node long, proof long, sigs array<long>, more array<long>"))
+
+
 def _placed(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str, seed: int = 0) -> DataFrame:
     """id, print (hash of the text), n (shingles), component of each row of docs."""
     texts = texts_of(docs, id_col, text_col)
-    signed = stored(texts.mapInArrow(lambda x: _signed(x, width, percent, seed), "id long, print long, n long, node long, proof long, sigs array<long>, more array<long>"))
-    groups = _groups(signed)
+    signed = signed_texts(texts, width, percent, seed)
+    groups = grouped(sharing(signed))
     rows = stored(signed.select("id", "print", "n", "node", "proof"))
     removed(signed)
     nodes = nodes_of(rows)

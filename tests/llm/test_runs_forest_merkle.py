@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_llm import SCHEMA, WORD, corpus, reached, sets_of
@@ -153,6 +154,30 @@ def test_near_duplicates_of_many_variants(spark, crowded, part, monkeypatch):
     assert {r.doc_id for r in forest.without_near_duplicates(frame, 5, 85).collect()} == set(expected)
 
 
+def test_pairs_of_crowded_regions_meet(spark, monkeypatch):
+    """All texts agree in one order down to its last value and in no other, so that the pairs that link meet in a crowded region or not at all."""
+    def crowd(batches, **how):
+        from lorefield.llm import forest
+
+        for batch in forest._sketched(batches, **how):
+            nodes, sketches = batch.column("node").to_pylist(), batch.column("sketch").to_pylist()
+            regions = [[7] + [node ^ k for k in range(1, forest.ORDERS)] for node in nodes]
+            columns = [*batch.columns[:5], pa.array(regions, pa.list_(pa.int64())), pa.array([bytes(forest.DEPTH) + s[forest.DEPTH :] for s in sketches], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+
+    monkeypatch.setattr(forest, "CROWDED", 8)
+    monkeypatch.setattr(forest, "_sketched", crowd)
+    rng, texts = random.Random(4), []
+    for k in range(100):
+        a = [f"o{k}x{i}" for i in range(100)]
+        b = [f"n{k}a", *a[1:]]
+        b[20 + rng.randrange(40)], b[-1] = f"n{k}b", f"n{k}c"
+        texts += [" ".join(a), " ".join(b)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    got = {r.doc_id: r.component_id for r in forest.near_duplicates(frame, 5, 85).collect()}
+    assert [i for i in range(len(texts)) if got[i] != i - i % 2] == []
+
+
 def test_pairs_at_the_limit_meet():
     """Of pairs with a similarity of just the limit, all share a region of the first depth and look alike."""
     rng = np.random.default_rng(6)
