@@ -5,7 +5,8 @@ other buckets don't, and is left out. Each bucket has a pivot, the node that sha
 members of its pivot's group. Groups that have most members in common become one, so that a text goes to few. A member's exact difference from its pivot is taken from both whole texts (which shuffle in fewer bytes than
 their hashes). Whether two members link follows from their differences: directly from the sizes for the pivot itself, and for others through
 the differences that they share. A group of up to PART members is done by one task as its texts arrive; a larger one is dealt in parts, each with the pivot's text, and
-its members meet by the differences that a linking pair must share. So a group of thousands of near copies takes work in proportion to its size, not to its pairs.
+its members meet PART others in each of DEALS deals, which unite most of what links, and members that are still apart meet by the differences that a linking pair must share,
+rare ones first. So a group of thousands of near copies takes work in proportion to its size, not to its pairs.
 
 A signature that very many nodes share doesn't meet in one task: a batch of texts sends two of its nodes on, which show that the
 signature is shared, and the others join those signatures afterwards, where adaptive execution splits hot keys.
@@ -38,6 +39,9 @@ SENT = 2
 PART = 2048
 HELD = 4_000_000
 COMPARED = 2048
+#: Deals of a large group in parts. A difference is common if one in so many members of a part has it.
+DEALS = 2
+COMMON = 64
 _U = np.uint64
 
 
@@ -211,30 +215,73 @@ def _found(links: list[tuple], rows: list[tuple], ds: list[np.ndarray]) -> pa.Re
     return pa.RecordBatch.from_arrays([*columns, lists], ["a", "b", "pivot", "node", "size", "direct", "d"])
 
 
-def _linked_members(members: DataFrame, percent: int) -> DataFrame:
-    """Links a, b among the members (pivot, node, size, d, direct) of the same large group of which at least one isn't linked with the pivot itself.
+def _met(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """From rows (pivot, deal, part, node, size, direct, d), sorted: links a, b that unite what all links among the members of a part do, and of the first deal also pivot, e, times: common
+    differences of a part. Of a part that is more than a task should hold, members meet as far as they are held together."""
+    group: _Group | None = None
+    direct: list[bool] = []
+
+    def done() -> pa.RecordBatch:
+        links, common, times = group.links(direct), np.empty(0, np.int64), np.empty(0, np.int64)
+        if not group.key[1]:
+            common, times = np.unique(np.concatenate(group.ds), return_counts=True)
+            common, times = (x[times >= max(2, len(group.nodes) / COMMON)] for x in (common, times))
+        none, nones = [None] * len(links), [None] * len(common)
+        columns = [[x[0] for x in links] + nones, [x[1] for x in links] + nones, none + [group.key[0]] * len(common), none + common.tolist(), none + times.tolist()]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b", "pivot", "e", "times"])
+
+    for batch in batches:
+        lists = batch.column(6)
+        values, offsets = np.asarray(lists.values), np.asarray(lists.offsets)
+        for n, (pivot, deal, part, node, size, near) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(6)))):
+            if group is None or group.key != (pivot, deal, part) or len(group.nodes) >= PART or group.held > HELD:
+                if group:
+                    yield done()
+                group, direct = _Group((pivot, deal, part), np.empty(0, _U), percent), []
+            group.nodes.append(node)
+            group.sizes.append(size)
+            group.ds.append(values[offsets[n] : offsets[n + 1]].copy())
+            group.held += len(group.ds[-1])
+            direct.append(near)
+    if group:
+        yield done()
+
+
+def _linked_members(members: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+    """A stored table of links a, b that unite what links do and those among the members (pivot, node, size, d, direct) of the same large group of which at least one isn't linked with the pivot itself.
 
     Members b and c differ in |d_b| + |d_c| - 2 |d_b & d_c| elements, so with g = (100 + percent) |d| - (100 - percent) size they link
     if and only if g_b + g_c <= 2 (100 + percent) |d_b & d_c|. If neither is linked with the pivot, or one of them, they share differences: those pairs are met by
-    their prefixes, with the overlap that a pair needs at least, where elements that the pivot lacks come first; a pair is met only
-    where enough elements follow in both.
+    their prefixes, with the overlap that a pair needs at least, where common elements come last and of the others those that the pivot lacks first; a pair is met only
+    where enough elements follow in both, and only if nothing has united its members before. So pairs don't grow with the copies that deals unite.
     """
     k, q = 100 + percent, 100 - percent
     members = members.withColumn("n_d", F.size("d")).withColumn("g", k * F.col("n_d") - q * F.col("size"))
-    bounds = stored(members.groupBy("pivot").agg(F.min("g").alias("least"), F.min(F.when(~F.col("direct"), F.col("g"))).alias("least_out")).where("least_out is not null"))
-    open_ = stored(members.join(checked(bounds), "pivot"))
+    bounds = stored(members.groupBy("pivot").agg(F.min("g").alias("least"), F.min(F.when(~F.col("direct"), F.col("g"))).alias("least_out"), F.ceil(F.count("*") / PART).cast("int").alias("parts")).where("least_out is not null"))
+    whole = members.join(checked(bounds), "pivot")
+    deals = whole.withColumn("deal", F.explode(F.array(*[F.lit(i) for i in range(DEALS)]))).withColumn("part", F.pmod(F.xxhash64("node", "deal"), F.col("parts")).cast("int"))
+    dealt_out = deals.select("pivot", "deal", "part", "node", "size", "direct", "d").repartition("pivot", "deal", "part").sortWithinPartitions("pivot", "deal", "part", "node")
+    met = stored(dealt_out.mapInArrow(lambda x: _met(x, percent), "a long, b long, pivot long, e long, times long"))
+    near = stored(components(links.unionByName(met.where("a is not null").select("a", "b"))))
+    often = met.where("a is null").groupBy("pivot", "e").agg(F.sum("times").alias("n"))
+    common = stored(often.groupBy("pivot").agg(F.sort_array(F.collect_list(F.struct("n", "e"))).alias("all")).select("pivot", F.col("all.e").alias("common")))  # COMMON times a member's differences at most, about
+    n_common = common.agg(F.sum(F.size("common"))).first()[0] or 0
+    seldom_first = F.when(F.col("common").isNull(), F.col("d")).otherwise(F.concat(F.array_except("d", "common"), F.array_intersect("common", "d")))
+    open_ = stored(whole.join(checked(common, n_common), "pivot", "left").join(checked(near), "node", "left").select(
+        "pivot", "node", "direct", "g", "size", "n_d", "least", "least_out", F.coalesce("root", "node").alias("root"), seldom_first.alias("d")))
     partner = F.when(F.col("direct"), F.col("least_out")).otherwise(F.col("least"))
     need = F.greatest(F.ceil((F.col("g") + partner) / (2 * k)), F.ceil((F.col("g") - q * F.col("size") * 100 / percent) / k), F.lit(1)).cast("int")
     prefix = F.slice("d", F.lit(1), F.greatest(F.col("n_d") - need + 1, F.lit(0)))
-    prefixed = open_.select("pivot", "node", "direct", "g", "n_d", F.posexplode(prefix).alias("pos", "e"))
-    side = lambda n: prefixed.select("pivot", "e", *[F.col(c).alias(n if c == "node" else f"{n}_{c}") for c in ("node", "direct", "g", "n_d", "pos")])
+    prefixed = open_.select("pivot", "node", "root", "direct", "g", "n_d", F.posexplode(prefix).alias("pos", "e"))
+    side = lambda n: prefixed.select("pivot", "e", *[F.col(c).alias(n if c == "node" else f"{n}_{c}") for c in ("node", "root", "direct", "g", "n_d", "pos")])
     fits = F.expr(f"a_g + b_g <= {2 * k} * least(a_n_d - a_pos, b_n_d - b_pos)")
-    met = side("a").where("not a_direct").join(side("b"), ["pivot", "e"]).where((F.col("a") != F.col("b")) & (F.col("b_direct") | (F.col("a") < F.col("b"))) & fits)
-    pairs = stored(met.select("pivot", "a", "b").distinct())
+    found = side("a").where("not a_direct").join(side("b"), ["pivot", "e"]).where((F.col("a_root") != F.col("b_root")) & (F.col("b_direct") | (F.col("a") < F.col("b"))) & fits)
+    pairs = stored(found.select("pivot", "a", "b").distinct())
     of = lambda n: open_.select("pivot", F.col("node").alias(n), F.col("g").alias(f"g_{n}"), F.col("d").alias(f"d_{n}"))
     linked = F.col("g_a") + F.col("g_b") <= 2 * k * F.size(F.array_intersect("d_a", "d_b"))
-    out = stored(pairs.join(of("a"), ["pivot", "a"]).join(of("b"), ["pivot", "b"]).where(linked).select("a", "b"))
-    removed(bounds, open_, pairs)
+    more = pairs.join(of("a"), ["pivot", "a"]).join(of("b"), ["pivot", "b"]).where(linked).select("a", "b")
+    out = stored(near.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+    removed(bounds, met, near, common, open_, pairs)
     return out
 
 
@@ -307,14 +354,13 @@ def decided(texts: DataFrame, rows: DataFrame, nodes: DataFrame, groups: DataFra
     found = stored(dealt_out.mapInArrow(lambda x: _compared(x, width, percent), "a long, b long, pivot long, node long, size long, direct boolean, d array<long>"))
     removed(groups, chosen)
     links, large = found.where("a is not null").select("a", "b"), found.where("a is null").drop("a", "b")
-    if large.head(1):
-        links = links.unionByName(_linked_members(large, percent))
-    roots = stored(components(links))
+    united = [_linked_members(large, links, percent)] if large.head(1) else []
+    roots = stored(components(*united or [links]))
     tops = stored(roots.join(nodes, "node").groupBy("root").agg(F.min("least").alias("least")))
     linked = roots.join(checked(tops), "root").select("node", "least")
     copies = nodes.where("copies > 1").join(roots.select("node"), "node", "left_anti").select("node", "least")
     classes = stored(linked.unionByName(copies))
-    removed(found, roots, tops, nodes)
+    removed(found, roots, tops, nodes, *united)
     placed = rows.join(checked(classes), "node", "left")
     alone = F.col("least").isNull() | (F.col("n") == 0)
     return placed.select("id", "print", "n", F.when(alone, F.col("id")).otherwise(F.col("least")).alias("component"))

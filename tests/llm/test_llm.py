@@ -321,6 +321,32 @@ def test_jaccard_many_variants(spark, empty, width, percent, part, monkeypatch):
     assert jaccard_join.jaccard_components(empty).count() == 0 and jaccard_join.one_of_each(empty).count() == 0
 
 
+def test_pairs_of_a_large_group_stay_few(spark, monkeypatch):
+    """Several families of near copies in one large group, which don't link with each other nor with the pivot, but all among themselves."""
+    monkeypatch.setattr(jaccard_join, "PART", 64)
+    rng, base, texts = random.Random(4), [f"w{i}" for i in range(100)], []
+    for family in range(5):
+        mine = base[:]
+        mine[10 + 8 * family], mine[95 - 8 * family] = f"f{family}", f"g{family}"
+        for k in range(50):
+            copy = mine[:]
+            copy[rng.randrange(100)] = f"n{family}x{k}"
+            texts.append(" ".join(copy))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    pairs = []
+
+    def stored(df, store=jaccard_join.stored):
+        out = store(df)
+        if out.columns == ["pivot", "a", "b"]:
+            pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "stored", stored)
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(frame, 5, 80).collect()}
+    assert [got[i] for i in range(len(texts))] == reached(list(range(len(texts))), sets_of(texts, 5), 80)
+    assert pairs and sum(pairs) <= 5 * len(texts)  # of 31,125
+
+
 @pytest.mark.parametrize("percent", [85, 80])
 def test_signatures_meet(percent):
     rng = np.random.default_rng(2)
