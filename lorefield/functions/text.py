@@ -131,14 +131,15 @@ def percent(value: Column, decimals: int = 0) -> Column:
     return F.when(value.isNull() | F.isnan(value), "").otherwise(F.concat(F.format_string(f"%.{decimals}f", whole.cast("double")), F.lit("%")))
 
 
-def file_size(size: Column) -> Column:
-    """Bytes as text: whole below 1,024, else with one decimal in the smallest binary unit in which the rounded number stays below 1,024."""
-    units = ("KiB", "MiB", "GiB", "TiB", "PiB", "EiB", "ZiB", "YiB")
+def file_size(size: Column, units: tuple[str, ...] = ("KiB", "MiB", "GiB", "TiB", "PiB", "EiB", "ZiB", "YiB"), rounded: bool = True) -> Column:
+    """Bytes as text: whole below 1,024, else with one decimal in the smallest binary unit in which the rounded number stays below 1,024. With rounded off the number
+    itself has to, so that 1,048,575 bytes are 1024.0 KiB."""
     out = None
     for k in reversed(range(len(units))):
-        tenths = F.floor(F.abs(size) / 1024.0 ** (k + 1) * 10 + 0.5) / 10
+        number = F.abs(size) / 1024.0 ** (k + 1)
+        tenths = F.floor(number * 10 + 0.5) / 10
         text = F.concat(F.when(size < 0, "-").otherwise(""), F.format_string("%.1f", tenths), F.lit(f" {units[k]}"))
-        out = text if out is None else F.when(tenths < 1024, text).otherwise(out)
+        out = text if out is None else F.when((tenths if rounded else number) < 1024, text).otherwise(out)
     return F.when(F.abs(size) < 1024, F.concat(size.cast("long").cast("string"), F.lit(" B"))).otherwise(out)
 
 
