@@ -248,10 +248,11 @@ def wiki_documents(pages: DataFrame) -> DataFrame:
     return made.select("id", "title", F.when(F.col("t") != "", F.col("t")).otherwise(F.col("title")).alias("text")).dropDuplicates(["id"])
 
 
-def vault_notes(files: DataFrame) -> DataFrame:
-    """files (path, text) with the vault's root folder, if there is a single one, taken off, and a status; blank notes are skipped."""
+def vault_notes(files: DataFrame, blank: bool = False) -> DataFrame:
+    """files (path, text) with the vault's root folder, if there is a single one, taken off, and a status; blank notes are skipped, with blank on only those without a text."""
     root = files.select(F.split_part("path", F.lit("/"), F.lit(1)).alias("root")).agg(F.when(F.count_distinct("root") == 1, F.max("root")).alias("root"))
-    status = F.when(F.trim(F.coalesce("text", F.lit(""))) == "", "skipped").otherwise("loaded")
+    empty = F.col("text").isNull() if blank else F.trim(F.coalesce("text", F.lit(""))) == ""
+    status = F.when(empty, "skipped").otherwise("loaded")
     bare = F.when(F.col("root").isNotNull(), F.regexp_replace("path", "^[^/]+/", "")).otherwise(F.col("path"))
     return files.join(F.broadcast(root), F.lit(True)).select(bare.alias("path"), status.alias("status"), F.length("text").alias("chars"))
 

@@ -35,3 +35,12 @@ def test_history_of_chats_that_a_cut_leaves_as_dear(spark, tmp_path):
     found = agrees(spark, tmp_path, "history_budget", "conversations", rows, "conv_id long, turn long, role string, text string")
     assert [(len(r[2]), len(r[3]), r[4]) for r in found if r[0] == 1] == [(400, 620, 255), (100, 80, 45)]
     assert [sum(r[0] == thread for r in found) for thread in threads] == [2, 1, 2, 4, 3]
+
+
+def test_vault_of_blank_notes(spark, tmp_path):
+    """Blank notes are loaded, and so are null ones outside every ninth file; a note has as many characters as it has code points."""
+    texts = ["some note", "", "  ", " \n\t", None, "é😀", "x" * 5000, " "]
+    rows = [(i, texts[i % 8], f"src{i % 20}") for i in range(200)] + [(None, "no id", "src1"), (-9, "a", "src1"), (-4, "b", "src1"), (400, "a", None), (401, "a", "src31"), (402, " ", "x/src3")]
+    schema = "doc_id long, text string, source string"
+    found = agrees(spark, tmp_path, "vault_load_summary", "documents", [(*r, "en") for r in rows], f"{schema}, lang string")
+    assert {r[0] for r in found} == {"skipped", "loaded"}
