@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,22 +40,24 @@ def accepted_after_cooldown(events: DataFrame, key: str, cooldown_ms: int) -> Da
     """event_id, key, at_ms of accepted calls: a call is accepted a cooldown after the last accepted one of its key.
 
     Acceptance depends on earlier acceptance, so each key is folded in order. Time is first cut into stretches at gaps of a cooldown or more,
-    after which any call is accepted; a stretch is the group, however many calls its key has.
+    after which any call is accepted; a stretch lies in one task, however many calls its key has, and a task folds its stretches in one pass over sorted batches.
     """
-    w = Window.partitionBy(key).orderBy("at_ms", "event_id")
-    fresh = F.coalesce((F.col("at_ms") - F.lag("at_ms").over(w) >= cooldown_ms).cast("int"), F.lit(1))
-    cut = events.select("event_id", F.col(key).cast("string").alias("key"), "at_ms", fresh.alias("fresh"))
-    cut = cut.withColumn("stretch", F.sum("fresh").over(Window.partitionBy("key").orderBy("at_ms", "event_id")))
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, last, kept = rows.sort_values(["at_ms", "event_id"]), None, []
-        for i, at in enumerate(rows["at_ms"]):
-            if last is None or at - last >= cooldown_ms:
-                kept.append(i)
-                last = at
-        return rows.iloc[kept][["event_id", "key", "at_ms"]]
-
-    return cut.groupBy("key", "stretch").applyInPandas(fold, "event_id long, key string, at_ms long")
+    w = Window.partitionBy("key").orderBy("at_ms", "event_id")
+    fresh = F.coalesce(F.col("at_ms") - F.lag("at_ms").over(w) >= cooldown_ms, F.lit(True))
+    calls = events.select(F.col("event_id").cast("long").alias("event_id"), F.col(key).cast("string").alias("key"), F.col("at_ms").cast("long").alias("at_ms"))
+    cut = calls.withColumn("fresh", fresh).withColumn("stretch", F.sum(F.col("fresh").cast("int")).over(w))
+    placed = cut.repartition("key", "stretch").sortWithinPartitions("key", "stretch", "at_ms", "event_id", F.desc("fresh")).select("event_id", "key", "at_ms", "fresh")
+
+    def fold(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = 0  # each stretch begins with a fresh call
+        for part in parts:
+            kept = part.column(3).to_pylist()
+            for i, at in enumerate(part.column(2).fill_null(0).to_pylist()):
+                if kept[i] or at - last >= cooldown_ms:
+                    kept[i], last = True, at
+            yield part.select(["event_id", "key", "at_ms"]).filter(pa.array(kept, pa.bool_()))
+
+    return placed.mapInArrow(fold, "event_id long, key string, at_ms long")
 
 
 def runs(rows: DataFrame, key: str, order: list[str], value: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import duckdb
 
+from lorefield.operators import audit
 from lorefield.plans import ORACLE_SQL, QUERIES
 
 
@@ -44,3 +45,17 @@ def test_vault_of_blank_notes(spark, tmp_path):
     schema = "doc_id long, text string, source string"
     found = agrees(spark, tmp_path, "vault_load_summary", "documents", [(*r, "en") for r in rows], f"{schema}, lang string")
     assert {r[0] for r in found} == {"skipped", "loaded"}
+
+
+def test_cooldown_of_many_stretches(spark):
+    """Calls of many keys, with ties, null keys and null times, against a plain loop; Python isn't called for each stretch, of which there are some 8,000."""
+    rows = [(i, None if i % 41 == 0 else f"k{i * 7919 % 1999}", None if i % 997 == 5 else i * i * 31 % 50_000) for i in range(20_000)] + [(3, "k1", 77)] * 3
+    accepted, last = [], {}
+    for i, key, at in sorted(rows, key=lambda e: (e[2] is not None, e[2] or 0, e[0])):
+        if at is None or last.get(key) is None or at - last[key] >= 5_000:
+            accepted.append((i, key, at))
+            last[key] = at
+    got = audit.accepted_after_cooldown(spark.createDataFrame(rows, "event_id long, event string, at_ms long"), "event", 5_000)
+    assert sorted((tuple(r) for r in got.collect()), key=str) == sorted(accepted, key=str)
+    plan = got._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan
