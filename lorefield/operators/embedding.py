@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -17,13 +18,20 @@ from ..sources.shared import with_checkpoints
 Embedder = Callable[[list[str]], np.ndarray]
 
 
+@lru_cache(1 << 17)
+def _slot(word: str, width: int) -> int:
+    """Twice a word's slot, plus one if it counts up there and not down."""
+    h = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+    return 2 * (h % width) + (h >> 63)
+
+
 def hashing_embedder(texts: list[str], width: int = 64) -> np.ndarray:
     """Default embedder: words hashed to signed slots, scaled to length 1. Needs no model and is the same everywhere."""
-    out = np.zeros((len(texts), width))
-    for i, text in enumerate(texts):
-        for word in text.lower().split():
-            h = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-            out[i, h % width] += 1 if h >> 63 else -1
+    words = [text.lower().split() for text in texts]
+    owner = np.repeat(np.arange(len(texts)), [len(w) for w in words])
+    slots = np.fromiter((_slot(word, width) for w in words for word in w), np.int64, len(owner))
+    counts = np.bincount(owner * (2 * width) + slots, minlength=len(texts) * 2 * width).reshape(len(texts), width, 2)
+    out = (counts[:, :, 1] - counts[:, :, 0]).astype(float)
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 
