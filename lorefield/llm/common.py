@@ -33,6 +33,18 @@ def bounded_batches(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """The shuffle files of a query that runs inside go when it ends, and not when the driver happens to collect garbage; the session's own setting comes back afterwards."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -50,10 +62,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """df written to a new table in the shared folder and read again: lineage is cut and any executor can be lost."""
+    """df written to a new table in the shared folder and read again: lineage is cut, any executor can be lost, and nothing needs the shuffle files that led to it any more."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}"
-    with bounded_batches(spark):
+    with bounded_batches(spark), shuffles_removed(spark):
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path

@@ -20,6 +20,7 @@ Shingles are compared by 64-bit hashes, sets by 128 bits of theirs.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,8 @@ from .partenum import Bands, signatures
 #: Set hashes that a task remembers; nodes of a batch that a signature sends on.
 REMEMBERED = 100_000
 SENT = 2
+#: Parts of the signatures (a power of 2) that are shuffled one after the other, so that their shuffle files, which are larger than the texts, aren't there together.
+ROUNDS = 4
 #: Members of a group that one task compares with each other, differing elements that it holds for that, and elements that it compares at once.
 PART = 2048
 HELD = 4_000_000
@@ -312,15 +315,21 @@ def dealt(members: DataFrame) -> DataFrame:
 
 def sharing(signed: DataFrame) -> DataFrame:
     """pivot, node: for each node that shares a signature, the pivots in whose groups it meets all that it may link with."""
-    dealt_out = signed.select(F.explode("sigs").alias("sig"), "node").repartition(F.shiftright("sig", 1)).sortWithinPartitions(F.desc("sig"), "node")
-    shared = stored(dealt_out.mapInArrow(_shared, "sig long, node long"))
+    parts = []
+    for part in range(ROUNDS):
+        mine = signed.select(F.explode("sigs").alias("sig"), "node").where(F.shiftright("sig", 1).bitwiseAND(ROUNDS - 1) == part)
+        dealt_out = mine.repartition(F.shiftright("sig", 1)).sortWithinPartitions(F.desc("sig"), "node")
+        parts.append(stored(dealt_out.mapInArrow(_shared, "sig long, node long")))
+    shared = reduce(DataFrame.unionByName, parts)
     if signed.where(F.size("more") > 0).head(1):
-        more = signed.select(F.explode("more").alias("sig"), "node").withColumn("sig", F.col("sig").bitwiseAND(~1)).join(stored(shared.select("sig").distinct()), "sig", "left_semi")
-        shared = stored(shared.unionByName(more))
+        found = stored(shared.select("sig").distinct())
+        parts.append(stored(signed.select(F.explode("more").alias("sig"), "node").withColumn("sig", F.col("sig").bitwiseAND(~1)).join(found, "sig", "left_semi")))
+        removed(found)
+        shared = shared.unionByName(parts[-1])
     counts = stored(shared.groupBy("node").agg(F.count("*").alias("n")))
     pivots = stored(shared.join(counts, "node").groupBy("sig").agg(F.max(F.struct("n", "node")).alias("most")).select("sig", F.col("most.node").alias("pivot")))
     members = stored(shared.join(pivots, "sig").where("node <> pivot").select("pivot", "node").distinct())
-    removed(shared, counts, pivots)
+    removed(*parts, counts, pivots)
     return members
 
 
